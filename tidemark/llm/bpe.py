@@ -26,8 +26,8 @@ from tidemark.llm.byte_encoder import _bytes_of_characters
 from tidemark.llm.shared import keyed, text_bytes
 from tidemark.llm.token_counts import byte_balanced, slices
 
-#: Words and distinct pairs that a worker remembers; longer words are not kept.
-MEMO_WORDS, MEMO_WORD_BYTES, MEMO_PAIRS = 300_000, 64, 3_000_000
+#: Words, pieces and distinct pairs that a worker remembers, in two generations of this size; longer words are not kept.
+MEMO_WORDS, MEMO_PIECES, MEMO_WORD_BYTES, MEMO_PAIRS = 300_000, 300_000, 64, 3_000_000
 #: Words of more symbols are merged with a heap.
 LONG_WORD = 48
 NEVER = np.int64(1) << 40
@@ -36,6 +36,29 @@ _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\
 _SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+class Memo(dict):
+    """A dictionary with an older generation: what is asked for stays, the rest goes when the young one is full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, keys: set) -> list:
+        """The keys in neither generation; those in the old one become young."""
+        new = []
+        for k in keys.difference(self):
+            if k in self.old:
+                self[k] = self.old[k]
+            else:
+                new.append(k)
+        return new
+
+
 class SpeculativeBPE:
     """Encodes words of a vocabulary whose pieces end at white space (`</w>` style) as the tokenizers library does."""
 
@@ -82,7 +105,7 @@ class SpeculativeBPE:
         self.usable = {t: i for t, i in self.vocab.items() if usable[i]}
         self.longest = max(len(t) for t in self.usable)
         self.known, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        self.memo, self.piece_memo = Memo(MEMO_WORDS), Memo(MEMO_PIECES)
         self.n_words = self.n_failed = 0
 
     def rank_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -208,24 +231,36 @@ class SpeculativeBPE:
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         parts = [self.pieces(w) for w in words]
-        encoded = iter(self.encode_pieces([p for row in parts for p in row if isinstance(p, str)]))
-        return [[t for p in row for t in (next(encoded) if isinstance(p, str) else [p])] for row in parts]
+        known = self.piece_memo
+        known.turn()
+        new = known.missing({p for row in parts for p in row if isinstance(p, str)})
+        long = {}
+        for piece, ids in zip(new, self.encode_pieces(new), strict=True):
+            (known if len(piece) <= MEMO_WORD_BYTES else long)[piece] = ids
+        out = []
+        for row in parts:
+            ids: list[int] = []
+            for p in row:
+                ids += (known[p] if p in known else long[p]) if isinstance(p, str) else [p]
+            out.append(ids)
+        return out
 
     def write(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its decimal ids and its decoded text, both joined by spaces."""
         rows = [[w for part in slices(t) for w in part.split()] for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        new = list(set().union(*rows).difference(self.memo))
+        memo = self.memo
+        memo.turn()
+        new = memo.missing(set().union(*rows))
         found = {}
         for at in range(0, len(new), 50_000):
             some = new[at : at + 50_000]
             for word, ids in zip(some, self.encode_words(some), strict=True):
                 found[word] = (" ".join(map(str, ids)).encode(), self.decode(ids).encode())
-        self.memo.update((w, x) for w, x in found.items() if len(w) <= MEMO_WORD_BYTES)
+        long = {w: x for w, x in found.items() if len(w) > MEMO_WORD_BYTES}
+        memo.update((w, x) for w, x in found.items() if len(w) <= MEMO_WORD_BYTES)
         for row in rows:
-            made = [self.memo[w] if w in self.memo else found[w] for w in row]
-            yield b" ".join([x[0] for x in made if x[0]]), b" ".join([x[1] for x in made if x[0]])
+            made = [x for w in row if (x := memo[w] if w in memo else long[w])[0]]
+            yield b" ".join([x[0] for x in made]), b" ".join([x[1] for x in made])
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False) where the file names no decoder; unknown ids are left out."""

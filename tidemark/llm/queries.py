@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.bpe import bpe_encode
 from tidemark.llm.packing import pack
 from tidemark.llm.shared import table
 from tidemark.llm.token_counts import token_counts
@@ -25,8 +26,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op5_token_counts, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
