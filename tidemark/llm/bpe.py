@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_encoder import _bytes_of_characters
-from tidemark.llm.shared import keyed, text_bytes
-from tidemark.llm.token_counts import byte_balanced, slices
+from tidemark.llm.shared import keyed
+from tidemark.llm.token_counts import balanced
 
 #: Words, pieces and distinct pairs that a worker remembers, in two generations of this size; longer words are not kept.
 MEMO_WORDS, MEMO_PIECES, MEMO_WORD_BYTES, MEMO_PAIRS = 300_000, 300_000, 64, 3_000_000
@@ -82,28 +83,34 @@ class SpeculativeBPE:
         self.odd_ascii = re.compile("[\x00-\x20\x7f]")
 
         size = max(self.vocab.values()) + 1
-        self.merged: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}
+        self.made: list[int] = []
         self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         self.formed = np.full(size, -1, np.int64)  # the rank of the merge that makes a token; -1: a symbol
         ordered = True
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             x, y, made = self.vocab[a], self.vocab[b], self.vocab[a + b]
-            self.merged[x, y] = (rank, made)
+            self.rank[x * size + y] = rank
+            self.made.append(made)
             ordered &= self.left[made] < 0 and self.formed[x] < rank and self.formed[y] < rank
             self.left[made], self.right[made], self.formed[made] = x, y, rank
         self.size = size
-        keys = np.array([x * size + y for x, y in self.merged], np.int64)
+        keys = np.fromiter(self.rank, np.int64, len(self.rank))
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.array([r for r, _ in self.merged.values()], np.int64)[order]
+        self.keys, self.ranks = keys[order], np.fromiter(self.rank.values(), np.int64, len(keys))[order]
         made = np.flatnonzero(self.left >= 0)
         usable = np.ones(size, bool)
         # A token is proposed only if its parts are usable and first meet at the border by the very merge that makes it.
         first = self.first_meeting(self.left[made], self.right[made])
         for t, met in sorted(zip(made.tolist(), first.tolist(), strict=True), key=lambda x: self.formed[x[0]]):
             usable[t] = ordered and met == self.formed[t] and usable[self.left[t]] and usable[self.right[t]]
-        self.usable = {t: i for t, i in self.vocab.items() if usable[i]}
-        self.longest = max(len(t) for t in self.usable)
+        end = len(self.suffix)
+        self.last = {t[: len(t) - end]: i for t, i in self.vocab.items() if usable[i] and t.endswith(self.suffix)}
+        self.inner = {t: i for t, i in self.vocab.items() if usable[i] and not (end and t.endswith(self.suffix))}
+        self.reach: dict[str, int] = {}  # the length of the longest inner token by its first two characters
+        for t in self.inner:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
         self.known, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)
         self.memo, self.piece_memo = Memo(MEMO_WORDS), Memo(MEMO_PIECES)
         self.n_words = self.n_failed = 0
@@ -150,55 +157,67 @@ class SpeculativeBPE:
 
     def propose(self, piece: str) -> list[int]:
         """Greedy longest match; the last token carries the end of the word."""
-        usable, n, at, out = self.usable, len(piece), 0, []
-        whole, end = piece + self.suffix, len(piece) + len(self.suffix)
-        while at < n:
-            if n - at <= self.longest and (t := usable.get(whole[at:end])) is not None:
+        inner, last, reach, n, at, out = self.inner, self.last, self.reach, len(piece), 0, []
+        while True:
+            rest = piece[at:]
+            t = last.get(rest)
+            if t is not None:
                 out.append(t)
-                break
-            for stop in range(min(n - 1, at + self.longest), at, -1):
-                if (t := usable.get(piece[at:stop])) is not None:
+                return out
+            for stop in range(min(n - at - 1, reach.get(rest[:2], 1)), 0, -1):
+                t = inner.get(rest[:stop])
+                if t is not None:
                     out.append(t)
-                    at = stop
+                    at += stop
                     break
             else:
-                raise KeyError(f"no symbol for {piece[at : at + 1]!r}")
-        return out
+                raise KeyError(f"no symbol for {rest[:1]!r}")
 
     def merge_exactly(self, piece: str) -> list[int]:
         """Repeatedly the merge of least rank, from left to right."""
-        merged = self.merged
+        get, size, made = self.rank.get, self.size, self.made
         row = [self.vocab[c] for c in piece[:-1]] + [self.vocab[piece[-1] + self.suffix]]
-        if len(row) <= LONG_WORD:
-            none = (NEVER, -1)
-            while len(row) > 1:
-                found = [merged.get(p, none) for p in zip(row, row[1:])]  # noqa: B905
-                best = min(found)
-                if best[1] < 0:
-                    break
-                i = found.index(best)
-                row[i : i + 2] = [best[1]]
-            return row
-        after, before = list(range(1, len(row) + 1)), list(range(-1, len(row) - 1))
-        heap = [(*m, i, row[i], row[i + 1]) for i in range(len(row) - 1) if (m := merged.get((row[i], row[i + 1])))]
-        heap = [(rank, i, made, x, y) for rank, made, i, x, y in heap]
+        if len(row) > LONG_WORD:
+            return self.merge_long(row)
+        never = len(made)
+        ranks = [get(x * size + y, never) for x, y in zip(row, row[1:])]  # noqa: B905
+        while ranks:
+            best = min(ranks)
+            if best == never:
+                break
+            i = ranks.index(best)
+            row[i : i + 2] = [made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(row[i - 1] * size + row[i], never)
+            if i < len(ranks):
+                ranks[i] = get(row[i] * size + row[i + 1], never)
+        return row
+
+    def merge_long(self, row: list[int]) -> list[int]:
+        """The same with a heap."""
+        get, size, n = self.rank.get, self.size, len(row)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, row[i], row[i + 1]) for i in range(n - 1) if (r := get(row[i] * size + row[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, made, x, y = heapq.heappop(heap)
+            rank, i, x, y = heapq.heappop(heap)
             j = after[i]
-            if row[i] != x or j >= len(row) or row[j] != y:
+            if row[i] != x or j >= n or row[j] != y:
                 continue
-            row[i], row[j] = made, -1
+            row[i], row[j] = self.made[rank], -1
             after[i] = after[j]
-            if after[i] < len(row):
+            if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < len(row) and (m := merged.get((row[k], row[after[k]]))):
-                    heapq.heappush(heap, (m[0], k, m[1], row[k], row[after[k]]))
+                if k >= 0 and after[k] < n and (r := get(row[k] * size + row[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k, row[k], row[after[k]]))
         return [t for t in row if t >= 0]
 
     def pieces(self, word: bytes) -> list[str | int]:
         """The word's pieces in the byte alphabet, special tokens as their ids."""
+        if word.isalpha():  # ASCII letters only
+            return [word.decode().lower()]
         parts = self.special_at.split(word) if self.special_at else [word]
         out: list[str | int] = []
         for part in parts:
@@ -229,38 +248,47 @@ class SpeculativeBPE:
         self.n_words += len(pieces)
         return proposed
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+    def encode_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """For each word its decimal ids and its tokens, both joined by spaces."""
         parts = [self.pieces(w) for w in words]
         known = self.piece_memo
         known.turn()
         new = known.missing({p for row in parts for p in row if isinstance(p, str)})
         long = {}
+        token = self.token
         for piece, ids in zip(new, self.encode_pieces(new), strict=True):
-            (known if len(piece) <= MEMO_WORD_BYTES else long)[piece] = ids
+            (known if len(piece) <= MEMO_WORD_BYTES else long)[piece] = (" ".join(map(str, ids)).encode(), " ".join([token[i] for i in ids]).encode())
         out = []
         for row in parts:
-            ids: list[int] = []
-            for p in row:
-                ids += (known[p] if p in known else long[p]) if isinstance(p, str) else [p]
-            out.append(ids)
+            if len(row) == 1 and (x := known.get(row[0])):
+                out.append(x)
+                continue
+            made = [(known[p] if p in known else long[p]) if isinstance(p, str) else (str(p).encode(), token[p].encode()) for p in row]
+            out.append((b" ".join([x[0] for x in made]), b" ".join([x[1] for x in made])))
         return out
 
-    def write(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text its decimal ids and its decoded text, both joined by spaces."""
-        rows = [[w for part in slices(t) for w in part.split()] for t in texts]
+    def write(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """For each text its decimal ids and its decoded text, both joined by spaces, as binary arrays."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        flat = split.flatten().cast(pa.large_binary()).dictionary_encode()
+        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+        words = flat.dictionary.to_pylist()
         memo = self.memo
         memo.turn()
-        new = memo.missing(set().union(*rows))
-        found = {}
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            for word, ids in zip(some, self.encode_words(some), strict=True):
-                found[word] = (" ".join(map(str, ids)).encode(), self.decode(ids).encode())
-        long = {w: x for w, x in found.items() if len(w) > MEMO_WORD_BYTES}
-        memo.update((w, x) for w, x in found.items() if len(w) <= MEMO_WORD_BYTES)
-        for row in rows:
-            made = [x for w in row if (x := memo[w] if w in memo else long[w])[0]]
-            yield b" ".join([x[0] for x in made]), b" ".join([x[1] for x in made])
+        new = memo.missing(set(words))
+        long = {}
+        for word, made in zip(new, self.encode_words(new), strict=True):
+            (memo if len(word) <= MEMO_WORD_BYTES else long)[word] = made
+        made = [memo[w] if w in memo else long[w] for w in words]
+        sizes = np.diff(split.offsets.to_numpy())
+        index = flat.indices
+        empty = np.array([not x[0] for x in made], bool)
+        if empty.any():  # such words leave no trace, not even a space
+            stay = ~empty[index.to_numpy(zero_copy_only=False)]
+            of = np.repeat(np.arange(len(sizes)), sizes)[stay]
+            sizes, index = np.bincount(of, minlength=len(sizes)), index.filter(pa.array(stay))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return tuple(pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array([x[k] for x in made], pa.binary()).take(index)), b" ") for k in (0, 1))
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False) where the file names no decoder; unknown ids are left out."""
@@ -286,16 +314,18 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, digests: bool = False, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = bpe(tokenizer_path)
+        kind = pa.string() if digests else pa.list_(pa.int32())
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for part in byte_balanced(texts, 8 << 20):
-                counts, ids, decoded = [], [], []
-                for i, d in engine.write(texts[part]):
-                    counts.append(i.count(b" ") + 1 if i else 0)
-                    ids.append(hashlib.sha256(i).hexdigest() if digests else np.array(i.split(), np.int32))
-                    decoded.append(hashlib.sha256(d).hexdigest() if digests else d.decode())
-                kinds = pa.string() if digests else pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(counts, pa.int64()), pa.array(ids, kinds), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for part in balanced(lengths, 8 << 20):
+                n = part.stop - part.start
+                ids, decoded = (x.to_pylist() for x in engine.write(batch.column(1).slice(part.start, n)))
+                counts = pa.array([i.count(b" ") + 1 if i else 0 for i in ids], pa.int64())
+                if digests:
+                    columns = [pa.array([hashlib.sha256(x).hexdigest() for x in c], kind) for c in (ids, decoded)]
+                else:
+                    columns = [pa.array([np.array(i.split(), np.int32) for i in ids], kind), pa.array([d.decode() for d in decoded], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), counts, *columns], names=["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))])
 
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_encode
 from tidemark.llm.packing import pack
+from tidemark.llm.quality_rules import learn, quality_rules
+from tidemark.llm.secret_scan import BASE_RULES, scan_secrets, span_text
 from tidemark.llm.shared import table
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.warc import round_trip
 
 
 def vocabulary(name: str) -> str:
@@ -26,13 +30,42 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["order"] < len(BASE_RULES))
+    of_rule = lambda i: F.size(F.filter("spans", lambda s: s["order"] == i)).cast("long")
+    counts = [of_rule(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
+    return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digests=True)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = round_trip(table(spark, sf_dir, "pages"), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+     d as (select page_id, octet_length(encode(body)) as payload_bytes, sha256(body) as payload_digest from p),
+     f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest, payload_bytes >= 100) else page_id end as first_id from d)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id = first_id then null else first_id end as refers_to
+from f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_token_counts, op8_bpe)}
+    return {f.__name__: f for f in (op1_packing, op5_token_counts, op6_secret_scan, op7_quality_rules, op8_bpe, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}

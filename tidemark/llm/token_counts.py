@@ -98,16 +98,20 @@ def counter(path: str) -> WordCounter:
     return _counters[path]
 
 
-def byte_balanced(texts: list[bytes], most: int) -> Iterator[slice]:
+def balanced(sizes: list[int], most: int) -> Iterator[slice]:
     """Slices of the batch with about `most` bytes each, or one text."""
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield slice(start, i)
             start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
+        size += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def byte_balanced(texts: list[bytes] | list[str], most: int) -> Iterator[slice]:
+    return balanced(list(map(len, texts)), most)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
