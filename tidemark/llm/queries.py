@@ -13,6 +13,7 @@ from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import learn, quality_rules
 from tidemark.llm.secret_scan import BASE_RULES, scan_secrets, span_text
 from tidemark.llm.shared import table
+from tidemark.llm.substring_dedup import repeated_passages
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.warc import round_trip
 
@@ -52,6 +53,24 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), digests=True)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP9_SQL = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+     s as (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50),
+     h as (select doc_id, i, array_to_string(ws[i:i + 49], ' ') as k from s),
+     m as (select k, min(doc_id) as first_id from h group by k),
+     r as (select h.doc_id, h.i from h join m on h.k = m.k where m.first_id < h.doc_id),
+     c as (select distinct doc_id, j from (select doc_id, unnest(range(i, i + 50)) as j from r)),
+     e as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as j from w),
+     k as (select e.doc_id, string_agg(e.x, ' ' order by e.j) as kept, count(*) as n from e left join c on e.doc_id = c.doc_id and e.j = c.j where c.j is null group by e.doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from w left join k on w.doc_id = k.doc_id
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = round_trip(table(spark, sf_dir, "pages"), with_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -69,8 +88,8 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_near_dedup, op5_token_counts, op6_secret_scan, op7_quality_rules, op8_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_packing, op4_near_dedup, op5_token_counts, op6_secret_scan, op7_quality_rules, op8_bpe, op9_substring_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op9_substring_dedup": OP9_SQL, "op10_warc": OP10_SQL}
