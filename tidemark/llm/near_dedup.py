@@ -172,8 +172,7 @@ def _set_links(share: tuple[int, int]):
     def work(rows: pa.Table) -> pa.Table | None:
         ids = rows.column("id").to_numpy()
         n = len(ids)
-        lists = rows.column("shingles").combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        lists = pa.concat_arrays(rows.column("shingles").chunks)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         flat = np.unique(lists.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)
         vocabulary, code, start = len(flat[0]), flat[1].astype(np.int32), offsets - offsets[0]

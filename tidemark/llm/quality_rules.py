@@ -150,7 +150,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = keyed(labels, {"doc_id": "doc_id", "quality": "quality"}).filter("quality is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 != 0")
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).join(F.broadcast(marked), "doc_id")
-    found = statistics(rows).filter("not base_failed").select("doc_id", "quality", "n_words", *SHARES).collect()
+    # base_failed is not filtered here: Spark would push that below the join, and so work out the statistics of every text.
+    found = [r for r in statistics(rows).select("doc_id", "quality", "n_words", "base_failed", *SHARES).collect() if not r["base_failed"]]
     found.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     features = ["n_words", *SHARES]
     return learn_list([({f: r[f] for f in features}, int(r["quality"] >= 1)) for r in found[: 2 * sample_rows]], features)

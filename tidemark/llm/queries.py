@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_encode
+from tidemark.llm.embedding_dedup import embedding_near_duplicates
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
+from tidemark.llm.quality_classifier import learn as learn_classifier
+from tidemark.llm.quality_classifier import score
 from tidemark.llm.quality_rules import learn, quality_rules
 from tidemark.llm.secret_scan import BASE_RULES, scan_secrets, span_text
 from tidemark.llm.shared import table
@@ -28,6 +31,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn_classifier(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
@@ -88,7 +100,7 @@ from f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_near_dedup, op5_token_counts, op6_secret_scan, op7_quality_rules, op8_bpe, op9_substring_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_embedding_dedup, op4_near_dedup, op5_token_counts, op6_secret_scan, op7_quality_rules, op8_bpe, op9_substring_dedup, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
