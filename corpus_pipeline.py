@@ -1,19 +1,65 @@
-"""The corpus pipeline: five stages over documents."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns of
+documents. Learned quality rules are learned from the documents that come in and the labels beside them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
+from tidemark.llm.quality_rules import learn, quality_rules
 from tidemark.llm.queries import vocabulary
+from tidemark.llm.secret_scan import redact, scan_secrets
 from tidemark.llm.shared import table
+from tidemark.llm.substring_dedup import repeated_passages
+
+
+def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with n_chars counted again, in the columns of docs."""
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        rows = rows.withColumn("n_chars", F.char_length("text").cast(kind))
+    return rows.select(*docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a learned rule rejects go."""
+    rules = learn(docs, table(spark, sf_dir, "labels"))
+    others = [c for c in docs.columns if c != "doc_id"]
+    return quality_rules(docs, rules, columns=others).filter("kept").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest doc_id stays."""
+    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that an earlier document holds go; a document of which nothing is left goes too."""
+    found = repeated_passages(docs).filter("n_removed > 0").select("doc_id", F.col("kept_text").alias("_left")).dropDuplicates(["doc_id"])
+    rows = docs.join(found, "doc_id", "left").filter("_left is null or _left != ''")
+    return _with_text(docs, rows.withColumn("text", F.coalesce("_left", "text")))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mark."""
+    others = [c for c in docs.columns if c != "doc_id"]
+    rows = scan_secrets(docs, columns=others)
+    return _with_text(docs, rows.withColumn("text", F.when(F.size("spans") > 0, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))))
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def fill_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of at most 1024 ids."""
     return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality rules", keep_good), ("MinHash near-dedup", keep_one_of_each), ("substring dedup", cut_repeats), ("secret scans", hide_secrets), ("packing", fill_windows)]
+#: Near-duplicate classes, learned rules and packing are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
