@@ -37,7 +37,8 @@ def slices(text: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
         end = found.start() if found else len(text)
         yield text[at:end]
         at = end
-    yield text[at:]
+    if at < len(text) or not text:
+        yield text[at:]
 
 
 class WordCounter:
