@@ -83,7 +83,8 @@ def reverse(df: DataFrame, order: list[str], payload: list[str], keys: list[str]
     placed = positions(df, order, keys)
     n = F.count("*").over(Window.partitionBy(*keys))
     kept = placed.drop(*payload)
-    turned = placed.withColumn("seq", (n - F.col("seq") + 1).cast("long")).select(*keys, "seq", *[(F.reverse(c) if arrays else F.col(c)).alias(c) for c in payload])
+    inner = {c for c, kind in df.dtypes if arrays and kind.startswith("array")}
+    turned = placed.withColumn("seq", (n - F.col("seq") + 1).cast("long")).select(*keys, "seq", *[(F.reverse(c) if c in inner else F.col(c)).alias(c) for c in payload])
     return kept.join(turned, [*keys, "seq"])
 
 
@@ -176,9 +177,9 @@ def interpolate_times(df: DataFrame, order: list[str], ts: str, keys: list[str],
 def smooth_jitter(df: DataFrame, order: list[str], ts: str, keys: list[str], cycle: int = 4) -> DataFrame:
     """Removes the judder of a repeating cadence: of each stream the times t become new times in units of 1/(2*cycle).
 
-    The first cycle + 2 times only scale. Later ones add (cycle-1) times the step that left the memory last and (cycle+1)
-    times the step over it, where memory holds the cycle + 2 times before; a time that runs back shifts the memory. The
-    fold runs along each key's sorted times.
+    The first cycle + 2 times only scale. A later one adds (cycle+1) times its distance from the time `cycle` rows before
+    it, less (cycle-1) times the distance between the rows 1 and cycle + 1 before it: over a whole cadence this is steady.
+    A time before all that is remembered shifts the memory. The fold runs along each key's sorted times.
     """
     struct = F.array_sort(F.collect_list(F.struct("seq", F.col(ts).alias("t"))))
     got = positions(df.filter(F.col(ts).isNotNull()), order, keys).groupBy(*keys).agg(struct.alias("rows"))
@@ -189,11 +190,11 @@ def smooth_jitter(df: DataFrame, order: list[str], ts: str, keys: list[str], cyc
         warm = n < size
         t = r["t"]
         at = lambda i: F.element_at(ring, i + 1)
-        runs_back = (~warm) & (t < at(size - 1))
+        runs_back = (~warm) & (t < at(0))
         shift = F.when(runs_back, t + at(1) - at(2) - at(size - 1)).otherwise(F.lit(0).cast("long"))
         moved = F.transform(ring, lambda x: x + shift)
         m = lambda i: F.element_at(moved, i + 1)
-        value = F.when(warm, t * (2 * cycle)).otherwise(new + (m(1) - m(0)) * (cycle - 1) + (t - m(2)) * (cycle + 1))
+        value = F.when(warm, t * (2 * cycle)).otherwise(new + (m(1) - m(size - 1)) * (cycle - 1) + (t - m(2)) * (cycle + 1))
         kept = F.when(warm, F.concat(ring, F.array(t))).otherwise(F.concat(F.slice(moved, 2, size - 1), F.array(t)))
         return F.struct(kept.alias("ring"), (n + 1).alias("n"), value.alias("new"), F.concat(acc["out"], F.array(F.struct(r["seq"].alias("seq"), t.alias("ts"), value.alias("new_ts")))).alias("out"))
 

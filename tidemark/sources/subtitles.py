@@ -26,7 +26,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).alias("file_id"), F.posexplode(F.filter(split, lambda b: b.rlike(_CLOCK + r"\s*-->\s*" + _CLOCK))).alias("n", "block"))
     line = F.regexp_extract("block", rf"(?m)^(\s*{_CLOCK}\s*-->\s*{_CLOCK}.*)$", 1)
     body = F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)$", 1)
-    return rows.select("file_id", "n", _clock_ms(F.split(line, "-->")[0]).alias("start_ms"), _clock_ms(F.split(line, "-->")[1]).alias("end_ms"), F.trim(body).alias("text"))
+    return rows.select("file_id", "n", _clock_ms(F.split(line, "-->")[0]).alias("start_ms"), _clock_ms(F.split(line, "-->")[1]).alias("end_ms"), F.btrim(body, F.lit(" \t\n")).alias("text"))
 
 
 def lyrics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
