@@ -391,3 +391,111 @@ def script_actions(spark, sf_dir):
 def subtitle_cues(spark, sf_dir):
     text = "1\n00:00:01,500 --> 00:00:03,000\nOne\n\n2\n00:01:00,000 --> 00:01:02,250\nTwo\nlines\n"
     return subtitles.blocks(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")
+
+
+@query(f"""with {E_SQL}, {ASOF}, f as (select user_id, arg_min(event_id, us) as first_id from v group by 1)
+select p.event_id, coalesce(v.event_id, f.first_id) as s_event_id from p asof left join v on p.user_id = v.user_id and p.us >= v.us left join f on f.user_id = p.user_id""")
+def asof_sync_infinity(spark, sf_dir):
+    e = events(spark, sf_dir).select("event_id", "user_id", "us", "event_type")
+    return sync.asof(e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'"), ["user_id"], "us", "event_id", ["event_id"], before="infinity").select("event_id", "s_event_id")
+
+
+@query(f"with {E_SQL}, p as (select *, row_number() over (partition by user_id order by us, event_id) as seq from e) select user_id, (seq - 1) // 4 as batch, count(*) as n_real, array_to_string(list(event_id order by seq), ',') as tile from p group by 1, 2")
+def tile_events(spark, sf_dir):
+    got = timeline.tile(events(spark, sf_dir), ["us", "event_id"], "event_id", 4, ["user_id"])
+    return got.select("user_id", "batch", "n_real", F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("tile"))
+
+
+@query(f"with {E_SQL} select user_id, event_id from (select *, row_number() over (partition by user_id order by us, event_id) as seq from e) where (seq - 1) % 2 = 1")
+def field_events(spark, sf_dir):
+    return timeline.pick_field(events(spark, sf_dir), ["us", "event_id"], 1, ["user_id"]).select("user_id", "event_id")
+
+
+@query("select vec_id, cast(field as integer) as field, array_to_string([cast(floor(x * 1000) as bigint) for x, i in cast(embedding as double[]) if (i - 1) % 2 = field], ',') as part from embeddings, (select unnest([0, 1]) as field)")
+def separate_fields(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return timeline.separate_fields(v, "embedding").select("vec_id", "field", F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("string")), ",").alias("part"))
+
+
+@query(f"""with {E_SQL}, r as (select user_id, us as beg, us + cents * 1000000 as end_ from e), m as (select *, case when beg <= max(end_) over (partition by user_id order by beg, end_ rows between unbounded preceding and 1 preceding) then 0 else 1 end as n from r where beg < end_),
+i as (select *, sum(n) over (partition by user_id order by beg, end_ rows unbounded preceding) as isl from m), u as (select user_id, isl, min(beg) as beg, max(end_) as end_ from i group by 1, 2), g as (select user_id, end_ as beg, lead(beg) over (partition by user_id order by beg) as nxt from u)
+select user_id, beg, nxt as "end" from g where nxt is not null""")
+def range_gaps(spark, sf_dir):
+    r = events(spark, sf_dir).select("user_id", F.col("us").alias("beg"), (F.col("us") + F.col("cents") * 1000000).alias("end"))
+    return intervals.gaps(r, ["user_id"])
+
+
+@query(f"""with {E_SQL}, r as (select user_id, us as beg, us + cents * 100000000 as end_ from e where event_type <> 'click'), q as (select event_id, user_id, us as beg, us + 60000000 as end_ from e where event_type = 'click'),
+m as (select *, case when beg <= max(end_) over (partition by user_id order by beg, end_ rows between unbounded preceding and 1 preceding) then 0 else 1 end as n from r where beg < end_), i as (select *, sum(n) over (partition by user_id order by beg, end_ rows unbounded preceding) as isl from m),
+u as (select user_id, min(beg) as beg, max(end_) as end_ from i group by user_id, isl)
+select q.user_id, q.beg, q.end_ as "end", exists (select 1 from u where u.user_id = q.user_id and u.beg <= q.beg and q.end_ <= u.end_) as had from q""")
+def had_download(spark, sf_dir):
+    e = events(spark, sf_dir)
+    have = e.filter("event_type != 'click'").select("user_id", F.col("us").alias("beg"), (F.col("us") + F.col("cents") * 100000000).alias("end"))
+    asked = e.filter("event_type = 'click'").select("user_id", F.col("us").alias("beg"), (F.col("us") + 60000000).alias("end"))
+    return intervals.has(have, asked, ["user_id"])
+
+
+@query("""with p as (select vec_id, cast(embedding as double[]) as x from embeddings)
+select a.vec_id, cast(round(list_sum([power(a.x[i] - b.x[i], 2) for i in range(1, 65)]) * 1000000) as bigint) as ssd_ppm, cast(round(list_sum([abs(a.x[i] - b.x[i]) for i in range(1, 65)]) * 1000) as bigint) as sad_k from p a join p b on b.vec_id = a.vec_id - 1""")
+def vector_errors(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    both = v.join(v.select((F.col("vec_id") + 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    return both.select("vec_id", F.round(stats.squared_error(F.col("x"), F.col("y")) * 1000000).cast("long").alias("ssd_ppm"), F.round(stats.absolute_error(F.col("x"), F.col("y")) * 1000).cast("long").alias("sad_k"))
+
+
+@query(f"with {E_SQL} select 'user_id' as term, cast(round(cast(sum(user_id * cents) as double) / sum(user_id * user_id), 6) * 1000000 as bigint) as coefficient_ppm from e")
+def least_squares_fit(spark, sf_dir):
+    fit = stats.least_squares(events(spark, sf_dir), "cents", ["user_id"])
+    return spark.createDataFrame([("user_id", round(round(fit[0], 6) * 1000000))], "term string, coefficient_ppm long")
+
+
+@query(f"with {E_SQL}, m as (select avg(cents) as m, count(*) as n from e) select cast(round(sum((cents - m) * (cents - m)) / max(n)) as bigint) as variance from e, m")
+def principal_variance(spark, sf_dir):
+    (value, _), *_ = stats.principal_components(events(spark, sf_dir), ["cents"])
+    return spark.createDataFrame([(round(value),)], "variance long")
+
+
+@query()
+def prefix_codes(spark, sf_dir):
+    counts = {r["event_type"]: r["n"] for r in events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n")).collect()}  # the alphabet: five types
+    return spark.createDataFrame(sorted(stats.code_lengths(counts).items()), "event_type string, bits int")
+
+
+@query()
+def linear_prediction(spark, sf_dir):
+    lags = stats.autocorrelation(events(spark, sf_dir), ["us", "event_id"], "cents", ["user_id"], 4)
+    rows = lags.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", F.col("product").cast("double").alias("p")))), lambda x: x["p"]).alias("r"))
+    return rows.select("user_id", F.transform(stats.linear_prediction(F.col("r"), 4), lambda x: F.round(x, 6)).alias("coefficients"))
+
+
+@query(f"with {E_SQL} select event_id, cast(least(32767, greatest(-32767, trunc((cents - 16000) * 2.5))) as integer) as scaled from e")
+def scale_volume(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", stats.scale_volume(F.col("cents") - 16000, 250).alias("scaled"))
+
+
+@query()
+def random_emit(spark, sf_dir):
+    e = events(spark, sf_dir).select("user_id", "us", "event_id").withColumn("key_id", F.col("event_id"))
+    return timeline.random_in_batches(e, ["us", "key_id"], ["event_id"], 30, 7, ["user_id"]).select("user_id", "seq", "us", "event_id")
+
+
+@query()
+def adts_frames(spark, sf_dir):
+    size = 7 + F.col("event_id") % 64
+    field = (size.cast("long") * 32 + 0x1F) + F.lit(0x80 << 16)
+    frame = F.unhex(F.concat(F.lit("FFF150"), F.lpad(F.hex(field), 6, "0"), F.lit("FC"), F.repeat(F.lit("00"), (F.col("event_id") % 64).cast("int"))))
+    return transport.split_frames(events(spark, sf_dir).select("user_id", "event_id", "us", frame.alias("data")), ["user_id"], "event_id", "us", "data").select("user_id", "n", "ts", F.octet_length("frame").alias("size"))
+
+
+@query()
+def pes_headers(spark, sf_dir):
+    e = events(spark, sf_dir).select("event_id", F.unhex(F.concat(F.lit("000001E0000C80"), F.lit("0000"), F.lpad(F.hex("event_id"), 18, "0"))).alias("data"))
+    return transport.pes_headers(e, "data", ["event_id"])
+
+
+@query()
+def stream_every_nth(spark, sf_dir):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", "event_type")
+    return streams.run_to_end(streams.step(e, "user_id", "event_id", 5))
