@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD_TEXTS, classes, docs, prose, words
@@ -61,6 +62,14 @@ def test_near_duplicates_of_odd_rows(spark):
     assert {r["component_id"] for r in near_duplicates(twice).collect()} == {7}
 
 
+def test_sets_of_a_slice_are_those_of_its_texts():
+    texts = pa.array([prose(i, 30).title() + (" é" if i % 3 else "") for i in range(40)] + [None, ""])
+    for start, n in ((0, 42), (1, 9), (20, 22)):
+        got = list(near_dedup.shingle_sets(texts.slice(start, n), 2))
+        for a, t in zip(got, texts.slice(start, n).to_pylist(), strict=True):
+            assert len(a) == len(shingles(t, 2)) and a.tolist() == next(near_dedup.shingle_sets(pa.array([t], pa.string()), 2)).tolist()
+
+
 def test_odd_sketches_tell_high_similarity():
     rnd = np.random.default_rng(1)
     for j in (0.8, 0.9):

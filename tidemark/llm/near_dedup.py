@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import grouped, keyed, materialize
+from tidemark.llm.shared import ascii_lower, grouped, keyed, materialize
 from tidemark.llm.token_counts import balanced
 
 #: 32 bands of 5 samples miss a pair of similarity 0.8 with a chance of 3 in a million.
@@ -53,11 +53,11 @@ def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and the number of words of each text; null texts have none."""
     import xxhash
 
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = split.flatten().cast(pa.large_binary()).dictionary_encode()
     words = flat.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    # Letters are lowered word by word: Arrow's own ascii_lower garbles arrays whose offsets do not begin at 0.
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(ascii_lower(w) if lower else w) for w in words), np.uint64, len(words))
     index, sizes = flat.indices.to_numpy(zero_copy_only=False), np.diff(split.offsets.to_numpy())
     empty = np.fromiter((not w for w in words), bool, len(words))
     if empty.any():  # what is left of white space at the ends
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, share: tuple[int, i
     alone = able.join(class_of.filter("doc_id != rep").select("doc_id"), "doc_id", "left_anti")
 
     banded = alone.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
     met = banded.join(shared, "key").select("key", "id", F.ceil(F.col("n") / BUCKET_BLOCK).alias("n_blocks"))
     met = met.join(alone.select(F.col("doc_id").alias("id"), "sketch"), "id")
     close = _in_pairs(met, "key").select("key", "pair", "id", "sketch").mapInArrow(_bucket_links(most_differing(LEAST_ESTIMATE)), "src long, dst long")

@@ -203,12 +203,14 @@ def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = True,
 
     named = able.join(copies, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("names", "places")).alias("p")).select("doc_id", F.col("p.names").alias("name"), F.col("p.places").alias("place"))
     shared = named.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("name")
+    shared = materialize(shared, "shared-phrases")  # then both sides of the join are exchanges, and Spark splits a hot name
     places = named.join(shared, "name").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     built = rows.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows(window), "doc_id long, text string, starts array<int>, keys array<long>")
     built = materialize(built, "windows")
 
     each = built.select("doc_id", F.explode(F.arrays_zip("starts", "keys")).alias("w")).select("doc_id", F.col("w.starts").alias("start"), F.col("w.keys").alias("key"))
     earliest = each.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("key", "a")
+    earliest = materialize(earliest, "shared-windows")
     gone = each.join(earliest, "key").filter("a < doc_id").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     kind = "doc_id long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     cut = built.select("doc_id", "text").join(gone, "doc_id").select("doc_id", "text", "starts").mapInArrow(_cut(window, with_text), kind)
