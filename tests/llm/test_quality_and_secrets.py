@@ -191,3 +191,10 @@ def test_damaged_archives_are_refused():
         with pytest.raises(warc.WarcError):
             list(warc.read_archive(bad))
     assert zlib.decompress(good, 31).startswith(b"WARC/1.1\r\n")
+
+
+def test_a_batch_of_nothing_but_empty_texts():
+    import pyarrow as pa
+
+    x, sizes = quality_classifier.passages(pa.array([None, "", ""], pa.string()))
+    assert x.shape == (3, quality_classifier.FEATURES) and sizes.tolist() == [1, 1, 1] and np.isfinite(x).all()

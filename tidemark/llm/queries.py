@@ -40,10 +40,35 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP3_SQL = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as x from embeddings),
+     ok as (select vec_id, label, x, sqrt(list_dot_product(x, x)) as n from v where label is not null and x is not null and len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0),
+     l as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) and a.n > 0 and b.n > 0 where list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.98),
+     r(id, reached) as (select vec_id, vec_id from v union select r.id, l.b from r join l on r.reached = l.a),
+     c as (select id, min(reached) as component_id from r group by id),
+     k as (select a, count(*) as n_links from l group by a)
+select v.vec_id, coalesce(k.n_links, 0) as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join c on c.id = v.vec_id left join k on k.a = v.vec_id
+"""
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+OP4_SQL = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+     s as (select doc_id, unnest(case when len(ws) = 0 then cast([] as varchar[]) when len(ws) = 1 then [ws[1]] else list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) end) as sh from w),
+     n as (select w.doc_id, count(s.sh) as n from w left join s on s.doc_id = w.doc_id group by w.doc_id),
+     p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+     l as (select p.a, p.b from p join n na on na.doc_id = p.a join n nb on nb.doc_id = p.b where 100 * p.i >= 80 * (na.n + nb.n - p.i)),
+     e as (select a, b from l union all select b, a from l),
+     r(id, reached) as (select doc_id, doc_id from w union select r.id, e.b from r join e on r.reached = e.a),
+     c as (select id, min(reached) as component_id from r group by id)
+select n.doc_id, n.n as n_shingles, c.component_id, n.doc_id = c.component_id as kept from n join c on c.id = n.doc_id
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -104,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op4_near_dedup": OP4_SQL, "op9_substring_dedup": OP9_SQL, "op10_warc": OP10_SQL}
