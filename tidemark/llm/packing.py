@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,9 +83,27 @@ def layout(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, ...]]
     return rows, sequences
 
 
+def _shrink(ids: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Ids as they travel: 2 bytes each where they fit, with a leading byte that tells, compressed."""
+    small = int(ids.max(initial=0)) < 1 << 16
+    return bytes([2 if small else 4]) + squeeze.compress(ids.astype("<u2" if small else "<u4").tobytes())
+
+
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of each piece, in place of its payload (the fourth column)."""
+    spread = zstandard.ZstdDecompressor()
+    for batch in batches:
+        ids = [np.frombuffer(spread.decompress(x[1:]), f"<u{x[0]}").astype(np.int32) for x in batch.column(3).to_pylist()]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+        columns = [lists if k == 3 else c for k, c in enumerate(batch.columns)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+
 def _pieces(tokenizer_path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sizes = [x or "" for x in texts]
@@ -94,8 +113,8 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int, with_ids: bool):
                     ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                     cuts = range(0, len(ids), capacity)
                     tokens.append(len(ids))
-                    payload.append([ids[a : a + capacity].astype(np.int32) for a in cuts] if with_ids else [zlib.crc32(ids[a : a + capacity]) for a in cuts])
-                kind = pa.list_(pa.list_(pa.int32())) if with_ids else pa.list_(pa.int64())
+                    payload.append([_shrink(ids[a : a + capacity], squeeze) for a in cuts] if with_ids else [zlib.crc32(ids[a : a + capacity]) for a in cuts])
+                kind = pa.list_(pa.binary()) if with_ids else pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], pa.array(tokens, pa.int64()), pa.array(payload, kind)], names=["doc_id", "doc_tokens", "payload"])
 
     return run
@@ -109,7 +128,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     """
     spark = docs.sparkSession
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text")
-    kind = "array<array<int>>" if with_ids else "array<bigint>"
+    kind = "array<binary>" if with_ids else "array<bigint>"
     cut = rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), f"doc_id long, doc_tokens long, payload {kind}")
     base = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     part = F.pmod(F.xxhash64("doc_id", "row"), F.lit(PARTS)).cast("int")
@@ -148,4 +167,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
         .select("doc_id", (F.col("n_full") * capacity).alias("start"), rest["rest"].cast("long").alias("length"), "payload", "doc_tokens",
                 (F.col("first_sequence") + F.expr("(rank - first_rank) div uses")).alias("sequence_id"), (F.col("base") + F.expr("(rank - first_rank) % uses") * rest["rest"]).alias("offset"))
     )
-    return full.unionByName(rest).withColumnRenamed("payload", "ids" if with_ids else "ids_crc32")
+    out = full.unionByName(rest)
+    if not with_ids:
+        return out.withColumnRenamed("payload", "ids_crc32")
+    return out.mapInArrow(_grow, "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
