@@ -39,6 +39,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables that queries of this package have left in the shared folder, when no result reads them any more."""
+    drop_path(spark, f"{shared_folder(spark)}/tidemark")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors, runs df once."""
     return materialize_at(df, fresh_path(df.sparkSession, tag))
