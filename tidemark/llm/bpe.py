@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_encoder import _bytes_of_characters
-from tidemark.llm.shared import keyed
+from tidemark.llm.shared import keyed, tidy
 from tidemark.llm.token_counts import balanced
 
 #: Words, pieces and distinct pairs that a worker remembers, in two generations of this size; longer words are not kept.
@@ -329,7 +329,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, digests: bool = False, id_c
 
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def bpe_decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
@@ -344,4 +344,4 @@ def bpe_decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Da
 
     if "decoded" in fields:
         raise ValueError("there is a column `decoded` already")
-    return rows.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, decoded string")
+    return rows.mapInArrow(tidy(run), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, decoded string")

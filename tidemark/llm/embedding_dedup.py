@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import grouped, keyed, materialize
+from tidemark.llm.shared import grouped, keyed, materialize, tidy
 
 #: Axes that cells are cut along, vectors in a tile, and dimensions that are added at once.
 CELL_AXES, TILE, STEP = 2, 1024, 8
@@ -134,7 +134,7 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: s
         sample = np.array([r[0] for r in own.select("vector").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).collect()])
         axes = principal_axes(sample / np.sqrt(np.einsum("ij,ij->i", sample, sample))[:, None])
         width = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
-        turned = own.select(F.col("rep").alias("id"), "vector", "label", "weight").mapInArrow(_turn(axes, width), "id long, vector array<double>, label string, weight long, turned array<double>, cell array<long>")
+        turned = own.select(F.col("rep").alias("id"), "vector", "label", "weight").mapInArrow(tidy(_turn(axes, width)), "id long, vector array<double>, label string, weight long, turned array<double>, cell array<long>")
         parts.append(materialize(turned, "turned"))
     links = None
     for part in parts:
@@ -180,4 +180,4 @@ def _compare(turned: DataFrame, least: float) -> DataFrame:
     pairs = own.unionByName(ahead).unionByName(behind)
     pairs = pairs.withColumn("tiles", F.concat_ws("|", "label", F.to_json("a"), F.to_json("b"))).withColumn("pair", F.concat_ws("|", "ta", "tb"))
     pairs = pairs.repartition("tiles", "pair").sortWithinPartitions("tiles", "pair", "side", "id")
-    return pairs.select("tiles", "pair", "side", "alike", "id", "weight", "vector", "turned").mapInArrow(_links(least), "id long, n long, src long, dst long")
+    return pairs.select("tiles", "pair", "side", "alike", "id", "weight", "vector", "turned").mapInArrow(tidy(_links(least)), "id long, n long, src long, dst long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import ascii_lower, grouped, keyed, materialize
+from tidemark.llm.shared import ascii_lower, grouped, keyed, materialize, tidy
 from tidemark.llm.token_counts import balanced
 
 #: 32 bands of 5 samples miss a pair of similarity 0.8 with a chance of 3 in a million.
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, share: tuple[int, i
     """
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sketch binary"
-    features = materialize(rows.mapInArrow(_features(shingle_words), schema), "minhash")
+    features = materialize(rows.mapInArrow(tidy(_features(shingle_words)), schema), "minhash")
 
     sets = ["n_shingles", "f1", "f2"]
     able = features.filter("n_shingles > 0 and doc_id is not null")
@@ -250,15 +250,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, share: tuple[int, i
     shared = materialize(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
     met = banded.join(shared, "key").select("key", "id", F.ceil(F.col("n") / BUCKET_BLOCK).alias("n_blocks"))
     met = met.join(alone.select(F.col("doc_id").alias("id"), "sketch"), "id")
-    close = _in_pairs(met, "key").select("key", "pair", "id", "sketch").mapInArrow(_bucket_links(most_differing(LEAST_ESTIMATE)), "src long, dst long")
+    close = _in_pairs(met, "key").select("key", "pair", "id", "sketch").mapInArrow(tidy(_bucket_links(most_differing(LEAST_ESTIMATE))), "src long, dst long")
     family = materialize(connected_components(close, "families").withColumnRenamed("component", "family"), "family")
 
     weighed = family.join(alone.select(F.col("doc_id").alias("id"), "n_shingles"), "id").groupBy("family").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("n"))
     blocks = weighed.select("family", F.greatest(F.ceil(F.col("w") / FAMILY_SHINGLES), F.ceil(F.col("n") / FAMILY_BLOCK)).cast("long").alias("n_blocks"))
     member = family.join(blocks, "family")
     texts = rows.join(member, rows["doc_id"] == member["id"]).select("id", "text", "family", "n_blocks")
-    built = texts.mapInArrow(_sets(shingle_words), "id long, family long, n_blocks long, shingles array<long>").filter(F.size("shingles") > 0)
-    links = _in_pairs(built, "family").select("family", "pair", "id", "shingles").mapInArrow(_set_links(share), "src long, dst long")
+    built = texts.mapInArrow(tidy(_sets(shingle_words)), "id long, family long, n_blocks long, shingles array<long>").filter(F.size("shingles") > 0)
+    links = _in_pairs(built, "family").select("family", "pair", "id", "shingles").mapInArrow(tidy(_set_links(share)), "src long, dst long")
     links = links.unionByName(class_of.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")))
     classes = connected_components(links, "near-classes")
     out = features.select("doc_id", "n_shingles").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_encoder import encoder
-from tidemark.llm.shared import keyed, materialize
+from tidemark.llm.shared import keyed, materialize, tidy
 from tidemark.llm.token_counts import byte_balanced
 
 #: Ranks are dealt in so many parts, so that a length or key that most documents share is no one task's work.
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     spark = docs.sparkSession
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text")
     kind = "array<binary>" if with_ids else "array<bigint>"
-    cut = rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id, with_ids), f"doc_id long, doc_tokens long, payload {kind}")
+    cut = rows.mapInArrow(tidy(_pieces(tokenizer_path, capacity, end_id, with_ids)), f"doc_id long, doc_tokens long, payload {kind}")
     base = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     part = F.pmod(F.xxhash64("doc_id", "row"), F.lit(PARTS)).cast("int")
     base = base.withColumn("part", part).withColumn("n_full", F.expr(f"doc_tokens div {capacity}")).withColumn("rest", (F.col("doc_tokens") % capacity).cast("int"))
@@ -170,4 +170,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     out = full.unionByName(rest)
     if not with_ids:
         return out.withColumnRenamed("payload", "ids_crc32")
-    return out.mapInArrow(_grow, "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
+    return out.mapInArrow(tidy(_grow), "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")

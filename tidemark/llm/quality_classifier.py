@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.near_dedup import word_hashes
-from tidemark.llm.shared import keyed
+from tidemark.llm.shared import keyed, tidy
 from tidemark.llm.substring_dedup import window_hashes
 from tidemark.llm.token_counts import balanced
 
@@ -185,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 bags = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.astype(np.float32).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), bags], names=["doc_id", "quality", "bag"])
 
-    found = sorted(rows.mapInArrow(run, "doc_id long, quality int, bag array<float>").limit(2 * sample_rows).collect(), key=lambda r: (r["doc_id"], r["bag"]))
+    found = sorted(rows.mapInArrow(tidy(run), "doc_id long, quality int, bag array<float>").limit(2 * sample_rows).collect(), key=lambda r: (r["doc_id"], r["bag"]))
     if not found:
         return untrained()
     bags = [np.array(r["bag"], np.float64).reshape(-1, FEATURES) for r in found]
@@ -209,4 +209,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    return rows.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(tidy(run), "doc_id long, score double").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.near_dedup import SALTS, mix, word_hashes
-from tidemark.llm.shared import keyed, materialize
+from tidemark.llm.shared import keyed, materialize, tidy
 from tidemark.llm.token_counts import balanced
 
 #: Words at either end of a passage whose symbols its surroundings can change: 2 by runs, 2 and 4 by pairs.
@@ -192,7 +192,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = True,
     if window < 2 * EDGE + PHRASE + 8:
         raise ValueError(f"windows of fewer than {2 * EDGE + PHRASE + 8} words hold no phrase for certain")
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text")
-    parsed = materialize(rows.mapInArrow(_parse(window), "doc_id long, n_words long, f1 long, f2 long, sha string, names array<long>, places array<int>"), "phrases")
+    parsed = materialize(rows.mapInArrow(tidy(_parse(window)), "doc_id long, n_words long, f1 long, f2 long, sha string, names array<long>, places array<int>"), "phrases")
 
     whole = ["n_words", "f1", "f2"]
     able = parsed.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
@@ -205,7 +205,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = True,
     shared = named.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("name")
     shared = materialize(shared, "shared-phrases")  # then both sides of the join are exchanges, and Spark splits a hot name
     places = named.join(shared, "name").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    built = rows.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows(window), "doc_id long, text string, starts array<int>, keys array<long>")
+    built = rows.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(tidy(_windows(window)), "doc_id long, text string, starts array<int>, keys array<long>")
     built = materialize(built, "windows")
 
     each = built.select("doc_id", F.explode(F.arrays_zip("starts", "keys")).alias("w")).select("doc_id", F.col("w.starts").alias("start"), F.col("w.keys").alias("key"))
@@ -213,7 +213,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = True,
     earliest = materialize(earliest, "shared-windows")
     gone = each.join(earliest, "key").filter("a < doc_id").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     kind = "doc_id long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    cut = built.select("doc_id", "text").join(gone, "doc_id").select("doc_id", "text", "starts").mapInArrow(_cut(window, with_text), kind)
+    cut = built.select("doc_id", "text").join(gone, "doc_id").select("doc_id", "text", "starts").mapInArrow(tidy(_cut(window, with_text)), kind)
 
     out = parsed.select("doc_id", "n_words", "sha").join(copies, "doc_id", "left").join(cut, "doc_id", "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fresh_path, keyed, materialize
+from tidemark.llm.shared import fresh_path, keyed, materialize, tidy
 
 #: An archive is closed at about so many bytes; a larger record has one of its own.
 ARCHIVE_BYTES = 16 << 20
@@ -165,7 +165,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["archive", "records", "bytes"])
 
-    return materialize(rows.mapInArrow(run, "archive string, records long, bytes long"), "warc-manifest")
+    return materialize(rows.mapInArrow(tidy(run), "archive string, records long, bytes long"), "warc-manifest")
 
 
 def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = None, with_payload: bool = True) -> DataFrame:
@@ -191,7 +191,7 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = Non
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
 
-    return found.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string")
+    return found.mapInArrow(tidy(run), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, with_payload: bool = True) -> DataFrame:
