@@ -172,6 +172,21 @@ def test_nearest_entries_signed_and_ties(spark):
     assert signed[(8, 1)] == (2, -1)
 
 
+@pytest.mark.parametrize("signed", [False, True])
+def test_nearest_rows_over_blocks_are_those_of_all(spark, monkeypatch, signed):
+    monkeypatch.setattr(stats, "BLOCK", 16)
+    monkeypatch.setattr(stats, "MOST_ENTRIES", 2)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (90, 4)).astype(float)
+    x[40:60] = x[3]  # more equal entries than are asked for
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    key = 0.5 * (x * x).sum(axis=1) - (np.abs(x @ x.T) if signed else x @ x.T)
+    want = {(q, r + 1): int(e) for q in range(0, 90, 2) for r, e in enumerate(np.lexsort((np.arange(90), key[q]))[:3])}
+    asked = df.filter("id % 2 = 0")
+    for got in (stats.nearest_rows(asked, df, 3, "id", "x", signed), stats.nearest_entries(asked, list(enumerate(x.tolist())), 3, "id", "x", signed)):
+        assert {(r["id"], r["rank"]): r["entry"] for r in got.collect()} == want
+
+
 def test_fits_and_codes(spark):
     df = spark.createDataFrame([(float(a), float(b), 2.0 * a - 3.0 * b) for a in range(5) for b in range(4)], "a double, b double, y double")
     assert np.allclose(stats.least_squares(df, "y", ["a", "b"]), [2, -3])

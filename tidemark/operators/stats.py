@@ -118,45 +118,122 @@ def quantise(value: Column, boundaries: list[float]) -> Column:
     return F.least(F.lit(len(boundaries)), F.size(passed))
 
 
-#: A codebook may have so many entries; it is collected and shipped with the query.
+#: A codebook of up to so many entries is shipped with the query; a larger one, or a table, is dealt out in blocks.
 MOST_ENTRIES = 65_536
+#: The most rows of a block of queries or entries, and the least of a block of entries that is made for a task more.
+BLOCK, SMALL_BLOCK = 32_768, 1024
+
+
+def _matrix(vectors):
+    """The rows of an Arrow list column, which all have one length."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if pc.count_distinct(pc.list_value_length(vectors), mode="all").as_py() != 1:
+        raise ValueError("vectors are of one length and not null")
+    return pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _best(x, ids, book, n: int, signed: bool):
+    """Of each row of x the n best entries: the row, entry, distance and sign of each, best first.
+
+    A matrix product leaves out what is worse than n others for any rounding; the rest is summed component by component,
+    so that distances do not depend on how entries are dealt into blocks, and equal entries have equal distances.
+    """
+    import numpy as np
+
+    def in_order(a, b):
+        out = np.zeros(len(a))
+        for k in range(a.shape[1]):
+            out += a[:, k] * b[:, k]
+        return out
+
+    half = 0.5 * in_order(book, book)
+    norms, rounding = np.sqrt(2 * half), (book.shape[1] + 4) * 2.0**-52
+    found = []
+    step = max(1, (1 << 20) // len(book))  # some 8 MB a matrix
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
+        product = part @ book.T
+        near = half - (np.abs(product) if signed else product)
+        rows, cols = np.divmod(np.arange(near.size), len(book))
+        if n < len(book):
+            slack = rounding * (np.sqrt(in_order(part, part))[:, None] * norms + half)
+            most = np.partition(near + slack, n - 1, axis=1)[:, n - 1 : n]
+            rows, cols = np.nonzero((near - slack <= most) | ~np.isfinite(most))
+        exact = in_order(part[rows], book[cols])
+        distance = half[cols] - (np.abs(exact) if signed else exact)
+        order = np.lexsort((ids[cols], distance, rows))
+        rows, cols = rows[order], cols[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < n
+        sign = np.where(signed & (exact[order] <= 0), -1, 1)
+        found.append((rows[kept] + a, ids[cols[kept]], distance[order][kept], sign[kept].astype(np.int32)))
+    return [np.concatenate(c) for c in zip(*found)]
 
 
 def nearest_entries(vectors: DataFrame, codebook: list[tuple[int, list[float]]], n: int, id_col: str, vector_col: str, signed: bool = False) -> DataFrame:
     """The n entries with the least |e|^2 / 2 - x.e for each vector, lower index first among equals: rank, entry, distance.
 
-    signed: an entry may stand for its negative too; sign is -1 then. The codebook is a bounded block that every task
-    has; each vector gives n rows at most, never one for each entry.
+    signed: an entry may stand for its negative too; sign is -1 then. Up to MOST_ENTRIES the codebook is a block that
+    every task has; more entries go the way of nearest_rows. Each vector gives n rows at most, never one for each entry.
     """
-    if not 0 < len(codebook) <= MOST_ENTRIES:
-        raise ValueError(f"a codebook has 1 to {MOST_ENTRIES} entries")
+    if not codebook:
+        raise ValueError("a codebook has an entry at least")
+    if len(codebook) > MOST_ENTRIES:
+        book = vectors.sparkSession.createDataFrame([(int(i), [float(c) for c in e]) for i, e in codebook], "e long, v array<double>")
+        return nearest_rows(vectors, book.withColumnsRenamed({"e": id_col, "v": vector_col}), n, id_col, vector_col, signed)
     import numpy as np
     import pyarrow as pa
 
     ids = np.array([i for i, _ in codebook], np.int64)
     book = np.array([e for _, e in codebook], np.float64)
-    half = 0.5 * np.einsum("ij,ij->i", book, book)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(0).to_pylist()
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            for a in range(0, len(x), 256):
-                product = x[a : a + 256] @ book.T
-                distance = half - (np.abs(product) if signed else product)
-                order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :n]
-                k = order.shape[1]
-                rows = np.repeat(np.arange(len(order)), k)
-                picked = order.ravel()
-                sign = np.where(signed & (product[rows, picked] <= 0), -1, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([keys[a + i] for i in rows], pa.int64()), pa.array(np.tile(np.arange(1, k + 1), len(order)), pa.int32()), pa.array(ids[picked]), pa.array(distance[rows, picked]), pa.array(sign, pa.int32())], names=["q", "rank", "entry", "distance", "sign"])
+            rows, entry, distance, sign = _best(_matrix(batch.column(1)), ids, book, n, signed)
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(rank, pa.int32()), pa.array(entry), pa.array(distance), pa.array(sign)], names=["q", "rank", "entry", "distance", "sign"])
 
     out = vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "q long, rank int, entry long, distance double, sign int")
     return out.withColumnRenamed("q", id_col)
 
 
+def nearest_rows(vectors: DataFrame, entries: DataFrame, n: int, id_col: str, vector_col: str, signed: bool = False) -> DataFrame:
+    """nearest_entries with a table of entries of any size, whose columns have the names of those of the vectors.
+
+    Both tables are dealt into blocks of bounded size. Every block of vectors meets every block of entries, which gives
+    the n best of the block for each vector, and the n best of those are the n best of all. Null vectors are left out.
+    """
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    pick = lambda df: df.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v"))
+    asked, held = pick(vectors), pick(entries)
+    n_asked, n_held = asked.count(), held.count()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    across = max(1, -(-n_asked // BLOCK))
+    down = max(1, -(-n_held // BLOCK), min(tasks, -(-n_held // SMALL_BLOCK)))
+    block = lambda k: F.pmod(F.xxhash64("i", "v"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    asked = asked.withColumn("row", F.monotonically_increasing_id()).withColumn("a", block(across)).withColumn("b", every(down))
+    held = held.withColumn("b", block(down)).withColumn("a", every(across))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["row", "q", "entry", "distance", "sign"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())], names=names)
+        left, right = left.combine_chunks(), right.combine_chunks()
+        rows, *found = _best(_matrix(left["v"]), right["i"].to_numpy(), _matrix(right["v"]), n, signed)
+        at = pa.array(rows)
+        return pa.table([left["row"].take(at), left["i"].take(at), *[pa.array(c) for c in found]], names=names)
+
+    best = asked.groupBy("a", "b").cogroup(held.groupBy("a", "b")).applyInArrow(run, "row long, q long, entry long, distance double, sign int")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("distance", "entry"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= n).select(F.col("q").alias(id_col), "rank", "entry", "distance", "sign")
+
+
 def least_squares(df: DataFrame, y: str, xs: list[str]) -> list[float]:
     """Coefficients without an intercept, from one aggregation of products; singular systems get the least solution."""
     import numpy as np

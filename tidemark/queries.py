@@ -192,6 +192,13 @@ def knn_embeddings(spark, sf_dir):
     return stats.nearest_entries(v, book, 3, "vec_id", "embedding").select("vec_id", "rank", "entry")
 
 
+@query("""with d as (select v.vec_id, b.vec_id as entry, 0.5 * list_dot_product(cast(b.embedding as double[]), cast(b.embedding as double[])) - list_dot_product(cast(v.embedding as double[]), cast(b.embedding as double[])) as distance from embeddings v, embeddings b where v.vec_id % 20 = 0)
+select vec_id, rank, entry from (select vec_id, entry, cast(row_number() over (partition by vec_id order by distance, entry) as integer) as rank from d) where rank <= 3""")
+def knn_all_embeddings(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return stats.nearest_rows(v.filter("vec_id % 20 = 0"), v, 3, "vec_id", "embedding").select("vec_id", "rank", "entry")
+
+
 @query(f"""with {E_SQL}, p as (select user_id, cents, row_number() over (partition by user_id order by us, event_id) as seq from e)
 select a.user_id, cast(k as integer) as lag, sum(cast(a.cents as bigint) * b.cents)::bigint as product from (select unnest(range(5)) as k) join p a on true left join p b on a.user_id = b.user_id and b.seq = a.seq - k group by 1, 2""")
 def autocorr_events(spark, sf_dir):
