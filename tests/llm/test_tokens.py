@@ -1,7 +1,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import ODD_TEXTS, docs, prose
-from tidemark.llm import bpe, packing
+from tidemark.llm import bpe, packing, queries
 from tidemark.llm.byte_encoder import ByteEncoder
 from tidemark.llm.queries import vocabulary
 from tidemark.llm.token_counts import WordCounter, slices, token_counts
@@ -159,6 +159,24 @@ def test_pack_holds_every_id_once(spark, with_ids):
     assert sorted(sequences) == list(range(len(sequences)))
 
 
+def test_op1_takes_its_digests_from_returned_ids(spark, monkeypatch, tmp_path):
+    texts = ["one two three", None, "x " * 5000, *ODD_TEXTS]
+    docs(spark, texts).write.parquet(f"file://{tmp_path}/documents.parquet")
+    made = []
+
+    def pack(*args, **options):
+        made.append(packing.pack(*args, **options))
+        return made[-1]
+
+    monkeypatch.setattr(queries, "pack", pack)
+    got = queries.op1_packing(spark, f"file://{tmp_path}").collect()
+    assert "ids" in made[0].columns
+    want = Counter((r["doc_id"], r["start"], r["length"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in packing.pack(docs(spark, texts), BYTE).collect())
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    plain = Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packing.pack(docs(spark, texts), BYTE, with_ids=False).collect())
+    assert plain == want
+
+
 def test_pack_of_repeated_rows_and_none(spark):
     d = docs(spark, ["same words", "same words"]).withColumn("doc_id", F.lit(1).cast("long"))
     got = packing.pack(d, BYTE, capacity=16).collect()

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import bpe_encode
 from tidemark.llm.embedding_dedup import embedding_near_duplicates
 from tidemark.llm.near_dedup import near_duplicates
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import ids_digests, pack
 from tidemark.llm.quality_classifier import learn as learn_classifier
 from tidemark.llm.quality_classifier import score
 from tidemark.llm.quality_rules import learn, quality_rules
 from tidemark.llm.secret_scan import BASE_RULES, scan_secrets, span_text
-from tidemark.llm.shared import table
+from tidemark.llm.shared import table, tidy
 from tidemark.llm.substring_dedup import repeated_passages
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.warc import round_trip
@@ -28,7 +28,8 @@ def vocabulary(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+    pieces = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return pieces.mapInArrow(tidy(ids_digests), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
