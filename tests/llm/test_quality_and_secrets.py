@@ -60,6 +60,23 @@ def test_rules_are_native(spark):
     assert not re.search("Python|Pandas|MapInArrow", plan)
 
 
+def test_scored_passages_have_one_length_at_every_size(spark):
+    import pyarrow as pa
+
+    texts = [prose(3, n) for n in (6_400, 64)]
+    x, sizes = quality_classifier.passages(pa.array(texts), most=None)
+    assert sizes.tolist() == [100, 1]
+    slices = [" ".join(words(texts[0])[a : a + 64]) for a in range(0, 6_400, 64)]
+    parts, _ = quality_classifier.passages(pa.array(slices), most=None)
+    assert np.allclose(x[:100, -2], parts[:, -2])  # the share of distinct words
+    # A model whose score is the share of distinct words of a passage: 64 different words in each, whatever the length.
+    model = quality_classifier.untrained()
+    model.weights["encode"][-2, 0] = model.weights["score"][0] = 1.0
+    long, short = " ".join(f"w{i % 64}" for i in range(12_800)), " ".join(f"w{i}" for i in range(64))
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.score(docs(spark, [long, short]), model).collect()}
+    assert abs(got[0] - got[1]) < 1e-9
+
+
 def test_passages_are_the_whole_text():
     import pyarrow as pa
 

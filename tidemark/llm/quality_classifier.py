@@ -21,7 +21,8 @@ from tidemark.llm.shared import keyed, tidy
 from tidemark.llm.substring_dedup import window_hashes
 from tidemark.llm.token_counts import balanced
 
-#: A passage has PASSAGE words, or more where a text would have over MOST_PASSAGES of them.
+#: A passage has PASSAGE words; in the sample that is learned from, which the driver holds, more where a text would have
+#: over MOST_PASSAGES of them.
 PASSAGE, MOST_PASSAGES = 64, 64
 #: At most so many labelled documents are learned from.
 SAMPLE_ROWS = 4000
@@ -41,15 +42,16 @@ def _kind_table() -> np.ndarray:
 _KIND = _kind_table()
 
 
-def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """What each passage is made of (rows of FEATURES), and the number of passages of each text: one at least."""
+def passages(texts: pa.Array, most: int | None = MOST_PASSAGES) -> tuple[np.ndarray, np.ndarray]:
+    """What each passage is made of (rows of FEATURES), and the number of passages of each text: one at least, and with
+    `most` so many at most, of more words."""
     raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
     lengths = np.array([len(x) for x in raw], np.int64)
     n_docs = len(raw)
     data = np.frombuffer(b"".join(raw), np.uint8)
     kind = _KIND[data]
     hashes, counts = word_hashes(texts, lower=False)
-    size = np.maximum(PASSAGE, -(-counts // MOST_PASSAGES))
+    size = np.maximum(PASSAGE, -(-counts // most)) if most else np.full(n_docs, PASSAGE)
     n_passages = np.maximum(1, -(-counts // size))
     first_passage = np.cumsum(n_passages) - n_passages
     total = int(n_passages.sum())
@@ -204,7 +206,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             for part in balanced(lengths, 4 << 20):
                 n = part.stop - part.start
-                scores = model.forward(*passages(batch.column(1).slice(part.start, n)))
+                scores = model.forward(*passages(batch.column(1).slice(part.start, n), most=None))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text")
