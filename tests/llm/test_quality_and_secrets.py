@@ -77,6 +77,22 @@ def test_scored_passages_have_one_length_at_every_size(spark):
     assert abs(got[0] - got[1]) < 1e-9
 
 
+def test_a_repeated_labelled_id_teaches_once(spark, monkeypatch):
+    rows = [(1, prose(i, 60)) for i in range(30)] + [(i, prose(100 + i, 60)) for i in (2, 3, 4)]
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)], "doc_id long, quality int")
+    assert not any(map(held_out, (1, 2, 3, 4)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    taught = {}
+    monkeypatch.setattr(quality_classifier, "train", lambda x, sizes, y: taught.setdefault("classifier", []).append((x.tolist(), y.tolist())))
+    monkeypatch.setattr(quality_rules, "learn_list", lambda sample, features: taught.setdefault("rules", []).append(sample))
+    for order in (d.repartition(3), d.orderBy(F.desc("text"))):
+        quality_classifier.learn(order, labels, sample_rows=4)
+        quality_rules.learn(order, labels, sample_rows=4)
+    for first, second in taught.values():
+        assert first == second
+    assert len(taught["classifier"][0][1]) == len(taught["rules"][0]) == 4
+
+
 def test_passages_are_the_whole_text():
     import pyarrow as pa
 

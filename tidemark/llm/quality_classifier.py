@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.near_dedup import word_hashes
-from tidemark.llm.shared import keyed, tidy
+from tidemark.llm.shared import keyed, one_text, tidy
 from tidemark.llm.substring_dedup import window_hashes
 from tidemark.llm.token_counts import balanced
 
@@ -174,10 +174,12 @@ def untrained() -> Model:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Trains on at most sample_rows labelled documents in the order of a hash of their id, never on those whose
-    crc32(id as text) mod 5 is 0. Labels that are null are left out; of repeated labels the least counts."""
+    crc32(id as text) mod 5 is 0. Labels that are null are left out; of repeated labels the least counts, of rows that
+    repeat a doc_id the text with the least hash."""
     marked = keyed(labels, {"doc_id": "doc_id", "quality": "quality"}).filter("quality is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 != 0")
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = keyed(docs, {"doc_id": id_col, "text": text_col}).join(F.broadcast(marked), "doc_id").select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int"))
+    rows = keyed(docs, {"doc_id": id_col, "text": text_col}).join(F.broadcast(marked), "doc_id")
+    rows = one_text(rows).select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 bags = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.astype(np.float32).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), bags], names=["doc_id", "quality", "bag"])
 
-    found = sorted(rows.mapInArrow(tidy(run), "doc_id long, quality int, bag array<float>").limit(2 * sample_rows).collect(), key=lambda r: (r["doc_id"], r["bag"]))
+    found = sorted(rows.mapInArrow(tidy(run), "doc_id long, quality int, bag array<float>").collect(), key=lambda r: (r["doc_id"], r["bag"]))
     if not found:
         return untrained()
     bags = [np.array(r["bag"], np.float64).reshape(-1, FEATURES) for r in found]

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import WORD_SEPARATORS, keyed
+from tidemark.llm.shared import WORD_SEPARATORS, keyed, one_text
 
 SYMBOLS = "[#*$%&|<>]"
 SPACES = " \t\n\x0b\x0c\r"
@@ -146,15 +146,16 @@ def as_condition(rules: list[Rule]) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learns from at most sample_rows labelled documents, taken in the order of a hash of their id; rows whose
     crc32(id as text) mod 5 is 0 are left out, to measure on. Null labels and ids, and texts the base rule fails, teach
-    nothing. Without labels there are no rules."""
+    nothing; of rows that repeat a doc_id the text with the least hash counts. Without labels there are no rules."""
     marked = keyed(labels, {"doc_id": "doc_id", "quality": "quality"}).filter("quality is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 != 0")
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).join(F.broadcast(marked), "doc_id")
+    rows = one_text(rows)
     # base_failed is not filtered here: Spark would push that below the join, and so work out the statistics of every text.
     found = [r for r in statistics(rows).select("doc_id", "quality", "n_words", "base_failed", *SHARES).collect() if not r["base_failed"]]
     found.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     features = ["n_words", *SHARES]
-    return learn_list([({f: r[f] for f in features}, int(r["quality"] >= 1)) for r in found[: 2 * sample_rows]], features)
+    return learn_list([({f: r[f] for f in features}, int(r["quality"] >= 1)) for r in found], features)
 
 
 def quality_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:

@@ -55,6 +55,12 @@ def materialize_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_text(rows: DataFrame) -> DataFrame:
+    """Of the rows (doc_id, text, quality) one for each doc_id: that whose text has the least hash."""
+    best = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality"))
+    return rows.groupBy("doc_id").agg(best.alias("r")).select("doc_id", "r.text", "r.quality")
+
+
 def ascii_lower(data: bytes) -> bytes:
     return data.translate(_ASCII_LOWER)
 
