@@ -98,6 +98,14 @@ def test_interpolation_runs_up_and_down(spark):
     assert [r["filled_ts"] for r in got.orderBy("id").collect()] == [None, 100, 110, 120, 131, 121, 110, None]
 
 
+def test_interpolation_fills_gaps_of_any_length(spark):
+    df = spark.createDataFrame([(i, 1, 10 * i if i in (0, 300) else None) for i in range(301)], "id long, k int, ts long")
+    got = {r["id"]: r["filled_ts"] for r in timeline.interpolate_times(df, ["id"], "ts", ["k"]).collect()}
+    assert got == {i: 10 * i for i in range(301)}
+    strict = timeline.interpolate_times(df, ["id"], "ts", ["k"], limit=128)
+    assert strict.filter("filled_ts is null").count() == 299
+
+
 def test_steady_times_stay_steady(spark):
     rows = [(i, 0, 40 * i) for i in range(30)]
     got = timeline.smooth_jitter(spark.createDataFrame(rows, "id long, k int, t long"), ["t", "id"], "t", ["k"], 4).orderBy("seq").collect()

@@ -158,9 +158,9 @@ def separate_fields(df: DataFrame, column: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != column], F.posexplode(halves).alias("field", column))
 
 
-def interpolate_times(df: DataFrame, order: list[str], ts: str, keys: list[str], limit: int | None = 128) -> DataFrame:
+def interpolate_times(df: DataFrame, order: list[str], ts: str, keys: list[str], limit: int | None = None) -> DataFrame:
     """Fills null times between two known ones in equal whole steps, up or down; step = |end - last| / (n + 1). Gaps at
-    the ends, and with `limit` longer gaps, stay null."""
+    the ends, and with `limit` longer gaps, stay null; the original remembers 128 rows."""
     placed = positions(df, order, keys)
     back = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys).orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
@@ -170,7 +170,7 @@ def interpolate_times(df: DataFrame, order: list[str], ts: str, keys: list[str],
     by = F.expr("abs(_b.t - _a.t) div (_b.q - _a.q)")
     k = F.col("seq") - F.col("_a.q")
     filled = F.when(F.col("_b.t") > F.col("_a.t"), F.col("_a.t") + by * k).otherwise(F.col("_a.t") - by * k)
-    inside = F.col("_a").isNotNull() & F.col("_b").isNotNull() & ((gap - 1 <= limit) if limit else F.lit(True))
+    inside = F.col("_a").isNotNull() & F.col("_b").isNotNull() & ((gap - 1 <= limit) if limit is not None else F.lit(True))
     return placed.withColumn("filled_ts", F.coalesce(F.col(ts), F.when(inside, filled))).drop("_a", "_b")
 
 
