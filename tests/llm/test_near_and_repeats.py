@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import ODD_TEXTS, classes, docs, prose, words
 from tidemark.llm import near_dedup
 from tidemark.llm.components import connected_components
-from tidemark.llm.embedding_dedup import close_pairs, embedding_near_duplicates, principal_axes
+from tidemark.llm.embedding_dedup import close_pairs, embedding_near_duplicates, principal_axes, second_moments
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.substring_dedup import phrases, repeated_passages, symbols, window_hashes
 
@@ -43,6 +43,13 @@ def check_near(spark, texts, k):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), want[i], want[i] == i)
 
 
+def test_second_moments_are_those_of_all_vectors(spark):
+    x = np.random.default_rng(2).normal(size=(21_000, 4))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got = second_moments(spark.createDataFrame([(v,) for v in x.tolist()], "vector array<double>").repartition(5), 4)
+    assert np.allclose(got, unit.T @ unit) and abs(np.trace(got) - 21_000) < 1e-6
+
+
 def test_near_duplicates_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 16)
     monkeypatch.setattr(near_dedup, "FAMILY_BLOCK", 20)

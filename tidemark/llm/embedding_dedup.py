@@ -23,17 +23,38 @@ from tidemark.llm.shared import grouped, keyed, materialize, tidy
 
 #: Axes that cells are cut along, vectors in a tile, and dimensions that are added at once.
 CELL_AXES, TILE, STEP = 2, 1024, 8
-#: Second moments are those of at most so many vectors, taken in the order of a hash; they steer speed, not results.
-SAMPLE_ROWS = 20_000
 _SLACK = 1e-9
 
 
 def principal_axes(vectors: np.ndarray) -> np.ndarray:
     """Columns: axes by falling second moment."""
-    _, axes = np.linalg.eigh(vectors.T @ vectors)
+    return axes_of(vectors.T @ vectors)
+
+
+def axes_of(moments: np.ndarray) -> np.ndarray:
+    _, axes = np.linalg.eigh(moments)
     return np.ascontiguousarray(axes[:, ::-1])
 
 
+def second_moments(vectors: DataFrame, n: int) -> np.ndarray:
+    """The n x n second moments of all vectors (one column, of length n), as unit vectors: each task sums its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0))
+                x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+                total += x.T @ x
+        for i in range(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i), pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(total[i])], names=["i", "j", "p"])
+
+    out = np.zeros((n, n))
+    for i, j, p in vectors.mapInArrow(tidy(run), "i int, j int, p double").groupBy("i", "j").agg(F.sum("p")).collect():  # n * n rows
+        out[i, j] = p
+    return (out + out.T) / 2
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -131,8 +152,7 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: s
     parts = []
     for (n,) in whole.select(F.size("vector").alias("n")).distinct().orderBy("n").collect():  # lengths: one in any real table
         own = whole.filter(F.size("vector") == n)
-        sample = np.array([r[0] for r in own.select("vector").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).collect()])
-        axes = principal_axes(sample / np.sqrt(np.einsum("ij,ij->i", sample, sample))[:, None])
+        axes = axes_of(second_moments(own.select("vector"), n))
         width = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
         turned = own.select(F.col("rep").alias("id"), "vector", "label", "weight").mapInArrow(tidy(_turn(axes, width)), "id long, vector array<double>, label string, weight long, turned array<double>, cell array<long>")
         parts.append(materialize(turned, "turned"))
