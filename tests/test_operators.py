@@ -1,9 +1,14 @@
+import os
 import random
+import subprocess
+import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import storage
 from tidemark.operators import abr, intervals, stats, sync, telemetry, timeline
 from tidemark.plans.pipeline import Graph, scans
 
@@ -34,6 +39,39 @@ def test_global_positions_match_one_sort(spark):
     assert sorted(r["seq"] for r in timeline.positions(same, ["t", "id"]).collect()) == list(range(1, 201))
 
 
+def test_positions_of_fewer_columns(spark):
+    placed = timeline.positions(stream(spark, 200)[0], ["t", "id"], parts=5)
+    assert placed.count() == 200 and placed.select("seq").distinct().count() == 200
+    with pytest.raises(ValueError):
+        timeline.positions(placed.withColumnRenamed("seq", "_range_nth"), ["t", "id"])
+
+
+def test_one_time_for_all_rows_is_dealt_evenly(spark, tmp_path, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(timeline, "materialize", lambda d, tag: kept.setdefault(tag, storage.materialize(d, tag)))
+    same = spark.range(4000).select("id", F.lit(7).cast("long").alias("t"))
+    assert [r["seq"] for r in timeline.positions(same, ["t", "id"], parts=8).orderBy("id").collect()] == list(range(1, 4001))
+    sizes = [r["count"] for r in kept["ranges"].groupBy("_range_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 4000 / 8
+
+
+def test_the_shared_folder_is_the_sessions_own(spark, monkeypatch):
+    assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://a.example:7077"))
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(cluster)
+
+
+@pytest.mark.parametrize("partitions", ["1", "200"])
+def test_entry_counts_as_the_first_action(partitions):
+    code = f"""from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "{partitions}").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__
+print("rows:", __spark_entry__.entry(spark).count(), __spark_entry__.entry(spark).agg({{"seq": "max"}}).first()[0])"""
+    got = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=300)
+    assert "rows: 1000 1000" in got.stdout
+
+
 def test_interleave_ties_and_nulls(spark):
     a = spark.createDataFrame([(1, 5), (2, None), (3, 7)], "id long, t long")
     b = spark.createDataFrame([(10, 5), (11, 6)], "id long, t long")

@@ -1,7 +1,7 @@
 """Ordered-stream operators. Every result has an explicit sequence column, and every order a unique last column.
 
 With `keys` a stream is each key's rows, and all work is one exchange on the keys. Without keys the whole table is one
-stream; its positions come from range buckets whose sizes are summed, so no task holds more than a bucket.
+stream; its positions come from sorted ranges whose sizes are summed, so no task holds more than a range.
 """
 
 from __future__ import annotations
@@ -11,30 +11,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import materialize
 
-def range_buckets(df: DataFrame, column: str, parts: int | None = None) -> tuple[Column, int]:
-    """A bucket number that rises with the column, about evenly filled; the same for equal values."""
-    parts = parts or min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0), 1
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(column))), len(cuts) + 1
+#: Most and least bytes of a range of a keyless stream, as Spark estimates them.
+RANGE_BYTES, SMALL_RANGE_BYTES = 64 << 20, 1 << 20
+
+
+def _ranges(df: DataFrame) -> int:
+    """How many ranges a keyless stream is dealt to: as many as its size asks for, and as the session has partitions for a stream that is not small."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 + min(100_000, max(size // RANGE_BYTES, min(tasks, size // SMALL_RANGE_BYTES)))
 
 
 def positions(df: DataFrame, order: list[str], keys: list[str] | None = None, name: str = "seq", parts: int | None = None) -> DataFrame:
-    """Adds each row's place, from 1, in its key's order, or in the order of the whole table (order[0] is a number then)."""
+    """Adds each row's place, from 1, in its key's order, or in the order of the whole table.
+
+    Without keys the rows are dealt by ranges of the whole order, so equal times are parted by what breaks the tie, and
+    each range is sorted and numbered where it lies. The ranges are a written table: their sizes and their rows must come
+    from the same cuts, and lost tasks must not deal them again.
+    """
     if keys:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    bucket, n = range_buckets(df, order[0], parts)
-    if n == 1:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
-    dealt = df.withColumn("_bucket", bucket)
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))  # `parts` rows
-    offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return dealt.withColumn("_nth", nth).join(F.broadcast(offsets), "_bucket").withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).drop("_bucket", "_nth", "_before")
+    part, nth, before = "_range_part", "_range_nth", "_range_before"
+    if clash := {part, nth, before} & set(df.columns):
+        raise ValueError(f"columns with names of this operator: {sorted(clash)}")
+    dealt = df.repartitionByRange(parts or _ranges(df), *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # the partition above 33 bits that count its rows in order
+    dealt = materialize(dealt.withColumn(nth, at).select(*df.columns, F.shiftright(nth, 33).alias(part), (F.col(nth).bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(nth)), "ranges")
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = sizes.select(part, F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias(before))
+    return dealt.join(F.broadcast(offsets), part).select(*df.columns, (F.col(before) + F.col(nth)).cast("long").alias(name))
+
+
+def merge_tagged(df: DataFrame, ts: str, input_idx: Column, tie: str, name: str = "seq") -> DataFrame:
+    """interleave() for streams that lie in one table, read once: input_idx tells the input; rows where it is null are in none."""
+    tagged = df.filter(F.col(ts).isNotNull()).withColumn("input_idx", input_idx).filter("input_idx is not null")
+    return positions(tagged, [ts, "input_idx", tie], name=name)
 
 
 def interleave(streams: list[DataFrame], ts: str, tie: str, name: str = "seq") -> DataFrame:

@@ -45,8 +45,10 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 @query(f"""with {E_SQL}, t as (select e.*, case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end as input_idx from e where us is not null)
 select row_number() over (order by us, input_idx, event_id) as seq, cast(input_idx as integer) as input_idx, event_id, us from t""")
 def interleave_events(spark, sf_dir):
+    """The streams of the five event types, which lie in one table."""
     e = events(spark, sf_dir).select("event_id", "us", "event_type")
-    return timeline.interleave([e.filter(F.col("event_type") == t) for t in TYPES], "us", "event_id").select("seq", "input_idx", "event_id", "us")
+    which = F.coalesce(*[F.when(F.col("event_type") == t, i) for i, t in enumerate(TYPES)])
+    return timeline.merge_tagged(e, "us", which, "event_id").select("seq", "input_idx", "event_id", "us")
 
 
 @query(f"with {E_SQL} select 0 as item, event_id, us from e where event_type = 'click' union all select 1, event_id, us + 2592000000000 from e where event_type = 'view'")

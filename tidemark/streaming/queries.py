@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.storage import fresh_path
+
 LATE = "1 hour"
 
 
@@ -18,21 +19,11 @@ def read(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _shared(spark: SparkSession, tag: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/tidemark/{tag}-{uuid.uuid4().hex}"
-
-
 def run_to_end(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Runs until the input has ended, then returns what was written: parquet in the shared folder for append, the last
     whole result for complete, or nothing but `each` batch's effects."""
     spark = stream.sparkSession
-    out, checkpoint = _shared(spark, "stream"), _shared(spark, "stream-checkpoint")
+    out, checkpoint = fresh_path(spark, "stream"), fresh_path(spark, "stream-checkpoint")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if each is not None:
         query = writer.foreachBatch(each).start()
