@@ -49,22 +49,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and the number of words of each text; null texts have none."""
-    import xxhash
-
+def _split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words, which of them each word is, and the number of words of each text; null texts have none."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = split.flatten().cast(pa.large_binary()).dictionary_encode()
     words = flat.dictionary.to_pylist()
-    # Letters are lowered word by word: Arrow's own ascii_lower garbles arrays whose offsets do not begin at 0.
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(ascii_lower(w) if lower else w) for w in words), np.uint64, len(words))
     index, sizes = flat.indices.to_numpy(zero_copy_only=False), np.diff(split.offsets.to_numpy())
     empty = np.fromiter((not w for w in words), bool, len(words))
     if empty.any():  # what is left of white space at the ends
         stay = ~empty[index]
         sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[stay], minlength=len(sizes))
         index = index[stay]
-    return hashes[index] if len(words) else np.zeros(0, np.uint64), sizes.astype(np.int64)
+    return words, index, sizes.astype(np.int64)
+
+
+def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, and the number of words of each text; null texts have none."""
+    import xxhash
+
+    words, index, sizes = _split(texts)
+    # Letters are lowered word by word: Arrow's own ascii_lower garbles arrays whose offsets do not begin at 0.
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(ascii_lower(w) if lower else w) for w in words), np.uint64, len(words))
+    return hashes[index] if len(words) else np.zeros(0, np.uint64), sizes
+
+
+def wide_word_hashes(texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The lower and the upper halves of 128-bit hashes of all words, and the number of words of each text."""
+    import xxhash
+
+    words, index, sizes = _split(texts)
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in words), ">u8").reshape(-1, 2).astype(np.uint64)
+    return (both[index, 1], both[index, 0]), sizes
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:

@@ -92,7 +92,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"), with_text=False)
+    return repeated_passages(table(spark, sf_dir, "documents"), with_text=False).drop("digest")
 
 
 OP9_SQL = r"""

@@ -1,11 +1,13 @@
 """Substring dedup by recompression.
 
-Rounds name runs and pairs of tokens. A name is a 64-bit hash of what it stands for, so every task gives equal runs and
-pairs equal names and no round needs a shuffle: first runs of two equal words, then twice the pairs whose names fall left
-and right by a bit of their hash. A round's choice looks at two neighbours only, so of equal passages at most EDGE words
-at either end are parsed differently, and inside all symbols are the same. Of every SPAN words the symbol with the least
-name is exchanged, as the phrase of PHRASE words that begins there. Each repeated window holds such a phrase, and only
-near phrases that two documents share are windows built and compared over the whole corpus.
+Rounds name runs and pairs of symbols, words at first. A name is a hash of what it stands for, so equal runs and pairs have
+equal names in every document and task. A round with limit k makes one symbol of each run of equal symbols, and one of each
+two neighbours whose names fall left and right by a bit of their hash, of symbols of at most k words. What becomes of a
+symbol depends on its neighbours alone, so of equal passages at most edge_of(rounds) words at either end are parsed
+differently, and inside all symbols are the same: a window of twice as many words has a symbol that all its copies have. A
+symbol of the last round is exchanged under its name and the words after it that make up half a window, and a run also
+under the name of what it repeats, as a window may hold only a part of it. Symbols that two rows share show where repeats
+can be; only there windows are built, and their words, as digests of 128 bits, decide over the whole corpus.
 """
 
 from __future__ import annotations
@@ -19,87 +21,119 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.near_dedup import SALTS, mix, word_hashes
+from tidemark.llm.near_dedup import SALTS, mix, wide_word_hashes
 from tidemark.llm.shared import keyed, materialize, tidy
 from tidemark.llm.token_counts import balanced
 
-#: Words at either end of a passage whose symbols its surroundings can change: 2 by runs, 2 and 4 by pairs.
-EDGE = 8
-PHRASE = 8
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_RUN, _PART_OF_RUN, _PAIR, _PHRASE = np.uint64(3), np.uint64(5), np.uint64(7), np.uint64(11)
+#: A run of so many equal symbols is exchanged under the name of one, too.
+LONG_RUN = 3
+#: Of one row in SAMPLE the names are counted, and the MOST_HOT most frequent ones that two of these rows have are shared for certain.
+SAMPLE, MOST_HOT, LEAST_HOT = 64, 20_000, 16
+
+
+def rounds_for(window: int) -> list[tuple[int, bool]]:
+    """(limit, whether runs are named) of each round, as many as leave windows a symbol of their own."""
+    out: list[tuple[int, bool]] = []
+    for step in [(1, True), (1, False), (2, True), (2, False), *[(k, False) for k in range(3, window)]]:
+        if 2 * edge_of([*out, step]) >= window:
+            break
+        out.append(step)
+    return out
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(n + 1, _BASE), np.full(n + 1, inverse)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def edge_of(rounds: list[tuple[int, bool]]) -> int:
+    """Words at either end of a passage whose symbols its surroundings can change: a symbol for each round, two where
+    runs are named."""
+    return sum(limit * (2 if runs else 1) for limit, runs in rounds)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of `size` words."""
-    n = len(words)
-    if n < size:
+    """A 64-bit hash of each run of `size` words, mixed from hashes of 1, 2, 4, ... words."""
+    n = len(words) - size + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:n], dtype=np.uint64)])
-    return mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
-
-
-def symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and name of each symbol after one round of runs and two of pairs, over documents laid end to end."""
-    name, start, of = mix(words + np.uint64(1)), np.arange(len(words)), doc
-    same = np.zeros(len(words) + 1, bool)
-    same[1:-1] = (name[1:] == name[:-1]) & (of[1:] == of[:-1])
-    two = same[1:-1] & ~same[:-2] & ~same[2:] if len(words) > 1 else np.zeros(0, bool)
-    name, start, of = _join(name, start, of, two, np.uint64(3))
-    for rounds in (np.uint64(5), np.uint64(7)):
-        side = mix(name + rounds) >> np.uint64(63)
-        pair = (side[:-1] == 0) & (side[1:] == 1) & (of[:-1] == of[1:])
-        name, start, of = _join(name, start, of, pair, rounds)
-    return start, name
-
-
-def _join(name: np.ndarray, start: np.ndarray, of: np.ndarray, pair: np.ndarray, rounds: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """pair[i]: symbols i and i + 1 become one; no symbol is in two pairs."""
-    if not len(pair):
-        return name, start, of
-    first = np.flatnonzero(pair)
-    named = name.copy()
-    named[first] = mix(name[first] * _BASE + mix(name[first + 1] + rounds))
-    stay = np.ones(len(name), bool)
-    stay[first + 1] = False
-    return named[stay], start[stay], of[stay]
-
-
-def _slide(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
-    """best over each run of `width` values."""
-    out, have = values, 1
-    while have < width:
-        step = min(have, width - have)
-        out = best(out[:-step], out[step:])
-        have += step
+    block, have, at, out = mix(words + np.uint64(size)), 1, 0, None
+    while have <= size:
+        if size & have:
+            part = block[at : at + n]
+            out = part if out is None else mix(out * _ODD + part)
+            at += have
+        if have * 2 <= size:
+            block = mix(block[:-have] * _ODD + block[have:])
+        have *= 2
     return out
 
 
-def phrases(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place and name of the phrases to exchange. Each window of a document has one that all its copies have."""
-    doc = np.repeat(np.arange(len(counts)), counts)
-    span = window - 2 * EDGE - PHRASE
-    if len(words) < window or span < 8:
-        none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64)
-    start, name = symbols(words, doc)
-    value = np.full(len(words), _TOP)
-    value[start] = name
-    least = _slide(value, span, np.minimum)
-    pad = np.zeros(span - 1, np.uint64)
-    chosen = (_slide(np.concatenate([pad, least, pad]), span, np.maximum) == value) & (value != _TOP)
+class Symbols:
+    """The symbols of documents laid end to end: name, first word, number of words and document of each."""
+
+    def __init__(self, words: np.ndarray, doc: np.ndarray):
+        self.name, self.start, self.length, self.of = mix(words + np.uint64(1)), np.arange(len(words)), np.ones(len(words), np.int64), doc
+        self.runs: list[tuple[np.ndarray, ...]] = []  # of long ones: name of what is repeated, first word, words of one, repetitions
+
+    def _keep(self, stay: np.ndarray) -> None:
+        self.name, self.start, self.length, self.of = self.name[stay], self.start[stay], self.length[stay], self.of[stay]
+
+    def round(self, limit: int, runs: bool, salt: int) -> None:
+        """Names runs, then pairs, of symbols of at most `limit` words; a run's symbol is in no pair of the same round."""
+        if len(self.name) < 2:
+            return
+        free = self.length <= limit
+        if runs:
+            same = np.zeros(len(self.name) + 1, bool)  # same[i]: symbol i is like the one before it
+            same[1:-1] = (self.name[1:] == self.name[:-1]) & (self.of[1:] == self.of[:-1]) & free[1:]
+            first = np.flatnonzero(same[1:] & ~same[:-1])
+            if len(first):
+                times = np.flatnonzero(same[:-1] & ~same[1:]) - first + 1
+                long = times >= LONG_RUN
+                self.runs.append((self.name[first[long]], self.start[first[long]], self.length[first[long]], times[long]))
+                self.name[first] = mix(self.name[first] * _ODD + mix(times.astype(np.uint64) + (_RUN << np.uint64(32))))
+                self.length[first] *= times
+                free[first] = False
+                stay = ~same[:-1]
+                free = free[stay]
+                self._keep(stay)
+        side = mix(self.name + np.uint64(salt << 8)) >> np.uint64(63)
+        pair = (side[:-1] == 0) & (side[1:] == 1) & free[:-1] & free[1:] & (self.of[:-1] == self.of[1:])
+        first = np.flatnonzero(pair)
+        self.name[first] = mix(self.name[first] * _ODD + mix(self.name[first + 1] + _PAIR))
+        self.length[first] += self.length[first + 1]
+        stay = np.ones(len(self.name), bool)
+        stay[first + 1] = False
+        self._keep(stay)
+
+
+def recompress(words: np.ndarray, doc: np.ndarray, rounds: list[tuple[int, bool]]) -> Symbols:
+    out = Symbols(words, doc)
+    for i, (limit, runs) in enumerate(rounds):
+        out.round(limit, runs, i + 1)
+    return out
+
+
+def names_to_exchange(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, name, and the first and last start of the windows that hold it, of each symbol that is exchanged.
+
+    Of equal windows of two documents at least one has a name that the other has, with both windows between first and last.
+    """
+    doc, half = np.repeat(np.arange(len(counts)), counts), window // 2
+    made = recompress(words, doc, rounds_for(window))
     ends = np.cumsum(counts)
-    at = np.flatnonzero(chosen)
-    at = at[(at + PHRASE <= ends[doc[at]]) & (counts[doc[at]] >= window)]
-    return doc[at], at - (ends - counts)[doc[at]], window_hashes(words, PHRASE)[at]
+    begin, end = ends - counts, ends
+    inside = made.start + half <= end[made.of]
+    at, of = made.start[inside], made.of[inside]
+    name = mix(made.name[inside] * _ODD + window_hashes(words, half)[at] + _PHRASE)
+    parts = [(of, name, at + half - window, at)]
+    for base, start, size, times in made.runs:
+        of = doc[start]
+        parts.append((of, mix(base * _ODD + _PART_OF_RUN), start + LONG_RUN * size - window, start + (times - LONG_RUN) * size))
+    of, name, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
+    first, last = np.maximum(first, begin[of]), np.minimum(last, end[of] - window)
+    able = first <= last
+    order = np.argsort(of[able], kind="stable")
+    of, name, first, last = (c[able][order] for c in (of, name, first, last))
+    return of, name, first - begin[of], last - begin[of]
 
 
 def _words(texts: pa.Array) -> list[list[bytes]]:
@@ -110,54 +144,78 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, pa.Array]]:
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for part in balanced(lengths, 4 << 20):
+        yield part, batch.column(column).slice(part.start, part.stop - part.start)
+
+
+def _lists(of: np.ndarray, n: int, *columns: np.ndarray) -> list[pa.ListArray]:
+    """One list for each of n documents; `of` is sorted."""
+    offsets = pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
+
+
 def _parse(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for part in balanced(lengths, 4 << 20):
-                n = part.stop - part.start
-                texts = batch.column(1).slice(part.start, n)
-                hashes, counts = word_hashes(texts, lower=False)
-                ends = np.cumsum(counts)
-                prints = np.zeros((n, 2), np.uint64)
-                up, _ = _powers(int(counts.max(initial=0)))
-                for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
-                    prints[i] = (hashes[a:b] * up[: b - a]).sum(dtype=np.uint64), (mix(hashes[a:b]) * up[: b - a]).sum(dtype=np.uint64)
-                doc, place, name = phrases(hashes, counts, window)
-                offsets = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
-                f = prints.view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, n), pa.array(counts), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array([_sha(w) for w in _words(texts)]),
-                     pa.ListArray.from_arrays(offsets, pa.array(name.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32)))],
-                    names=["doc_id", "n_words", "f1", "f2", "sha", "names", "places"],
-                )
+            for part, texts in _parts(batch, 1):
+                n = len(texts)
+                (hashes, _), counts = wide_word_hashes(texts)
+                of, name, first, last = names_to_exchange(hashes, counts, window)
+                lists = _lists(of, n, name.view(np.int64), first.astype(np.int32), last.astype(np.int32))
+                columns = [batch.column(k).slice(part.start, n) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array([_sha(w) for w in _words(texts)]), *lists], names=["doc_id", "digest", "n_words", "sha", "names", "firsts", "lasts"])
 
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by name those whose name two different rows have; holds a batch, and of a name only what one row has."""
+    held, known = None, None
+
+    def table(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "first", "last"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(4)]
+        if held is not None:
+            columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+        name, row = columns[0], columns[1]
+        begins = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        shared = np.minimum.reduceat(row, begins) != np.maximum.reduceat(row, begins)
+        shared[0] |= known is not None and name[0] == known
+        known = name[-1] if shared[-1] else None
+        held = None if shared[-1] else [c[begins[-1] :].copy() for c in columns]
+        kept = np.repeat(shared, np.diff(np.append(begins, len(name))))
+        if kept.any():
+            yield table([c[kept] for c in columns[1:]])
+
+
 def _windows(window: int):
-    """Windows that hold a shared phrase at least EDGE words from either end."""
+    """Starts and digests of the windows between any first and last of the row's shared names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for part in balanced(lengths, 4 << 20):
-                n = part.stop - part.start
-                texts = batch.column(1).slice(part.start, n)
-                hashes, counts = word_hashes(texts, lower=False)
+            for part, texts in _parts(batch, 1):
+                n = len(texts)
+                lanes, counts = wide_word_hashes(texts)
                 ends = np.cumsum(counts)
-                starts, keys = [], []
-                for places, a, b in zip(batch.column(2).slice(part.start, n).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
-                    last = b - a - window
-                    p = np.array(places, np.int64)
-                    mark = np.zeros(max(last, 0) + 2, np.int64)
-                    np.add.at(mark, np.clip(p - (window - EDGE - PHRASE), 0, last + 1), 1)
-                    np.add.at(mark, np.clip(p - EDGE + 1, 0, last + 1), -1)
-                    at = np.flatnonzero(np.cumsum(mark)[: last + 1] > 0)
-                    starts.append(at.astype(np.int32))
-                    keys.append(window_hashes(hashes[a:b], window)[at].view(np.int64))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in starts])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), texts, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(starts))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))], names=["doc_id", "text", "starts", "keys"])
+                begin, most = ends - counts, int(ends[-1])
+                spans = batch.column(2).slice(part.start, n)
+                flat, sizes = spans.flatten(), np.diff(spans.offsets.to_numpy())
+                base = np.repeat(begin, sizes)
+                mark = np.zeros(most + 2, np.int64)
+                np.add.at(mark, base + flat.field("first").to_numpy(), 1)
+                np.add.at(mark, base + flat.field("last").to_numpy() + 1, -1)
+                at = np.flatnonzero(np.cumsum(mark)[:most] > 0)
+                of = np.repeat(np.arange(n), counts)[at]
+                keys = [window_hashes(x, window)[at].view(np.int64) for x in lanes]
+                lists = _lists(of, n, (at - begin[of]).astype(np.int32), *keys)
+                columns = [batch.column(k).slice(part.start, n) for k in (3, 0, 4)]
+                yield pa.RecordBatch.from_arrays([*columns, texts, *lists], names=["row", "doc_id", "digest", "text", "starts", "low", "high"])
 
     return run
 
@@ -166,58 +224,69 @@ def _cut(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, shas, kept = [], [], []
-            for words, starts in zip(_words(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for words, starts in zip(_words(batch.column(2)), batch.column(3), strict=True):
+                at = starts.values.to_numpy()
                 mark = np.zeros(len(words) + 1, np.int64)
-                np.add.at(mark, np.array(starts, np.int64), 1)
-                np.add.at(mark, np.array(starts, np.int64) + window, -1)
-                stay = np.cumsum(mark)[:-1] == 0
-                left = [words[i] for i in np.flatnonzero(stay).tolist()]
+                np.add.at(mark, at, 1)
+                np.add.at(mark, at + window, -1)
+                left = [words[i] for i in np.flatnonzero(np.cumsum(mark)[:-1] == 0).tolist()]
                 removed.append(len(words) - len(left))
                 shas.append(_sha(left))
                 kept.append(b" ".join(left).decode())
-            columns = [batch.column(0), pa.array(removed, pa.int64()), pa.array(shas)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string())] if with_text else columns, names=["doc_id", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
+            columns = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string())] if with_text else columns, names=["doc_id", "digest", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text of every row.
+def _hot_names(named: DataFrame) -> DataFrame:
+    """At most MOST_HOT names, each seen in two rows and LEAST_HOT times among one row in SAMPLE: their rows need not meet."""
+    seen = named.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).groupBy("name").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"))
+    hot = [(r["name"],) for r in seen.filter((F.col("n") >= LEAST_HOT) & (F.col("a") != F.col("b"))).orderBy(F.desc("n"), "name").select("name").limit(MOST_HOT).collect()]
+    return named.sparkSession.createDataFrame(hot, "name long")
 
-    A word is removed when a window of `window` words that covers it also starts in a document with a smaller doc_id.
-    kept_text is the kept words joined by spaces where words were removed, else null: the text stays as it is. Null and
-    empty texts have no words. doc_id must be unique; a row with a null one keeps all its words and removes none from
-    others. Windows are compared by 64-bit hash. No rows: no rows.
+
+def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest (SHA-256 of the text), n_words, n_removed, kept_sha256 and, with_text, kept_text of every row.
+
+    A word is removed when a window of `window` words that covers it also starts in a row with a smaller doc_id. Rows with
+    equal doc_id are judged each by its own text, and remove nothing from each other. kept_text is the kept words joined by
+    spaces where words were removed, else null: the text stays as it is. Null and empty texts have no words, and a text
+    shorter than a window keeps all. A row with a null doc_id keeps all its words and removes none from others. Texts of any
+    length are read whole. Other columns are dropped. Windows are compared by 128-bit digests of their words, whole texts
+    by SHA-256. No rows: no rows.
     """
-    if window < 2 * EDGE + PHRASE + 8:
-        raise ValueError(f"windows of fewer than {2 * EDGE + PHRASE + 8} words hold no phrase for certain")
-    rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text")
-    parsed = materialize(rows.mapInArrow(tidy(_parse(window)), "doc_id long, n_words long, f1 long, f2 long, sha string, names array<long>, places array<int>"), "phrases")
+    if len(rounds_for(window)) < 2:
+        raise ValueError(f"windows of {window} words are too short for two rounds")
+    rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    kind = "doc_id long, digest string, n_words long, sha string, names array<long>, firsts array<int>, lasts array<int>"
+    parsed = materialize(rows.mapInArrow(tidy(_parse(window)), kind).withColumn("row", F.monotonically_increasing_id()), "symbols")
 
-    whole = ["n_words", "f1", "f2"]
     able = parsed.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
-    first = able.groupBy(*whole).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = able.select("doc_id", *whole, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, [*whole, "salt"]).filter("doc_id != first").select("doc_id", F.lit(True).alias("copy"))
+    first = able.groupBy("n_words", "sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")).filter("first != other").drop("other")
+    salted = materialize(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "repeated-texts")
+    copies = able.select("row", "doc_id", "n_words", "sha", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["n_words", "sha", "salt"]).filter("doc_id != first").select("row")
     copies = materialize(copies, "whole-copies")
 
-    named = able.join(copies, "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("names", "places")).alias("p")).select("doc_id", F.col("p.names").alias("name"), F.col("p.places").alias("place"))
-    shared = named.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("name")
-    shared = materialize(shared, "shared-phrases")  # then both sides of the join are exchanges, and Spark splits a hot name
-    places = named.join(shared, "name").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    built = rows.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(tidy(_windows(window)), "doc_id long, text string, starts array<int>, keys array<long>")
-    built = materialize(built, "windows")
-
-    each = built.select("doc_id", F.explode(F.arrays_zip("starts", "keys")).alias("w")).select("doc_id", F.col("w.starts").alias("start"), F.col("w.keys").alias("key"))
-    earliest = each.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("key", "a")
-    earliest = materialize(earliest, "shared-windows")
-    gone = each.join(earliest, "key").filter("a < doc_id").groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    kind = "doc_id long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    cut = built.select("doc_id", "text").join(gone, "doc_id").select("doc_id", "text", "starts").mapInArrow(tidy(_cut(window, with_text)), kind)
-
-    out = parsed.select("doc_id", "n_words", "sha").join(copies, "doc_id", "left").join(cut, "doc_id", "left")
+    named = able.join(copies, "row", "left_anti").select("row", F.explode(F.arrays_zip("names", "firsts", "lasts")).alias("p")).select(F.col("p.names").alias("name"), "row", F.col("p.firsts").alias("first"), F.col("p.lasts").alias("last"))
+    hot = F.broadcast(_hot_names(named))
+    met = named.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name").mapInArrow(tidy(_met), "row long, first int, last int")
+    spans = met.unionByName(named.join(hot, "name").drop("name")).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = spans.join(able.select("row", "doc_id", "digest"), "row").dropDuplicates(["doc_id", "digest"])
+    texts = rows.join(spans, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "spans", "row", "digest")
+    built = materialize(texts.mapInArrow(tidy(_windows(window)), "row long, doc_id long, digest string, text string, starts array<int>, low array<long>, high array<long>"), "windows")
+
+    each = built.select("row", "doc_id", F.explode(F.arrays_zip("starts", "low", "high")).alias("w")).select("row", "doc_id", F.col("w.starts").alias("start"), F.col("w.low").alias("low"), F.col("w.high").alias("high"))
+    earliest = each.groupBy("low", "high").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("low", "high", "a")
+    earliest = materialize(earliest, "shared-windows")  # then both sides of the join are exchanges, and Spark splits a hot window
+    gone = each.join(earliest, ["low", "high"]).filter("a < doc_id").groupBy("row").agg(F.collect_list("start").alias("starts"))
+    kind = "doc_id long, digest string, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    cut = built.select("row", "doc_id", "digest", "text").join(gone, "row").select("doc_id", "digest", "text", "starts").mapInArrow(tidy(_cut(window, with_text)), kind)
+
+    whole = copies.select("row", F.lit(True).alias("copy"))
+    out = parsed.select("row", "doc_id", "digest", "n_words", "sha").join(whole, "row", "left").join(cut, ["doc_id", "digest"], "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long")))
     sha = F.when(F.col("copy"), nothing).otherwise(F.coalesce("kept_sha256", "sha"))
     text = [F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []
-    return out.select("doc_id", "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"), *text)
+    return out.select("doc_id", "digest", "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"), *text)
