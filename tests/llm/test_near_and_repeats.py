@@ -6,11 +6,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD_TEXTS, classes, docs, prose, words
-from tidemark.llm import near_dedup
+from tidemark.llm import near_dedup, substring_dedup
 from tidemark.llm.components import connected_components
 from tidemark.llm.embedding_dedup import close_pairs, embedding_near_duplicates, principal_axes, second_moments
 from tidemark.llm.near_dedup import near_duplicates
-from tidemark.llm.substring_dedup import phrases, repeated_passages, symbols, window_hashes
+from tidemark.llm.substring_dedup import _met, edge_of, names_to_exchange, recompress, repeated_passages, rounds_for, window_hashes
 
 
 def near_copies(base, n, changes, seed=1):
@@ -117,7 +117,8 @@ def brute_vectors(rows, least):
 def test_embedding_links_match_brute_force(spark, monkeypatch):
     from tidemark.llm import embedding_dedup
 
-    monkeypatch.setattr(embedding_dedup, "TILE", 32)
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
     rnd = np.random.default_rng(4)
     centres = rnd.normal(size=(6, 16))
     rows = []
@@ -138,6 +139,26 @@ def test_embedding_links_match_brute_force(spark, monkeypatch):
     assert embedding_near_duplicates(d.limit(0)).count() == 0
 
 
+def test_embedding_rows_with_equal_ids_and_huge_components(spark):
+    rows = [(7, [1.0, 0.0], 0), (7, [1.0, 0.0], 0), (7, [1.0, 0.1], 0), (8, [1e200, 0.0], 0), (9, [1e-200, 1e-203], 0), (3, [0.0, 1.0], 0), (3, [0.0, 1.0], 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n_links", F.lit("clash"))
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_near_duplicates(d).collect())
+    assert got == sorted([(7, 4, 7, True)] * 3 + [(8, 4, 7, False), (9, 4, 7, False)] + [(3, 0, 3, True)] * 2)
+
+
+def test_cells_lose_no_close_vector():
+    from tidemark.llm.embedding_dedup import cells_of, choose_cuts
+
+    x = np.random.default_rng(3).normal(size=(400, 5)) * [0.6, 0.5, 0.3, 0.2, 0.1]
+    quantiles = [np.quantile(x[:, k], [i / 16 for i in range(1, 16)]).tolist() for k in range(5)]
+    cuts = choose_cuts(quantiles, 60, 0.2)
+    assert 60 <= np.prod([len(c) + 1 for c in cuts]) <= 240 and len(cuts[0]) > 2
+    home, row, visits = cells_of(x, cuts, 0.2)
+    met = set(zip(row.tolist(), visits.tolist(), strict=True))
+    near = [(i, j) for i in range(400) for j in range(400) if home[i] < home[j] and np.linalg.norm(x[i] - x[j]) <= 0.2]
+    assert near and all((i, home[j]) in met for i, j in near) and len(met) < 0.3 * 400 * len(set(home.tolist()))
+
+
 def test_leading_dimensions_drop_pairs_early():
     rnd = np.random.default_rng(5)
     x = rnd.normal(size=(200, 64)) * np.linspace(3, 0.1, 64)
@@ -149,31 +170,36 @@ def test_leading_dimensions_drop_pairs_early():
     assert sum(counts) < 0.2 * 200 * 199 / 2
 
 
-def brute_repeats(texts, size=50):
+def brute_repeats(texts, size=50, ids=None):
+    ids = range(len(texts)) if ids is None else ids
     rows, first = [words(t) for t in texts], {}
-    for i, w in enumerate(rows):
+    for i, w in zip(ids, rows, strict=True):
         for a in range(len(w) - size + 1):
-            first.setdefault(tuple(w[a : a + size]), i)
+            k = tuple(w[a : a + size])
+            first[k] = min(first.get(k, i), i)
     out = []
-    for i, w in enumerate(rows):
+    for i, w in zip(ids, rows, strict=True):
         gone = {a + k for a in range(len(w) - size + 1) if first[tuple(w[a : a + size])] < i for k in range(size)}
         out.append([x for k, x in enumerate(w) if k not in gone])
     return rows, out
 
 
-def check_repeats(spark, texts):
-    rows, kept = brute_repeats(texts)
-    d = docs(spark, texts).withColumn("n_words", F.lit(-1)).withColumn("key", F.lit("clash"))
-    got = {r["doc_id"]: r for r in repeated_passages(d).collect()}
-    for i, t in enumerate(texts):
-        r = got[i]
-        assert (r["n_words"], r["n_removed"]) == (len(rows[i]), len(rows[i]) - len(kept[i]))
-        assert r["kept_sha256"] == hashlib.sha256(" ".join(kept[i]).encode()).hexdigest()
-        assert r["kept_text"] == (" ".join(kept[i]) if r["n_removed"] else None)
-    return sum(r["n_removed"] for r in got.values())
+def check_repeats(spark, texts, ids=None):
+    ids = list(range(len(texts))) if ids is None else ids
+    rows, kept = brute_repeats(texts, ids=ids)
+    d = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumn("n_words", F.lit(-1)).withColumn("row", F.lit("clash")).withColumn("digest", F.lit(0))
+    got = sorted((r["doc_id"], r["digest"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"] or "") for r in repeated_passages(d).collect())
+    want = []
+    for i, t, w, k in zip(ids, texts, rows, kept, strict=True):
+        left = " ".join(k)
+        want.append((i, hashlib.sha256((t or "").encode()).hexdigest(), len(w), len(w) - len(k), hashlib.sha256(left.encode()).hexdigest(), left if len(k) < len(w) else ""))
+    assert got == sorted(want)
+    return sum(r[3] for r in got)
 
 
-def test_repeats_match_brute_force(spark):
+def test_repeats_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 2)
+    monkeypatch.setattr(substring_dedup, "LEAST_HOT", 6)
     rnd, shared = random.Random(7), [prose(100 + i, n) for i, n in enumerate((49, 50, 51, 57, 80, 200))]
     texts = []
     for i in range(60):
@@ -183,29 +209,66 @@ def test_repeats_match_brute_force(spark):
     assert check_repeats(spark, texts) > 1000
 
 
+def test_swapped_words_of_a_balanced_sequence_are_no_copy(spark):
+    """Sums of powers cannot tell these two sequences apart."""
+    turns, head = [bin(i).count("1") % 2 for i in range(1024)], prose(5, 20)
+    one, two = (head + " " + " ".join("xy"[b ^ t] for b in turns) for t in (0, 1))
+    assert check_repeats(spark, [one, two]) == 1024
+
+
+def test_repeats_of_rows_with_equal_ids(spark):
+    a, b, c = (prose(i, 70) for i in (1, 2, 3))
+    assert check_repeats(spark, [a + " " + b, c, a + " " + c, c + " " + b, a + " " + b, b, b], [5, 5, 9, 9, 9, 9, 9]) == 8 * 70
+    assert check_repeats(spark, [a, a, b + " q " + a], [4, 4, 4]) == 0
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    long = prose(11, 120_000)
+    tail = " ".join(long.split()[-60:])
+    assert check_repeats(spark, [long, "new " + tail, "x" * 300_000 + " " + tail]) == 120
+
+
 def test_repeats_of_no_and_null_rows(spark):
     assert repeated_passages(docs(spark, ["a"]).limit(0)).count() == 0
     lost = docs(spark, [prose(1, 60)] * 2).withColumn("doc_id", F.lit(None).cast("long"))
     assert [r["n_removed"] for r in repeated_passages(lost).collect()] == [0, 0]
 
 
-def test_equal_windows_hold_equal_phrases():
+def test_equal_windows_have_a_name_in_common():
     rnd = np.random.default_rng(6)
-    for trial in range(300):
-        kinds = [3, 50, 10_000][trial % 3]
+    assert 2 * edge_of(rounds_for(50)) < 50 and edge_of(rounds_for(50)) == 21
+    for trial in range(900):
+        kinds = [2, 3, 50, 10_000][trial % 4]
         passage = rnd.integers(1, kinds, 50).astype(np.uint64)
+        if trial % 3 == 0:  # runs at either end and inside
+            passage = np.repeat(passage, rnd.integers(1, 12, 50))[:50]
+        if trial % 7 == 0:
+            passage = np.tile(passage[: rnd.integers(1, 9)], 50)[:50]
         found = []
         for _ in range(2):
             a, b = (rnd.integers(1, kinds, rnd.integers(0, 40)).astype(np.uint64) for _ in range(2))
+            if trial % 2:
+                a, b = np.repeat(passage[:1], len(a)), np.repeat(passage[-1:], len(b))
             w = np.concatenate([a, passage, b])
-            doc, place, name = phrases(w, np.array([len(w)]), 50)
-            at = place - len(a)
-            found.append({(int(p), int(h)) for p, h in zip(at, name, strict=True) if 8 <= p <= 50 - 16})
+            _, name, first, last = names_to_exchange(w, np.array([len(w)]), 50)
+            found.append({int(n) for n, x, y in zip(name, first, last, strict=True) if x <= len(a) <= y})
         assert found[0] & found[1]
 
 
 def test_symbols_cover_the_words_once():
-    w = np.random.default_rng(8).integers(0, 5, 500).astype(np.uint64)
-    start, name = symbols(w, np.zeros(500, np.int64))
-    assert start[0] == 0 and (np.diff(start) > 0).all() and len(name) == len(start) < 500 and np.diff(np.append(start, 500)).max() <= 8
-    assert len(window_hashes(w, 50)) == 451 and len(window_hashes(w[:10], 50)) == 0
+    w = np.concatenate([np.random.default_rng(8).integers(0, 5, 500), np.full(90, 7)]).astype(np.uint64)
+    made = recompress(w, np.zeros(590, np.int64), rounds_for(50))
+    assert (np.cumsum(made.length) - made.length == made.start).all() and made.length.sum() == 590 and made.length.max() >= 90 and len(made.start) < 250
+    assert len(window_hashes(w, 50)) == 541 and len(window_hashes(w[:10], 50)) == 0
+    same = window_hashes(np.tile(w[:70], 2), 50)
+    assert (same[:21] == same[70:]).all() and len(np.unique(same[:70])) == 70
+
+
+def test_names_of_two_rows_meet_across_batches():
+    rnd = random.Random(4)
+    rows = sorted((rnd.choice([1, 2, 3, 5, 8, rnd.randint(10, 400)]), rnd.randint(0, 3), i, i) for i in range(300))
+    for size in (1, 2, 7, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a : a + size]], pa.int64()) for k in range(4)], names=["name", "row", "first", "last"]) for a in range(0, 300, size)]
+        got = sorted(x for b in _met(iter(batches)) for x in b.column(1).to_pylist())
+        both = {r[0] for r in rows if len({q[1] for q in rows if q[0] == r[0]}) > 1}
+        assert got == sorted(r[2] for r in rows if r[0] in both)

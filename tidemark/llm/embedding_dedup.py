@@ -1,11 +1,12 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
-Vectors are normalised, equal ones counted as one, and turned to the axes of a principal component analysis of their
-second moments, largest first; turning changes no cosine. Two unit vectors of cosine c are at most sqrt(2 - 2c) apart, on
-every axis too, so only vectors in the same or neighbouring cells of the first axes can be linked. Cells are dealt to tiles
-of bounded size. Within a pair of tiles the products of leading dimensions are summed first; what the rest can add is
-bounded by the product of the suffix norms, and pairs that cannot reach the threshold any more are dropped before the next
-dimensions. What is left is decided by the cosine of the original vectors.
+Equal vectors count as one. The others are normalised and turned to the axes of a principal component analysis of their
+second moments, largest first; turning changes no cosine. Two unit vectors of cosine c are at most sqrt(2 - 2c) apart. The
+leading axes are cut into cells, as many as the largest label has tiles; a vector lives in its cell and visits only the
+later cells of its label that are not further away than that, over all cut axes together. A cell's vectors are dealt to
+tiles of bounded size, and its visitors to blocks. Within a tile and a block the products of leading dimensions are summed
+first; what the rest can add is bounded by the product of the suffix norms, and pairs that cannot reach the threshold any
+more are dropped before the next dimensions. What is left is decided by the cosine of the original vectors.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
+from tidemark.llm.near_dedup import SALTS
 from tidemark.llm.shared import grouped, keyed, materialize, tidy
 
-#: Axes that cells are cut along, vectors in a tile, and dimensions that are added at once.
-CELL_AXES, TILE, STEP = 2, 1024, 8
+#: Vectors in a tile, visitors in a block, and dimensions that are added at once.
+TILE, BLOCK, STEP = 1024, 8192, 8
+#: At most so many leading axes are cut, into at most so many parts each.
+CUT_AXES, CUT_PARTS = 24, 16
 _SLACK = 1e-9
 
 
@@ -43,8 +47,7 @@ def second_moments(vectors: DataFrame, n: int) -> np.ndarray:
         total = np.zeros((n, n))
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(0))
-                x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+                x = _unit(_matrix(batch.column(0)))
                 total += x.T @ x
         for i in range(n):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i), pa.int32()), pa.array(np.arange(n), pa.int32()), pa.array(total[i])], names=["i", "j", "p"])
@@ -58,7 +61,12 @@ def second_moments(vectors: DataFrame, n: int) -> np.ndarray:
 def _matrix(column: pa.Array) -> np.ndarray:
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    x = flat.reshape(len(column), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])  # times a power of two: squares neither overflow nor vanish
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, least: float, same: bool, counts: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -85,21 +93,22 @@ def close_pairs(a: np.ndarray, b: np.ndarray, least: float, same: bool, counts:
     return i, j
 
 
-def _links(least: float):
+def _links(least: float, axes: np.ndarray):
     out = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("src", pa.int64()), ("dst", pa.int64())])
 
     def work(rows: pa.Table) -> pa.Table | None:
-        """For each vector of the pair of tiles its number of links here, and a spanning forest of the links."""
+        """For each vector of a tile and a block of its visitors its number of links here, and a spanning forest of them."""
         at_home = rows.column("side").to_numpy() == 0
         ids, weight = rows.column("id").to_numpy(), rows.column("weight").to_numpy()
-        x, turned = _matrix(rows.column("vector")), _matrix(rows.column("turned"))
-        first, second = np.flatnonzero(at_home), np.flatnonzero(~at_home)
-        same = rows.column("alike")[0].as_py()
-        if same:
-            second = first
-        i, j = close_pairs(turned[first], turned[second], least, same)
-        i, j = first[i], second[j]
+        x = _matrix(rows.column("vector"))
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        turned = (x / norm[:, None]) @ axes
+        home, away = np.flatnonzero(at_home), np.flatnonzero(~at_home)
+        found = [(home, *close_pairs(turned[home], turned[home], least, True))] if rows.column("first_block")[0].as_py() else []
+        for start in range(0, len(away), TILE):
+            part = away[start : start + TILE]
+            found.append((part, *close_pairs(turned[home], turned[part], least, False)))
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([home[i] for _, i, _ in found], [other[j] for other, _, j in found]))
         good = np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j]) >= least
         i, j = i[good], j[good]
         if not len(i):
@@ -116,20 +125,65 @@ def _links(least: float):
         joined = [pa.array(nulls, pa.int64()), pa.array(nulls, pa.int64()), pa.array([p for p, _ in forest], pa.int64()), pa.array([q for _, q in forest], pa.int64())]
         return pa.table([pa.concat_arrays([a, b]) for a, b in zip(counted, joined, strict=True)], schema=out)
 
-    return lambda batches: grouped(batches, ["tiles", "pair"], work, out)
+    return lambda batches: grouped(batches, ["label", "cell", "tile", "block"], work, out)
+
+
+def choose_cuts(quantiles: list[list[float]], cells: float, reach: float) -> list[list[float]]:
+    """Cuts of each leading axis, from its quantiles (CUT_PARTS - 1 of them), until there are `cells` cells: as many parts,
+    a power of two, as leave half a reach between cuts, and two at least."""
+    out: list[list[float]] = []
+    left = math.log2(max(1.0, cells))
+    for q in quantiles:
+        if left <= 0:
+            break
+        parts = CUT_PARTS
+        while parts > 2 and (math.log2(parts) > left + 1 or min(np.diff(q[CUT_PARTS // parts - 1 :: CUT_PARTS // parts])) < reach / 2):
+            parts //= 2
+        out.append(sorted(set(q[CUT_PARTS // parts - 1 :: CUT_PARTS // parts])))
+        left -= math.log2(len(out[-1]) + 1)
+    return out
+
+
+def cells_of(lead: np.ndarray, cuts: list[list[float]], reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cell of each row of leading coordinates, and as (row, cell) the later cells that are at most `reach` away."""
+    home = np.zeros(len(lead), np.int64)
+    row, code, gone = np.arange(len(lead)), np.zeros(len(lead), np.int64), np.zeros(len(lead))
+    for k, c in enumerate(cuts):
+        edges = np.concatenate([[-np.inf], c, [np.inf]])
+        x = lead[:, k]
+        home = home * (len(c) + 1) + np.searchsorted(c, x, side="right")
+        made = []
+        for part in range(len(c) + 1):
+            away = np.maximum(0.0, np.maximum(edges[part] - x, x - edges[part + 1]))[row]
+            far = gone + away * away
+            near = far <= reach * reach
+            made.append((row[near], code[near] * (len(c) + 1) + part, far[near]))
+        row, code, gone = (np.concatenate(x) for x in zip(*made, strict=True))
+    later = code > home[row]
+    return home, row[later], code[later]
+
+
+def _leading(axes: np.ndarray):
+    """The leading coordinates of each vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lead = _unit(_matrix(batch.column(0))) @ axes[:, :CUT_AXES]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in lead.T], names=[f"t{k}" for k in range(lead.shape[1])])
+
+    return run
 
 
-def _turn(axes: np.ndarray, width: float):
+def _place(axes: np.ndarray, cuts: list[list[float]], reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1))
-            turned = (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]) @ axes
-            cell = np.floor(turned[:, :CELL_AXES] / width).astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(turned.ravel()))
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * cell.shape[1], pa.int32()), pa.array(cell.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, cells], names=["id", "vector", "label", "weight", "turned", "cell"])
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                home, row, visits = cells_of(_unit(_matrix(part.column(1))) @ axes[:, : len(cuts)], cuts, reach)
+                order = np.argsort(row, kind="stable")
+                offsets = pa.array(np.searchsorted(row[order], np.arange(part.num_rows + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home), pa.ListArray.from_arrays(offsets, pa.array(visits[order]))], names=["id", "vector", "label", "weight", "cell", "visits"])
 
     return run
 
@@ -139,65 +193,64 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: s
     reach) and kept (it is that one) of every row.
 
     Vectors that are null, zero, or hold a null or non-finite component, and those with a null label or vec_id, have no
-    link. Vectors of different lengths are not compared. vec_id must be unique. No rows: no rows.
+    link. Vectors of different lengths are not compared. Every row is a vector of its own: rows that repeat a vec_id, or a
+    whole row, count among each other's links. Other columns are dropped. No rows: no rows.
     """
     spark = vectors.sparkSession
-    rows = keyed(vectors, {"vec_id": id_col, "vector": vector_col, "label": label_col}).select(F.col("vec_id").cast("long"), F.col("vector").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
+    number = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"
+    rows = keyed(vectors, {"vec_id": id_col, "vector": vector_col, "label": label_col}).select(F.col("vec_id").cast("long"), F.col("vector").cast(f"array<{number}>").alias("vector"), F.col("label").cast("string").alias("label"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    norm = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x)
-    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))  # no negative zeros: equal vectors, equal hashes
-    good = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & finite).filter((norm > 0) & (norm < F.lit(math.inf)))
+    able = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0)
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast(number)))  # no negative zeros: equal vectors, equal hashes
+    good = rows.filter(able)
     whole = good.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    whole = materialize(whole, "vectors")
-    parts = []
-    for (n,) in whole.select(F.size("vector").alias("n")).distinct().orderBy("n").collect():  # lengths: one in any real table
-        own = whole.filter(F.size("vector") == n)
-        axes = axes_of(second_moments(own.select("vector"), n))
-        width = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
-        turned = own.select(F.col("rep").alias("id"), "vector", "label", "weight").mapInArrow(tidy(_turn(axes, width)), "id long, vector array<double>, label string, weight long, turned array<double>, cell array<long>")
-        parts.append(materialize(turned, "turned"))
+    whole = materialize(whole.withColumn("id", F.monotonically_increasing_id()), "vectors")
     links = None
-    for part in parts:
-        made = _compare(part, least)
+    for (n,) in whole.select(F.size("vector").alias("n")).distinct().orderBy("n").collect():  # lengths: one in any real table
+        made = _compare(whole.filter(F.size("vector") == n), n, number, least)
         links = made if links is None else links.unionByName(made)
     if links is None:
         links = spark.createDataFrame([], "id long, n long, src long, dst long")
     links = materialize(links, "tile-links")
     counts = links.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
     classes = connected_components(links.filter("src is not null").select("src", "dst"), "vector-classes")
-    per_rep = whole.select("label", "vector", "rep", "weight").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    per_rep = per_rep.filter("weight > 1 or n is not null").select(F.xxhash64("label", "vector").alias("h"), F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    salts = 16
-    per_rep = per_rep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    of = good.select("vec_id", F.xxhash64("label", "vector").alias("h"), F.col("label").alias("gl"), F.col("vector").alias("gv"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"))
-    of = of.join(per_rep, ["h", "salt"]).filter((F.col("gl") == F.col("l")) & (F.col("gv") == F.col("v"))).select("vec_id", "n_links", "component")
-    out = rows.select("vec_id").join(of, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
+    reps = whole.select("id", "rep")
+    least_of = classes.join(reps, "id").groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = classes.join(least_of, "component").select("id", "component_id")
+    per = whole.select("id", "label", "vector", "rep", "weight").join(counts, "id", "left").join(classes, "id", "left").filter("weight > 1 or n is not null")
+    per = per.select(F.xxhash64("label", "vector").alias("h"), F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    of = rows.withColumn("g", F.when(able, F.xxhash64("label", "vector"))).withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
+    out = of.join(per, (F.col("g") == F.col("h")) & (F.col("s") == F.col("salt")) & (of["label"] == F.col("l")) & (of["vector"] == F.col("v")), "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _compare(turned: DataFrame, least: float) -> DataFrame:
-    """Pairs of tiles: a cell with itself, and with the half of its neighbours that come later."""
-    offsets = [()]
-    for _ in range(CELL_AXES):
-        offsets = [(*o, d) for o in offsets for d in (-1, 0, 1)]
-    later = [o for o in offsets if o > (0,) * CELL_AXES]
-    coordinates = [F.col("cell")[k] for k in range(CELL_AXES)]
-    cell = lambda o: F.struct(*[(c + d).alias(f"c{k}") for k, (c, d) in enumerate(zip(coordinates, o, strict=True))])
-    rows = turned.withColumn("home", cell((0,) * CELL_AXES))
-    sizes = materialize(rows.groupBy("label", "home").agg(F.ceil(F.count("*") / TILE).alias("tiles_of")), "cells")
-    rows = rows.join(sizes, ["label", "home"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles_of")).cast("int"))
-    base = ["id", "vector", "turned", "weight", "label"]
-    # With itself: the row stands at home in its own tile's pairs, and on the other side for earlier tiles.
-    own = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles_of").cast("int") - 1)))
-    own = own.select(*base, F.col("home").alias("a"), F.col("home").alias("b"), F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).alias("alike"))
-    # With a later neighbour: both sides know how many tiles the other has.
-    there = sizes.select("label", F.col("home").alias("near"), F.col("tiles_of").alias("tiles_near"))
-    ahead = rows.withColumn("near", F.explode(F.array(*[cell(o) for o in later]))).join(there, ["label", "near"])
-    ahead = ahead.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles_near").cast("int") - 1))).select(*base, F.col("home").alias("a"), F.col("near").alias("b"), F.col("tile").alias("ta"), F.col("other").alias("tb"), F.lit(0).alias("side"), F.lit(False).alias("alike"))
-    behind = rows.withColumn("near", F.explode(F.array(*[cell(tuple(-d for d in o)) for o in later]))).join(there, ["label", "near"])
-    behind = behind.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles_near").cast("int") - 1))).select(*base, F.col("near").alias("a"), F.col("home").alias("b"), F.col("other").alias("ta"), F.col("tile").alias("tb"), F.lit(1).alias("side"), F.lit(False).alias("alike"))
-    pairs = own.unionByName(ahead).unionByName(behind)
-    pairs = pairs.withColumn("tiles", F.concat_ws("|", "label", F.to_json("a"), F.to_json("b"))).withColumn("pair", F.concat_ws("|", "ta", "tb"))
-    pairs = pairs.repartition("tiles", "pair").sortWithinPartitions("tiles", "pair", "side", "id")
-    return pairs.select("tiles", "pair", "side", "alike", "id", "weight", "vector", "turned").mapInArrow(tidy(_links(least)), "id long, n long, src long, dst long")
+def _compare(own: DataFrame, n: int, number: str, least: float) -> DataFrame:
+    """id and n links, or src and dst, from every tile and each block of its visitors."""
+    axes = axes_of(second_moments(own.select("vector"), n))
+    reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+    lead = min(n, CUT_AXES)
+    most = own.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    cuts: list[list[float]] = []
+    if most > TILE:
+        marks = [i / CUT_PARTS for i in range(1, CUT_PARTS)]
+        spread = own.select("vector").mapInArrow(tidy(_leading(axes)), ", ".join(f"t{k} double" for k in range(lead)))
+        cuts = choose_cuts(list(spread.agg(*[F.percentile_approx(f"t{k}", marks, 1000) for k in range(lead)]).first()), most / TILE, reach)
+    placed = own.select("id", "vector", "label", "weight").mapInArrow(tidy(_place(axes, cuts, reach)), f"id long, vector array<{number}>, label string, weight long, cell long, visits array<long>")
+    placed = materialize(placed, "cells")
+    homes = placed.groupBy("label", "cell").agg(F.count("*").alias("n_home"))
+    visits = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("n_away"))
+    tiles, blocks = F.ceil(F.col("n_home") / TILE).cast("int"), F.ceil((F.coalesce("n_away", F.lit(0)) + F.col("n_home")) / BLOCK).cast("int")
+    sizes = materialize(homes.join(visits, ["label", "cell"], "left").select("label", "cell", tiles.alias("tiles"), blocks.alias("blocks")), "cell-sizes")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    tile, block = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"), F.pmod(F.xxhash64("id", "label"), F.col("blocks")).cast("int")
+    home = placed.drop("visits").join(sizes, ["label", "cell"]).withColumn("tile", tile)
+    columns = ["label", "cell", "tile", "block", "side", "first_block", "id", "weight", "vector"]
+    at_home = home.withColumn("block", every(F.col("blocks"))).withColumn("side", F.lit(0)).withColumn("first_block", F.col("block") == 0)
+    # Vectors of a tile visit the later tiles of their own cell, and all tiles of the later cells that they can reach.
+    beside = home.filter(F.col("tile") + 1 < F.col("tiles")).withColumn("tile", F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)))
+    away = placed.drop("cell").withColumn("cell", F.explode("visits")).drop("visits").join(sizes, ["label", "cell"]).withColumn("tile", every(F.col("tiles")))
+    guests = beside.unionByName(away).withColumn("block", block).withColumn("side", F.lit(1)).withColumn("first_block", F.col("block") == 0)
+    pairs = at_home.select(*columns).unionByName(guests.select(*columns))
+    group = ["label", "cell", "tile", "block"]
+    return pairs.repartition(*group).sortWithinPartitions(*group, "side", "id").mapInArrow(tidy(_links(least, axes)), "id long, n long, src long, dst long")
