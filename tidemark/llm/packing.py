@@ -5,7 +5,8 @@ length occurs is one small histogram (fewer rows than the window is long), whate
 bitset subset-sum dynamic programme takes the longest rest that is left and finds the multiset of remaining lengths that
 fills the window closest to its capacity, walks back to count each length's uses, and applies that pattern as often as
 the counts allow. The rests themselves stay distributed: each has a rank within its length, and the rank alone says which
-pattern, which repetition and which offset it has.
+pattern, which repetition and which offset it has. Ranks come from narrow rows, numbered within the parts that the tasks
+wrote, so there are as many parts as the corpus asks for; the ids join their places last.
 """
 
 from __future__ import annotations
@@ -23,10 +24,6 @@ from tidemark.llm.byte_encoder import encoder
 from tidemark.llm.shared import keyed, materialize, tidy
 from tidemark.llm.token_counts import byte_balanced
 
-#: Ranks are dealt in so many parts, so that a length or key that most documents share is no one task's work.
-PARTS = 256
-
-
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """How often to use each length so that the sum is the largest at most `capacity`; no length more often than it occurs."""
     reach, steps = 1, []
@@ -134,50 +131,43 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     """One row for each piece: doc_id, start, length, ids (or, without with_ids, only ids_crc32), doc_tokens, sequence_id, offset.
 
     Sequences hold at most `capacity` ids; their pieces lie one after another from offset 0. A null text is an empty one
-    and gives the closing id alone. Repeated rows are documents of their own. No rows: no rows. Other columns are dropped.
+    and gives the closing id alone. Texts of any length are cut into as many pieces as they need. Repeated rows are
+    documents of their own; of rests of one length those of lower rows come first. No rows: no rows. Other columns are
+    dropped.
     """
     spark = docs.sparkSession
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text")
     kind = "array<binary>" if with_ids else "array<bigint>"
     cut = rows.mapInArrow(tidy(_pieces(tokenizer_path, capacity, end_id, with_ids)), f"doc_id long, doc_tokens long, payload {kind}")
     base = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "row"), F.lit(PARTS)).cast("int")
-    base = base.withColumn("part", part).withColumn("n_full", F.expr(f"doc_tokens div {capacity}")).withColumn("rest", (F.col("doc_tokens") % capacity).cast("int"))
-
-    counted = base.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum("n_full").alias("n_full"))
-    counted = counted.collect()  # at most PARTS * capacity rows
-    counts: dict[int, int] = {}
-    first, full_of = [], dict.fromkeys(range(PARTS), 0)
-    for r in sorted(counted, key=lambda r: (r["part"], r["rest"])):
-        first.append((r["part"], r["rest"], counts.get(r["rest"], 0)))
-        counts[r["rest"]] = counts.get(r["rest"], 0) + r["n"]
-        full_of[r["part"]] += r["n_full"]
+    narrow = base.select("row", F.shiftright("row", 33).alias("part"), F.expr(f"doc_tokens div {capacity}").alias("n_full"), (F.col("doc_tokens") % capacity).cast("int").alias("rest"))
+
+    counted = materialize(narrow.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum("n_full").alias("n_full")), "rest-counts")
+    counts = {r["rest"]: r["n"] for r in counted.groupBy("rest").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     counts.pop(0, None)
-    table, sequences = layout(counts, capacity)
-    at, first_full = sequences, []
-    for p in range(PARTS):
-        first_full.append((p, at))
-        at += full_of[p]
-    ranks = F.broadcast(spark.createDataFrame(first, "part int, rest int, first_of_part long"))
-    fulls = F.broadcast(spark.createDataFrame(first_full, "part int, first_full long"))
-    places = F.broadcast(spark.createDataFrame(table, "rest int, first_rank long, n_ranks long, uses long, first_sequence long, base long"))
-
-    in_part = Window.partitionBy("part").orderBy("row")
-    in_rest = Window.partitionBy("part", "rest").orderBy("row")
-    dealt = base.withColumn("before", F.sum("n_full").over(in_part) - F.col("n_full")).withColumn("nth", F.row_number().over(in_rest).cast("long") - 1)
-    full = (
-        dealt.filter("n_full > 0").join(fulls, "part")
-        .select("doc_id", "doc_tokens", F.posexplode(F.expr("slice(payload, 1, cast(n_full as int))")).alias("k", "payload"), (F.col("first_full") + F.col("before")).alias("s"))
-        .select("doc_id", (F.col("k") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("length"), "payload", "doc_tokens", (F.col("s") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    )
-    rank = F.col("first_of_part") + F.col("nth")
-    rest = dealt.filter("rest > 0").join(ranks, ["part", "rest"]).select("doc_id", "doc_tokens", "rest", "n_full", F.element_at("payload", -1).alias("payload"), rank.alias("rank"))
-    rest = (
-        rest.join(places, (rest["rest"] == places["rest"]) & (rest["rank"] >= places["first_rank"]) & (rest["rank"] < places["first_rank"] + places["n_ranks"]))
-        .select("doc_id", (F.col("n_full") * capacity).alias("start"), rest["rest"].cast("long").alias("length"), "payload", "doc_tokens",
-                (F.col("first_sequence") + F.expr("(rank - first_rank) div uses")).alias("sequence_id"), (F.col("base") + F.expr("(rank - first_rank) % uses") * rest["rest"]).alias("offset"))
+    table, sequences = layout(counts, capacity)  # a pattern uses up a length at least, and has fewer lengths than sqrt(2 * capacity)
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    first_rank = F.coalesce(F.sum("n").over(so_far(Window.partitionBy("rest").orderBy("part"))), F.lit(0))
+    first_full = F.coalesce(F.sum("n_full").over(so_far(Window.partitionBy(F.lit(0)).orderBy("part"))), F.lit(0)) + sequences  # a row for each part
+    ranks = counted.filter("rest > 0").select("part", "rest", first_rank.alias("first_of_part"))
+    fulls = counted.groupBy("part").agg(F.sum("n_full").alias("n_full")).select("part", first_full.alias("first_full"))
+    places = F.broadcast(spark.createDataFrame(table, "of int, first_rank long, n_ranks long, uses long, first_sequence long, base long"))
+
+    before = F.sum("n_full").over(so_far(Window.partitionBy("part").orderBy("row")))
+    full = narrow.filter("n_full > 0").withColumn("before", F.coalesce(before, F.lit(0))).join(fulls, "part").select("row", (F.col("first_full") + F.col("before")).alias("full_at"))
+    nth = F.row_number().over(Window.partitionBy("part", "rest").orderBy("row")) - 1
+    rest = narrow.filter("rest > 0").withColumn("nth", nth).join(ranks, ["part", "rest"]).select("row", "rest", (F.col("first_of_part") + F.col("nth")).alias("rank"))
+    rest = rest.join(places, (F.col("rest") == F.col("of")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n_ranks")))
+    rest = rest.select("row", (F.col("first_sequence") + F.expr("(rank - first_rank) div uses")).alias("rest_at"), (F.col("base") + F.expr("(rank - first_rank) % uses") * F.col("rest")).cast("long").alias("rest_offset"))
+
+    whole = F.size("payload") - F.when(F.col("rest_at").isNull(), 0).otherwise(1)
+    placed = base.join(full.join(rest, "row", "full_outer"), "row").withColumn("whole", whole)
+    each = placed.select("doc_id", "doc_tokens", "full_at", "rest_at", "rest_offset", "whole", F.posexplode("payload").alias("k", "payload"))
+    last = F.col("k") == F.col("whole")
+    out = each.select(
+        "doc_id", (F.col("k") * F.lit(capacity)).cast("long").alias("start"), F.when(last, F.col("doc_tokens") % capacity).otherwise(F.lit(capacity)).cast("long").alias("length"), "payload", "doc_tokens",
+        F.when(last, F.col("rest_at")).otherwise(F.col("full_at") + F.col("k")).cast("long").alias("sequence_id"), F.when(last, F.col("rest_offset")).otherwise(F.lit(0)).cast("long").alias("offset"),
     )
-    out = full.unionByName(rest)
     if not with_ids:
         return out.withColumnRenamed("payload", "ids_crc32")
     return out.mapInArrow(tidy(_grow), "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
