@@ -43,6 +43,11 @@ def test_word_counts_are_the_librarys():
     assert counter.count([x.encode() for x in texts]) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
+def test_vocabularies_that_cut_elsewhere_are_not_counted_by_words():
+    with pytest.raises(ValueError, match="white space"):
+        WordCounter(BYTE)
+
+
 def test_slices_end_at_white_space():
     text = b"ab cd\tefg " * 50
     assert b"".join(slices(text, 7)) == text
@@ -133,12 +138,12 @@ def test_layout_uses_every_rest_once():
     assert set(filled) == set(range(n)) and all(v == set(range(len(v))) and len(v) <= 64 for v in filled.values())
 
 
-@pytest.mark.parametrize("with_ids", [True, False])
-def test_pack_holds_every_id_once(spark, with_ids):
-    texts = [t for t in ODD_TEXTS if len(t or "") < 5000] + [prose(i, 40 * i) for i in range(12)]
+@pytest.mark.parametrize(("with_ids", "capacity"), [(True, 128), (False, 128), (True, 1024)])
+def test_pack_holds_every_id_once(spark, with_ids, capacity):
+    texts = ODD_TEXTS + [prose(i, 40 * i) for i in range(12)]
     d = docs(spark, texts).withColumn("length", F.lit("clash")).withColumn("row", F.lit(1))
     t, by, sequences = library(BYTE), defaultdict(list), defaultdict(list)
-    for r in packing.pack(d, BYTE, capacity=128, with_ids=with_ids).collect():
+    for r in packing.pack(d.repartition(5), BYTE, capacity=capacity, with_ids=with_ids).collect():
         by[r["doc_id"]].append(r)
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
     for i, text in enumerate(texts):
@@ -155,7 +160,7 @@ def test_pack_holds_every_id_once(spark, with_ids):
         for offset, length in sorted(pieces):
             assert offset == at
             at += length
-        assert at <= 128
+        assert at <= capacity
     assert sorted(sequences) == list(range(len(sequences)))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.byte_encoder import _bytes_of_characters
 from tidemark.llm.shared import keyed, tidy
-from tidemark.llm.token_counts import balanced
+from tidemark.llm.token_counts import balanced, check_cuts_at_spaces
 
 #: Words, pieces and distinct pairs that a worker remembers, in two generations of this size; longer words are not kept.
 MEMO_WORDS, MEMO_PIECES, MEMO_WORD_BYTES, MEMO_PAIRS = 300_000, 300_000, 64, 3_000_000
@@ -34,7 +34,6 @@ LONG_WORD = 48
 NEVER = np.int64(1) << 40
 #: The pieces that the vocabulary's own splitter makes, here for ASCII text in lower case.
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
-_SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class Memo(dict):
@@ -71,9 +70,7 @@ class SpeculativeBPE:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
         model = spec["model"]
-        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        if not steps or steps[0].get("pattern", {}).get("Regex") != _SPLITTER or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or model.get("continuing_subword_prefix"):
-            raise ValueError(f"{path}: its pieces do not end at white space; words cannot be encoded one by one")
+        check_cuts_at_spaces(path, spec)
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.token = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}

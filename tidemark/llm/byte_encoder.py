@@ -56,8 +56,8 @@ class ByteEncoder:
             return self.slow(text)
         try:
             return self.fast.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
-        except BaseException as e:  # the Rust side panics on some texts with long runs of white space
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":  # the Rust side panics on some texts with long runs of white space
                 raise
             return self.slow(text)
 

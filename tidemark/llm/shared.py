@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.storage import clean_up, drop_path, fresh_path, materialize, materialize_at, shared_folder
+
 #: Words are maximal runs of anything but a space and the characters 9 to 13.
 WORD_SEPARATORS = "[\\x20\\x09-\\x0D]+"
 _ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -20,41 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests) one of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes what materialize() wrote, when no later plan reads it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Deletes all tables that queries of this package have left in the shared folder, when no result reads them any more."""
-    drop_path(spark, f"{shared_folder(spark)}/tidemark")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors, runs df once."""
-    return materialize_at(df, fresh_path(df.sparkSession, tag))
-
-
-def materialize_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def one_text(rows: DataFrame) -> DataFrame:
     """Of the rows (doc_id, text, quality) one for each doc_id: that whose text has the least hash."""
     best = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality"))
@@ -112,6 +77,14 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return outer
 
 
+def held(df: DataFrame) -> dict[str, str]:
+    """A name for each column of df that no operator's own columns have."""
+    return {c: f"_held_{i}" for i, c in enumerate(df.columns)}
+
+
 def keyed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the columns named, renamed: extra columns with clashing names cannot disturb what follows."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+__all__ = ["WORD_SEPARATORS", "ascii_lower", "clean_up", "drop_path", "fresh_path", "grouped", "held", "keyed", "materialize", "materialize_at", "one_text", "shared_folder", "table", "text_bytes", "tidy"]

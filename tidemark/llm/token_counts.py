@@ -8,6 +8,7 @@ slices that end at such a boundary.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -41,6 +42,17 @@ def slices(text: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
         yield text[at:]
 
 
+#: How a vocabulary's own splitter makes pieces, none of which holds white space.
+SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def check_cuts_at_spaces(path: str, spec: dict) -> None:
+    """Raises ValueError for a vocabulary whose pieces may hold white space: its texts cannot be encoded word by word."""
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if not steps or steps[0].get("pattern", {}).get("Regex") != SPLITTER or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or spec["model"].get("continuing_subword_prefix"):
+        raise ValueError(f"{path}: its pieces do not end at white space; words cannot be encoded one by one")
+
+
 class WordCounter:
     """Counts tokens of words with a tokenizer of the tokenizers library."""
 
@@ -48,6 +60,8 @@ class WordCounter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            check_cuts_at_spaces(path, json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -119,7 +133,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row.
 
     Null and empty texts: 0 bytes, 0 tokens. Repeated rows: one result each. A null id stays null. No rows: no rows.
-    Special strings inside texts count as the library's default has it, as one token.
+    Special strings inside texts count as the library's default has it, as one token. Only vocabularies that cut at white
+    space are counted word by word; any other is refused.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
