@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections import Counter
@@ -64,11 +65,11 @@ def test_scored_passages_have_one_length_at_every_size(spark):
     import pyarrow as pa
 
     texts = [prose(3, n) for n in (6_400, 64)]
-    x, sizes = quality_classifier.passages(pa.array(texts), most=None)
-    assert sizes.tolist() == [100, 1]
+    x, b, sizes = quality_classifier.passages(pa.array(texts))
+    assert sizes.tolist() == [100, 1] and (b.sum(axis=1) == 127).all()
     slices = [" ".join(words(texts[0])[a : a + 64]) for a in range(0, 6_400, 64)]
-    parts, _ = quality_classifier.passages(pa.array(slices), most=None)
-    assert np.allclose(x[:100, -2], parts[:, -2])  # the share of distinct words
+    parts, again, _ = quality_classifier.passages(pa.array(slices))
+    assert np.allclose(x[:100, -2], parts[:, -2]) and (b[:100] == again).all()  # the share of distinct words, and the words
     # A model whose score is the share of distinct words of a passage: 64 different words in each, whatever the length.
     model = quality_classifier.untrained()
     model.weights["encode"][-2, 0] = model.weights["score"][0] = 1.0
@@ -77,13 +78,69 @@ def test_scored_passages_have_one_length_at_every_size(spark):
     assert abs(got[0] - got[1]) < 1e-9
 
 
+def test_scores_are_those_of_a_plain_forward_pass(spark):
+    """The counts of each passage from its own text, and the network in loops over Python numbers."""
+    import math
+
+    import xxhash
+
+    rnd = random.Random(5)
+    texts = [None, "", "one", prose(1, 30) + "\n\t#!", " ".join(rnd.choice(["a b", "The", "##", "x.", "é"]) for _ in range(150)), prose(2, 64), prose(3, 65)]
+    model = quality_classifier.untrained()
+    gen = np.random.default_rng(1)
+    model.centre, model.scale = gen.normal(size=len(model.centre)) * 0.1, np.ones(len(model.centre)) * 0.7
+    model.weights = {k: gen.normal(0, 0.4, w.shape) for k, w in model.weights.items()}
+    w, most = {k: v.tolist() for k, v in model.weights.items()}, quality_classifier.BUCKETS
+
+    def plain(text):
+        raw = (text or "").encode()
+        ws = words(text)
+        spots = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        cuts = [0, *[spots[i] for i in range(64, len(ws), 64)], len(raw)]
+        five = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+        hidden = []
+        for k in range(max(1, -(-len(ws) // 64))):
+            part, own = raw[cuts[k] : cuts[k + 1]], ws[64 * k : 64 * k + 64]
+            size, n = max(len(part), 1), max(len(own), 1)
+            kinds = [sum(b in kind for b in part) for kind in quality_classifier.KINDS]
+            made = [math.sqrt(c / size) for c in [*kinds, len(part) - sum(kinds)]]
+            again = sum(64 * k + i > 0 and ws[64 * k + i - 1] == x for i, x in enumerate(own))
+            repeated = sum(five.get(tuple(ws[i : i + 5]), 0) > 1 for i in range(64 * k, 64 * k + len(own)))
+            made += [math.log1p(len(own)) / 5, math.log1p(size) / 8, size / n / 10, again / n, len(set(own)) / n, repeated / n]
+            h = [xxhash.xxh3_64_intdigest(x.encode()) for x in own]
+            bag = Counter(x % most for x in h)
+            bag.update(most + int(quality_classifier.mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) % most for a, b in zip(h, h[1:]))
+            x = [min(8, max(-8, (v - c) / s)) for v, c, s in zip(made, model.centre.tolist(), model.scale.tolist(), strict=True)]
+            hidden.append([math.tanh(w["encode_0"][j] + sum(v * w["encode"][i][j] for i, v in enumerate(x)) + sum(c / 8 * w["words"][i][j] for i, c in bag.items())) for j in range(quality_classifier.HIDDEN)])
+        looks = []
+        for h in hidden:
+            t = [math.tanh(sum(v * w["look"][i][j] for i, v in enumerate(h))) for j in range(quality_classifier.GATE)]
+            g = [1 / (1 + math.exp(-sum(v * w["gate"][i][j] for i, v in enumerate(h)))) for j in range(quality_classifier.GATE)]
+            looks.append(math.exp(sum(a * b * c for a, b, c in zip(t, g, w["attend"], strict=True))))
+        z = [sum(a * h[j] for a, h in zip(looks, hidden, strict=True)) / sum(looks) for j in range(quality_classifier.HIDDEN)]
+        return 1 / (1 + math.exp(-(w["score_0"] + sum(a * b for a, b in zip(z, w["score"], strict=True)))))
+
+    for r in quality_classifier.score(docs(spark, texts), model).collect():
+        assert abs(r["score"] - plain(texts[r["doc_id"]])) < 1e-5, r["doc_id"]
+
+
+def test_the_sample_has_a_bound_of_passages(spark, monkeypatch):
+    d, labels, n = labelled(spark, 60)
+    taught = []
+    monkeypatch.setattr(quality_classifier, "train", lambda x, b, sizes, y: taught.append(sizes))
+    long = docs(spark, [prose(1, 64 * 30)], 10_002)
+    assert not held_out(10_002)
+    quality_classifier.learn(d.union(long), labels.union(spark.createDataFrame([(10_002, 1, 0)], labels.schema)), sample_passages=20)
+    assert sum(taught[0]) == 20 and max(taught[0]) == 1
+
+
 def test_a_repeated_labelled_id_teaches_once(spark, monkeypatch):
     rows = [(1, prose(i, 60)) for i in range(30)] + [(i, prose(100 + i, 60)) for i in (2, 3, 4)]
     labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)], "doc_id long, quality int")
     assert not any(map(held_out, (1, 2, 3, 4)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     taught = {}
-    monkeypatch.setattr(quality_classifier, "train", lambda x, sizes, y: taught.setdefault("classifier", []).append((x.tolist(), y.tolist())))
+    monkeypatch.setattr(quality_classifier, "train", lambda x, b, sizes, y: taught.setdefault("classifier", []).append((x.tolist(), y.tolist())))
     monkeypatch.setattr(quality_rules, "learn_list", lambda sample, features: taught.setdefault("rules", []).append(sample))
     for order in (d.repartition(3), d.orderBy(F.desc("text"))):
         quality_classifier.learn(order, labels, sample_rows=4)
@@ -97,31 +154,31 @@ def test_passages_are_the_whole_text():
     import pyarrow as pa
 
     texts = ODD_TEXTS + [prose(1, 1000)]
-    x, sizes = quality_classifier.passages(pa.array(texts))
-    assert x.shape == (sizes.sum(), quality_classifier.FEATURES) and np.isfinite(x).all() and sizes.min() == 1 and sizes.max() <= quality_classifier.MOST_PASSAGES
+    x, _, sizes = quality_classifier.passages(pa.array(texts))
+    assert x.shape == (sizes.sum(), quality_classifier.FEATURES) and np.isfinite(x).all() and sizes.min() == 1 and sizes.max() == 313
     at = np.cumsum(sizes) - sizes
     size_bytes = np.expm1(x[:, -5] * 8)
     for i, t in enumerate(texts):
         total = size_bytes[at[i] : at[i] + sizes[i]].sum()
         assert round(total) == max(len((t or "").encode()), 1)
-    one, n = quality_classifier.passages(pa.array([texts[-1]]))
+    one, _, n = quality_classifier.passages(pa.array([texts[-1]]))
     assert np.allclose(one, x[at[-1] :])
 
 
 def test_gradients_match_differences():
     rnd = np.random.default_rng(3)
     sizes, y = np.array([1, 4, 2, 3]), np.array([0.0, 1.0, 1.0, 0.0])
-    x = rnd.normal(size=(10, 6))
-    model = quality_classifier.train(x, sizes, y, epochs=3)
-    _, g = model.gradients(x, sizes, y)
+    x, b = rnd.normal(size=(10, 6)), rnd.integers(0, 9, (10, 5)).astype(np.uint8)
+    model = quality_classifier.train(x, b, sizes, y, epochs=3)
+    _, g = model.gradients(x, b, sizes, y)
     for name, w in model.weights.items():
         spot = (0,) * np.ndim(w)
         moved = {}
         for sign in (1, -1):
             kept = np.array(w, float)
-            kept[spot] += sign * 1e-5
-            moved[sign] = quality_classifier.Model(model.centre, model.scale, model.weights | {name: kept}).gradients(x, sizes, y)[0]
-        assert np.isclose((moved[1] - moved[-1]) / 2e-5, np.array(g[name])[spot], atol=1e-6)
+            kept[spot] += sign * 1e-3
+            moved[sign] = quality_classifier.Model(model.centre, model.scale, model.weights | {name: kept}).gradients(x, b, sizes, y)[0]
+        assert np.isclose((moved[1] - moved[-1]) / 2e-3, np.array(g[name])[spot], atol=1e-4)
 
 
 def test_classifier_tells_held_out_rows(spark):
@@ -229,5 +286,5 @@ def test_damaged_archives_are_refused():
 def test_a_batch_of_nothing_but_empty_texts():
     import pyarrow as pa
 
-    x, sizes = quality_classifier.passages(pa.array([None, "", ""], pa.string()))
+    x, _, sizes = quality_classifier.passages(pa.array([None, "", ""], pa.string()))
     assert x.shape == (3, quality_classifier.FEATURES) and sizes.tolist() == [1, 1, 1] and np.isfinite(x).all()
