@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import drop_path, fresh_path, materialize_at
 
+#: An id with more links than this, and than one in MOST_HUBS of all, is a hub: so there are at most MOST_HUBS of them.
+HUB, MOST_HUBS = 500, 10_000
+
 
 def connected_components(links: DataFrame, tag: str = "components") -> DataFrame:
     """links: long columns src and dst. Returns id and component (the smallest id reachable) for every id in a link.
@@ -21,10 +24,10 @@ def connected_components(links: DataFrame, tag: str = "components") -> DataFrame
     seen = _signature(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(lowest, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _join_least(both.filter("v > u"), least, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        near = _join_least(large, lowest, seen[0])
         small = near.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
         following = fresh_path(spark, tag)
         now = materialize_at(small, following)
@@ -36,5 +39,13 @@ def connected_components(links: DataFrame, tag: str = "components") -> DataFrame
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _join_least(pairs: DataFrame, least: DataFrame, n_pairs: int) -> DataFrame:
+    """pairs with the m of their u. The few hubs are sent to all tasks, so their links stay where they are."""
+    most = max(HUB, n_pairs // MOST_HUBS)
+    hubs = F.broadcast(least.filter(F.col("n") > most).select("u", "m"))
+    rest = pairs.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= most).select("u", "m"), "u")
+    return rest.unionByName(pairs.join(hubs, "u").select(*rest.columns))
+
+
 def _signature(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("v", "u").cast("long"))).first())

@@ -8,12 +8,16 @@
 4. Only members of families have their sets built again. They meet in blocks of bounded size, and every pair of a family is
    decided on the full sets, except those that links found before connect already. A block gives back a spanning forest of
    the links, and the components of all forests are the classes.
+
+A bucket or family of more than one block is dealt to blocks twice, by two hashes, so that its links, if they are many, make
+one component of it. Then only what is outside that component meets all of the others, and nothing does if nothing is.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ BANDS, ROWS, BITS = 32, 5, 512
 SAMPLES = BANDS * ROWS
 #: A pair with a lower estimate is not looked at again; for one of similarity 0.8 that is 5 standard deviations off.
 LEAST_ESTIMATE = 0.6
+#: In hundredths: 0.75 is 4 standard deviations above that estimate, and 32 bands of 5 miss it with a chance of 1 in 5,000.
+LEAST_SHARE = 75
 #: Documents of a bucket, and shingles and documents of a family, in one block.
 BUCKET_BLOCK, FAMILY_SHINGLES, FAMILY_BLOCK = 1024, 600_000, 2000
 SALTS = 16
@@ -140,82 +146,77 @@ def _features(size: int):
                 sets = list(shingle_sets(batch.column(1).slice(part.start, n), size))
                 samples = np.array([samples_of(s) for s in sets], np.uint32)
                 keys = band_keys(samples)
-                prints = np.array([[s.sum(dtype=np.uint64), mix(s + _ODD).sum(dtype=np.uint64)] for s in sets], np.uint64).view(np.int64)
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.start, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
+                    [batch.column(0).slice(part.start, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(keys.ravel())), pa.array([x.tobytes() for x in odd_sketches(samples)], pa.binary())],
-                    names=["doc_id", "n_shingles", "f1", "f2", "keys", "sketch"],
+                    names=["doc_id", "n_shingles", "digest", "keys", "sketch"],
                 )
 
     return run
 
 
-def _forest(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Edges that join what the pairs (row, rows) join, each between two components."""
-    label, made = np.arange(n), []
-    for i, others in pairs:
-        for j in others.tolist():
-            if label[i] != label[j]:
-                made.append((i, j))
-                label[label == label[j]] = label[i]
-    return made
+def _forest(label: np.ndarray, similar: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges between similar rows that join what their labels do not join yet: all of the largest label is tried last, and
+    so not at all."""
+    n, made, tried = len(label), [], np.zeros(len(label), bool)
+    while True:
+        left = np.flatnonzero(~tried & (label != np.bincount(label, minlength=n).argmax()))
+        if not len(left):
+            return made
+        p = int(left[0])
+        tried[p] = True
+        for q in np.flatnonzero(similar(p) & (label != label[p])).tolist():
+            if label[q] != label[p]:
+                made.append((p, q))
+                label[label == label[q]] = label[p]
 
 
-def _bucket_links(limit: int):
-    """Per block pair: a spanning forest of the pairs whose sketches differ in at most `limit` bits."""
-    out = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+_LINKS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
-    def work(rows: pa.Table) -> pa.Table | None:
-        ids = rows.column("id").to_numpy()
-        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
 
-        def close() -> Iterator[tuple[int, np.ndarray]]:
-            for i in range(len(ids) - 1):
-                yield i, i + 1 + np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64) <= limit)
+def _as_links(rows: pa.Table, similar: Callable[[int], np.ndarray]) -> pa.Table | None:
+    ids = rows.column("id").to_numpy()
+    made = _forest(np.unique(rows.column("label").to_numpy(), return_inverse=True)[1], similar)
+    return pa.table([pa.array([ids[i] for i, _ in made], pa.int64()), pa.array([ids[j] for _, j in made], pa.int64())], schema=_LINKS) if made else None
+
 
-        made = _forest(len(ids), close())
-        return pa.table([pa.array([ids[i] for i, _ in made], pa.int64()), pa.array([ids[j] for _, j in made], pa.int64())], schema=out) if made else None
+def _bucket_links(limit: int):
+    """Per block: a spanning forest of the pairs whose sketches differ in at most `limit` bits."""
+
+    def work(rows: pa.Table) -> pa.Table | None:
+        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+        return _as_links(rows, lambda p: np.bitwise_count(bits ^ bits[p]).sum(axis=1, dtype=np.int64) <= limit)
 
-    return lambda batches: grouped(batches, ["key", "pair"], work, out)
+    return lambda batches: grouped(batches, ["group", "block"], work, _LINKS)
 
 
 def _set_links(share: tuple[int, int]):
-    """Per block pair: a spanning forest of the links, decided on full sets."""
-    out = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    """Per block: a spanning forest of the links, decided on full sets."""
     much, of = share
 
     def work(rows: pa.Table) -> pa.Table | None:
-        ids = rows.column("id").to_numpy()
-        n = len(ids)
         lists = pa.concat_arrays(rows.column("shingles").chunks)
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        flat = np.unique(lists.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)
-        vocabulary, code, start = len(flat[0]), flat[1].astype(np.int32), offsets - offsets[0]
-        sizes = np.diff(start)
-        label, tried, made = np.arange(n), np.zeros(n, bool), []
-        mark = np.zeros(vocabulary, np.int32)
-        while True:
-            largest = np.bincount(label, minlength=n).argmax()
-            left = np.flatnonzero(~tried & (label != largest))
-            if not len(left):
-                break
-            p = left[0]
-            tried[p] = True
+        words, code = np.unique(lists.values.to_numpy()[offsets[0] : offsets[-1]], return_inverse=True)
+        start = offsets - offsets[0]
+        sizes, mark = np.diff(start), np.zeros(len(words), np.int32)
+
+        def similar(p: int) -> np.ndarray:
             own = code[start[p] : start[p + 1]]
             mark[own] = 1
             shared = np.add.reduceat(mark[code], start[:-1])
             mark[own] = 0
-            linked = np.flatnonzero((of * shared >= much * (sizes + sizes[p] - shared)) & (label != label[p]))
-            for q in linked.tolist():
-                if label[q] != label[p]:
-                    made.append((p, q))
-                    label[label == label[q]] = label[p]
-        return pa.table([pa.array([ids[i] for i, _ in made], pa.int64()), pa.array([ids[j] for _, j in made], pa.int64())], schema=out) if made else None
+            return of * shared >= much * (sizes + sizes[p] - shared)
 
-    return lambda batches: grouped(batches, ["family", "pair"], work, out)
+        return _as_links(rows, similar)
+
+    return lambda batches: grouped(batches, ["group", "block"], work, _LINKS)
 
 
 def _sets(size: int):
+    """id, text, group, block, label -> the set in place of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
@@ -224,56 +225,92 @@ def _sets(size: int):
                 sets = [s.view(np.int64) for s in shingle_sets(batch.column(1).slice(part.start, n), size)]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 shingles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-                columns = [batch.column(k).slice(part.start, n) for k in (0, 2, 3)]
-                yield pa.RecordBatch.from_arrays([*columns, shingles], names=["id", "family", "n_blocks", "shingles"])
+                columns = [batch.column(k).slice(part.start, n) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*columns, shingles], names=["id", "blocks", "shingles"])
 
     return run
 
 
-def _in_pairs(rows: DataFrame, group: str) -> DataFrame:
-    """A row for each pair of blocks that a row's block is in: two blocks of a group meet in one pair."""
-    block = F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)))
-    pair = F.least("block", "other").cast("long") * 1_000_000 + F.greatest("block", "other")
-    rows = rows.withColumn("pair", pair).drop("block", "other", "n_blocks")
-    return rows.repartition(group, "pair").sortWithinPartitions(group, "pair", "id")
+def _twice(members: DataFrame) -> DataFrame:
+    """group, id, n_blocks -> group, block, id, label: a row's block by one hash, and where there are more, by a second."""
+    spot = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col("n_blocks"))
+    where = F.when(F.col("n_blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(spot(1), F.col("n_blocks") + spot(2)))
+    return members.select("group", F.explode(where).alias("block"), "id", F.col("id").alias("label"))
+
+
+def _outsiders(members: DataFrame, classes: DataFrame, tag: str) -> DataFrame:
+    """group, id, n_blocks of groups of several blocks -> group, block, id, label for what is outside the group's largest
+    class, in blocks, with each block of the group."""
+    named = members.filter("n_blocks > 1").join(classes.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = materialize(named, f"{tag}-labels")
+    sizes = named.groupBy("group", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("out"), F.sum("n").alias("n")).filter("out > 0")
+    rows = named.join(materialize(main, f"{tag}-main"), "group").withColumn("few", F.ceil(F.col("out") * F.col("n_blocks") / F.col("n")))
+    block = lambda r, a: F.col(r).cast("long") * (1 << 31) + F.col(a).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = rows.filter(F.col("label") != F.col("main")).withColumn("r", F.pmod(F.xxhash64("id", F.lit(3)), F.col("few"))).withColumn("a", every("n_blocks"))
+    alls = rows.withColumn("a", F.pmod(F.xxhash64("id", F.lit(4)), F.col("n_blocks"))).withColumn("r", every("few"))
+    columns = ["group", block("r", "a").alias("block"), "id", "label"]
+    return rest.select(*columns).unionByName(alls.select(*columns)).distinct()
+
+
+def _in_blocks(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.repartition("group", "block").sortWithinPartitions("group", "block", "id").select("group", "block", "id", "label", *columns)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and kept (it is that one) of every row.
 
     Two documents are linked when share[1] * intersection >= share[0] * union of their sets of shingles (A-Z in lower
-    case); share is 0.8 here, and the bands are made for such high similarities. Texts without words and null texts have
-    an empty set and no link. Rows with equal doc_id are one document with several texts. A null doc_id has no link, a
-    null component and is kept. No rows: no rows.
+    case), of 64-bit hashes; equal sets are those with equal 128-bit digests. share is 0.8 here, and refused under
+    LEAST_SHARE, for which the bands are not made. Texts without words and null texts have an empty set and no link. Texts
+    of any length are read whole. Rows with equal doc_id are one document with several texts. A null doc_id has no link, a
+    null component and is kept. Other columns are dropped. No rows: no rows.
     """
+    if share[0] * 100 < LEAST_SHARE * share[1]:
+        raise ValueError(f"{BANDS} bands of {ROWS} are for shares of {LEAST_SHARE} % and more")
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sketch binary"
+    schema = "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary"
     features = materialize(rows.mapInArrow(tidy(_features(shingle_words)), schema), "minhash")
 
-    sets = ["n_shingles", "f1", "f2"]
     able = features.filter("n_shingles > 0 and doc_id is not null")
-    same = able.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    same = able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     same = materialize(same, "equal-sets")
     salted = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    class_of = able.select("doc_id", *sets, salt.alias("salt")).join(salted, [*sets, "salt"]).select("doc_id", "rep").distinct()
+    class_of = able.select("doc_id", "digest", salt.alias("salt")).join(salted, ["digest", "salt"]).select("doc_id", "rep").distinct()
     class_of = materialize(class_of, "copies")
     alone = able.join(class_of.filter("doc_id != rep").select("doc_id"), "doc_id", "left_anti")
-
-    banded = alone.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
-    met = banded.join(shared, "key").select("key", "id", F.ceil(F.col("n") / BUCKET_BLOCK).alias("n_blocks"))
-    met = met.join(alone.select(F.col("doc_id").alias("id"), "sketch"), "id")
-    close = _in_pairs(met, "key").select("key", "pair", "id", "sketch").mapInArrow(tidy(_bucket_links(most_differing(LEAST_ESTIMATE))), "src long, dst long")
-    family = materialize(connected_components(close, "families").withColumnRenamed("component", "family"), "family")
-
-    weighed = family.join(alone.select(F.col("doc_id").alias("id"), "n_shingles"), "id").groupBy("family").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("n"))
-    blocks = weighed.select("family", F.greatest(F.ceil(F.col("w") / FAMILY_SHINGLES), F.ceil(F.col("n") / FAMILY_BLOCK)).cast("long").alias("n_blocks"))
-    member = family.join(blocks, "family")
-    texts = rows.join(member, rows["doc_id"] == member["id"]).select("id", "text", "family", "n_blocks")
-    built = texts.mapInArrow(tidy(_sets(shingle_words)), "id long, family long, n_blocks long, shingles array<long>").filter(F.size("shingles") > 0)
-    links = _in_pairs(built, "family").select("family", "pair", "id", "shingles").mapInArrow(tidy(_set_links(share)), "src long, dst long")
+    sketches = alone.select(F.col("doc_id").alias("id"), "sketch")
+
+    banded = alone.select(F.col("doc_id").alias("id"), F.explode("keys").alias("group"))
+    shared = materialize(banded.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
+    met = banded.join(shared, "group").select("group", "id", F.ceil(F.col("n") / BUCKET_BLOCK).alias("n_blocks"))
+    links = tidy(_bucket_links(most_differing(LEAST_ESTIMATE)))
+    pairs = lambda blocks: _in_blocks(blocks.join(sketches, "id"), "sketch").mapInArrow(links, "src long, dst long")
+    large = not shared.filter(F.col("n") > BUCKET_BLOCK).isEmpty()
+    close = pairs(_twice(met))
+    if large:
+        close = materialize(close, "close")
+        close = close.unionByName(pairs(_outsiders(met, connected_components(close, "bucket-classes"), "bucket")))
+    family = materialize(connected_components(close, "families").withColumnRenamed("component", "group"), "family")
+
+    weighed = family.join(alone.select(F.col("doc_id").alias("id"), "n_shingles"), "id").groupBy("group").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("n"))
+    blocks = weighed.select("group", F.greatest(F.ceil(F.col("w") / FAMILY_SHINGLES), F.ceil(F.col("n") / FAMILY_BLOCK)).cast("long").alias("n_blocks"))
+    member = materialize(family.join(blocks, "group"), "members")
+
+    def decided(where: DataFrame) -> DataFrame:
+        """Links of the blocks that members are dealt to: a member's set is built once and sent to each of its blocks."""
+        where = where.groupBy("id").agg(F.collect_list(F.struct("group", "block", "label")).alias("blocks"))
+        texts = rows.join(where, rows["doc_id"] == where["id"]).select("id", "text", "blocks")
+        built = texts.mapInArrow(tidy(_sets(shingle_words)), "id long, blocks array<struct<group:long,block:long,label:long>>, shingles array<long>").filter(F.size("shingles") > 0)
+        dealt = built.select("id", "shingles", F.explode("blocks").alias("b")).select("id", "shingles", "b.*")
+        return _in_blocks(dealt, "shingles").mapInArrow(tidy(_set_links(share)), "src long, dst long")
+
+    links = decided(_twice(member))
+    if not member.filter("n_blocks > 1").isEmpty():
+        links = materialize(links, "links")
+        links = links.unionByName(decided(_outsiders(member, connected_components(links, "link-classes"), "family")))
     links = links.unionByName(class_of.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")))
     classes = connected_components(links, "near-classes")
     out = features.select("doc_id", "n_shingles").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
