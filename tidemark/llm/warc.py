@@ -2,9 +2,9 @@
 
 Writing: the digests and the deduplication are DataFrame work on ids and digests only; each task then streams its pages
 into archive files of bounded size in a folder that all executors share, under a name of its own attempt, and reports the
-files that it finished. Only reported files are read, so a task that is lost and run again does no harm. Reading: each
-archive is one row; a sequential reader inflates it member by member, in small steps, frames blocks by their content
-length and verifies their digests.
+files that it finished. Only reported files are read, so a task that is lost and run again does no harm. Reading: the name
+of an archive is one row; a sequential reader opens it as a stream and inflates it member by member, in small steps: as far
+as the header, then as many bytes as the content length says, whose digest it verifies.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,44 +61,79 @@ def gzip_member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def inflate_members(data: bytes | memoryview, step: int = INFLATE_STEP) -> Iterator[bytes]:
-    """The content of each gzip member in turn; input is fed `step` bytes at a time."""
-    data, at = memoryview(data), 0
-    while at < len(data):
-        z, parts = zlib.decompressobj(31), []
-        while not z.eof:
-            if at >= len(data):
-                raise WarcError("the last gzip member is cut short")
-            fed = data[at : at + step]
-            try:
-                parts.append(z.decompress(fed))
-            except zlib.error as e:
-                raise WarcError(f"not a gzip member: {e}") from e
-            at += len(fed) - len(z.unused_data)
-        yield b"".join(parts)
-
-
-def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields with names in lower case, and the block, framed by its content length and checked by its digest."""
-    end = record.find(b"\r\n\r\n")
-    if end < 0 or not record.startswith(b"WARC/"):
-        raise WarcError("no WARC header")
-    fields = {}
-    for line in record[:end].decode().split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise WarcError(f"not a header field: {line!r}")
-        fields[name.strip().lower()] = value.strip()
-    try:
-        n = int(fields["content-length"])
-    except (KeyError, ValueError):
-        raise WarcError("no content length") from None
-    block, rest = record[end + 4 : end + 4 + n], record[end + 4 + n :]
-    if len(block) != n or rest != b"\r\n\r\n":
-        raise WarcError("the block is not as long as the header says")
-    if fields.get("warc-block-digest", "") != f"sha256:{hashlib.sha256(block).hexdigest()}":
-        raise WarcError("the block does not have the digest that the header says")
-    return fields, block
+class _Member:
+    """One gzip member of a stream, inflated as far as it is asked for."""
+
+    def __init__(self, stream: BinaryIO, fed: bytes, step: int):
+        self.stream, self.fed, self.step, self.z, self.held = stream, fed, step, zlib.decompressobj(31), bytearray()
+
+    def more(self) -> bool:
+        """Inflates what `step` compressed bytes hold; False at the member's end."""
+        if self.z.eof:
+            return False
+        self.fed = self.fed or self.stream.read(self.step)
+        if not self.fed:
+            raise WarcError("the last gzip member is cut short")
+        try:
+            self.held += self.z.decompress(self.fed)
+        except zlib.error as e:
+            raise WarcError(f"not a gzip member: {e}") from e
+        self.fed = self.z.unused_data if self.z.eof else b""
+        return True
+
+    def until(self, mark: bytes) -> bytes:
+        """What comes before the mark, which is left out too."""
+        at = 0
+        while (found := self.held.find(mark, at)) < 0:
+            at = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
+                raise WarcError("no WARC header")
+        out = bytes(self.held[:found])
+        del self.held[: found + len(mark)]
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n:
+            if not self.more():
+                raise WarcError("the block is not as long as the header says")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def rest(self) -> bytes:
+        """All that is left, which a record's end must be; more than that is not read on."""
+        while len(self.held) <= 4 and self.more():
+            pass
+        return bytes(self.held)
+
+
+def read_records(stream: BinaryIO, step: int = INFLATE_STEP) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The header fields (names in lower case) and the block of each record, one gzip member after another.
+
+    A member is inflated `step` compressed bytes at a time: as far as its header, then as far as the content length says,
+    then to its end, which must follow. The block must have the digest that the header names.
+    """
+    fed = stream.read(step)
+    while fed:
+        member = _Member(stream, fed, step)
+        first, *lines = member.until(b"\r\n\r\n").decode(errors="replace").split("\r\n")
+        if not first.startswith("WARC/"):
+            raise WarcError("no WARC header")
+        fields = {}
+        for line in lines:
+            name, colon, value = line.partition(":")
+            if not colon:
+                raise WarcError(f"not a header field: {line!r}")
+            fields[name.strip().lower()] = value.strip()
+        if not fields.get("content-length", "").isdecimal():
+            raise WarcError("no content length")
+        block = member.take(int(fields["content-length"]))
+        if member.rest() != b"\r\n\r\n":
+            raise WarcError("the block is not as long as the header says")
+        if fields.get("warc-block-digest", "") != f"sha256:{hashlib.sha256(block).hexdigest()}":
+            raise WarcError("the block does not have the digest that the header says")
+        yield fields, block
+        fed = member.fed or stream.read(step)
 
 
 def _identity(value: str) -> int | None:
@@ -105,10 +141,9 @@ def _identity(value: str) -> int | None:
     return int(number) if number else None
 
 
-def read_archive(data: bytes) -> Iterator[tuple[int | None, str | None, str, int | None, int, str, bytes]]:
+def read_archive(stream: BinaryIO) -> Iterator[tuple[int | None, str | None, str, int | None, int, str, bytes]]:
     """page_id, url, record type, refers_to, payload length, payload digest and stored payload of each record."""
-    for record in inflate_members(data):
-        fields, block = parse_record(record)
+    for fields, block in read_records(stream):
         kind = fields["warc-type"]
         digest, n = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["x-payload-length"])
         if kind == "response" and (len(block) != n or fields["warc-block-digest"].removeprefix("sha256:") != digest):
@@ -139,7 +174,8 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     rows = keyed(pages, {"page_id": "page_id", "url": "url", "html": "html"}).select(F.col("page_id").cast("long"), "url", "html")
     again = assign(rows).filter("page_id is not null").select("page_id", "first_id", "payload_digest").distinct().withColumnRenamed("payload_digest", "again_digest")
     rows = rows.withColumn("payload_digest", F.sha2(F.coalesce("html", F.lit("")), 256))
-    rows = rows.join(again, (rows["page_id"] == again["page_id"]) & (F.col("payload_digest") == F.col("again_digest")), "left").select(rows["page_id"], "url", "html", "payload_digest", F.col("first_id").alias("refers_to"))
+    joined = rows.filter("page_id is not null").join(again, (rows["page_id"] == again["page_id"]) & (F.col("payload_digest") == F.col("again_digest")), "left").select(rows["page_id"], "url", "html", "payload_digest", F.col("first_id").alias("refers_to"))
+    rows = joined.unionByName(rows.filter("page_id is null").withColumn("refers_to", F.lit(None).cast("long")))  # these need no join
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = _filesystem(folder)
@@ -174,23 +210,26 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = Non
     page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits), archive. A damaged
     archive raises WarcError.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content", F.element_at(F.split("path", "/"), -1).alias("archive"))
-    if manifest is not None:
-        found = found.join(manifest.select("archive"), "archive", "left_semi").select("content", "archive")
+    if manifest is None:
+        manifest = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = _filesystem(folder)
         for batch in batches:
-            for content, archive in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for archive in batch.column(0).to_pylist():
                 held, size = [], 0
-                for page, url, kind, refers, n, digest, block in read_archive(memoryview(content.as_buffer())):
-                    held.append((page, url, kind, refers, n, digest, block if with_payload and kind == "response" else None, archive))
-                    size += len(block) if with_payload else 64
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
-                        held, size = [], 0
+                with files.open_input_stream(f"{at}/{archive}", compression=None) as stream:
+                    for page, url, kind, refers, n, digest, block in read_archive(stream):
+                        held.append((page, url, kind, refers, n, digest, block if with_payload and kind == "response" else None, archive))
+                        size += len(block) if with_payload else 64
+                        if size > 4 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
+                            held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), _RECORDS, strict=True)], schema=_RECORDS)
 
+    found = manifest.select("archive").repartition(n, "archive")  # a row for each archive, which a task reads as a stream
     return found.mapInArrow(tidy(run), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, archive string")
 
 
