@@ -74,8 +74,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+#: The setting that names a ledger to keep; without it a scan has one of its own.
+LEDGER = "tidemark.secretLedger"
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"))
+    found = scan_secrets(table(spark, sf_dir, "documents"), spark.conf.get(LEDGER, None))
     base = F.filter("spans", lambda s: s["order"] < len(BASE_RULES))
     of_rule = lambda i: F.size(F.filter("spans", lambda s: s["order"] == i)).cast("long")
     counts = [of_rule(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
