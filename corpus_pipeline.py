@@ -23,7 +23,7 @@ def _with_text(docs: DataFrame, rows: DataFrame, names: dict[str, str], text: Co
     """rows, whose columns of docs are named as in `names`, with a new text and n_chars counted again, in the columns of docs."""
     made = {"text": text}
     if "n_chars" in docs.columns:
-        made["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.coalesce(F.char_length(text).cast(docs.schema["n_chars"].dataType), F.col(names["n_chars"]))
     return rows.select(*[made.get(c, F.col(names[c])).alias(c) for c in docs.columns])
 
 
