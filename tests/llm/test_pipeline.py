@@ -73,3 +73,34 @@ def test_every_operator_has_one_query():
     names = [n for n in queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert zlib.crc32(b"1") % 5 == 3
+
+
+CLASHES = ["kept", "n_words", "base_failed", "symbol_share", "spans", "_left", "digest", "component_id", "row", "id", "blob", "kept_text", "_held_0", "payload", "length", "quality"]
+
+
+def test_stages_take_odd_rows_and_columns_of_any_name(spark, tmp_path):
+    folder = f"file://{tmp_path}/sf"
+    corpus(spark, folder)
+    shared, long = prose(500, 60), prose(900, 30_000)
+    texts = [(1, prose(1, 90)), (1, prose(1, 90)), (1, prose(2, 90)), (7, f"{prose(3, 60)} {shared}"), (8, f"{prose(4, 60)} {shared}"), (8, f"{prose(4, 60)} {shared}"), (None, prose(5, 80)), (9, None), (10, ""), (11, long), (12, f"{prose(6, 60)} token=abcdefgh12 {prose(8, 60)}"), (12, f"secret: abcdefgh99 {prose(7, 60)}")]
+    d = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    for i, c in enumerate(CLASHES):
+        d = d.withColumn(c, F.lit(f"x{i}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, folder)
+        assert out.columns == d.columns, name
+        rows = out.collect()
+        assert all(r[c] == f"x{i}" for r in rows for i, c in enumerate(CLASHES)) and all(r["n_chars"] == len(r["text"] or "") for r in rows), name
+        got = sorted((r["doc_id"] or -1, r["text"] or "") for r in rows)
+        want = [(i or -1, t or "") for i, t in texts]
+        if name == "quality rules":
+            want = [(i, t) for i, t in want if not stats(t)[5]]
+        elif name == "substring dedup":
+            want = [(i, t.removesuffix(f" {shared}") if i == 8 else t) for i, t in want]
+        elif name == "secret scans":
+            want = [(i, t.replace("token=abcdefgh12", "[secret]").replace("secret: abcdefgh99", "[secret]")) for i, t in want]
+        assert got == sorted(want), name
+        assert stage(spark, d.limit(0), folder).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, d, folder)
+    assert packed.groupBy("doc_id").agg(F.sum(F.when(F.col("start") == 0, 1)).alias("n")).agg(F.sum("n")).first()[0] == len(texts)
+    assert corpus_pipeline.STAGES[-1][1](spark, d.limit(0), folder).count() == 0
