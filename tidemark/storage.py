@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def materialize_at(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of plans that are done with, so that Spark deletes their shuffle files, which would else lie on the executors'
+    disks until the driver's heap happens to be collected. For use after a materialize() with a large exchange below it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of the files and folders in a folder; none if there is no such folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
