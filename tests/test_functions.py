@@ -139,7 +139,7 @@ def test_rationals(spark):
     a, b = F.col("a"), F.col("b")
     got = df.select(timemath.add(a, b), timemath.subtract(a, b), timemath.multiply(a, b), timemath.divide(a, b)).collect()
     assert [tuple(map(tuple, r)) for r in got] == [((-1, 12), (5, 12), (-1, 24), (-2, 3)), ((1, 6), (5, 6), (-1, 6), (-3, 2))]
-    assert gcd(12, 18) == 6 and timemath.nearest_rational(0.34, [(1, 2), (1, 3), (2, 6)]) == 1
+    assert gcd(12, 18) == 6 and one(spark, timemath.nearest_rational(F.col("x"), [(1, 2), (1, 3), (2, 6)]), x=0.34) == 1
     assert [one(spark, timemath.log2_floor(F.col("x")), x=x) for x in (0, 1, 7, 8, 1 << 40)] == [0, 0, 2, 3, 40]
 
 
@@ -209,14 +209,11 @@ def pes(stream=0xE0, pts=None, dts=None, body=b"body"):
 
 
 def test_elementary_packets(spark):
-    for pts, dts in ((None, None), (0, None), (2**33 - 1, 12345678901 % 2**33)):
-        got = transport.parse_pes(pes(pts=pts, dts=dts))
-        assert (got["ok"], got["pts"], got["dts"], got["payload_size"]) == (True, pts, dts, 4)
-    assert transport.parse_pes(b"\0\0\1\xbf\0\5hello")["pts"] == 2**33 - 1 and transport.parse_pes(b"\0\0\1\xbe\0\5hello")["payload_size"] == 0
-    for bad in (b"", b"\0\0\2\xe0\0\0\0\0\0", b"\0\0\1\xe0\0\x00\x80\x80\xff", pes(pts=5)[:11]):
-        assert not transport.parse_pes(bad)["ok"]
-    df = spark.createDataFrame([(1, pes(pts=900)), (2, b"")], "n long, raw binary")
-    assert [(r["n"], r["ok"], r["pts"]) for r in transport.pes_headers(df, "raw", ["n"]).orderBy("n").collect()] == [(1, True, 900), (2, False, None)]
+    rows = [pes(), pes(pts=0), pes(pts=2**33 - 1, dts=12345678901 % 2**33), b"\0\0\1\xbf\0\5hello", b"\0\0\1\xbe\0\5hello", b"", b"\0\0\2\xe0\0\0\0\0\0", b"\0\0\1\xe0\0\x00\x80\x80\xff", pes(pts=5)[:11], None]
+    df = spark.createDataFrame(list(enumerate(rows)), "n int, raw binary")
+    got = [(r["ok"], r["pts"], r["dts"], r["payload_size"]) for r in transport.pes_headers(df, "raw", ["n"]).orderBy("n").collect()]
+    last = 2**33 - 1
+    assert got == [(True, None, None, 4), (True, 0, None, 4), (True, last, 12345678901 % 2**33, 4), (True, last, last, 5), (True, None, None, 0)] + [(False, None, None, None)] * 5
 
 
 def adts(n):
@@ -231,7 +228,15 @@ def test_frames_across_chunks(spark):
         assert [len(f) for _, f in frames] == [17, 37, 12, 207] and left in (b"", b"\0")
         assert all(t in (100, 200) for t, _ in frames)
     df = spark.createDataFrame([(1, 0, 100, data[:40]), (1, 1, 200, data[40:]), (2, 0, 5, b"\xff")], "k int, o int, ts long, d binary")
-    assert [(r["k"], r["n"], r["ts"], len(r["frame"])) for r in transport.split_frames(df, ["k"], "o", "ts", "d").orderBy("n").collect()] == [(1, 0, 100, 17), (1, 1, 100, 37), (1, 2, 200, 12), (1, 3, 200, 207)]
+    got = transport.split_frames(df, ["k"], "o", "ts", "d").orderBy("k", "n").collect()
+    assert [(r["k"], r["n"], r["ts"], len(r["frame"]), r["last"]) for r in got] == [(1, 0, 100, 17, False), (1, 1, 100, 37, False), (1, 2, 200, 12, False), (1, 3, 200, 207, False), (2, 0, 5, 1, True)]
+
+
+def test_pictures_across_chunks(spark):
+    chunks = [b"\0\0\0\1\x65aa", b"bb", b"cc\0\0\1\x41ddd", b"\0\0\1\x41e", b"xy\0\0\1"]
+    df = spark.createDataFrame([(1, i, 10 * i, c) for i, c in enumerate(chunks)] + [(2, 0, 5, b"q")], "k int, o int, ts long, d binary")
+    got = [(r["k"], r["n"], r["ts"], bytes(r["frame"]), r["is_key"], r["last"]) for r in transport.split_pictures(df, ["k"], "o", "ts", "d").orderBy("k", "n").collect()]
+    assert got == [(1, 0, 0, b"\0\0\0\1\x65aabbcc", True, False), (1, 1, 20, b"\0\0\1\x41ddd", False, False), (1, 2, 30, b"\0\0\1\x41exy\0\0\1", False, True), (2, 0, 5, b"q", False, True)]
 
 
 def test_units():
@@ -265,3 +270,59 @@ def test_scripts_and_cues(spark):
     assert [(r["start_ms"], r["end_ms"], r["text"]) for r in sub.orderBy("line_no").collect()] == [(1000, 2000, "a\nb"), (1000, None, "c")]
     ass = subtitles.dialogue(spark.createDataFrame([(1, "Dialogue: 0,0:00:01.50,0:00:02.00,Top,,0,0,0,,{\\b1}Hi,\\Nyou")], "id int, text string"), "id", "text")
     assert [tuple(r)[2:] for r in ass.collect()] == [(1500, 2000, "Top", "Hi,\nyou")]
+
+
+def test_drift_free_times_match_a_plain_loop(spark):
+    """Frames of 1,024 samples at 44,100, stamped in milliseconds: the way back to samples is exact."""
+    rows = [(0, i, round(i * 1024 * 1000 / 44100), 1024) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, i long, t long, d long")
+    got = timemath.rescale_delta(df, "t", "d", ["i"], ["k"], (1, 1000), (1, 44100), (1, 44100)).orderBy("i").collect()
+    assert [r["out_ts"] for r in got] == [1024 * i for i in range(300)]
+    plain = timemath.rescale_delta(df, "t", "d", ["i"], ["k"], (1, 1000), (1, 44100), (1, 100)).orderBy("i").collect()
+    assert [r["out_ts"] for r in plain] == [(t * 100 * 2 + 1000) // 2000 for _, _, t, _ in rows]
+
+
+def test_steps_and_codes(spark):
+    x = F.col("x")
+    assert [one(spark, timemath.add_stable(x, 1, 90000, 1, 25, 3), x=v) for v in (0, 7)] == [10800, 10807]
+    ts = 0
+    for _ in range(300):
+        ts = one(spark, timemath.add_stable(x, 1, 1000, 1, 3), x=ts) if _ < 6 else ts
+    assert ts == 2000
+    for frame in (0, 1799, 1800, 17981, 17982, 107892):
+        code = one(spark, timemath.timecode(x, 30, drop=True), x=frame)
+        assert one(spark, timemath.parse_timecode(x, 30), x=code) == frame and ";" in code
+    assert one(spark, timemath.parse_timecode(x, 25), x="no code") is None
+    assert one(spark, timemath.gcd_of(x, F.lit(4660046610375530309)), x=2880067194370816120) == 1
+    with pytest.raises(ValueError):
+        timemath.expression("__import__(1)", {})
+    assert one(spark, hashes.from_base64(x), x="no base64!") is None
+    assert one(spark, hashes.exp_golomb_at(x), x="0001") is None
+
+
+def test_sources_are_opened_by_their_format(spark, tmp_path):
+    from tidemark.sources import readers
+
+    (tmp_path / "a.m3u8").write_text("#EXTM3U\n#EXTINF:2.5,\nx.ts\n#EXT-X-ENDLIST\n")
+    (tmp_path / "list").write_text("ffconcat version 1.0\nfile b.bin\nfile 'c.bin'\nfile b.bin\n")
+    (tmp_path / "b.bin").write_bytes(b"B")
+    (tmp_path / "c.bin").write_bytes(b"C")
+    where = f"file://{tmp_path}"
+    assert [(r["seq"], r["duration_ms"]) for r in readers.open_source(spark, f"{where}/a.m3u8").collect()] == [(0, 2500)]
+    assert [bytes(r["content"]) for r in readers.open_source(spark, f"{where}/list").orderBy("item").collect()] == [b"B", b"C", b"B"]
+    assert readers.format_of(spark, f"{where}/b.bin") == "BINARY"
+    for bad, kind in (("http://h/x.ts", None), (f"{where}/b.bin", "OGG")):
+        with pytest.raises(ValueError):
+            readers.open_source(spark, bad, kind)
+    readers.register("ogg", lambda s, p: s.range(3))
+    assert readers.open_source(spark, "x", "OGG").count() == 3
+
+
+def test_flash_files_that_are_cut_or_none(spark):
+    from tidemark.sources import flv
+
+    tag = bytes([18, 0, 0, 3, 0, 0, 1, 2, 0, 0, 0]) + b"abc" + bytes([0, 0, 0, 14])
+    head = b"FLV\1\5\0\0\0\x09\0\0\0\0"
+    df = spark.createDataFrame([(1, head + tag + tag[:13]), (2, b"no"), (3, None), (4, head)], "i int, c binary")
+    got = [(r["i"], r["n"], r["type"], r["ts_ms"], bytes(r["data"]), r["whole"]) for r in flv.tags(df, "i", "c").orderBy("n").collect()]
+    assert got == [(1, 0, 18, (2 << 24) + 1, b"abc", True), (1, 1, 18, (2 << 24) + 1, b"ab", False)]

@@ -80,3 +80,40 @@ def test_each_batch_can_go_to_several_sinks(spark, folder, tmp_path):
     streams.run_to_end(streams.read(spark, folder, SCHEMA), each=each)
     assert spark.read.parquet(f"file://{tmp_path}/a").count() == 240
     assert 0 < spark.read.parquet(f"file://{tmp_path}/b").count() < 240
+
+
+def test_pushed_rows_and_first_known(spark, tmp_path):
+    path = f"file://{tmp_path}/pushed"
+    for k in range(3):
+        streams.push(spark, path, spark.createDataFrame([(k, 1, "flv" if k else None)], "o long, k int, format string"))
+    live = streams.run_to_end(streams.read(spark, path, "o long, k int, format string"))
+    assert [r["first_format"] for r in streams.first_known(live, ["k"], "o", "format").orderBy("o").collect()] == [None, "flv", "flv"]
+
+
+def test_spooled_records_are_sent_once(spark, tmp_path):
+    path, sent = f"file://{tmp_path}/spool", []
+    for name in ("b1", "b2"):
+        streams.spool(spark.createDataFrame([(name,)], "r string"), path, name)
+
+    def send(df):
+        if len(sent) == 1 and df.first()["r"] == "b2" and "failed" not in sent:
+            sent.append("failed")
+            raise OSError("no line")
+        sent.append(df.first()["r"])
+
+    with pytest.raises(OSError):
+        streams.resend(spark, path, send)
+    assert streams.resend(spark, path, send) == ["b2"] and streams.resend(spark, path, send) == []
+    assert sent == ["b1", "failed", "b2"]
+
+
+def test_bitrate_rule_across_batches(spark, tmp_path):
+    from tidemark.operators import abr
+
+    rnd, rungs = random.Random(4), [(0, 400_000), (1, 1_200_000), (2, 2_500_000), (3, 5_000_000)]
+    rows = [(k, i, rnd.choice([0, 300_000, 700_000, 4_000_000, 9_000_000]), rnd.randint(0, 6000), 4000 * i, rnd.randint(0, 40_000)) for i in range(40) for k in range(3)]
+    schema = "k int, n long, measured long, transfer_ms long, start_ms long, buffer_ms long"
+    for a in range(0, len(rows), 30):
+        spark.createDataFrame(rows[a : a + 30], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    got = streams.run_to_end(streams.replay_rates(streams.read(spark, f"file://{tmp_path}/in", schema), rungs, "k"))
+    assert rows_of(got) == rows_of(abr.replay(spark.createDataFrame(rows, schema), rungs, ["k"]))

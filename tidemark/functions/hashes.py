@@ -7,6 +7,7 @@ import hmac
 import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,9 +50,12 @@ def murmur3_128(data: bytes, seed: int = 0) -> bytes:
 
 
 def djb2(data: bytes, seed: int = 5381) -> int:
-    for b in data:
-        seed = (seed * 33 + b) & 0xFFFFFFFF
-    return seed
+    """The sum of each byte times 33 to the power of the bytes after it, and the seed ahead of them, in 32 bits."""
+    n = len(data)
+    powers = np.full(n + 1, 33, np.uint32)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers, dtype=np.uint32)[::-1]
+    return (int((np.frombuffer(data, np.uint8) * powers[1:]).sum(dtype=np.uint32)) + seed * int(powers[0])) & 0xFFFFFFFF
 
 
 def _numbers(name: str, one):
@@ -116,9 +120,9 @@ def unhex_strict(text: Column) -> Column:
     return F.when((F.length(text) % 2 == 0) & text.rlike("^[0-9A-Fa-f]*$"), F.unhex(text))
 
 
-def read_number(data: Column, at: int, size: int, little: bool = False) -> Column:
+def read_number(data: Column, at: int | Column, size: int, little: bool = False) -> Column:
     """An unsigned number of up to 7 bytes from place `at`, big-endian unless little."""
-    part = F.substring(data, at + 1, size)
+    part = F.substring(data, F.lit(at + 1) if isinstance(at, int) else at + 1, F.lit(size))
     digits = F.hex(part)
     if little:
         digits = F.array_join(F.reverse(F.regexp_extract_all(F.hex(part), F.lit("(..)"), F.lit(1))), "")
@@ -131,6 +135,26 @@ def read_bits(data: Column, first_bit: int, n: int) -> Column:
     return F.shiftright(read_number(data, start, end - start), end * 8 - first_bit - n).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
 
 
+def bit_text(data: Column) -> Column:
+    """The bits of a binary column, as text of 0 and 1."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.hex(data), F.lit("(.)"), F.lit(1)), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
+
+
+def exp_golomb_at(bits: Column, at: Column | int = 0) -> Column:
+    """struct<value, next>: the unsigned Exp-Golomb number that begins at a bit place of a text of bits, and where it ends;
+    null where the code is cut short (codes of up to 62 bits)."""
+    at = F.lit(at) if isinstance(at, int) else at
+    rest = F.substring(bits, at + 1, F.length(bits))
+    zeros = F.instr(rest, "1") - 1
+    value = F.conv(F.substring(rest, zeros + 1, zeros + 1), 2, 10).cast("long") - 1
+    return F.when((zeros >= 0) & (2 * zeros + 1 <= F.length(rest)), F.struct(value.alias("value"), (at + 2 * zeros + 1).alias("next")))
+
+
+def signed_golomb_of(value: Column) -> Column:
+    """The signed number that an unsigned Exp-Golomb number stands for: 0, 1, -1, 2, -2, ..."""
+    return F.when(value % 2 == 1, F.floor((value + 1) / 2)).otherwise(-F.floor(value / 2)).cast("long")
+
+
 def exp_golomb(bits: str) -> tuple[int, str]:
     """The unsigned number that a string of 0 and 1 begins with, and what is left."""
     zeros = len(bits) - len(bits.lstrip("0"))
@@ -145,6 +169,32 @@ def signed_golomb(bits: str) -> tuple[int, str]:
     return ((n + 1) // 2 if n % 2 else -(n // 2)), rest
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 without line breaks."""
+    return F.regexp_replace(F.base64(data.cast("binary")), "[\\r\\n]", "")
+
+
+def from_base64(text: Column) -> Column:
+    """The bytes, null for a text that is no base64."""
+    return F.when(text.rlike(r"^[A-Za-z0-9+/]*={0,2}$") & (F.length(text) % 4 == 0), F.unbase64(text))
+
+
+def double_of(data: Column, at: int = 0) -> Column:
+    """The number in eight big-endian bytes of IEEE double precision."""
+    high, low = read_number(data, at, 4), read_number(data, at + 4, 4)
+    sign = F.when(F.shiftright(high, 31) == 1, -1.0).otherwise(1.0)
+    exponent = F.shiftright(high, 20).bitwiseAND(F.lit(0x7FF))
+    fraction = high.bitwiseAND(F.lit(0xFFFFF)).cast("double") * F.lit(2.0**-20) + low.cast("double") * F.lit(2.0**-52)
+    special = F.when(fraction == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    small = sign * fraction * F.lit(2.0**-1022)
+    return F.when(exponent == 0x7FF, special).when(exponent == 0, small).otherwise(sign * (1 + fraction) * F.pow(F.lit(2.0), (exponent - 1023).cast("double")))
+
+
+def all_flags(value: Column, mask: int) -> Column:
+    """Whether all bits of the mask are set."""
+    return value.bitwiseAND(F.lit(mask)) == mask
+
+
 def decrypt_cbc(data: Column, key: Column, iv: Column) -> Column:
     """AES-CBC with its padding; the iv goes before the data."""
     return F.aes_decrypt(F.concat(iv, data), key, F.lit("CBC"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from math import gcd
+import math
+import re
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WRAP_33 = 1 << 33
 
@@ -73,18 +72,22 @@ def log2_floor(x: Column) -> Column:
 
 
 def gcd_of(a: Column, b: Column) -> Column:
-    @F.pandas_udf(T.LongType())
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(p) or pd.isna(q) else gcd(int(p), int(q)) for p, q in zip(x, y, strict=True)], dtype="Int64")
+    """The greatest common divisor of whole numbers, by at most 92 steps of Euclid's rule; that of 0 and 0 is 0."""
+    step = lambda acc, _: F.when(acc["y"] == 0, acc).otherwise(F.struct(acc["y"].alias("x"), (acc["x"] % acc["y"]).alias("y")))
+    start = F.struct(F.abs(a.cast("long")).alias("x"), F.abs(b.cast("long")).alias("y"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda acc: acc["x"])
 
-    return run(a.cast("long"), b.cast("long"))
+
+def _whole(x: Column, y: Column) -> Column:
+    """x / y for whole numbers that divide."""
+    return _div(F.abs(x), y).cast("long") * F.when(x < 0, -1).otherwise(1)
 
 
 def reduce(num: Column, den: Column) -> Column:
     """struct<num, den> in lowest terms, the sign on top."""
-    g = F.greatest(gcd_of(F.abs(num), F.abs(den)), F.lit(1))
+    g = F.greatest(gcd_of(num, den), F.lit(1))
     sign = F.when(den < 0, -1).otherwise(1)
-    return F.struct((sign * F.expr("1") * num / g).cast("long").alias("num"), F.abs(den / g).cast("long").alias("den"))
+    return F.struct((sign * _whole(num.cast("long"), g)).alias("num"), F.abs(_whole(den.cast("long"), g)).alias("den"))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -103,9 +106,51 @@ def divide(a: Column, b: Column) -> Column:
     return reduce(a["num"] * b["den"], a["den"] * b["num"])
 
 
-def nearest_rational(value: float, choices: list[tuple[int, int]]) -> int:
+def nearest_rational(value: Column | float, choices: list[tuple[int, int]]) -> Column:
     """The index of the nearest of a list of fractions, the first of equals."""
-    return min(range(len(choices)), key=lambda i: (abs(choices[i][0] / choices[i][1] - value), i))
+    value = F.lit(value) if isinstance(value, (int, float)) else value
+    far = F.array(*[F.struct(F.abs(F.lit(n / d) - value).alias("far"), F.lit(i).alias("i")) for i, (n, d) in enumerate(choices)])
+    return F.array_min(far)["i"]
+
+
+def add_stable(ts: Column, ts_num: int, ts_den: int, inc_num: int, inc_den: int, n: int = 1) -> Column:
+    """ts, in units of ts_num/ts_den, after n steps of inc_num/inc_den, so that many small steps do not drift."""
+    inc_num = inc_num * n
+    m, d = inc_num * ts_den, inc_den * ts_num
+    if m % d == 0:
+        return ts + m // d
+    if m < d:
+        return ts
+    old = rescale_q(ts, ts_num, ts_den, inc_num, inc_den)
+    back = rescale_q(old, inc_num, inc_den, ts_num, ts_den)
+    return rescale_q(old + 1, inc_num, inc_den, ts_num, ts_den) + (ts - back)
+
+
+def _near(a: int, b: int, c: int) -> int:
+    sign = -1 if a < 0 else 1
+    return sign * ((abs(a) * b * 2 + c) // (2 * c))
+
+
+def rescale_delta(df: DataFrame, ts: str, duration: str, order: list[str], keys: list[str], in_tb: tuple[int, int], fs_tb: tuple[int, int], out_tb: tuple[int, int]) -> DataFrame:
+    """keys, order, ts and out_ts: each time in units of in_tb as one of out_tb, by way of the finer fs_tb: a time that is as
+    near as rounding allows to the end of the row before it counts as that end, so that rounding does not add up."""
+    from tidemark.operators.folds import fold
+
+    fine = in_tb[0] * out_tb[1] > out_tb[0] * in_tb[1]
+    to_fs, to_out, fs_out = ((a[0] * b[1], a[1] * b[0]) for a, b in ((in_tb, fs_tb), (in_tb, out_tb), (fs_tb, out_tb)))
+
+    def step(last: int | None, row: tuple) -> tuple[int | None, list[tuple]]:
+        t, length, *rest = row
+        if last is not None and length and fine:
+            low, high = ((2 * t - 1) * to_fs[0] // to_fs[1]) >> 1, (-(-(2 * t + 1) * to_fs[0] // to_fs[1]) + 1) >> 1
+            if 2 * low - high <= last <= 2 * high - low:
+                this = min(max(last, low), high)
+                return this + length, [(*rest, t, _near(this, *fs_out))]
+        return _near(t, *to_fs) + length, [(*rest, t, _near(t, *to_out))]
+
+    kinds = dict(df.dtypes)
+    out = ", ".join(f"`{c}` {kinds[c]}" for c in order) + f", `{ts}` long, out_ts long"
+    return fold(df.withColumn(ts, F.col(ts).cast("long")), keys, order, [ts, duration, *order], None, step, out)
 
 
 def gmt_text(ts: Column) -> Column:
@@ -126,6 +171,38 @@ def timecode(frame: Column, fps: int, drop: bool = False) -> Column:
     return F.format_string("%02d:%02d:%02d" + (";" if drop else ":") + "%02d", part(fps * 3600, 24), part(fps * 60, 60), part(fps, 60), (n % fps).cast("int"))
 
 
+def parse_timecode(text: Column, fps: int) -> Column:
+    """The frame number of hh:mm:ss:ff; any other sign than a colon before the frames means that numbers are dropped, two a
+    minute but each tenth. Null if the text is no timecode."""
+    at = r"^\s*(\d+):(\d+):(\d+)(\D)\s*(\d+)"
+    part = lambda i: F.regexp_extract(text, at, i)
+    hours, minutes, seconds, frames = (part(i).cast("long") for i in (1, 2, 3, 5))
+    minutes_in_all = 60 * hours + minutes
+    n = (hours * 3600 + minutes * 60 + seconds) * fps + frames
+    return F.when(text.rlike(at), F.when(part(4) == ":", n).otherwise(n - 2 * (minutes_in_all - F.floor(minutes_in_all / 10))))
+
+
+#: What expression() lets through besides numbers, columns and + - * / % ( ) ,
+EXPRESSION_FUNCTIONS = {"abs", "ceil", "cos", "exp", "floor", "greatest", "least", "ln", "log2", "pow", "round", "sign", "sin", "sqrt", "tan", "trunc"}
+EXPRESSION_CONSTANTS = {"PI": math.pi, "E": math.e, "PHI": (1 + math.sqrt(5)) / 2}
+
+
+def expression(text: str, names: dict[str, str]) -> Column:
+    """An arithmetic expression over named columns (names: name in the text -> column) and the usual constants and functions,
+    as a column expression of doubles; anything else in it raises ValueError."""
+    out = []
+    for number, name, sign, other in re.findall(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?)|([A-Za-z_]\w*)|([-+*/%(),])|(\S))", text):
+        if other or (name and name not in names and name not in EXPRESSION_CONSTANTS and name not in EXPRESSION_FUNCTIONS):
+            raise ValueError(f"not in an expression: {other or name!r}")
+        if number:
+            out.append(f"{number}D")
+        elif name:
+            out.append(f"cast(`{names[name]}` as double)" if name in names else f"{EXPRESSION_CONSTANTS[name]!r}D" if name in EXPRESSION_CONSTANTS else name)
+        else:
+            out.append(sign)
+    return F.expr(" ".join(out))
+
+
 def lyric_time(text: Column) -> Column:
     """[mm:ss.cc] as milliseconds, with a sign before the minutes if any; null if it is none."""
     at = r"^\[(-?)(\d+):(\d{2})(?:[.:](\d{1,3}))?\]"

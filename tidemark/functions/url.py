@@ -139,3 +139,17 @@ def ipv4_number(text: Column) -> Column:
     for i in range(4):
         number = number * 256 + F.get(parts, F.lit(i)).cast("long")
     return F.when(is_ipv4(text), number)
+
+
+def escape_non_ascii(url: Column) -> Column:
+    """Percent escapes for all that is not ASCII; the rest stays as it is."""
+    pieces = F.regexp_extract_all(url, F.lit("([\\x00-\\x7F]+|[^\\x00-\\x7F]+)"), F.lit(1))
+    escaped = lambda p: F.regexp_replace(F.hex(F.encode(p, "UTF-8")), "(..)", "%$1")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[\\x00-\\x7F]"), p).otherwise(escaped(p))), "")
+
+
+def change_case(text: Column, n: int, upper: bool = False) -> Column:
+    """The first n characters in the other case, letters of ASCII only."""
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    head, tail = F.substring(text, 1, n), F.substring(text, F.lit(n + 1), F.length(text))
+    return F.concat(F.translate(head, *((small, large) if upper else (large, small))), tail)

@@ -2,43 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import fold
+
 #: Fixed values of the rule.
 RISE_DELAY_MS, DROP_BUFFER_MS = 20_000, 18_000
 FIRST_LIMIT, LIMIT = 3_000_000, 10_000_000
 HEADROOM_TENTHS, TRANSFER_TENTHS, DROP_PERCENT = 13, 11, 80
+#: A ladder is short by nature; one of more rungs is refused.
+MOST_RUNGS = 1000
+LOG = ["n", "measured", "transfer_ms", "start_ms", "buffer_ms"]
+
+
+class State(NamedTuple):
+    """The rung, how often it was changed, and the start of the segment at which it was changed last."""
+
+    at: int = 0
+    n_changes: int = 0
+    last_change: int = 0
 
 
 def ladder(rungs: DataFrame, key: str = "stream_id", bitrate: str = "bitrate") -> list[tuple[int, int]]:
-    """(stream, bitrate) by rising bitrate; of equal ones the later stream comes first. A ladder is short by nature."""
-    return [(r[0], r[1]) for r in rungs.select(key, bitrate).orderBy(F.col(bitrate).asc(), F.col(key).desc()).collect()]
-
-
-def _decide(rungs: list[tuple[int, int]], strict: bool, forced: int | None):
-    rates = F.array(*[F.lit(b).cast("long") for _, b in rungs])
-    rate = lambda i: F.element_at(rates, i + 1)
-
-    def fold(acc: Column, r: Column) -> Column:
-        if forced is not None:
-            at, changed, n_changes, last = F.lit(forced), F.lit(False), acc["n_changes"], acc["last_change"]
-        else:
-            limit = F.when((acc["n_changes"] == 0) & F.lit(len(rungs) > 2), F.lit(FIRST_LIMIT)).otherwise(F.lit(LIMIT))
-            fit = F.size(F.filter(rates, lambda b: (b * HEADROOM_TENTHS <= r["measured"] * 10) & (b < limit)))
-            want = F.greatest(F.lit(0), fit - 1)
-            cur, new = rate(acc["at"]), rate(want)
-            need = F.floor(r["transfer_ms"] * F.floor(new / cur) * TRANSFER_TENTHS / 10)
-            rise = (r["start_ms"] >= acc["last_change"] + RISE_DELAY_MS) & (need <= r["buffer_ms"])
-            worth = cur * DROP_PERCENT * (100 if strict else 1)
-            keep_up = (r["buffer_ms"] > DROP_BUFFER_MS) & ((worth < r["measured"]) if strict else (worth < r["measured"] * 100))
-            changed = (r["measured"] > 0) & (want != acc["at"]) & F.when(new > cur, rise).when(new < cur, ~keep_up).otherwise(F.lit(True))
-            at = F.when(changed, want).otherwise(acc["at"])
-            n_changes, last = acc["n_changes"] + changed.cast("int"), F.when(changed, r["start_ms"]).otherwise(acc["last_change"])
-        row = F.struct(r["n"].alias("n"), at.cast("int").alias("rung"), changed.alias("changed"))
-        return F.struct(at.cast("int").alias("at"), n_changes.cast("int").alias("n_changes"), last.cast("long").alias("last_change"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return fold
+    """(stream, bitrate) by rising bitrate; of equal ones the later stream comes first."""
+    rows = rungs.select(key, bitrate).orderBy(F.col(bitrate).asc(), F.col(key).desc()).limit(MOST_RUNGS + 1).collect()
+    if len(rows) > MOST_RUNGS:
+        raise ValueError(f"a ladder has at most {MOST_RUNGS} rungs")
+    return [(r[0], r[1]) for r in rows]
+
+
+def decide(state: State, rates: list[int], measured: int, transfer_ms: int, start_ms: int, buffer_ms: int, strict: bool) -> tuple[State, bool]:
+    """The state after one download, and whether the rung changed."""
+    limit = FIRST_LIMIT if state.n_changes == 0 and len(rates) > 2 else LIMIT
+    fit = sum(b * HEADROOM_TENTHS <= measured * 10 and b < limit for b in rates)
+    want = max(0, fit - 1)
+    cur, new = rates[state.at], rates[want]
+    if measured <= 0 or want == state.at:
+        return state, False
+    if new > cur and (start_ms < state.last_change + RISE_DELAY_MS or transfer_ms * (new // cur) * TRANSFER_TENTHS // 10 > buffer_ms):
+        return state, False
+    ample = cur * DROP_PERCENT * 100 < measured if strict else cur * DROP_PERCENT < measured * 100
+    if new < cur and buffer_ms > DROP_BUFFER_MS and ample:
+        return state, False
+    return State(want, state.n_changes + 1, start_ms), True
 
 
 def replay(log: DataFrame, rungs: list[tuple[int, int]], keys: list[str], start_rung: int = 0, forced_stream: int | None = None, strict_reference: bool = True) -> DataFrame:
@@ -48,14 +57,19 @@ def replay(log: DataFrame, rungs: list[tuple[int, int]], keys: list[str], start_
     with 1.3 times its bitrate measured and under the limit is wanted, else the lowest. A rise waits 20 s of media from
     the last change and needs the buffer to last the longer transfer; a drop is put off while the buffer is long and the
     measured rate is ample. strict_reference keeps the original's factor of 8000 for "ample", else it is 80 %. A measured
-    rate of 0 decides nothing. Each key's downloads are folded in order inside one row.
+    rate of 0 decides nothing. Each key's downloads are read one after another.
     """
-    ids = F.array(*[F.lit(s) for s, _ in rungs])
-    rates = F.array(*[F.lit(b).cast("long") for _, b in rungs])
-    forced = next((i for i, (s, _) in enumerate(rungs) if s == forced_stream), None) if forced_stream is not None else None
-    if forced_stream is not None and forced is None:
+    ids, rates = [s for s, _ in rungs], [int(b) for _, b in rungs]
+    if forced_stream is not None and forced_stream not in ids:
         raise ValueError(f"no stream {forced_stream} in the ladder")
-    zero = F.struct(F.lit(start_rung).alias("at"), F.lit(0).alias("n_changes"), F.lit(0).cast("long").alias("last_change"), F.array().cast("array<struct<n:bigint,rung:int,changed:boolean>>").alias("out"))
-    rows = log.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), *[F.col(c).cast("long").alias(c) for c in ("measured", "transfer_ms", "start_ms", "buffer_ms")]))).alias("rows"))
-    out = rows.select(*keys, F.explode(F.aggregate("rows", zero, _decide(rungs, strict_reference, forced), lambda acc: acc["out"])).alias("r"))
-    return out.select(*keys, F.col("r.n").alias("n"), F.element_at(ids, F.col("r.rung") + 1).alias("stream_id"), F.element_at(rates, F.col("r.rung") + 1).alias("bitrate"), F.col("r.changed").alias("changed"))
+    start = State(ids.index(forced_stream) if forced_stream is not None else start_rung)
+
+    def step(state: State, row: tuple) -> tuple[State, list[tuple]]:
+        n, *measure = row
+        changed = False
+        if forced_stream is None:
+            state, changed = decide(state, rates, *measure, strict_reference)
+        return state, [(n, ids[state.at], rates[state.at], changed)]
+
+    rows = log.select(*keys, *[F.col(c).cast("long").alias(c) for c in LOG])
+    return fold(rows, keys, LOG, LOG, start, step, "n long, stream_id int, bitrate long, changed boolean")

@@ -59,3 +59,36 @@ def neighbours(queries: DataFrame, items: DataFrame, keys: list[str], at: str, t
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on keys; Spark broadcasts the table if its size allows."""
     return rows.join(table, keys, "left")
+
+
+def align(inputs: list[DataFrame], keys: list[str], ts: str, tie: str, columns: list[str], levels: list[int] | None = None, before: list[str] | None = None, after: list[str] | None = None) -> DataFrame:
+    """Frames of several inputs at the times of those with the highest sync level: keys, ts, and for input i the columns
+    i_ts and i_... of its last row at or before that time; one exchange for all inputs.
+
+    levels: by default the first input alone drives. before and after, for each input: "null" (nothing ahead of its first or
+    past its last row), "infinity" (its first or last row instead), or "stop" (no output there); by default null and
+    infinity. Several rows of one input at one time: the last by tie counts. One output for each time.
+    """
+    n = len(inputs)
+    levels, before, after = levels or [1] + [0] * (n - 1), before or ["null"] * n, after or ["infinity"] * n
+    rows = [d.select(*keys, F.col(ts).alias("_t"), F.lit(i).alias("_i"), F.struct(F.col(ts).alias("t"), F.col(tie).alias("tie"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]).alias("_r")) for i, d in enumerate(inputs)]
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r)
+    whole = Window.partitionBy(*keys)
+    so_far = whole.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = lambda i: F.when(F.col("_i") == i, F.col("_r"))
+    both = both.withColumns({f"_found{i}": F.max(own(i)).over(so_far) for i in range(n)} | {f"_first{i}": F.min(own(i)).over(whole) for i in range(n)} | {f"_end{i}": F.max(F.when(F.col("_i") == i, F.col("_t"))).over(whole) for i in range(n)})
+    drivers = [i for i in range(n) if levels[i] == max(levels)]
+    out = both.filter(F.col("_i").isin(drivers)).dropDuplicates([*keys, "_t"])
+    made = []
+    for i in range(n):
+        found, past = F.col(f"_found{i}"), F.coalesce(F.col("_t") > F.col(f"_end{i}"), F.lit(False))
+        if before[i] == "stop":
+            out = out.filter(found.isNotNull())
+        if after[i] == "stop":
+            out = out.filter(~past)
+        value = F.coalesce(found, F.col(f"_first{i}")) if before[i] == "infinity" else found
+        value = F.when(~past, value) if after[i] == "null" else value
+        made += [value["t"].alias(f"{i}_{ts}"), *[value[f"c{k}"].alias(f"{i}_{c}") for k, c in enumerate(columns)]]
+    return out.select(*keys, F.col("_t").alias(ts), *made)

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import fold
 from tidemark.storage import materialize
 
 #: Most and least bytes of a range of a keyless stream, as Spark estimates them.
@@ -117,10 +118,10 @@ def permute(df: DataFrame, order: list[str], payload: list[str], mapping: str, k
 
 
 def random_in_batches(df: DataFrame, order: list[str], payload: list[str], size: int, seed: int, keys: list[str]) -> DataFrame:
-    """Payload in a random order inside batches of `size`, times ascending; the same for the same seed."""
+    """Payload in a random order, that of a digest of seed, keys and place, inside batches of `size`; times ascending."""
     placed = positions(df, order, keys).withColumn("batch", F.expr(f"(seq - 1) div {size}"))
     at = F.row_number().over(Window.partitionBy(*keys, "batch").orderBy("seq"))
-    drawn = F.row_number().over(Window.partitionBy(*keys, "batch").orderBy(F.xxhash64(F.lit(seed), *keys, "seq"), "seq"))
+    drawn = F.row_number().over(Window.partitionBy(*keys, "batch").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("seq").cast("string"))), "seq"))
     source = placed.select(*keys, "batch", drawn.alias("place"), *payload)
     return placed.drop(*payload).withColumn("place", at).join(source, [*keys, "batch", "place"]).drop("place")
 
@@ -193,27 +194,26 @@ def smooth_jitter(df: DataFrame, order: list[str], ts: str, keys: list[str], cyc
 
     The first cycle + 2 times only scale. A later one adds (cycle+1) times its distance from the time `cycle` rows before
     it, less (cycle-1) times the distance between the rows 1 and cycle + 1 before it: over a whole cadence this is steady.
-    A time before all that is remembered shifts the memory. The fold runs along each key's sorted times.
+    A time before all that is remembered shifts the memory. Each key's times are read one after another, and only the last
+    cycle + 2 of them are held.
     """
-    struct = F.array_sort(F.collect_list(F.struct("seq", F.col(ts).alias("t"))))
-    got = positions(df.filter(F.col(ts).isNotNull()), order, keys).groupBy(*keys).agg(struct.alias("rows"))
     size = cycle + 2
 
-    def fold(acc: Column, r: Column) -> Column:
-        ring, n, new = acc["ring"], acc["n"], acc["new"]  # ring: the last `size` times, oldest first
-        warm = n < size
-        t = r["t"]
-        at = lambda i: F.element_at(ring, i + 1)
-        runs_back = (~warm) & (t < at(0))
-        shift = F.when(runs_back, t + at(1) - at(2) - at(size - 1)).otherwise(F.lit(0).cast("long"))
-        moved = F.transform(ring, lambda x: x + shift)
-        m = lambda i: F.element_at(moved, i + 1)
-        value = F.when(warm, t * (2 * cycle)).otherwise(new + (m(1) - m(size - 1)) * (cycle - 1) + (t - m(2)) * (cycle + 1))
-        kept = F.when(warm, F.concat(ring, F.array(t))).otherwise(F.concat(F.slice(moved, 2, size - 1), F.array(t)))
-        return F.struct(kept.alias("ring"), (n + 1).alias("n"), value.alias("new"), F.concat(acc["out"], F.array(F.struct(r["seq"].alias("seq"), t.alias("ts"), value.alias("new_ts")))).alias("out"))
-
-    zero = F.struct(F.array().cast("array<bigint>").alias("ring"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("new"), F.array().cast("array<struct<seq:bigint,ts:bigint,new_ts:bigint>>").alias("out"))
-    return got.select(*keys, F.explode(F.aggregate("rows", zero, fold, lambda acc: acc["out"])).alias("r")).select(*keys, "r.*")
+    def step(state: tuple[tuple[int, ...], int, int], row: tuple) -> tuple[tuple, list[tuple]]:
+        ring, n, new = state  # ring: the last `size` times, oldest first
+        t = row[0]
+        if n < size:
+            new, ring = t * 2 * cycle, (*ring, t)
+        else:
+            if t < ring[0]:
+                shift = t + ring[1] - ring[2] - ring[-1]
+                ring = tuple(x + shift for x in ring)
+            new += (ring[1] - ring[-1]) * (cycle - 1) + (t - ring[2]) * (cycle + 1)
+            ring = (*ring[1:], t)
+        return (ring, n + 1, new), [(n + 1, t, new)]
+
+    times = df.filter(F.col(ts).isNotNull()).withColumn("_t", F.col(ts).cast("long"))
+    return fold(times, keys, order, ["_t"], ((), 0, 0), step, "seq long, ts long, new_ts long")
 
 
 def byte_slice(content: Column, start: int, end: int) -> Column:

@@ -67,7 +67,7 @@ def seek_and_disable(spark, sf_dir):
     return timeline.seek(events(spark, sf_dir), "us", 1705276800000000).filter("event_type <> 'view'").select("event_id", "user_id", "us")
 
 
-@query(f"with {E_SQL} select user_id, arg_min(event_id, us) as event_id, min(us) as us from e where us >= 1705276800000000 group by user_id")
+@query(f"with {E_SQL} select user_id, arg_min(event_id, (us, event_id)) as event_id, min(us) as us from e where us >= 1705276800000000 group by user_id")
 def first_frame_after(spark, sf_dir):
     return timeline.first_at_or_after(events(spark, sf_dir), "us", 1705276800000000, "event_id", ["user_id"]).select("user_id", "event_id", "us")
 
@@ -254,7 +254,8 @@ def ts_interpolate(spark, sf_dir):
     return timeline.interpolate_times(e, ["us", "event_id"], "ts", ["user_id"]).select("user_id", "event_id", "filled_ts")
 
 
-@query()
+@query(f"""with {E_SQL}, p as (select *, row_number() over w as seq, lag(us, 5) over w as a, lag(us, 1) over w as b, lag(us, 4) over w as c from e window w as (partition by user_id order by us, event_id))
+select user_id, seq, us as ts, cast(case when seq <= 6 then us * 8 else max(case when seq = 6 then us * 8 end) over (partition by user_id) + sum(case when seq > 6 then (a - b) * 3 + (us - c) * 5 else 0 end) over (partition by user_id order by seq rows unbounded preceding) end as bigint) as new_ts from p""")
 def dejudder_times(spark, sf_dir):
     return timeline.smooth_jitter(events(spark, sf_dir), ["us", "event_id"], "us", ["user_id"], 4)
 
@@ -333,7 +334,16 @@ def map_lookup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", maps.lookup(maps.parse(q), "PAGE").alias("page"))
 
 
-@query()
+@query(f"""with recursive {E_SQL}, log as (select user_id, row_number() over (partition by user_id order by us, event_id) as n, cents * 1000 as measured, cents % 4000 as transfer, event_id * 37 % 30000 as buffer from e),
+k as (select cast([400000, 1200000, 2500000, 5000000] as bigint[]) as rates),
+s(user_id, n, spot, changes, last, changed) as (select distinct user_id, cast(0 as bigint), 1, 0, cast(0 as bigint), false from log
+  union all select user_id, n, case when go then want else spot end, case when go then changes + 1 else changes end, case when go then n * 4000 else last end, go from (
+    select *, measured > 0 and want <> spot and case when rates[want] > rates[spot] then n * 4000 >= last + 20000 and transfer * (rates[want] // rates[spot]) * 11 // 10 <= buffer
+      when rates[want] < rates[spot] then not (buffer > 18000 and rates[spot] * 8000 < measured) else true end as go
+    from (select s.user_id, log.n, s.spot, s.changes, s.last, log.measured, log.transfer, log.buffer, k.rates,
+      greatest(1, len(list_filter(k.rates, lambda b: b * 13 <= log.measured * 10 and b < case when s.changes = 0 then 3000000 else 10000000 end))) as want
+      from s join log on log.user_id = s.user_id and log.n = s.n + 1, k)))
+select user_id, n, cast(spot - 1 as integer) as stream_id, cast(rates[spot] as bigint) as bitrate, changed from s, k where n > 0""")
 def abr_replay(spark, sf_dir):
     e = events(spark, sf_dir)
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id"))
@@ -389,17 +399,34 @@ def stream_sample_windows(spark, sf_dir):
     return streams.run_to_end(day, "complete")
 
 
-@query()
+#: Commands of the scripts that users' events become; one is none.
+WORDS = ["open", "seek", "play", "pause", "pasue"]
+
+
+@query(f"""with {E_SQL}, p as (select *, row_number() over (partition by user_id order by us, event_id) as i from e)
+select cast(user_id as varchar) || '.tst' as file, cast(2 * i as bigint) as line_no, 'day' || (us // 86400000000) as section, case when event_id % 3 = 0 then 'URL' else 'ACTION' end as key,
+case when event_id % 3 = 0 then 'http://a.example/v.mp4?t=' || cents else list_extract(['open', 'seek', 'play', 'pause', 'pasue'], cast(event_id % 5 + 1 as integer)) || ':' || cents || ':a:b' end as value,
+case when event_id % 3 <> 0 then list_extract(['open', 'seek', 'play', 'pause', 'pasue'], cast(event_id % 5 + 1 as integer)) end as cmd, case when event_id % 3 <> 0 then cents end as at_ms, case when event_id % 3 <> 0 then 'a:b' end as args, case when event_id % 3 <> 0 then event_id % 5 < 4 end as known from p""")
 def script_actions(spark, sf_dir):
-    text = "[Open]\nURL=http://a.example/v.mp4\n; a comment\nACTION=open:0:http://a.example/v.mp4\nACTION=seek:1500:30000\nACTION=pasue:10\n[Close]\nACTION=exit:9000"
-    rows = spark.createDataFrame([("t.tst", i, x) for i, x in enumerate(text.split("\n"))], "file string, line_no int, text string")
-    return scripts.parse(rows)
+    """A script for each user: a section for each event's day, and below it an address or an action."""
+    e = events(spark, sf_dir)
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")).cast("long")
+    cmd = F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col("event_id") % 5 + 1).cast("int"))
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" URL = http://a.example/v.mp4?t="), F.col("cents"))).otherwise(F.concat(F.lit("ACTION="), cmd, F.lit(":"), F.col("cents"), F.lit(":a:b")))
+    rows = e.select(F.concat(F.col("user_id").cast("string"), F.lit(".tst")).alias("file"), i.alias("i"), F.concat(F.lit("[day"), F.expr("us div 86400000000"), F.lit("]")).alias("head"), line.alias("line"))
+    return scripts.parse(rows.select("file", (F.col("i") * 2 - 1).alias("i"), F.posexplode(F.array("head", "line")).alias("k", "text")).select("file", (F.col("i") + F.col("k")).cast("long").alias("line_no"), "text"))
 
 
-@query()
+@query(f"""with {E_SQL}, p as (select *, row_number() over (partition by user_id order by us, event_id) as i from e)
+select cast(user_id as bigint) as file_id, cast(i - 1 as integer) as n, i * 4000 + cents % 1000 as start_ms, i * 4000 + 2500 as end_ms, event_type || chr(10) || 'no. ' || event_id as text from p""")
 def subtitle_cues(spark, sf_dir):
-    text = "1\n00:00:01,500 --> 00:00:03,000\nOne\n\n2\n00:01:00,000 --> 00:01:02,250\nTwo\nlines\n"
-    return subtitles.blocks(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")
+    """A subtitle file for each user, a cue for each event."""
+    clock = lambda ms: F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3_600_000).cast("int"), (F.floor(ms / 60_000) % 60).cast("int"), (F.floor(ms / 1000) % 60).cast("int"), (ms % 1000).cast("int"))
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")).cast("long")
+    cue = F.concat(F.col("i").cast("string"), F.lit("\r\n"), clock(F.col("i") * 4000 + F.col("cents") % 1000), F.lit(" --> "), clock(F.col("i") * 4000 + 2500), F.lit("\r\n"), "event_type", F.lit("\r\nno. "), F.col("event_id").cast("string"), F.lit("\r\n"))
+    rows = events(spark, sf_dir).withColumn("i", i).select("user_id", "i", cue.alias("cue"))
+    files = rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "cue"))), lambda x: x["cue"]), "\r\n").alias("text"))
+    return subtitles.blocks(files, "user_id", "text").withColumn("file_id", F.col("file_id").cast("long"))
 
 
 @query(f"""with {E_SQL}, {ASOF}, f as (select user_id, arg_min(event_id, us) as first_id from v group by 1)
@@ -453,29 +480,41 @@ def vector_errors(spark, sf_dir):
     return both.select("vec_id", F.round(stats.squared_error(F.col("x"), F.col("y")) * 1000000).cast("long").alias("ssd_ppm"), F.round(stats.absolute_error(F.col("x"), F.col("y")) * 1000).cast("long").alias("sad_k"))
 
 
-@query(f"with {E_SQL} select 'user_id' as term, cast(round(cast(sum(user_id * cents) as double) / sum(user_id * user_id), 6) * 1000000 as bigint) as coefficient_ppm from e")
+@query(f"""with {E_SQL}, p as (select cast(user_id as double) as a, cast(event_id % 97 as double) as b, cast(cents as double) as y from e), m as (select sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * y) as ay, sum(b * y) as byy from p)
+select 'user_id' as term, cast(round((ay * bb - byy * ab) / (aa * bb - ab * ab) * 1000) as bigint) as coefficient_k from m union all select 'rest', cast(round((byy * aa - ay * ab) / (aa * bb - ab * ab) * 1000) as bigint) from m""")
 def least_squares_fit(spark, sf_dir):
-    fit = stats.least_squares(events(spark, sf_dir), "cents", ["user_id"])
-    return spark.createDataFrame([("user_id", round(round(fit[0], 6) * 1000000))], "term string, coefficient_ppm long")
+    fit = stats.least_squares(events(spark, sf_dir).withColumn("rest", F.col("event_id") % 97), "cents", ["user_id", "rest"])
+    return spark.createDataFrame([(t, round(c * 1000)) for t, c in zip(["user_id", "rest"], fit, strict=True)], "term string, coefficient_k long")
 
 
-@query(f"with {E_SQL}, m as (select avg(cents) as m, count(*) as n from e) select cast(round(sum((cents - m) * (cents - m)) / max(n)) as bigint) as variance from e, m")
+@query("""with p as (select cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings), m as (select avg(x * x) - avg(x) * avg(x) as a, avg(x * y) - avg(x) * avg(y) as b, avg(y * y) - avg(y) * avg(y) as c from p), v as (select *, sqrt((a - c) * (a - c) / 4 + b * b) as d from m)
+select 1 as rank, cast(round(((a + c) / 2 + d) * 1000000) as bigint) as variance_ppm from v union all select 2, cast(round(((a + c) / 2 - d) * 1000000) as bigint) from v""")
 def principal_variance(spark, sf_dir):
-    (value, _), *_ = stats.principal_components(events(spark, sf_dir), ["cents"])
-    return spark.createDataFrame([(round(value),)], "variance long")
+    v = table(spark, sf_dir, "embeddings").select(*[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in (1, 2)])
+    found = stats.principal_components(v, ["x1", "x2"])
+    return spark.createDataFrame([(i + 1, round(value * 1_000_000)) for i, (value, _) in enumerate(found)], "rank int, variance_ppm long")
 
 
-@query()
+@query(f"""with recursive {E_SQL}, c as (select event_type, count(*) as n from e group by 1),
+h(heap, next, hits) as (select list({{'n': n, 'k': k, 'of': [event_type]}} order by n, k), 5, cast([] as varchar[]) from (select *, row_number() over (order by event_type) - 1 as k from c)
+  union all select list_sort(list_append(heap[3:], {{'n': heap[1].n + heap[2].n, 'k': next, 'of': list_concat(heap[1].of, heap[2].of)}})), next + 1, list_concat(hits, heap[1].of, heap[2].of) from h where len(heap) > 1)
+select t as event_type, cast(count(*) as integer) as bits from (select unnest(hits) as t from h where len(heap) = 1) group by 1""")
 def prefix_codes(spark, sf_dir):
     counts = {r["event_type"]: r["n"] for r in events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n")).collect()}  # the alphabet: five types
     return spark.createDataFrame(sorted(stats.code_lengths(counts).items()), "event_type string, bits int")
 
 
-@query()
+@query(f"""with recursive {E_SQL}, p as (select user_id, cents, row_number() over (partition by user_id order by us, event_id) as seq from e),
+l as (select a.user_id, k, sum(cast(a.cents * b.cents as double)) as r from (select unnest(range(5)) as k) join p a on true join p b on a.user_id = b.user_id and b.seq = a.seq - k group by 1, 2),
+q as (select user_id, list(r order by k) as r from l group by 1),
+s(user_id, r, i, a, err) as (select user_id, r, 1, cast([] as double[]), r[1] from q where len(r) = 5
+  union all select user_id, r, i + 1, list_append([a[j] - f * a[i - j] for j in range(1, i)], f), err * (1 - f * f) from (select *, case when err = 0 then 0 else (r[i + 1] - coalesce(list_sum([a[j] * r[i - j + 1] for j in range(1, i)]), 0)) / err end as f from s where i <= 4))
+select user_id, cast(round(a[1] * 1000) as bigint) as a1, cast(round(a[2] * 1000) as bigint) as a2, cast(round(a[3] * 1000) as bigint) as a3, cast(round(a[4] * 1000) as bigint) as a4 from s where i = 5""")
 def linear_prediction(spark, sf_dir):
     lags = stats.autocorrelation(events(spark, sf_dir), ["us", "event_id"], "cents", ["user_id"], 4)
     rows = lags.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", F.col("product").cast("double").alias("p")))), lambda x: x["p"]).alias("r"))
-    return rows.select("user_id", F.transform(stats.linear_prediction(F.col("r"), 4), lambda x: F.round(x, 6)).alias("coefficients"))
+    a = stats.linear_prediction(F.col("r"), 4)
+    return rows.filter(F.size(F.filter("r", lambda x: x.isNotNull())) == 5).select("user_id", *[F.round(F.element_at(a, i) * 1000).cast("long").alias(f"a{i}") for i in (1, 2, 3, 4)])
 
 
 @query(f"with {E_SQL} select event_id, cast(least(32767, greatest(-32767, trunc((cents - 16000) * 2.5))) as integer) as scaled from e")
@@ -483,28 +522,52 @@ def scale_volume(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", stats.scale_volume(F.col("cents") - 16000, 250).alias("scaled"))
 
 
-@query()
+@query(f"""with {E_SQL}, p as (select *, row_number() over (partition by user_id order by us, event_id) as seq from e),
+q as (select *, (seq - 1) // 30 as batch, (seq - 1) % 30 + 1 as place, row_number() over (partition by user_id, (seq - 1) // 30 order by md5('7|' || user_id || '|' || seq), seq) as drawn from p)
+select a.user_id, a.seq, a.us, b.event_id from q a join q b on a.user_id = b.user_id and a.batch = b.batch and b.drawn = a.place""")
 def random_emit(spark, sf_dir):
     e = events(spark, sf_dir).select("user_id", "us", "event_id").withColumn("key_id", F.col("event_id"))
     return timeline.random_in_batches(e, ["us", "key_id"], ["event_id"], 30, 7, ["user_id"]).select("user_id", "seq", "us", "event_id")
 
 
-@query()
+@query(f"""with {E_SQL}, p as (select *, row_number() over w - 1 as n, lead(us) over w is null as last from e window w as (partition by user_id order by us, event_id))
+select user_id, n, us as ts, cast(case when last then 7 else 7 + event_id % 64 end as integer) as size, last from p""")
 def adts_frames(spark, sf_dir):
+    """A frame for each event; a chunk ends with a frame's header and begins with the rest of the one before it."""
+    e = events(spark, sf_dir)
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
     size = 7 + F.col("event_id") % 64
-    field = (size.cast("long") * 32 + 0x1F) + F.lit(0x80 << 16)
-    frame = F.unhex(F.concat(F.lit("FFF150"), F.lpad(F.hex(field), 6, "0"), F.lit("FC"), F.repeat(F.lit("00"), (F.col("event_id") % 64).cast("int"))))
-    return transport.split_frames(events(spark, sf_dir).select("user_id", "event_id", "us", frame.alias("data")), ["user_id"], "event_id", "us", "data").select("user_id", "n", "ts", F.octet_length("frame").alias("size"))
+    head = F.concat(F.lit("FFF150"), F.lpad(F.hex(size.cast("long") * 32 + 0x1F + F.lit(0x80 << 16)), 6, "0"), F.lit("FC"))
+    rest = F.repeat(F.lit("00"), (F.lag("event_id", 1, 0).over(w) % 64).cast("int"))
+    rows = e.select("user_id", F.row_number().over(w).alias("i"), "us", F.unhex(F.concat(F.when(F.row_number().over(w) > 1, rest).otherwise(F.lit("")), head)).alias("data"))
+    return transport.split_frames(rows, ["user_id"], "i", "us", "data").select("user_id", "n", "ts", F.octet_length("frame").alias("size"), "last")
 
 
-@query()
+PTS_SQL = "us * 9 // 100 % 8589934592"
+
+
+def _clock_hex(pts, mark):
+    """A 33-bit clock as five bytes in hex."""
+    part = lambda by, of: F.pmod(F.floor(pts / by), F.lit(of))
+    numbers = [F.lit(mark) + part(1 << 30, 8) * 2 + 1, part(1 << 22, 256), part(1 << 15, 128) * 2 + 1, part(1 << 7, 256), part(1, 128) * 2 + 1]
+    return F.concat(*[F.lpad(F.hex(x.cast("long")), 2, "0") for x in numbers])
+
+
+@query(f"""with {E_SQL} select event_id, event_id % 7 <> 0 as ok, cast(case when event_id % 7 <> 0 then 224 end as integer) as stream_id, cast(case when event_id % 7 <> 0 then 20 end as integer) as packet_length, cast(case when event_id % 7 <> 0 then {PTS_SQL} end as bigint) as pts,
+cast(case when event_id % 7 <> 0 and event_id % 2 = 0 then {PTS_SQL} // 2 end as bigint) as dts, cast(case when event_id % 7 <> 0 then case when event_id % 2 = 0 then 10 else 5 end end as integer) as header_length,
+cast(case when event_id % 7 <> 0 then case when event_id % 2 = 0 then 19 else 14 end end as integer) as data_offset, cast(case when event_id % 7 <> 0 then case when event_id % 2 = 0 then 7 else 12 end end as integer) as payload_size from e""")
 def pes_headers(spark, sf_dir):
-    e = events(spark, sf_dir).select("event_id", F.unhex(F.concat(F.lit("000001E0000C80"), F.lit("0000"), F.lpad(F.hex("event_id"), 18, "0"))).alias("data"))
-    return transport.pes_headers(e, "data", ["event_id"])
+    pts = F.expr("us * 9 div 100 % 8589934592")
+    two = F.col("event_id") % 2 == 0
+    body = F.concat(F.when(F.col("event_id") % 7 == 0, F.lit("000000")).otherwise(F.lit("000001")), F.lit("E0001480"), F.when(two, F.lit("C00A")).otherwise(F.lit("8005")), _clock_hex(pts, 0x20), F.when(two, _clock_hex(F.floor(pts / 2), 0x10)).otherwise(F.lit("")), F.repeat(F.lit("AB"), 12))
+    return transport.pes_headers(events(spark, sf_dir).select("event_id", F.unhex(body).alias("data")), "data", ["event_id"])
 
 
-@query()
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id) as seq from events) where (seq - 1) % 5 = 0")
 def stream_every_nth(spark, sf_dir):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_id", "event_type")
     return streams.run_to_end(streams.step(e, "user_id", "event_id", 5))
+
+
+from tidemark import format_queries as _more  # noqa: E402, F401  registers its queries here

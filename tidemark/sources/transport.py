@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.functions.hashes import read_number
+from tidemark.operators.folds import fold
 from tidemark.schema import PES_HEADER
 
 PACKET_BYTES = 188
@@ -39,43 +37,99 @@ def packet_header(raw: Column) -> Column:
     return F.struct(bit(flags, 15).alias("error"), bit(flags, 14).alias("unit_start"), bit(flags, 13).alias("priority"), flags.bitwiseAND(F.lit(0x1FFF)).cast("int").alias("pid"), F.shiftright(control, 6).cast("int").alias("scrambling"), adaptation.alias("adaptation"), control.bitwiseAND(F.lit(15)).cast("int").alias("continuity"), offset.alias("data_offset"), F.greatest(F.lit(0), size - offset).alias("data_size"), ok.alias("ok"))
 
 
-def _clock(b: bytes, at: int) -> int:
-    return ((b[at] >> 1 & 7) << 30) | (b[at + 1] << 22) | ((b[at + 2] >> 1) << 15) | (b[at + 3] << 7) | (b[at + 4] >> 1)
-
-
-def parse_pes(data: bytes) -> dict:
-    """The header of an elementary-stream packet; ok is false for a wrong start code or a header that does not fit."""
-    none = dict.fromkeys(("stream_id", "packet_length", "pts", "dts", "header_length", "data_offset", "payload_size"))
-    if len(data) < 6 or data[:3] != b"\0\0\1":
-        return {"ok": False} | none
-    stream, length = data[3], data[4] << 8 | data[5]
-    got = none | {"ok": True, "stream_id": stream, "packet_length": length, "data_offset": 6}
-    if stream in BARE_STREAMS:
-        return got | {"pts": MOST_PTS, "dts": MOST_PTS, "payload_size": length}
-    if stream == PADDING_STREAM:
-        return got | {"payload_size": 0}
-    if len(data) < 9 or data[8] > len(data) or 9 + data[8] > len(data):
-        return {"ok": False} | none
-    marks, header = data[7], data[8]
-    need = 5 * (marks >> 7 & 1) + 5 * (marks >> 6 & 1)
-    if need > header:
-        return {"ok": False} | none
-    pts = _clock(data, 9) if marks >> 7 & 1 else None
-    dts = _clock(data, 9 + 5 * (marks >> 7 & 1)) if marks >> 6 & 1 else None
-    return got | {"pts": pts, "dts": dts, "header_length": header, "data_offset": 9 + header, "payload_size": max(0, length - header - 3) if length else 0}
+def _clock(data: Column, at: Column) -> Column:
+    """A 33-bit clock in five bytes, with marker bits between its parts."""
+    part = lambda i, size: read_number(data, at + i, size)
+    high, middle, low = F.shiftright(part(0, 1), 1).bitwiseAND(F.lit(7)), F.shiftright(part(1, 2), 1), F.shiftright(part(3, 2), 1)
+    return high * (1 << 30) + middle * (1 << 15) + low
+
+
+def pes_header(data: Column) -> Column:
+    """The header of an elementary-stream packet (the fields of PES_HEADER), in the JVM; ok is false for a wrong start code or
+    a header that does not fit."""
+    size = F.octet_length(data)
+    stream, length, marks, header = read_number(data, 3, 1), read_number(data, 4, 2), read_number(data, 7, 1), read_number(data, 8, 1)
+    bare, padding = stream.isin(list(BARE_STREAMS)), stream == PADDING_STREAM
+    has_pts, has_dts = marks.bitwiseAND(F.lit(0x80)) != 0, marks.bitwiseAND(F.lit(0x40)) != 0
+    need = F.when(has_pts, 5).otherwise(0) + F.when(has_dts, 5).otherwise(0)
+    begins = (size >= 6) & (F.hex(F.substring(data, 1, 3)) == "000001")
+    whole = begins & (bare | padding | ((size >= 9) & (header + 9 <= size) & (need <= header)))
+    plain = whole & ~bare & ~padding
+    payload = F.when(bare, length).when(padding, F.lit(0)).when(length > 0, F.greatest(F.lit(0), length - header - 3)).otherwise(F.lit(0))
+    pts = F.when(whole & bare, F.lit(MOST_PTS)).when(plain & has_pts, _clock(data, F.lit(9)))
+    dts = F.when(whole & bare, F.lit(MOST_PTS)).when(plain & has_dts, _clock(data, F.when(has_pts, F.lit(14)).otherwise(F.lit(9))))
+    made = {"ok": F.coalesce(whole, F.lit(False)), "stream_id": F.when(whole, stream), "packet_length": F.when(whole, length), "pts": pts, "dts": dts, "header_length": F.when(plain, header), "data_offset": F.when(whole, F.when(plain, header + 9).otherwise(F.lit(6))), "payload_size": F.when(whole, payload)}
+    kinds = dict(f.strip().split() for f in PES_HEADER.split(","))
+    return F.struct(*[made[n].cast(kinds[n]).alias(n) for n in kinds])
 
 
 def pes_headers(df: DataFrame, data_col: str, id_cols: list[str]) -> DataFrame:
-    """id columns and the header's fields, Arrow-batched."""
-    fields = [f.strip().split() for f in PES_HEADER.split(",")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = pd.DataFrame([parse_pes(bytes(x)) for x in frame[data_col]], columns=[n for n, _ in fields]).astype({n: {"boolean": "bool", "int": "Int32", "long": "Int64"}[t] for n, t in fields})
-            yield pd.concat([frame[id_cols].reset_index(drop=True), made], axis=1)
-
-    ids = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in id_cols)
-    return df.select(*id_cols, data_col).mapInPandas(run, f"{ids}, {PES_HEADER}")
+    """id columns and the header's fields."""
+    return df.select(*id_cols, pes_header(F.col(data_col)).alias("_h")).select(*id_cols, "_h.*")
+
+
+def _entries(data: Column, first: Column, end: Column, size: int) -> Column:
+    """Where the entries of a fixed size between two places begin."""
+    return F.when(end - first >= size, F.sequence(first, end - size, F.lit(size))).otherwise(F.array().cast("array<int>"))
+
+
+def _sections(packets_: DataFrame, keys: list[str], pid: Column, table_id: int) -> DataFrame:
+    """keys, pid, n and section of the packets of a pid that begin a table; a section lies in one packet."""
+    h = packet_header(F.col("raw"))
+    rows = packets_.select(*keys, "n", "raw", h.alias("h")).filter(F.col("h.ok") & F.col("h.unit_start") & pid)
+    body = F.substring("raw", F.col("h.data_offset") + 1, F.col("h.data_size"))
+    rows = rows.select(*keys, "n", F.col("h.pid").alias("pid"), body.alias("b"))
+    rows = rows.select(*keys, "n", "pid", F.substring("b", read_number(F.col("b"), 0, 1).cast("int") + 2, F.lit(PACKET_BYTES)).alias("section"))
+    return rows.filter(read_number(F.col("section"), 0, 1) == table_id)
+
+
+def programs(packets_: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, program, pid of the program maps that the association tables (pid 0) name; network entries are left out."""
+    tables = _sections(packets_, keys, F.col("h.pid") == 0, 0)
+    section = F.col("section")
+    end = read_number(section, 1, 2).bitwiseAND(F.lit(0xFFF)).cast("int") + 3 - 4  # a checksum ends it
+    rows = tables.select(*keys, section.alias("section"), F.explode(_entries(section, F.lit(8), end, 4)).alias("at"))
+    program, pid = read_number(F.col("section"), F.col("at"), 2), read_number(F.col("section"), F.col("at") + 2, 2).bitwiseAND(F.lit(0x1FFF))
+    return rows.select(*keys, program.cast("int").alias("program"), pid.cast("int").alias("pid")).filter("program != 0").distinct()
+
+
+def elementary_streams(packets_: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, program, pid, stream_type of the streams that the program maps list, without their descriptors."""
+    maps = programs(packets_, keys).withColumnRenamed("pid", "map_pid")
+    tables = _sections(packets_, keys, F.col("h.pid") > 0, 2).withColumnRenamed("pid", "map_pid")
+    section = F.col("section")
+    end = read_number(section, 1, 2).bitwiseAND(F.lit(0xFFF)).cast("int") + 3 - 4
+    first = read_number(section, 10, 2).bitwiseAND(F.lit(0xFFF)).cast("int") + 12
+    found = tables.join(maps, [*keys, "map_pid"]).select(*keys, "program", section.alias("section"), end.alias("end"), first.alias("first"))
+    # Entries are of varying length: each is 5 bytes and its descriptors, so the places follow one from another.
+    size = lambda at: 5 + read_number(F.col("section"), at + 3, 2).bitwiseAND(F.lit(0xFFF)).cast("int")
+    step = lambda acc, _: F.when(F.element_at(acc, -1) + 5 <= F.col("end"), F.concat(acc, F.array(F.element_at(acc, -1) + size(F.element_at(acc, -1))))).otherwise(acc)
+    places = F.aggregate(F.sequence(F.lit(1), F.lit(PACKET_BYTES // 5)), F.array("first"), step)
+    rows = found.withColumn("at", F.explode(F.filter(places, lambda x: x + 5 <= F.col("end"))))
+    kind, pid = read_number(F.col("section"), F.col("at"), 1), read_number(F.col("section"), F.col("at") + 1, 2).bitwiseAND(F.lit(0x1FFF))
+    return rows.select(*keys, "program", pid.cast("int").alias("pid"), kind.cast("int").alias("stream_type")).distinct()
+
+
+def demux(packets_: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, program, pid, stream_type, k, pts, dts, payload: the elementary-stream packets of every listed stream, in order.
+
+    packets_: keys, n (order), raw. A packet with its unit start begins the next one; what comes before a stream's first
+    start is left out. One exchange on keys and pid brings a stream's packets together, and each unit is one group.
+    """
+    h = packet_header(F.col("raw"))
+    streams = elementary_streams(packets_, keys)
+    rows = packets_.select(*keys, "n", "raw", h.alias("h")).filter("h.ok and not h.error")
+    rows = rows.select(*keys, "n", F.col("h.pid").alias("pid"), F.col("h.unit_start").alias("begins"), F.substring("raw", F.col("h.data_offset") + 1, F.col("h.data_size")).alias("part")).join(streams, [*keys, "pid"])
+    w = Window.partitionBy(*keys, "pid").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    units = rows.withColumn("k", F.sum(F.col("begins").cast("long")).over(w)).filter("k > 0")
+    units = units.groupBy(*keys, "program", "pid", "stream_type", "k").agg(joined_bytes("n", "part").alias("data"))
+    units = units.withColumn("p", pes_header(F.col("data"))).filter("p.ok")
+    return units.select(*keys, "program", "pid", "stream_type", (F.col("k") - 1).alias("k"), F.col("p.pts").alias("pts"), F.col("p.dts").alias("dts"), F.expr("substring(data, p.data_offset + 1, octet_length(data))").alias("payload"))
+
+
+def joined_bytes(order: str, data: str) -> Column:
+    """The bytes of a group's rows, one after another."""
+    return F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.hex(data).alias("b")))), lambda x: x["b"]), ""))
 
 
 def adts_frames(chunks: list[tuple[int, bytes]]) -> tuple[list[tuple[int, bytes]], bytes]:
@@ -85,10 +139,10 @@ def adts_frames(chunks: list[tuple[int, bytes]]) -> tuple[list[tuple[int, bytes]
     for ts, data in chunks:
         carried, buffer, at = len(held), held + data, 0
         held = b""
-        while True:
+        while at < len(buffer):
             at = _sync(buffer, at)
             if at < 0:
-                held = buffer[-1:] if buffer else b""
+                held = buffer[-1:]
                 break
             size = ((buffer[at + 3] & 3) << 11 | buffer[at + 4] << 3 | buffer[at + 5] >> 5) if len(buffer) - at > 7 else -1
             if size < 0 or at + size > len(buffer):
@@ -131,19 +185,56 @@ def is_key_unit(unit: bytes, hevc: bool = False) -> bool:
     return bool(unit) and (16 <= (unit[0] >> 1 & 63) <= 21 if hevc else unit[0] & 31 == 5)
 
 
+def _as_characters(data: Column) -> Column:
+    """A character for each byte, so that text functions find bytes."""
+    return F.decode(data, "ISO-8859-1")
+
+
+def is_key_frame(frame: Column, hevc: bool = False) -> Column:
+    """Whether a frame holds a refresh picture: a start code, and after it a unit of type 5, or for HEVC of 16 to 21."""
+    kinds = r"[\x20-\x2b\xa0-\xab]" if hevc else r"[\x05\x25\x45\x65\x85\xa5\xc5\xe5]"
+    return _as_characters(frame).rlike(r"\x00\x00\x01" + kinds)
+
+
+def split_pictures(df: DataFrame, keys: list[str], order: str, ts: str, data: str, hevc: bool = False) -> DataFrame:
+    """H.264 or H.265 frames of each key's chunks in order: keys, n, ts, frame, is_key, last.
+
+    The first start code of a chunk, with a zero before it, ends the frame that is open; a chunk without one goes on with
+    it. A code in a chunk's last four bytes does not count. A frame has the time of the chunk in which it began. What is
+    open at the end comes out too, as `last`. One exchange on the keys; a frame is one group.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = df.select(*keys, F.col(order).alias("_o"), F.col(ts).cast("long").alias("_t"), F.col(data).alias("_d"), F.row_number().over(w).alias("_i"))
+    at = F.instr(_as_characters(F.col("_d")), "\0\0\1") - 1
+    good = (F.col("_i") > 1) & (at >= 0) & (at < F.octet_length("_d") - 4)
+    rows = rows.withColumn("_at", F.when(good, at)).withColumn("_at", F.when(F.hex(F.expr("substring(_d, _at, 1)")).eqNullSafe("00") & (F.col("_at") > 0), F.col("_at") - 1).otherwise(F.col("_at")))
+    rows = rows.withColumn("_k", F.count("_at").over(Window.partitionBy(*keys).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)))
+    head = F.struct((F.col("_k") - F.col("_at").isNotNull().cast("int")).alias("n"), F.lit(0).alias("side"), F.when(F.col("_at").isNull(), F.col("_d")).otherwise(F.expr("substring(_d, 1, _at)")).alias("part"))
+    tail = F.struct(F.col("_k").alias("n"), F.lit(1).alias("side"), F.expr("substring(_d, _at + 1, octet_length(_d))").alias("part"))
+    parts = rows.select(*keys, "_o", "_t", F.explode(F.filter(F.array(head, tail), lambda x: x["part"].isNotNull())).alias("p")).select(*keys, "_o", "_t", "p.*")
+    parts = parts.withColumn("_place", F.struct("_o", "side"))
+    # A frame begins in the chunk whose code begins it, so that chunk's part is the first of it that is a tail.
+    begun = F.min_by("_t", F.when((F.col("side") == 1) | (F.col("n") == 0), F.col("_place")))
+    frames = parts.groupBy(*keys, "n").agg(begun.alias("ts"), joined_bytes("_place", "part").alias("frame"))
+    last = F.col("n") == F.max("n").over(Window.partitionBy(*keys))
+    return frames.select(*keys, F.col("n").cast("long").alias("n"), "ts", "frame", is_key_frame(F.col("frame"), hevc).alias("is_key"), last.alias("last")).filter(F.octet_length("frame") > 0)
+
+
 def split_frames(df: DataFrame, keys: list[str], order: str, ts: str, data: str) -> DataFrame:
-    """ADTS frames of each key's chunks in order: keys, n, ts, frame. A partial frame goes over to the next chunk."""
-    kinds = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in keys)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        made, _ = adts_frames([(int(t), bytes(d)) for t, d in zip(frame[ts], frame[data], strict=True)])
-        out = pd.DataFrame({"n": range(len(made)), "ts": [t for t, _ in made], "frame": [f for _, f in made]})
-        for i, k in enumerate(keys):
-            out.insert(i, k, frame[k].iloc[0])
-        return out
-
-    return df.select(*keys, order, ts, data).groupBy(*keys).applyInPandas(run, f"{kinds}, n long, ts long, frame binary")
+    """ADTS frames of each key's chunks in order: keys, n, ts, frame, last. A partial frame goes over to the next chunk, and
+    what is left at the end comes out as it is, with `last`. A key's chunks are read one after another, and of them only
+    what no frame has used up is held."""
+
+    def step(state: tuple[bytes, int | None, int], row: tuple) -> tuple[tuple, list[tuple]]:
+        held, held_ts, n = state
+        made, left = adts_frames([(held_ts or 0, held), (row[0], bytes(row[1] or b""))])
+        return (left, row[0], n + len(made)), [(n + i, t, f, False) for i, (t, f) in enumerate(made)]
+
+    def end(state: tuple[bytes, int | None, int]) -> list[tuple]:
+        held, held_ts, n = state
+        return [(n, held_ts, held, True)] if held else []
+
+    return fold(df.select(*keys, order, F.col(ts).cast("long").alias("_t"), F.col(data).alias("_d")), keys, [order], ["_t", "_d"], (b"", None, 0), step, "n long, ts long, frame binary, last boolean", end)
 
 
 class _FilePart(InputPartition):

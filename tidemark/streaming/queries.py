@@ -91,3 +91,57 @@ def keep_last(rows: DataFrame, key: str, order: str, value: str, marker: str) ->
         yield got[got[marker] == 1]
 
     return rows.groupBy(key).applyInPandasWithState(run, ", ".join(f"`{c}` {t}" for c, t in kind.items()) + ", last_value double", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def push(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """The caller's side of a pushed source: the rows become the next files of the folder that read() streams from."""
+    rows.write.mode("append").parquet(path)
+
+
+def first_known(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Adds first_<value>: the first value known so far, as a pushed source's format is that of its first header."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(f"first_{value}", F.first(value, ignorenulls=True).over(w))
+
+
+def spool(records: DataFrame, path: str, batch: str) -> None:
+    """Keeps records that could not be sent, under the name of their batch; spooling a batch again replaces it."""
+    records.write.mode("overwrite").parquet(f"{path}/unsent/batch={batch}")
+
+
+def resend(spark: SparkSession, path: str, send: Callable[[DataFrame], None]) -> list[str]:
+    """Hands each spooled batch that was not sent yet to send(), and notes it as sent when that has returned. A batch whose
+    send() fails stays, and those after it wait."""
+    from tidemark.storage import file_names
+
+    done = []
+    sent = set(file_names(spark, f"{path}/sent"))
+    for name in sorted(set(file_names(spark, f"{path}/unsent")) - sent):
+        send(spark.read.parquet(f"{path}/unsent/{name}"))
+        spark.range(0).write.mode("overwrite").parquet(f"{path}/sent/{name}")
+        done.append(name.removeprefix("batch="))
+    return done
+
+
+def replay_rates(log: DataFrame, rungs: list[tuple[int, int]], key: str, strict_reference: bool = True) -> DataFrame:
+    """The bitrate rule along a stream of downloads: key, n, stream_id, bitrate, changed; the state of a key goes on from
+    batch to batch. log: key and the columns that abr.replay() takes; a key's downloads come in order from batch to batch."""
+    from tidemark.operators import abr
+
+    ids, rates = [s for s, _ in rungs], [int(b) for _, b in rungs]
+    kind = dict(log.dtypes)[key]
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = abr.State(*state.get) if state.exists else abr.State()
+        got = pd.concat(list(frames)).sort_values("n")
+        out = []
+        for n, *measure in got[abr.LOG].itertuples(index=False):
+            now, changed = abr.decide(now, rates, *map(int, measure), strict_reference)
+            out.append((k[0], n, ids[now.at], rates[now.at], changed))
+        state.update(tuple(now))
+        yield pd.DataFrame(out, columns=[key, "n", "stream_id", "bitrate", "changed"])
+
+    rows = log.select(key, *[F.col(c).cast("long").alias(c) for c in abr.LOG])
+    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, n long, stream_id int, bitrate long, changed boolean", "at long, n_changes long, last_change long", "append", GroupStateTimeout.NoTimeout)
