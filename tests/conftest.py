@@ -18,4 +18,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from tidemark.storage import clean_up
+
+    clean_up(s)
     s.stop()

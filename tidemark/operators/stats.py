@@ -55,13 +55,26 @@ def bounding_box(df: DataFrame, keys: list[str], x: str, y: str, hit: Column) ->
 def representative(df: DataFrame, order: list[str], vector: str, id_col: str, n: int, keys: list[str]) -> DataFrame:
     """Of every n rows in order the one nearest to their mean vector, the first of equals; the last batch may be short.
 
-    Means and errors come from exploded components, so nothing but a batch id is shared between rows of a batch.
+    A batch of at most n vectors of one length is one group; errors count as equal where they are to nine digits.
     """
+    import numpy as np
+    import pyarrow as pa
+
     placed = positions(df, order, keys or None).withColumn("batch", F.expr(f"(seq - 1) div {n}"))
-    parts = placed.select(*keys, "batch", "seq", id_col, F.posexplode(vector).alias("k", "x")).withColumn("x", F.col("x").cast("double"))
-    mean = parts.groupBy(*keys, "batch", "k").agg(F.avg("x").alias("mean"))
-    error = parts.join(mean, [*keys, "batch", "k"]).groupBy(*keys, "batch", "seq", id_col).agg(F.sum((F.col("mean") - F.col("x")) * (F.col("mean") - F.col("x"))).alias("sse"))
-    return error.groupBy(*keys, "batch").agg(F.min_by(id_col, F.struct(F.round("sse", 9), F.col("seq"))).alias(id_col), F.count("*").alias("n_rows"))
+    rows = placed.select(*keys, "batch", "seq", id_col, F.col(vector).cast("array<double>").alias("_v"))
+    kinds = dict(rows.dtypes)
+    width = len(keys)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("seq").combine_chunks()
+        x = _matrix(group["_v"])
+        away = x - x.mean(axis=0)
+        best = int(np.argmin(np.round(np.einsum("ij,ij->i", away, away), 9)))
+        row = group.slice(best, 1)
+        return pa.table([*row.columns[: width + 1], row[id_col], pa.array([len(x)], pa.int64())], names=[*keys, "batch", id_col, "n_rows"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "batch", id_col]) + ", n_rows long"
+    return rows.groupBy(*keys, "batch").applyInArrow(run, schema)
 
 
 def running(df: DataFrame, order: list[str], value: str, keys: list[str]) -> DataFrame:
