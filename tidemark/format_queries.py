@@ -305,3 +305,28 @@ def map_functions(spark, sf_dir):
     seen = F.when(maps.lookup(m, "KI", prefix=True) == "view", F.lit("seen")).otherwise(maps.lookup(m, "kind"))
     shown = maps.show(maps.rename_keys(F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type")), {"user": "x", "kind": "y"}))
     return events(spark, sf_dir).select("event_id", seen.alias("a"), maps.lookup(kept, "kind", match_case=True).alias("b"), maps.count(third).alias("n"), shown.alias("shown"))
+
+
+@query(f"with {E_SQL}, t as (select *, us + cents * 1000 as fires from e) select user_id, event_id, row_number() over (partition by user_id order by fires, event_id) as place from t where fires <= 1705276800000000")
+def due_timers(spark, sf_dir):
+    t = events(spark, sf_dir).withColumn("at", F.col("us") + F.col("cents") * 1000)
+    return queues.due(t, ["user_id"], "at", "event_id", 1705276800000000).select("user_id", "event_id", "place")
+
+
+@query(f"with {E_SQL}, t as (select *, us + cents * 1000 as fires from e) select user_id, event_id, cast(fires - coalesce(lag(fires) over (partition by user_id order by fires, event_id), 0) as bigint) as delay from t")
+def timer_delays(spark, sf_dir):
+    t = events(spark, sf_dir).withColumn("at", F.col("us") + F.col("cents") * 1000)
+    return queues.delays(t, ["user_id"], "at", "event_id").select("user_id", "event_id", "delay")
+
+
+@query("select vec_id, array_to_string([cast(floor(x * 1000) as bigint) for x in list_sort(cast(embedding as double[]))], ',') as sorted from embeddings")
+def sorted_arrays(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.array_sort(F.col("embedding").cast("array<double>")).alias("x"))
+    return v.select("vec_id", F.array_join(F.transform("x", lambda x: F.floor(x * 1000).cast("string")), ",").alias("sorted"))
+
+
+@query(f"with {E_SQL} select event_id, event_id & 3 = 3 as both, (us // 1000000 - 1704067200) % 2 = 0 as even, cast(list_position([abs(x - cents / 30000.0) for x in [0.5, 0.25, 1.0 / 3, 1.0]], list_min([abs(x - cents / 30000.0) for x in [0.5, 0.25, 1.0 / 3, 1.0]])) - 1 as integer) as nearest, us + 10800 as stable from e")
+def flags_and_nearest(spark, sf_dir):
+    n = F.col("event_id")
+    value = F.col("cents") / F.lit(30000.0)
+    return events(spark, sf_dir).select("event_id", hashes.all_flags(n, 3).alias("both"), (F.expr("us div 1000000 - 1704067200") % 2 == 0).alias("even"), timemath.nearest_rational(value, [(1, 2), (1, 4), (1, 3), (1, 1)]).alias("nearest"), timemath.add_stable(F.col("us"), 1, 90000, 1, 25, 3).alias("stable"))

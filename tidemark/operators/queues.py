@@ -66,3 +66,15 @@ def splice(old: DataFrame, new: DataFrame, keys: list[str], ts: str, is_key: str
     kept = old.join(start, keys, "left").filter(F.col("_start").isNull() | (F.col(ts) < F.col("_start"))).withColumn("quality", F.lit(0))
     more = new.join(start, keys).filter(F.col(ts) >= F.col("_start")).withColumn("quality", F.lit(1))
     return kept.unionByName(more).drop("_start")
+
+
+def due(timers: DataFrame, keys: list[str], at: str, tie: str, now: int) -> DataFrame:
+    """The timers that are due by now, with their place in the order in which they fire: by time, then by tie."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(at, tie))
+    return timers.filter(F.col(at) <= now).withColumn("place", place.cast("long"))
+
+
+def delays(timers: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
+    """Adds delay: how long after the timer before it, in its key's order, a timer fires; the first one's is its own time."""
+    w = Window.partitionBy(*keys).orderBy(at, tie)
+    return timers.withColumn("delay", F.col(at) - F.coalesce(F.lag(at).over(w), F.lit(0)))
