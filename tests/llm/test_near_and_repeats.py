@@ -3,14 +3,15 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD_TEXTS, classes, docs, prose, words
-from tidemark.llm import near_dedup, substring_dedup
+from tidemark.llm import components, near_dedup, substring_dedup
 from tidemark.llm.components import connected_components
 from tidemark.llm.embedding_dedup import close_pairs, embedding_near_duplicates, principal_axes, second_moments
 from tidemark.llm.near_dedup import near_duplicates
-from tidemark.llm.substring_dedup import _met, edge_of, names_to_exchange, recompress, repeated_passages, rounds_for, window_hashes
+from tidemark.llm.substring_dedup import _later, _met, edge_of, names_to_exchange, recompress, repeated_passages, rounds_for, window_hashes
 
 
 def near_copies(base, n, changes, seed=1):
@@ -59,6 +60,19 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     check_near(spark, texts, 2)
 
 
+def test_outsiders_of_a_large_family_meet_all_of_it(spark, monkeypatch):
+    """A chain: each text is like the next one only, and blocks are small."""
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "FAMILY_BLOCK", 4)
+    w = prose(1, 400).split()
+    chain = [" ".join(w[6 * i : 6 * i + 100]) for i in range(40)]
+    texts = chain + [" ".join(w[200:300])] * 2 + [prose(i, 60) for i in range(10, 20)]
+    random.Random(3).shuffle(texts)
+    check_near(spark, texts, 2)
+    with pytest.raises(ValueError):
+        near_duplicates(docs(spark, ["a"]), share=(70, 100))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     check_near(spark, ODD_TEXTS + ["one", "ONE", "two words", "two words"], 5)
     none = docs(spark, ["a b"]).limit(0)
@@ -67,6 +81,9 @@ def test_near_duplicates_of_odd_rows(spark):
     assert [(r["component_id"], r["kept"]) for r in near_duplicates(lost).collect()] == [(None, True)] * 2
     twice = docs(spark, ["a b c d e f", "a b c d e f", "q r s"]).withColumn("doc_id", F.lit(7).cast("long"))
     assert {r["component_id"] for r in near_duplicates(twice).collect()} == {7}
+    a, b, c = (prose(i, 60) for i in (1, 2, 3))
+    several = spark.createDataFrame([(1, a), (5, a), (5, b), (4, b), (9, b + " x"), (8, c), (6, c), (6, "q r s t u"), (3, "q r s t u")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_duplicates(several).collect()} == {(1, 1), (5, 1), (4, 1), (9, 1), (8, 3), (6, 3), (3, 3)}
 
 
 def test_sets_of_a_slice_are_those_of_its_texts():
@@ -90,7 +107,10 @@ def test_odd_sketches_tell_high_similarity():
         assert abs(np.mean(far) - near_dedup.most_differing(j)) < 8
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("large", [250_000, 10])
+def test_components_of_chains_and_stars(spark, monkeypatch, large):
+    monkeypatch.setattr(components, "LARGE", large)
+    monkeypatch.setattr(components, "MOST_HUBS", 25)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(5, 5), (300, 200), (200, 300)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
     ids = {x for p in links for x in p}
@@ -272,3 +292,14 @@ def test_names_of_two_rows_meet_across_batches():
         got = sorted(x for b in _met(iter(batches)) for x in b.column(1).to_pylist())
         both = {r[0] for r in rows if len({q[1] for q in rows if q[0] == r[0]}) > 1}
         assert got == sorted(r[2] for r in rows if r[0] in both)
+
+
+def test_windows_after_the_first_document_across_batches():
+    rnd = random.Random(4)
+    rows = sorted((rnd.choice([1, 2, rnd.randint(3, 90)]), rnd.randint(0, 1), rnd.randint(0, 1), rnd.randint(0, 5), i, i) for i in range(300))
+    first = {}
+    for r in rows:
+        first.setdefault(r[:3], r[3])
+    for size in (1, 2, 7, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a : a + size]], pa.int64()) for k in (0, 1, 3, 4, 5, 2)], names=["low", "high", "doc_id", "row", "start", "salt"]) for a in range(0, 300, size)]
+        assert sorted(x for b in _later(iter(batches)) for x in b.column(0).to_pylist()) == sorted(r[4] for r in rows if r[3] > first[r[:3]])

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.near_dedup import SALTS, mix, wide_word_hashes
@@ -29,8 +29,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RUN, _PART_OF_RUN, _PAIR, _PHRASE = np.uint64(3), np.uint64(5), np.uint64(7), np.uint64(11)
 #: A run of so many equal symbols is exchanged under the name of one, too.
 LONG_RUN = 3
-#: Of one row in SAMPLE the names are counted, and the MOST_HOT most frequent ones that two of these rows have are shared for certain.
-SAMPLE, MOST_HOT, LEAST_HOT = 64, 20_000, 16
+#: Of one row in SAMPLE the keys are counted; of those that occur LEAST_HOT times the MOST_HOT most frequent are dealt on their own.
+SAMPLE, MOST_HOT, LEAST_HOT = 64, 4000, 16
 
 
 def rounds_for(window: int) -> list[tuple[int, bool]]:
@@ -194,6 +194,23 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield table([c[kept] for c in columns[1:]])
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows sorted by digest, salt and doc_id those whose doc_id is not the first of theirs; holds a batch."""
+    known: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        low, high, doc, row, start, salt = (batch.column(k).to_numpy() for k in range(6))
+        begins = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (salt[1:] != salt[:-1])]))
+        first = doc[begins].copy()
+        if known is not None and (low[0], high[0], salt[0]) == known[:3]:
+            first[0] = known[3]
+        known = low[-1], high[-1], salt[-1], first[-1]
+        later = doc > np.repeat(first, np.diff(np.append(begins, len(low))))
+        if later.any():
+            yield pa.RecordBatch.from_arrays([pa.array(row[later]), pa.array(start[later])], names=["row", "start"])
+
+
 def _windows(window: int):
     """Starts and digests of the windows between any first and last of the row's shared names."""
 
@@ -239,11 +256,11 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def _hot_names(named: DataFrame) -> DataFrame:
-    """At most MOST_HOT names, each seen in two rows and LEAST_HOT times among one row in SAMPLE: their rows need not meet."""
-    seen = named.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).groupBy("name").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"))
-    hot = [(r["name"],) for r in seen.filter((F.col("n") >= LEAST_HOT) & (F.col("a") != F.col("b"))).orderBy(F.desc("n"), "name").select("name").limit(MOST_HOT).collect()]
-    return named.sparkSession.createDataFrame(hot, "name long")
+def _is_hot(rows: DataFrame, key: str) -> Column:
+    """Whether the key is one of the at most MOST_HOT ones that are seen in two rows and LEAST_HOT times among one row in SAMPLE."""
+    seen = rows.filter(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).groupBy(key).agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"))
+    hot = seen.filter((F.col("n") >= LEAST_HOT) & (F.col("a") != F.col("b"))).orderBy(F.desc("n"), key).select(key).limit(MOST_HOT).collect()
+    return F.expr(f"{key} in ({', '.join(f'{r[0]}L' for r in hot)})") if hot else F.lit(False)
 
 
 def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,17 +286,21 @@ def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = True,
     copies = materialize(copies, "whole-copies")
 
     named = able.join(copies, "row", "left_anti").select("row", F.explode(F.arrays_zip("names", "firsts", "lasts")).alias("p")).select(F.col("p.names").alias("name"), "row", F.col("p.firsts").alias("first"), F.col("p.lasts").alias("last"))
-    hot = F.broadcast(_hot_names(named))
-    met = named.join(hot, "name", "left_anti").repartition("name").sortWithinPartitions("name").mapInArrow(tidy(_met), "row long, first int, last int")
-    spans = met.unionByName(named.join(hot, "name").drop("name")).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    hot = _is_hot(named, "name")  # shared for certain, and need not meet
+    met = named.filter(~hot).repartition("name").sortWithinPartitions("name").mapInArrow(tidy(_met), "row long, first int, last int")
+    spans = met.unionByName(named.filter(hot).drop("name")).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = spans.join(able.select("row", "doc_id", "digest"), "row").dropDuplicates(["doc_id", "digest"])
     texts = rows.join(spans, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "spans", "row", "digest")
     built = materialize(texts.mapInArrow(tidy(_windows(window)), "row long, doc_id long, digest string, text string, starts array<int>, low array<long>, high array<long>"), "windows")
 
-    each = built.select("row", "doc_id", F.explode(F.arrays_zip("starts", "low", "high")).alias("w")).select("row", "doc_id", F.col("w.starts").alias("start"), F.col("w.low").alias("low"), F.col("w.high").alias("high"))
-    earliest = each.groupBy("low", "high").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("low", "high", "a")
-    earliest = materialize(earliest, "shared-windows")  # then both sides of the join are exchanges, and Spark splits a hot window
-    gone = each.join(earliest, ["low", "high"]).filter("a < doc_id").groupBy("row").agg(F.collect_list("start").alias("starts"))
+    each = built.select(F.explode(F.arrays_zip("starts", "low", "high")).alias("w"), "row", "doc_id").select(F.col("w.low").alias("low"), F.col("w.high").alias("high"), "doc_id", "row", F.col("w.starts").alias("start"))
+    hot = _is_hot(each, "low")  # dealt by salt, each with its first document, which partial sums find
+    cold = each.filter(~hot).withColumn("salt", F.lit(0))
+    warm = each.filter(hot)
+    seeds = warm.groupBy("low", "high").agg(F.min("doc_id").alias("doc_id")).select("low", "high", "doc_id", F.lit(-1).cast("long").alias("row"), F.lit(-1).alias("start"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    warm = warm.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    met = cold.unionByName(warm).unionByName(seeds).repartition("low", "high", "salt").sortWithinPartitions("low", "high", "salt", "doc_id")
+    gone = met.mapInArrow(tidy(_later), "row long, start int").groupBy("row").agg(F.collect_list("start").alias("starts"))
     kind = "doc_id long, digest string, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     cut = built.select("row", "doc_id", "digest", "text").join(gone, "row").select("doc_id", "digest", "text", "starts").mapInArrow(tidy(_cut(window, with_text)), kind)
 
