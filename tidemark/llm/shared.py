@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.storage import clean_up, drop_path, fresh_path, materialize, materialize_at, shared_folder
+from tidemark.storage import clean_up, drop_path, fresh_path, materialize, materialize_at, release, shared_folder
 
 #: Words are maximal runs of anything but a space and the characters 9 to 13.
 WORD_SEPARATORS = "[\\x20\\x09-\\x0D]+"
@@ -87,4 +87,4 @@ def keyed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
-__all__ = ["WORD_SEPARATORS", "ascii_lower", "clean_up", "drop_path", "fresh_path", "grouped", "held", "keyed", "materialize", "materialize_at", "one_text", "shared_folder", "table", "text_bytes", "tidy"]
+__all__ = ["WORD_SEPARATORS", "ascii_lower", "clean_up", "drop_path", "fresh_path", "grouped", "held", "keyed", "materialize", "materialize_at", "one_text", "release", "shared_folder", "table", "text_bytes", "tidy"]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.near_dedup import SALTS, mix, wide_word_hashes
-from tidemark.llm.shared import keyed, materialize, tidy
+from tidemark.llm.shared import keyed, materialize, release, tidy
 from tidemark.llm.token_counts import balanced
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -292,6 +292,8 @@ def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = True,
     spans = spans.join(able.select("row", "doc_id", "digest"), "row").dropDuplicates(["doc_id", "digest"])
     texts = rows.join(spans, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "spans", "row", "digest")
     built = materialize(texts.mapInArrow(tidy(_windows(window)), "row long, doc_id long, digest string, text string, starts array<int>, low array<long>, high array<long>"), "windows")
+    del met, spans, texts
+    release(rows.sparkSession)  # the exchanges of names and texts
 
     each = built.select(F.explode(F.arrays_zip("starts", "low", "high")).alias("w"), "row", "doc_id").select(F.col("w.low").alias("low"), F.col("w.high").alias("high"), "doc_id", "row", F.col("w.starts").alias("start"))
     hot = _is_hot(each, "low")  # dealt by salt, each with its first document, which partial sums find
