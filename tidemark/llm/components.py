@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import drop_path, fresh_path, materialize_at
 
-#: An id with more links than this, and than one in MOST_HUBS of all, is a hub: so there are at most MOST_HUBS of them.
-HUB, MOST_HUBS = 500, 10_000
+#: Of more links than this, whose least ids Spark would not send to all tasks by itself, an id that has more than one in
+#: MOST_HUBS is a hub: so there are at most MOST_HUBS of them.
+LARGE, MOST_HUBS = 250_000, 10_000
 
 
 def connected_components(links: DataFrame, tag: str = "components") -> DataFrame:
@@ -41,7 +42,9 @@ def connected_components(links: DataFrame, tag: str = "components") -> DataFrame
 
 def _join_least(pairs: DataFrame, least: DataFrame, n_pairs: int) -> DataFrame:
     """pairs with the m of their u. The few hubs are sent to all tasks, so their links stay where they are."""
-    most = max(HUB, n_pairs // MOST_HUBS)
+    if n_pairs <= LARGE:
+        return pairs.join(least.select("u", "m"), "u")
+    most = n_pairs // MOST_HUBS
     hubs = F.broadcast(least.filter(F.col("n") > most).select("u", "m"))
     rest = pairs.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= most).select("u", "m"), "u")
     return rest.unionByName(pairs.join(hubs, "u").select(*rest.columns))

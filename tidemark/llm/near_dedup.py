@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
@@ -38,6 +38,8 @@ LEAST_ESTIMATE = 0.6
 LEAST_SHARE = 75
 #: Documents of a bucket, and shingles and documents of a family, in one block.
 BUCKET_BLOCK, FAMILY_SHINGLES, FAMILY_BLOCK = 1024, 600_000, 2000
+#: Rows of buckets, and shingles of families, that one task is meant for.
+TASK_ROWS, TASK_SHINGLES = 40_000, 4_000_000
 SALTS = 16
 _STEP = 512
 _rng = np.random.default_rng(20)
@@ -254,8 +256,24 @@ def _outsiders(members: DataFrame, classes: DataFrame, tag: str) -> DataFrame:
     return rest.select(*columns).unionByName(alls.select(*columns)).distinct()
 
 
-def _in_blocks(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.repartition("group", "block").sortWithinPartitions("group", "block", "id").select("group", "block", "id", "label", *columns)
+def _classes(links_of: Callable[[DataFrame], DataFrame], members: DataFrame, large: bool, tag: str) -> DataFrame:
+    """id and component of what the links in the members' blocks reach; large: some group has several blocks."""
+    classes = materialize(connected_components(links_of(_twice(members)), tag), tag)
+    if large:
+        more = materialize(links_of(_outsiders(members, classes, tag)), f"{tag}-more")
+        if not more.isEmpty():
+            stars = classes.select(F.col("id").alias("src"), F.col("component").alias("dst"))
+            classes = materialize(connected_components(stars.unionByName(more), tag), tag)
+    return classes
+
+
+def _tasks(spark: SparkSession, work: int | None, each: int) -> int:
+    """How many tasks share so much work; Spark would deal by bytes, of which sketches have few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), (work or 0) // each + 1)
+
+
+def _in_blocks(rows: DataFrame, tasks: int, *columns: str) -> DataFrame:
+    return rows.repartition(tasks, "group", "block").sortWithinPartitions("group", "block", "id").select("group", "block", "id", "label", *columns)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,26 +296,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, share: tuple[int, i
     same = materialize(same, "equal-sets")
     salted = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    class_of = able.select("doc_id", "digest", salt.alias("salt")).join(salted, ["digest", "salt"]).select("doc_id", "rep").distinct()
+    class_of = able.select("doc_id", "digest", salt.alias("salt")).join(salted, ["digest", "salt"]).select("doc_id", "digest", "rep", "salt").distinct()
     class_of = materialize(class_of, "copies")
-    alone = able.join(class_of.filter("doc_id != rep").select("doc_id"), "doc_id", "left_anti")
+    several = able.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a != b")  # rows of one doc_id
+    bridges = class_of.join(several, "doc_id").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    alone = able.join(class_of.filter("doc_id != rep").select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
     sketches = alone.select(F.col("doc_id").alias("id"), "sketch")
 
     banded = alone.select(F.col("doc_id").alias("id"), F.explode("keys").alias("group"))
     shared = materialize(banded.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"), "shared-keys")
     met = banded.join(shared, "group").select("group", "id", F.ceil(F.col("n") / BUCKET_BLOCK).alias("n_blocks"))
     links = tidy(_bucket_links(most_differing(LEAST_ESTIMATE)))
-    pairs = lambda blocks: _in_blocks(blocks.join(sketches, "id"), "sketch").mapInArrow(links, "src long, dst long")
-    large = not shared.filter(F.col("n") > BUCKET_BLOCK).isEmpty()
-    close = pairs(_twice(met))
-    if large:
-        close = materialize(close, "close")
-        close = close.unionByName(pairs(_outsiders(met, connected_components(close, "bucket-classes"), "bucket")))
-    family = materialize(connected_components(close, "families").withColumnRenamed("component", "group"), "family")
+    tasks = _tasks(docs.sparkSession, shared.agg(F.sum("n")).first()[0], TASK_ROWS)
+    pairs = lambda blocks: _in_blocks(blocks.join(sketches, "id"), tasks, "sketch").mapInArrow(links, "src long, dst long")
+    family = _classes(pairs, met, not shared.filter(F.col("n") > BUCKET_BLOCK).isEmpty(), "families").withColumnRenamed("component", "group")
 
     weighed = family.join(alone.select(F.col("doc_id").alias("id"), "n_shingles"), "id").groupBy("group").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("n"))
-    blocks = weighed.select("group", F.greatest(F.ceil(F.col("w") / FAMILY_SHINGLES), F.ceil(F.col("n") / FAMILY_BLOCK)).cast("long").alias("n_blocks"))
-    member = materialize(family.join(blocks, "group"), "members")
+    blocks = weighed.select("group", "w", F.greatest(F.ceil(F.col("w") / FAMILY_SHINGLES), F.ceil(F.col("n") / FAMILY_BLOCK)).cast("long").alias("n_blocks"))
+    blocks = materialize(blocks, "family-blocks")
+    set_tasks = _tasks(docs.sparkSession, blocks.agg(F.sum("w")).first()[0], TASK_SHINGLES)
+    member = materialize(family.join(blocks.drop("w"), "group"), "members")
 
     def decided(where: DataFrame) -> DataFrame:
         """Links of the blocks that members are dealt to: a member's set is built once and sent to each of its blocks."""
@@ -305,14 +323,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, share: tuple[int, i
         texts = rows.join(where, rows["doc_id"] == where["id"]).select("id", "text", "blocks")
         built = texts.mapInArrow(tidy(_sets(shingle_words)), "id long, blocks array<struct<group:long,block:long,label:long>>, shingles array<long>").filter(F.size("shingles") > 0)
         dealt = built.select("id", "shingles", F.explode("blocks").alias("b")).select("id", "shingles", "b.*")
-        return _in_blocks(dealt, "shingles").mapInArrow(tidy(_set_links(share)), "src long, dst long")
-
-    links = decided(_twice(member))
-    if not member.filter("n_blocks > 1").isEmpty():
-        links = materialize(links, "links")
-        links = links.unionByName(decided(_outsiders(member, connected_components(links, "link-classes"), "family")))
-    links = links.unionByName(class_of.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")))
-    classes = connected_components(links, "near-classes")
+        return _in_blocks(dealt, set_tasks, "shingles").mapInArrow(tidy(_set_links(share)), "src long, dst long")
+
+    together = lambda where: decided(where).unionByName(bridges)
+    classes = _classes(together, member, not member.filter("n_blocks > 1").isEmpty(), "near-classes")
+    # A copy is in the class of its set's first document, whose id is the smallest.
+    of_reps = same.join(classes, same["rep"] == classes["id"]).select("rep", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    of_copies = class_of.filter("doc_id != rep").join(of_reps, ["rep", "salt"], "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
+    classes = classes.unionByName(of_copies).groupBy("id").agg(F.min("component").alias("component"))
     out = features.select("doc_id", "n_shingles").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
