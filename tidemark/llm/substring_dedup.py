@@ -289,11 +289,14 @@ def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = True,
     hot = _is_hot(named, "name")  # shared for certain, and need not meet
     met = named.filter(~hot).repartition("name").sortWithinPartitions("name").mapInArrow(tidy(_met), "row long, first int, last int")
     spans = met.unionByName(named.filter(hot).drop("name")).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = materialize(spans, "spans")
+    del met
+    release(rows.sparkSession)  # the exchange of names
     spans = spans.join(able.select("row", "doc_id", "digest"), "row").dropDuplicates(["doc_id", "digest"])
     texts = rows.join(spans, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "spans", "row", "digest")
     built = materialize(texts.mapInArrow(tidy(_windows(window)), "row long, doc_id long, digest string, text string, starts array<int>, low array<long>, high array<long>"), "windows")
-    del met, spans, texts
-    release(rows.sparkSession)  # the exchanges of names and texts
+    del texts
+    release(rows.sparkSession)  # the exchange of texts
 
     each = built.select(F.explode(F.arrays_zip("starts", "low", "high")).alias("w"), "row", "doc_id").select(F.col("w.low").alias("low"), F.col("w.high").alias("high"), "doc_id", "row", F.col("w.starts").alias("start"))
     hot = _is_hot(each, "low")  # dealt by salt, each with its first document, which partial sums find
