@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import held_out
@@ -19,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
@@ -40,7 +41,8 @@ def test_other_queries_give_what_their_contracts_say(spark, con):
     texts = dict(con.execute("select doc_id, text from documents").fetchall())
     word = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
     ids = {i: word.encode(t or "", add_special_tokens=False).ids for i, t in texts.items()}
-    run = {n: {r["doc_id"]: r for r in f(spark, SF).collect()} for n, f in queries.queries().items() if n.startswith(("op2", "op5", "op6", "op7", "op8"))}
+    pieces = SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
+    run = {n: {r["doc_id"]: r for r in f(spark, SF).collect()} for n, f in queries.queries().items() if n.startswith(("op2", "op5", "op6", "op7", "op8", "op12"))}
     assert all(set(rows) == set(texts) for rows in run.values())
     for i, t in texts.items():
         r = run["op5_token_counts"][i]
@@ -48,6 +50,9 @@ def test_other_queries_give_what_their_contracts_say(spark, con):
         r = run["op8_bpe"][i]
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids[i]), hashlib.sha256(" ".join(map(str, ids[i])).encode()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(word.decode(ids[i], skip_special_tokens=False).encode()).hexdigest()
+        r, cut = run["op12_sentencepiece"][i], pieces.encode(t or "")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(cut), hashlib.sha256(",".join(map(str, cut)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(pieces.decode(cut).encode()).hexdigest()
         r, found = run["op6_secret_scan"][i], spans(t)
         joined = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in found)
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == q for _, k, _ in found) for q in range(3)]

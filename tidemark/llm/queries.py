@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_encode
 from tidemark.llm.embedding_dedup import embedding_near_duplicates
+from tidemark.llm.fill_in_middle import fill_in_middle, piece_digests, restored
+from tidemark.llm.importance import importance_resample
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import ids_digests, pack
 from tidemark.llm.quality_classifier import learn as learn_classifier
 from tidemark.llm.quality_classifier import score
 from tidemark.llm.quality_rules import learn, quality_rules
 from tidemark.llm.secret_scan import BASE_RULES, scan_secrets, span_text
+from tidemark.llm.sentence_pieces import sentence_pieces
 from tidemark.llm.shared import table, tidy
 from tidemark.llm.substring_dedup import repeated_passages
 from tidemark.llm.token_counts import token_counts
@@ -129,9 +132,57 @@ from f
 """
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 by its shift register, eight steps a byte, of each distinct word once; floats are doubles throughout.
+OP11_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents),
+     b as (select list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from benchmark),
+     dw as (select doc_id, unnest(ws) as w from d),
+     bw as (select unnest(ws) as w from b),
+     words as (select distinct w from (select w from dw union all select w from bw)),
+     octets as (select w, list_transform(range(0, octet_length(encode(w))), lambda i: cast('0x' || substr(hex(encode(w)), 2 * i + 1, 2) as bigint)) as xs from words),
+     steps as (select w, list_prepend(4294967295, list_concat([], flatten(list_transform(xs, lambda x: [x, -1, -1, -1, -1, -1, -1, -1, -1])))) as xs from octets),
+     crc as (select w, xor(list_reduce(xs, lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295) % 10000 as bucket from steps),
+     s as (select bucket, count(*) as n from dw join crc using (w) group by bucket),
+     t as (select bucket, count(*) as n from bw join crc using (w) group by bucket),
+     g as (select s.bucket, cast(floor(1000 * ln(((coalesce(t.n, 0) + 1)::double * ((select count(*) from dw) + 10000)::double) / ((s.n + 1)::double * ((select count(*) from bw) + 10000)::double))) as bigint) as gain from s left join t using (bucket)),
+     f as (select doc_id, sum(gain) as weight from dw join crc using (w) join g using (bucket) group by doc_id),
+     h as (select d.doc_id, cast(len(ws) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight, cast('0x' || substr(sha256('2024:' || coalesce(cast(d.doc_id as varchar), '')), 1, 8) as bigint) as h from d left join f on d.doc_id = f.doc_id),
+     c as (select doc_id, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from h),
+     r as (select *, row_number() over (order by n_features < 20, score desc, doc_id) as place, (10 * count(*) filter (n_features >= 20) over ()) // 100 as drawn from c)
+select doc_id, n_features, weight, score, case when place <= drawn then place end as rank from r
+"""
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentence_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return pieces.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(restored(fill_in_middle(table(spark, sf_dir, "documents"))))
+
+
+OP13_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as x, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+     k as (select *, len(u) as n, cast('0x' || substr(h, 1, 8) as bigint) % (len(u) + 1) as c1, cast('0x' || substr(h, 9, 8) as bigint) % (len(u) + 1) as c2, cast('0x' || substr(h, 25, 8) as bigint) % 100 as c4 from d),
+     f as (select *, case when x = '' or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>') then 'plain' when c4 < 50 then 'spm' else 'psm' end as form,
+                  array_to_string(u[1:least(c1, c2)], '') as p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') as m, array_to_string(u[greatest(c1, c2) + 1:], '') as s from k)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+       sha256(case form when 'plain' then x when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(case form when 'plain' then x else p || m || s end) as restored_sha256
+from f
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_embedding_dedup, op4_near_dedup, op5_token_counts, op6_secret_scan, op7_quality_rules, op8_bpe, op9_substring_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_classifier, op3_embedding_dedup, op4_near_dedup, op5_token_counts, op6_secret_scan, op7_quality_rules, op8_bpe, op9_substring_dedup, op10_warc, op11_importance, op12_sentencepiece, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3_SQL, "op4_near_dedup": OP4_SQL, "op9_substring_dedup": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op4_near_dedup": OP4_SQL, "op9_substring_dedup": OP9_SQL, "op10_warc": OP10_SQL, "op11_importance": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
