@@ -570,4 +570,5 @@ def stream_every_nth(spark, sf_dir):
     return streams.run_to_end(streams.step(e, "user_id", "event_id", 5))
 
 
-from tidemark import format_queries as _more  # noqa: E402, F401  registers its queries here
+from tidemark import bitstream_queries as _bitstreams  # noqa: E402, F401  registers its queries here, as does the next
+from tidemark import format_queries as _more  # noqa: E402, F401
