@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.format_queries import _hex, _ordered
+from tidemark.format_queries import _hex, _ordered, _section
+from tidemark.functions import hashes
 from tidemark.operators import queues
 from tidemark.queries import E_SQL, events, query
-from tidemark.sources import bitstreams
+from tidemark.sources import bitstreams, transport
 
 
 def _golomb(value):
@@ -146,3 +146,33 @@ def packet_filters(spark, sf_dir):
         "event_id", F.hex(asc["config"]).alias("config"), F.hex(asc["payload"]).alias("payload"), F.hex(bitstreams.chomp(F.concat(props, F.unhex(F.repeat(F.lit("00"), (n % 9).cast("int")))))).alias("chomped"),
         F.hex(sample).alias("sample"), bitstreams.sample_to_text(sample).alias("text"), F.hex(bitstreams.with_record(props, F.unhex(F.lit("ABCD")), n % 3 == 0)).alias("kept"), F.octet_length(bitstreams.core_only(dts)).alias("core"),
     )
+
+
+@query("""with u as (select distinct user_id from events), v as (select user_id, 0 as version, null as since, 30 as until, 50 as n from u union all select user_id, 1, 30, 50, 36 + user_id % 40 from u union all select user_id, 2, 50, null, 1 from u)
+select user_id, cast(7 as integer) as program, cast(256 + k as integer) as pid, cast(case when k % 2 = 0 then 27 else 15 end as integer) as stream_type, cast(version as integer) as version, cast(since as bigint) as since, cast(until as bigint) as until from v, lateral (select unnest(range(n)) as k)""")
+def ts_versions(spark, sf_dir):
+    """A program's map of up to 75 streams over two or three packets, in three versions: repeated with a packet twice, with a
+    packet lost (one version in vain), with a bit wrong, announced ahead of time, and behind the end of another section."""
+    entry = lambda k: F.concat(F.when(k % 2 == 0, F.lit("1B")).otherwise(F.lit("0F")), _hex(0xE100 + k, 4), F.lit("F000"))
+
+    def table(version, n, current=1):
+        body = F.concat(F.lit("02"), _hex(0xB000 + 13 + 5 * n, 4), F.lit("0007"), _hex(F.lit(0xC0 + 2 * version + current), 2), F.lit("0000E100F000"), F.array_join(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), entry), ""))
+        return F.concat(body, _hex(hashes.crc32_mpeg(F.unhex(body)), 8))
+
+    def carried(at, payload, lost=None, twice=None):
+        """(n, counter, begins, body) of the packets of a payload that begins at n; the counter goes on at n."""
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.length(payload) / 368).cast("int") - 1), lambda k: F.struct((at + 2 * k).cast("long").alias("n"), ((at / 2).cast("int") + k).alias("c"), (k == 0).alias("b"), F.rpad(F.substring(payload, k * 368 + 1, F.lit(368)), 368, "F").alias("h")))
+        cut = cut if lost is None else F.filter(cut, lambda x: x["n"] != lost)
+        return cut if twice is None else F.concat(cut, F.transform(F.filter(cut, lambda x: x["n"] == twice), lambda x: F.struct((x["n"] + 1).alias("n"), x["c"].alias("c"), x["b"].alias("b"), x["h"].alias("h"))))
+
+    users = events(spark, sf_dir).select("user_id").distinct()
+    fifty, many, one = table(0, F.lit(50)), table(1, 36 + F.col("user_id") % 40), table(2, F.lit(1))
+    start = lambda t: F.concat(F.lit("00"), t)
+    wrong = F.concat(F.lit("00"), F.substring(many, 1, 30), F.lit("AA"), F.expr("substring(m, 33, length(m))"))
+    users = users.withColumn("m", many)
+    runs = [carried(F.lit(2), start(fifty), twice=4), carried(F.lit(6), start(table(3, F.lit(60), current=0))), carried(F.lit(14), start(many), lost=16), carried(F.lit(20), wrong), carried(F.lit(30), start(many)), carried(F.lit(40), start(many))]
+    runs.append(F.array(F.struct(F.lit(50).cast("long").alias("n"), F.lit(25).alias("c"), F.lit(True).alias("b"), F.rpad(F.concat(F.lit("03ABCDEF"), one), 368, "F").alias("h"))))
+    maps = users.select("user_id", F.explode(F.concat(*runs)).alias("p")).select("user_id", "p.n", F.concat(F.lit("47"), F.when(F.col("p.b"), F.lit("4064")).otherwise(F.lit("0064")), _hex(16 + F.col("p.c") % 16, 2), "p.h").alias("h"))
+    association = users.select("user_id", F.lit(0).cast("long").alias("n"), F.rpad(F.concat(F.lit("47400010"), _section("00B00D" + "0001C10000" + "0007E064")), 376, "F").alias("h"))
+    packets = maps.unionByName(association).select("user_id", "n", F.unhex("h").alias("raw"))
+    return transport.stream_table(packets, ["user_id"])

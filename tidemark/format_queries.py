@@ -21,6 +21,12 @@ def _ordered(*columns):
     return Window.partitionBy("user_id").orderBy(*(columns or ("us", "event_id")))
 
 
+def _section(digits):
+    """A pointer of 0, a section's bytes in hex, and its checksum."""
+    body = F.lit(digits) if isinstance(digits, str) else digits
+    return F.concat(F.lit("00"), body, _hex(hashes.crc32_mpeg(F.unhex(body)), 8))
+
+
 def _transport_stream(spark, sf_dir):
     """A stream for each user: its two tables, a packet of no listed stream, and for each event a unit of two packets."""
     e = events(spark, sf_dir).select("user_id", "us", "event_id", F.row_number().over(_ordered()).alias("i"))
@@ -33,8 +39,8 @@ def _transport_stream(spark, sf_dir):
     second = F.concat(F.lit("470100"), _hex(48 + F.col("i") % 16, 2), _hex(183 - rest, 2), F.lit("00"), F.repeat(F.lit("FF"), (182 - rest).cast("int")), F.repeat(F.lit("BB"), rest.cast("int")))
     units = e.select("user_id", F.posexplode(F.array(first, second)).alias("k", "h"), (F.col("i") * 10).alias("n")).select("user_id", (F.col("n") + F.col("k")).cast("long").alias("n"), "h")
     users = e.select("user_id").distinct()
-    pat = packet(0, True, F.lit("00" + "00B011" + "0001C10000" + "0000E010" + "0001F000" + "00000000"), F.lit(0))
-    pmt = packet(0x1000, True, F.lit("00" + "02B01D" + "0001C10000" + "E100" + "F000" + "1BE100F002" + "0A04" + "0FE101F000" + "00000000"), F.lit(0))
+    pat = packet(0, True, _section("00B011" + "0001C10000" + "0000E010" + "0001F000"), F.lit(0))
+    pmt = packet(0x1000, True, _section("02B019" + "0001C10000" + "E100" + "F000" + "1BE100F002" + "0A04" + "0FE101F000"), F.lit(0))
     other = packet(0x1F0, True, F.lit("000001E0"), F.lit(0))
     tables = users.select("user_id", F.posexplode(F.array(pat, pmt, other)).alias("n", "h")).select("user_id", F.col("n").cast("long").alias("n"), "h")
     return tables.unionByName(units).select("user_id", "n", F.unhex("h").alias("raw"))

@@ -101,6 +101,8 @@ def hash_by_name(name: str, data: Column) -> Column:
         return F.sha2(binary, int(key[3:]))
     if key == "crc32":
         return F.lpad(F.lower(F.hex(F.crc32(binary))), 8, "0")
+    if key == "crc32mpeg2":
+        return F.lpad(F.lower(F.hex(crc32_mpeg(binary))), 8, "0")
     if key == "adler32":
         return F.lpad(F.lower(F.hex(_adler32(binary))), 8, "0")
     if key in ("murmur3", "murmur3128"):
@@ -111,6 +113,26 @@ def hash_by_name(name: str, data: Column) -> Column:
     raise ValueError(f"no hash named {name!r} here")
 
 
+#: Each byte that is not its own mirror image, and its bits in the opposite order, as characters.
+_BYTES = [b for b in range(256) if int(f"{b:08b}"[::-1], 2) != b]
+_MIRRORED = "".join(map(chr, _BYTES)), "".join(chr(int(f"{b:08b}"[::-1], 2)) for b in _BYTES)
+
+
+def _mirrored_crc32(data: Column) -> Column:
+    return F.crc32(F.encode(F.translate(F.decode(data.cast("binary"), "ISO-8859-1"), *_MIRRORED), "ISO-8859-1"))
+
+
+def crc32_mpeg(data: Column) -> Column:
+    """The CRC-32 that takes each byte's highest bit first and does not invert its result: the common one's mirror image."""
+    mirrored = F.conv(F.reverse(F.lpad(F.bin(_mirrored_crc32(data)), 32, "0")), 2, 10).cast("long")
+    return F.lit((1 << 32) - 1).bitwiseXOR(mirrored)
+
+
+def ends_in_crc32_mpeg(data: Column) -> Column:
+    """Whether the last four bytes are the crc32_mpeg() of those before them: over all bytes it is then 0."""
+    return _mirrored_crc32(data) == (1 << 32) - 1
+
+
 def hmac_hex(name: str, key: bytes, data: Column) -> Column:
     return _texts(f"hmac_{name}", lambda x: hmac.new(key, x, name).hexdigest())(data.cast("binary"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidemark.functions.hashes import read_number
+from tidemark.functions.hashes import ends_in_crc32_mpeg, read_number
 from tidemark.operators.folds import fold
 from tidemark.schema import PES_HEADER
 
@@ -73,54 +73,133 @@ def _entries(data: Column, first: Column, end: Column, size: int) -> Column:
     return F.when(end - first >= size, F.sequence(first, end - size, F.lit(size))).otherwise(F.array().cast("array<int>"))
 
 
-def _sections(packets_: DataFrame, keys: list[str], pid: Column, table_id: int) -> DataFrame:
-    """keys, pid, n and section of the packets of a pid that begin a table; a section lies in one packet."""
-    h = packet_header(F.col("raw"))
-    rows = packets_.select(*keys, "n", "raw", h.alias("h")).filter(F.col("h.ok") & F.col("h.unit_start") & pid)
-    body = F.substring("raw", F.col("h.data_offset") + 1, F.col("h.data_size"))
-    rows = rows.select(*keys, "n", F.col("h.pid").alias("pid"), body.alias("b"))
-    rows = rows.select(*keys, "n", "pid", F.substring("b", read_number(F.col("b"), 0, 1).cast("int") + 2, F.lit(PACKET_BYTES)).alias("section"))
-    return rows.filter(read_number(F.col("section"), 0, 1) == table_id)
+#: In one packet at most so many sections begin, as the shortest one has three bytes.
+SECTIONS_A_PACKET = 61
+STUFFING = 0xFF
+_OWN = set("h n raw pid begins counter jump body before gap k p parts first data at s size whole section table_id extension version current number last_number valid since until program stream_type end".split())
 
 
-def programs(packets_: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, program, pid of the program maps that the association tables (pid 0) name; network entries are left out."""
-    tables = _sections(packets_, keys, F.col("h.pid") == 0, 0)
-    section = F.col("section")
-    end = read_number(section, 1, 2).bitwiseAND(F.lit(0xFFF)).cast("int") + 3 - 4  # a checksum ends it
-    rows = tables.select(*keys, section.alias("section"), F.explode(_entries(section, F.lit(8), end, 4)).alias("at"))
+def sections(packets_: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pid, n, table_id, extension, version, current, number, last_number, section, whole, valid: the table sections
+    that the packets of each pid carry, however many packets a section lies in; n is the packet in which it begins.
+
+    packets_: keys, n (order), raw, of pids that carry sections. A packet repeated with its counter and content counts once.
+    Where the counter tells of a lost packet (or one came damaged), or the stream ends, a section that is not complete by
+    then comes out with whole false and the bytes there are. valid: its checksum is right (null for a section that has none).
+    One exchange on keys and pid; what begins in a packet and goes on up to the next beginning is one group.
+    """
+    if clash := _OWN & set(keys):
+        raise ValueError(f"keys with names of this operator: {sorted(clash)}")
+    h = packet_header(F.col("raw"))
+    rows = packets_.select(*keys, "n", "raw", h.alias("h")).filter("h.ok and not h.error and (h.adaptation & 1) = 1")
+    jump = (F.col("h.adaptation") > 2) & (read_number(F.col("raw"), 4, 1) > 0) & (read_number(F.col("raw"), 5, 1) >= 128)
+    rows = rows.select(*keys, "n", F.col("h.pid").alias("pid"), F.col("h.unit_start").alias("begins"), F.col("h.continuity").alias("counter"), jump.alias("jump"), F.substring("raw", F.col("h.data_offset") + 1, F.col("h.data_size")).alias("body"))
+    w = Window.partitionBy(*keys, "pid").orderBy("n")
+    rows = rows.withColumn("before", F.lag(F.struct("counter", "body")).over(w))
+    again = F.coalesce((F.col("before.counter") == F.col("counter")) & (F.col("before.body") == F.col("body")), F.lit(False))
+    gap = F.col("before").isNotNull() & ~F.col("jump") & (F.col("counter") != (F.col("before.counter") + 1) % 16)
+    rows = rows.withColumn("gap", gap).filter(~again).withColumn("k", F.sum(F.col("begins").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = lambda k, side, data, lost: F.struct(k.alias("k"), F.lit(side).alias("side"), F.hex(data).alias("b"), lost.alias("lost"))
+    rest = F.expr("octet_length(body) - 1")
+    pointer = F.least(read_number(F.col("body"), 0, 1).cast("int"), rest)  # what comes before it ends the section that is open
+    of_begin = F.array(part(F.col("k") - 1, 0, F.substring("body", F.lit(2), pointer), F.col("gap")), part(F.col("k"), 1, F.substring("body", pointer + 2, rest - pointer), F.lit(False)))
+    parts = rows.select(*keys, "pid", "n", F.explode(F.when(F.col("begins"), of_begin).otherwise(F.array(part(F.col("k"), 0, F.col("body"), F.col("gap"))))).alias("p")).filter("p.k > 0")
+    each = F.array_sort(F.collect_list(F.struct("n", "p.side", "p.b", "p.lost")))
+    units = parts.groupBy(*keys, "pid", "p.k").agg(each.alias("parts"))
+    lost = F.array_position(F.transform("parts", lambda x: x["lost"]), True)
+    sure = F.when(lost > 0, F.slice("parts", F.lit(1), (lost - 1).cast("int"))).otherwise(F.col("parts"))
+    units = units.select(*keys, "pid", F.col("parts")[0]["n"].alias("n"), F.octet_length(F.unhex(F.col("parts")[0]["b"])).alias("first"), F.unhex(F.array_join(F.transform(sure, lambda x: x["b"]), "")).alias("data"))
+    data, size = F.col("data"), F.octet_length("data")
+    length = lambda at: F.when(at + 3 <= size, read_number(data, at + 1, 2).bitwiseAND(F.lit(0xFFF)).cast("int") + 3)
+    there = lambda at: (at < F.col("first")) & (read_number(data, at, 1) != STUFFING)
+    step = lambda acc, _: F.when(there(F.element_at(acc, -1)) & length(F.element_at(acc, -1)).isNotNull(), F.concat(acc, F.array(F.element_at(acc, -1) + length(F.element_at(acc, -1))))).otherwise(acc)
+    places = F.aggregate(F.sequence(F.lit(1), F.lit(SECTIONS_A_PACKET)), F.array(F.lit(0)), step)
+    found = units.withColumn("at", F.explode(F.filter(F.array_distinct(places), there)))
+    whole = F.coalesce(F.col("at") + length(F.col("at")) <= size, F.lit(False))
+    found = found.select(*keys, "pid", "n", "at", F.expr("substring(data, at + 1, octet_length(data))").alias("s"), length(F.col("at")).alias("size"), whole.alias("whole"))
+    section = F.when(F.col("whole"), F.substring("s", F.lit(1), F.col("size"))).otherwise(F.col("s"))
+    found = found.select(*keys, "pid", "n", "at", "whole", section.alias("section"))
+    s = F.col("section")
+    long_form = F.coalesce(read_number(s, 1, 1) >= 128, F.lit(False)) & (F.octet_length(s) >= 8)
+    field = lambda value: F.when(long_form, value.cast("int"))
+    return found.select(
+        *keys, "pid", "n", read_number(s, 0, 1).cast("int").alias("table_id"), field(read_number(s, 3, 2)).alias("extension"), field(F.shiftright(read_number(s, 5, 1), 1).bitwiseAND(F.lit(31))).alias("version"),
+        F.when(long_form, read_number(s, 5, 1) % 2 == 1).alias("current"), field(read_number(s, 6, 1)).alias("number"), field(read_number(s, 7, 1)).alias("last_number"), "section", "whole",
+        F.when(long_form, F.col("whole") & ends_in_crc32_mpeg(s)).alias("valid"),
+    )
+
+
+def _tables(found: DataFrame, keys: list[str], table_id: int) -> DataFrame:
+    """The whole, right sections of a table that are in force: those of sections(), with `since` and `until`, the packets from
+    and before which their version holds. The first version holds for what came before it too, and the last one on and on;
+    that of a program's map ends when another version comes, not when it is no longer repeated."""
+    rows = found.filter((F.col("table_id") == table_id) & F.col("whole") & F.col("valid") & F.col("current"))
+    name = [*keys, "pid", "extension"]
+    w = Window.partitionBy(*name).orderBy("n", "number")
+    rows = rows.withColumn("_run", F.sum((~F.lag("version").over(w).eqNullSafe(F.col("version"))).cast("int")).over(w))
+    runs = rows.groupBy(*name, "_run", "version", "section").agg(F.min("n").alias("_n"))
+    began = F.min("_n").over(Window.partitionBy(*name, "_run"))
+    runs = runs.withColumn("_began", began)
+    after = Window.partitionBy(*name).orderBy("_run").rangeBetween(1, 1)
+    return runs.select(*name, "version", "section", F.when(F.col("_run") > 1, F.col("_began")).alias("since"), F.min("_began").over(after).alias("until"))
+
+
+def _of_pid(packets_: DataFrame, pid: int) -> DataFrame:
+    return packets_.filter(read_number(F.col("raw"), 1, 2).bitwiseAND(F.lit(0x1FFF)) == pid)
+
+
+def program_table(packets_: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, program, pid, since, until: the program maps that each version of the association table (pid 0) names; network
+    entries are left out."""
+    tables = _tables(sections(_of_pid(packets_, 0), keys), keys, 0)
+    end = F.octet_length("section") - 4  # a checksum ends it
+    rows = tables.select(*keys, "section", "since", "until", F.explode(_entries(F.col("section"), F.lit(8), end, 4)).alias("at"))
     program, pid = read_number(F.col("section"), F.col("at"), 2), read_number(F.col("section"), F.col("at") + 2, 2).bitwiseAND(F.lit(0x1FFF))
-    return rows.select(*keys, program.cast("int").alias("program"), pid.cast("int").alias("pid")).filter("program != 0").distinct()
+    return rows.select(*keys, program.cast("int").alias("program"), pid.cast("int").alias("pid"), "since", "until").filter("program != 0")
 
 
-def elementary_streams(packets_: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, program, pid, stream_type of the streams that the program maps list, without their descriptors."""
-    maps = programs(packets_, keys).withColumnRenamed("pid", "map_pid")
-    tables = _sections(packets_, keys, F.col("h.pid") > 0, 2).withColumnRenamed("pid", "map_pid")
-    section = F.col("section")
-    end = read_number(section, 1, 2).bitwiseAND(F.lit(0xFFF)).cast("int") + 3 - 4
-    first = read_number(section, 10, 2).bitwiseAND(F.lit(0xFFF)).cast("int") + 12
-    found = tables.join(maps, [*keys, "map_pid"]).select(*keys, "program", section.alias("section"), end.alias("end"), first.alias("first"))
+def programs(packets_: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, program, pid of all program maps that were ever named."""
+    return program_table(packets_, keys).select(*keys, "program", "pid").distinct()
+
+
+def stream_table(packets_: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, program, pid, stream_type, version, since, until: the streams that each version of the program maps lists, without
+    their descriptors, and the packets from and before which it holds (null: no such end)."""
+    maps = programs(packets_, keys).select(*keys, F.col("program").alias("extension"), F.col("pid"))
+    carried = packets_.withColumn("pid", read_number(F.col("raw"), 1, 2).bitwiseAND(F.lit(0x1FFF)).cast("int"))
+    carried = carried.join(maps.select(*keys, "pid").distinct(), [*keys, "pid"], "left_semi").select(*keys, "n", "raw")
+    tables = _tables(sections(carried, keys), keys, 2).join(maps, [*keys, "pid", "extension"], "left_semi").withColumnRenamed("extension", "program")
+    s, end = F.col("section"), F.octet_length("section") - 4
+    first = read_number(s, 10, 2).bitwiseAND(F.lit(0xFFF)).cast("int") + 12
+    tables = tables.select(*keys, "program", "version", "since", "until", "section", end.alias("end"), first.alias("first"))
     # Entries are of varying length: each is 5 bytes and its descriptors, so the places follow one from another.
-    size = lambda at: 5 + read_number(F.col("section"), at + 3, 2).bitwiseAND(F.lit(0xFFF)).cast("int")
+    size = lambda at: 5 + read_number(s, at + 3, 2).bitwiseAND(F.lit(0xFFF)).cast("int")
     step = lambda acc, _: F.when(F.element_at(acc, -1) + 5 <= F.col("end"), F.concat(acc, F.array(F.element_at(acc, -1) + size(F.element_at(acc, -1))))).otherwise(acc)
-    places = F.aggregate(F.sequence(F.lit(1), F.lit(PACKET_BYTES // 5)), F.array("first"), step)
-    rows = found.withColumn("at", F.explode(F.filter(places, lambda x: x + 5 <= F.col("end"))))
+    places = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.expr("octet_length(section) div 5"))), F.array("first"), step)
+    rows = tables.withColumn("at", F.explode(F.filter(places, lambda x: x + 5 <= F.col("end"))))
     kind, pid = read_number(F.col("section"), F.col("at"), 1), read_number(F.col("section"), F.col("at") + 1, 2).bitwiseAND(F.lit(0x1FFF))
-    return rows.select(*keys, "program", pid.cast("int").alias("pid"), kind.cast("int").alias("stream_type")).distinct()
+    return rows.select(*keys, "program", pid.cast("int").alias("pid"), kind.cast("int").alias("stream_type"), "version", "since", "until")
+
+
+def elementary_streams(packets_: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, program, pid, stream_type of all streams that were ever listed."""
+    return stream_table(packets_, keys).select(*keys, "program", "pid", "stream_type").distinct()
 
 
 def demux(packets_: DataFrame, keys: list[str]) -> DataFrame:
     """keys, program, pid, stream_type, k, pts, dts, payload: the elementary-stream packets of every listed stream, in order.
 
     packets_: keys, n (order), raw. A packet with its unit start begins the next one; what comes before a stream's first
-    start is left out. One exchange on keys and pid brings a stream's packets together, and each unit is one group.
+    start is left out. A packet belongs to the streams that the map in force at its place lists; a unit goes on as long as
+    they do. One exchange on keys and pid brings a stream's packets together, and each unit is one group.
     """
     h = packet_header(F.col("raw"))
-    streams = elementary_streams(packets_, keys)
+    streams = stream_table(packets_, keys).groupBy(*keys, "pid", "program", "stream_type", "since").agg(F.max("until").alias("until"))
     rows = packets_.select(*keys, "n", "raw", h.alias("h")).filter("h.ok and not h.error")
     rows = rows.select(*keys, "n", F.col("h.pid").alias("pid"), F.col("h.unit_start").alias("begins"), F.substring("raw", F.col("h.data_offset") + 1, F.col("h.data_size")).alias("part")).join(streams, [*keys, "pid"])
-    w = Window.partitionBy(*keys, "pid").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.filter("(since is null or n >= since) and (until is null or n < until)").drop("since", "until")
+    w = Window.partitionBy(*keys, "pid", "program", "stream_type").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     units = rows.withColumn("k", F.sum(F.col("begins").cast("long")).over(w)).filter("k > 0")
     units = units.groupBy(*keys, "program", "pid", "stream_type", "k").agg(joined_bytes("n", "part").alias("data"))
     units = units.withColumn("p", pes_header(F.col("data"))).filter("p.ok")
