@@ -15,7 +15,7 @@ from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import learn, quality_rules
 from tidemark.llm.queries import vocabulary
 from tidemark.llm.secret_scan import redact, scan_secrets
-from tidemark.llm.shared import held, table
+from tidemark.llm.shared import held, materialize, table
 from tidemark.llm.substring_dedup import repeated_passages
 
 
@@ -93,7 +93,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; what a stage keeps is written and read again, so that each is worked out once."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

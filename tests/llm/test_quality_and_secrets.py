@@ -306,3 +306,25 @@ def test_a_batch_of_nothing_but_empty_texts():
 
     x, _, sizes = quality_classifier.passages(pa.array([None, "", ""], pa.string()))
     assert x.shape == (3, quality_classifier.FEATURES) and sizes.tolist() == [1, 1, 1] and np.isfinite(x).all()
+
+
+def test_redaction_of_many_overlapping_spans(spark):
+    def brute(text, found):
+        out, at = "", 0
+        for a, _, b in found:
+            if a < at:
+                at = max(at, b)
+            else:
+                out, at = out + text[at:a] + "[secret]", b
+        return out + text[at:]
+
+    rnd, rows = random.Random(1), []
+    for i in range(200):
+        t = "".join(rnd.choice("aé🙂中\n\x00b") for _ in range(rnd.randint(1, 700)))
+        made = [(a, k, min(len(t), a + rnd.choice([1, 3, 20, 200]))) for k in range(rnd.choice([0, 1, 5, 130, 400])) for a in [rnd.randrange(len(t))]]
+        rows.append((i, t, sorted(made)))
+    long = "x" * 18 + " " + "password=abcdefghijkl1234567890abcdef  " * 60_000  # 2.3 million characters, a span in each 39
+    rows.append((200, long, [(19 + 39 * k, 0, 19 + 39 * k + 37) for k in range(60_000)]))
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<start:int,order:int,end:int>>")
+    for r in df.select("i", redact(F.col("t"), F.col("s")).alias("o")).collect():
+        assert r["o"] == brute(*rows[r["i"]][1:])
