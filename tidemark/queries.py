@@ -572,3 +572,4 @@ def stream_every_nth(spark, sf_dir):
 
 from tidemark import bitstream_queries as _bitstreams  # noqa: E402, F401  registers its queries here, as does the next
 from tidemark import format_queries as _more  # noqa: E402, F401
+from tidemark import stream_queries as _streams  # noqa: E402, F401

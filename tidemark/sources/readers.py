@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,23 +31,49 @@ def _packets(spark: SparkSession, path: str) -> DataFrame:
     return transport.packets(_files(spark, path), "content", ["file"])
 
 
+#: A list of more items than this is an error.
+MOST_ITEMS = 1_000_000
+_GLOB = str.maketrans({c: f"\\{c}" for c in "{}[]*?\\"})
+
+
 def concatenated(spark: SparkSession, path: str) -> DataFrame:
-    """item, file, content of the files that a concatenation list (lines "file name") names, in its order."""
+    """item, file, content of the files that a concatenation list (lines "file name") names, in its order.
+
+    Names without a scheme or a leading slash lie beside the list. A file named twice comes twice; one that is not there is an
+    error, as is a list of more than MOST_ITEMS names. Files are matched by their whole path; each must fit a row.
+    """
     text = _texts(spark, path).select("file", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*file\s+'?([^'\r\n]+?)'?\s*$"), F.lit(1))).alias("item", "name"))
+    names = [(r["item"], r["name"]) for r in text.select("item", "name").limit(MOST_ITEMS + 1).collect()]  # the names of files to open, as Spark's readers take them
+    if len(names) > MOST_ITEMS:
+        raise ValueError(f"{path}: more than {MOST_ITEMS} names")
     folder = path.rsplit("/", 1)[0]
-    named = text.select("item", F.when(F.col("name").rlike("^([A-Za-z]+:|/)"), F.col("name")).otherwise(F.concat(F.lit(f"{folder}/"), "name")).alias("name"))
-    names = [r["name"] for r in named.orderBy("item").limit(100_000).collect()]  # a list is short by nature
-    if not names:
+    wanted = [(i, n if re.match("[A-Za-z][A-Za-z0-9+.-]*:|/", n) else f"{folder}/{n}") for i, n in names]
+    if not wanted:
         return spark.createDataFrame([], "item int, file string, content binary")
-    held = spark.read.format("binaryFile").load(list(dict.fromkeys(names))).select(F.col("path").alias("file"), "content")
-    last = lambda c: F.substring_index(c, "/", -1)
-    return named.join(held, last("name") == last("file")).select("item", "file", "content")
+    files = qualified(spark, [n for _, n in wanted])
+    items = spark.createDataFrame([(i, f) for (i, _), f in zip(wanted, files, strict=True)], "item int, file string")
+    held = spark.read.format("binaryFile").load(list(dict.fromkeys(f.translate(_GLOB) for f in files))).select("path", "content")
+    return items.join(held, F.col("file") == F.col("path")).select("item", "file", "content")
+
+
+def qualified(spark: SparkSession, names: list[str]) -> list[str]:
+    """The names as Spark's own readers tell them, with scheme and authority."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        out.append(path.getFileSystem(conf).makeQualified(path).toString())
+    return out
 
 
 register("M3U8", lambda spark, path: playlist.segments(playlist.lines(_texts(spark, path), "file", "text")))
 register("TS", _packets)
 register("FLV", lambda spark, path: flv.tags(_files(spark, path), "file", "content"))
 register("SRT", lambda spark, path: subtitles.blocks(_texts(spark, path), "file", "text"))
+register("VTT", lambda spark, path: subtitles.blocks(_texts(spark, path), "file", "text"))
+register("WEBVTT", READERS["VTT"])
+register("ASS", lambda spark, path: subtitles.dialogue(_texts(spark, path), "file", "text"))
+register("SSA", READERS["ASS"])
 register("LRC", lambda spark, path: subtitles.lyrics(_texts(spark, path), "file", "text"))
 register("FFCAT", concatenated)
 register("BINARY", _files)

@@ -11,6 +11,8 @@ from tidemark.operators.folds import fold
 from tidemark.schema import PES_HEADER
 
 PACKET_BYTES = 188
+#: Packets that one read from a file takes.
+READ_PACKETS = 10_000
 SYNC = 0x47
 #: Stream ids whose packets carry no optional header, and the one that is padding.
 BARE_STREAMS = {0xBC, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}
@@ -350,10 +352,12 @@ class _PacketReader(DataSourceReader):
         return [_FilePart(self.path, a, min(n, a + self.per)) for a in range(0, n, self.per)] or [_FilePart(self.path, 0, 0)]
 
     def read(self, part: _FilePart):
+        from tidemark.streaming.pushed import cut_units
+
         with self._open("file") as f:
             f.seek(part.start * PACKET_BYTES)
-            for n in range(part.start, part.end):
-                yield n, f.read(PACKET_BYTES)
+            for n in range(part.start, part.end, READ_PACKETS):
+                yield cut_units(f.read((min(n + READ_PACKETS, part.end) - n) * PACKET_BYTES), n, PACKET_BYTES)
 
 
 def register(spark) -> None:
