@@ -256,7 +256,7 @@ def test_repeats_of_no_and_null_rows(spark):
 
 def test_equal_windows_have_a_name_in_common():
     rnd = np.random.default_rng(6)
-    assert 2 * edge_of(rounds_for(50)) < 50 and edge_of(rounds_for(50)) == 21
+    assert edge_of(rounds_for(50)) == 9  # a window puts forward one of the names at places 9 to 25
     for trial in range(900):
         kinds = [2, 3, 50, 10_000][trial % 4]
         passage = rnd.integers(1, kinds, 50).astype(np.uint64)

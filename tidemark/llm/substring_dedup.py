@@ -4,10 +4,11 @@ Rounds name runs and pairs of symbols, words at first. A name is a hash of what
 equal names in every document and task. A round with limit k makes one symbol of each run of equal symbols, and one of each
 two neighbours whose names fall left and right by a bit of their hash, of symbols of at most k words. What becomes of a
 symbol depends on its neighbours alone, so of equal passages at most edge_of(rounds) words at either end are parsed
-differently, and inside all symbols are the same: a window of twice as many words has a symbol that all its copies have. A
-symbol of the last round is exchanged under its name and the words after it that make up half a window, and a run also
-under the name of what it repeats, as a window may hold only a part of it. Symbols that two rows share show where repeats
-can be; only there windows are built, and their words, as digests of 128 bits, decide over the whole corpus.
+differently, and inside all symbols are the same: between its edge and its middle a window has symbols that all its copies
+have. A symbol's name there stands for it and the words after it that make up half a window. Each window puts forward the
+least of these names, the same in all copies, and what some window puts forward is exchanged; of a run also the name of what
+it repeats, as a window may hold only a part of it. Names that two rows share show where repeats can be; only there windows
+are built, and their words, as digests of 128 bits, decide over the whole corpus.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.near_dedup import SALTS, mix, wide_word_hashes
-from tidemark.llm.shared import keyed, materialize, release, tidy
+from tidemark.llm.shared import keyed, materialize, tidy
 from tidemark.llm.token_counts import balanced
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -34,10 +35,11 @@ SAMPLE, MOST_HOT, LEAST_HOT = 64, 4000, 16
 
 
 def rounds_for(window: int) -> list[tuple[int, bool]]:
-    """(limit, whether runs are named) of each round, as many as leave windows a symbol of their own."""
+    """(limit, whether runs are named) of each round, as many as leave half a window, up to the last phrase in it, places for
+    more than the longest symbol they make."""
     out: list[tuple[int, bool]] = []
-    for step in [(1, True), (1, False), (2, True), (2, False), *[(k, False) for k in range(3, window)]]:
-        if 2 * edge_of([*out, step]) >= window:
+    for step in [(1, True), (1, False), (2, True), (2, False)]:
+        if edge_of([*out, step]) + 2 * step[0] >= window // 2:
             break
         out.append(step)
     return out
@@ -118,12 +120,15 @@ def names_to_exchange(words: np.ndarray, counts: np.ndarray, window: int) -> tup
     Of equal windows of two documents at least one has a name that the other has, with both windows between first and last.
     """
     doc, half = np.repeat(np.arange(len(counts)), counts), window // 2
-    made = recompress(words, doc, rounds_for(window))
+    rounds = rounds_for(window)
+    made = recompress(words, doc, rounds)
     ends = np.cumsum(counts)
     begin, end = ends - counts, ends
     inside = made.start + half <= end[made.of]
     at, of = made.start[inside], made.of[inside]
     name = mix(made.name[inside] * _ODD + window_hashes(words, half)[at] + _PHRASE)
+    stay = least_of_windows(name, at, begin, end, window, edge_of(rounds))
+    at, of, name = at[stay], of[stay], name[stay]
     parts = [(of, name, at + half - window, at)]
     for base, start, size, times in made.runs:
         of = doc[start]
@@ -136,6 +141,34 @@ def names_to_exchange(words: np.ndarray, counts: np.ndarray, window: int) -> tup
     return of, name, first - begin[of], last - begin[of]
 
 
+def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """pick() of each `size` values in a row."""
+    have = 1
+    while have * 2 <= size:
+        values = pick(values[:-have], values[have:])
+        have *= 2
+    return pick(values[: len(values) - (size - have)], values[size - have :]) if size > have else values
+
+
+def least_of_windows(name: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int, edge: int) -> np.ndarray:
+    """Which of the names, at places `at`, are the least of those that some window has between its edge and its half, where
+    all copies of the window have the same."""
+    size, half = int(end[-1]) if len(end) else 0, window // 2
+    span = half - edge + 1
+    if size < window:
+        return np.zeros(len(name), bool)
+    value = np.full(size, np.iinfo(np.uint64).max)
+    value[at] = np.minimum(name, np.iinfo(np.uint64).max - np.uint64(1)) + np.uint64(1)
+    least = _sliding(value, span, np.minimum)
+    longs = np.flatnonzero(end - begin >= window)
+    mark = np.zeros(size + 1, np.int64)
+    np.add.at(mark, begin[longs] + edge, 1)
+    np.add.at(mark, end[longs] - window + edge + 1, -1)
+    there = np.cumsum(mark)[: len(least)] > 0  # where the span of a window of one document begins
+    around = np.concatenate([np.zeros(span - 1, np.uint64), np.where(there, least, np.uint64(0)), np.zeros(span - 1, np.uint64)])
+    return _sliding(around, span, np.maximum)[at] == value[at]
+
+
 def _words(texts: pa.Array) -> list[list[bytes]]:
     return [(x or b"").split() for x in texts.cast(pa.binary()).to_pylist()]
 
@@ -292,8 +325,6 @@ def repeated_passages(docs: DataFrame, window: int = 50, with_text: bool = True,
     spans = spans.join(able.select("row", "doc_id", "digest"), "row").dropDuplicates(["doc_id", "digest"])
     texts = rows.join(spans, ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "spans", "row", "digest")
     built = materialize(texts.mapInArrow(tidy(_windows(window)), "row long, doc_id long, digest string, text string, starts array<int>, low array<long>, high array<long>"), "windows")
-    del met, spans, texts
-    release(rows.sparkSession)  # the exchanges of names and texts
 
     each = built.select(F.explode(F.arrays_zip("starts", "low", "high")).alias("w"), "row", "doc_id").select(F.col("w.low").alias("low"), F.col("w.high").alias("high"), "doc_id", "row", F.col("w.starts").alias("start"))
     hot = _is_hot(each, "low")  # dealt by salt, each with its first document, which partial sums find
