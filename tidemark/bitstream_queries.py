@@ -8,7 +8,7 @@ from tidemark.format_queries import _hex, _ordered, _section
 from tidemark.functions import hashes
 from tidemark.operators import queues
 from tidemark.queries import E_SQL, events, query
-from tidemark.sources import bitstreams, transport
+from tidemark.sources import bitstreams, rtp, transport
 
 
 def _golomb(value):
@@ -176,3 +176,18 @@ def ts_versions(spark, sf_dir):
     association = users.select("user_id", F.lit(0).cast("long").alias("n"), F.rpad(F.concat(F.lit("47400010"), _section("00B00D" + "0001C10000" + "0007E064")), 376, "F").alias("h"))
     packets = maps.unionByName(association).select("user_id", "n", F.unhex("h").alias("raw"))
     return transport.stream_table(packets, ["user_id"])
+
+
+@query(f"""with {E_SQL}, p as (select user_id, event_id, row_number() over (partition by user_id order by us, event_id) as i from e), a as (select *, i * 10000 + case when i > 20 and i % 5 = 0 then 15000 else 0 end + case when event_id % 11 = 0 then 500000 else 0 end as arrival from p where event_id % 13 <> 0),
+d as (select *, min(case when event_id % 11 <> 0 then arrival end) over (partition by user_id order by i rows between 1 following and unbounded following) as nxt from a), g as (select * from d where not (event_id % 11 = 0 and coalesce(nxt + 100000 <= arrival, false)))
+select user_id, row_number() over (partition by user_id order by i) - 1 as n, i + 65500 as number, coalesce(lag(i) over (partition by user_id order by i) <> i - 1, false) as lost, event_id from g""")
+def reordered_packets(spark, sf_dir):
+    """Packets ten milliseconds apart, of which some are lost, some come behind their successor, and some half a second late."""
+    i = F.row_number().over(_ordered()).cast("long")
+    e = events(spark, sf_dir).select("user_id", "event_id", i.alias("i")).filter("event_id % 13 <> 0")
+    arrival = F.col("i") * 10000 + F.when((F.col("i") > 20) & (F.col("i") % 5 == 0), 15000).otherwise(0) + F.when(F.col("event_id") % 11 == 0, 500000).otherwise(0)
+    raw = F.unhex(F.concat(F.lit("8060"), _hex((F.col("i") + 65500) % 65536, 4), _hex(F.col("i"), 8), F.lit("00000007"), _hex(F.col("event_id"), 16)))
+    got = rtp.reordered(e.select("user_id", arrival.alias("arrival"), "i", raw.alias("raw")), ["user_id"], "arrival", "i", "raw")
+    got = got.filter("not late").withColumn("event_id", F.conv(F.hex("payload"), 16, 10).cast("long"))
+    first = F.col("number") - F.col("ts") - 65500  # numbers count from the first packet's, which may be behind the wrap
+    return got.select("user_id", "n", (F.col("number") - first).alias("number"), "lost", "event_id")

@@ -265,11 +265,14 @@ OTHER_SQL = {
 }
 
 
-@query(f"select name, cast(i as bigint) as n, cast(round(w * 1000000) as bigint) as ppm from ({COSINE_SQL} union all {' union all '.join(f'select {chr(39)}{k}{chr(39)}, {v}, i from range(64) t(i)' for k, v in OTHER_SQL.items())})")
+@query(f"""with w as ({COSINE_SQL} union all {' union all '.join(f'select {chr(39)}{k}{chr(39)}, {v}, i from range(64) t(i)' for k, v in OTHER_SQL.items())})
+select vec_id, name, cast(round(sum(cast(embedding[i + 1] as double) * w) * 10000) as bigint) as weighed from embeddings, w where len(embedding) = 64 group by 1, 2""")
 def all_windows(spark, sf_dir):
-    n = F.col("id")
-    shapes = F.array(*[F.struct(F.lit(name).alias("name"), F.round(windows.coefficient(name, n, 64) * 1000000).cast("long").alias("ppm")) for name in [*windows.COSINES, *OTHER_SQL]])
-    return spark.range(64).select(n.alias("n"), F.explode(shapes).alias("s")).select("s.name", "n", "s.ppm")
+    """Each vector's 64 numbers under every window."""
+    term = lambda name: lambda x, k: x * windows.coefficient(name, k, 64)
+    total = lambda name: F.aggregate(F.transform(F.col("embedding").cast("array<double>"), term(name)), F.lit(0.0), lambda a, x: a + x)
+    shapes = F.array(*[F.struct(F.lit(name).alias("name"), F.round(total(name) * 10000).cast("long").alias("weighed")) for name in [*windows.COSINES, *OTHER_SQL]])
+    return table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select("vec_id", F.explode(shapes).alias("s")).select("vec_id", "s.name", "s.weighed")
 
 
 @query(f"with {E_SQL} select event_type as kind, make_timestamp(us // 86400000000 * 86400000000) as start, count(*) as n_events, cast(sum(cents) as bigint) as bytes from e group by 1, 2")
@@ -292,10 +295,10 @@ def sniffed_sources(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", sniff.format_by_content(content).alias("by_content"), sniff.format_by_content(content, F.lit("audio/aac")).alias("by_type"), sniff.protocol(scheme).alias("protocol"), sniff.format_by_address(name).alias("by_address"))
 
 
-@query(f"""with {E_SQL}, p as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as i, 20000 + event_id * 97 % 40000 as b from e), s as (select *, case when b < 32768 then b * 1024 else b end as bandwidth from p where i <= 6)
+@query(f"""with {E_SQL}, p as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as i, 20000 + event_id * 97 % 40000 as b from e), s as (select *, case when b < 32768 then b * 1024 else b end as bandwidth from p)
 select cast(user_id as bigint) as playlist_id, cast(bandwidth as bigint) as bandwidth, 'http://a.example/v/' || event_id || '.m3u8' as url, cast(row_number() over (partition by user_id order by bandwidth, i) - 1 as integer) as rung from s""")
 def m3u8_variants(spark, sf_dir):
-    e = events(spark, sf_dir).select("user_id", "event_id", F.row_number().over(_ordered("event_id")).alias("i")).filter("i <= 6")
+    e = events(spark, sf_dir).select("user_id", "event_id", F.row_number().over(_ordered("event_id")).alias("i"))
     line = F.concat(F.lit('#EXT-X-STREAM-INF:PROGRAM-ID=1,CODECS="a,b",BANDWIDTH='), (20000 + F.col("event_id") * 97 % 40000).cast("string"), F.lit("\n"), F.col("event_id").cast("string"), F.lit(".m3u8"))
     rows = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
     text = rows.select("user_id", F.concat(F.lit("#EXTM3U\n"), "body").alias("text"))

@@ -258,12 +258,30 @@ def least_squares(df: DataFrame, y: str, xs: list[str]) -> list[float]:
 
 
 def principal_components(df: DataFrame, xs: list[str]) -> list[tuple[float, list[float]]]:
-    """Variances and unit axes of the columns, largest first, from one aggregation; of an axis the largest part is positive."""
+    """Variances and unit axes of the columns, largest first, from one aggregation; of an axis the largest part is positive.
+
+    A task adds up its rows' second moments; what is put together is a row for each task and moment, and what reaches the
+    driver a row for each moment. Rows with a null are left out.
+    """
     import numpy as np
+    import pyarrow as pa
 
-    row = df.agg(F.count("*").alias("n"), *[F.sum(F.col(a).cast("double")).alias(f"s{i}") for i, a in enumerate(xs)], *[F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"p{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs) if i <= j]).first()
-    mean = np.array([row[f"s{i}"] / row["n"] for i in range(len(xs))])
-    second = np.array([[row[f"p{min(i, j)}_{max(i, j)}"] / row["n"] for j in range(len(xs))] for i in range(len(xs))])
+    k = len(xs)
+
+    def moments(batches):
+        total = np.zeros((k + 1, k + 1))
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False) for c in batch.columns)])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.reshape(-1))], names=["i", "v"])
+
+    rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(xs)]).dropna()
+    found = rows.mapInArrow(moments, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros((k + 1) ** 2)
+    for r in found:
+        total[r["i"]] = r["v"]
+    total = total.reshape(k + 1, k + 1) / max(total[0], 1.0)
+    mean, second = total[0, 1:], total[1:, 1:]
     values, axes = np.linalg.eigh(second - np.outer(mean, mean))
     out = []
     for k in np.argsort(-values):

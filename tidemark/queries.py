@@ -186,12 +186,12 @@ def thumbnail_embeddings(spark, sf_dir):
     return stats.representative(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding", "vec_id", 100, [])
 
 
-@query("""with b as (select vec_id as entry, embedding as c from embeddings where vec_id < 20), d as (select v.vec_id, entry, 0.5 * list_dot_product(cast(c as double[]), cast(c as double[])) - list_dot_product(cast(embedding as double[]), cast(c as double[])) as distance from embeddings v, b)
+@query("""with b as (select vec_id as entry, embedding as c from embeddings where vec_id % 20 = 0), d as (select v.vec_id, entry, 0.5 * list_dot_product(cast(c as double[]), cast(c as double[])) - list_dot_product(cast(embedding as double[]), cast(c as double[])) as distance from embeddings v, b)
 select vec_id, rank, entry from (select vec_id, entry, cast(row_number() over (partition by vec_id order by distance, entry) as integer) as rank from d) where rank <= 3""")
 def knn_embeddings(spark, sf_dir):
+    """Every vector's three nearest entries of a codebook that grows with the table: its rows whose id 20 divides."""
     v = table(spark, sf_dir, "embeddings")
-    book = [(r[0], list(r[1])) for r in v.filter("vec_id < 20").select("vec_id", "embedding").orderBy("vec_id").collect()]  # the codebook: 20 rows
-    return stats.nearest_entries(v, book, 3, "vec_id", "embedding").select("vec_id", "rank", "entry")
+    return stats.nearest_rows(v, v.filter("vec_id % 20 = 0"), 3, "vec_id", "embedding").select("vec_id", "rank", "entry")
 
 
 @query("""with d as (select v.vec_id, b.vec_id as entry, 0.5 * list_dot_product(cast(b.embedding as double[]), cast(b.embedding as double[])) - list_dot_product(cast(v.embedding as double[]), cast(b.embedding as double[])) as distance from embeddings v, embeddings b where v.vec_id % 20 = 0)
@@ -298,6 +298,26 @@ def hash_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[hashes.hash_by_name(n, t).alias(n) for n in ("md5", "sha1", "sha256")])
 
 
+#: CRC-32 by its shift register, eight steps for each byte.
+CRC_STEPS = "list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(d, lambda x: [cast(x as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end)"
+
+
+@query(f"""with d as (select item_id, hex(encode(text)) as h from benchmark), b as (select item_id, [cast(('0x' || h[2 * i + 1:2 * i + 2]) as integer) for i in range(cast(len(h) // 2 as bigint))] as d from d)
+select item_id, lower(printf('%08x', cast(xor({CRC_STEPS}, 4294967295) as bigint))) as crc32, list_reduce(list_prepend(cast(5381 as bigint), [cast(x as bigint) for x in d]), lambda a, x: (a * 33 + x) % 4294967296) as djb2 from b""")
+def benchmark_sums(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "benchmark").select("item_id", hashes.hash_by_name("crc32", t).alias("crc32"), hashes.djb2_hash(t).alias("djb2"))
+
+
+@query("""with u as (select conv_id, turn, text from conversations where role = 'user'), a as (select conv_id, turn, text from conversations where role = 'assistant')
+select u.conv_id, u.turn, (select min(a.turn) from a where a.conv_id = u.conv_id and a.turn > u.turn) as answer_turn from u""")
+def answered_turns(spark, sf_dir):
+    """Each turn of a user with the next answer of its conversation, if one comes."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    got = telemetry.paired(c, ["turn"], ["conv_id"], F.col("role") == "user", F.col("role") == "assistant", "turn", ["conv_id"])
+    return got.select("conv_id", "turn", F.col("end_ts").alias("answer_turn"))
+
+
 @query()
 def checksum_docs(spark, sf_dir):
     t = F.col("text")
@@ -385,9 +405,10 @@ def download_speed(spark, sf_dir):
     return telemetry.download_speed(events(spark, sf_dir).withColumn("ms", F.col("cents") % 97), ["event_type"], "cents", "ms")
 
 
-@query("select cast(i as bigint) as n, cast(round((0.5 - 0.5 * cos(2 * pi() * i / 63)) * 1000000) as bigint) as hann_ppm from range(64) t(i)")
+@query(f"with {E_SQL} select event_id, cast(round(cents * (0.5 - 0.5 * cos(2 * pi() * (event_id % 64) / 63))) as bigint) as hann_cents from e")
 def window_coefficients(spark, sf_dir):
-    return spark.range(64).select(F.col("id").alias("n"), F.round(windows.coefficient("hann", F.col("id"), 64) * 1000000).cast("long").alias("hann_ppm"))
+    """The events' values in frames of 64 ids under a window."""
+    return events(spark, sf_dir).select("event_id", F.round(F.col("cents") * windows.coefficient("hann", F.col("event_id") % 64, 64)).cast("long").alias("hann_cents"))
 
 
 @query(f"with {E_SQL} select event_type, us // 86400000000 * 86400000000 as start_us, count(*) as n_events, cast(sum(cents) as bigint) as bytes from e group by 1, 2")
@@ -487,12 +508,18 @@ def least_squares_fit(spark, sf_dir):
     return spark.createDataFrame([(t, round(c * 1000)) for t, c in zip(["user_id", "rest"], fit, strict=True)], "term string, coefficient_k long")
 
 
-@query("""with p as (select cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings), m as (select avg(x * x) - avg(x) * avg(x) as a, avg(x * y) - avg(x) * avg(y) as b, avg(y * y) - avg(y) * avg(y) as c from p), v as (select *, sqrt((a - c) * (a - c) / 4 + b * b) as d from m)
-select 1 as rank, cast(round(((a + c) / 2 + d) * 1000000) as bigint) as variance_ppm from v union all select 2, cast(round(((a + c) / 2 - d) * 1000000) as bigint) from v""")
+@query("""with x as (select vec_id, i, cast(embedding[i] as double) as v from embeddings, lateral (select unnest(range(1, 65)) as i)), m as (select i, avg(v) as mean from x group by i),
+c as (select a.i, b.i as j, avg(a.v * b.v) - any_value(ma.mean) * any_value(mb.mean) as c from x a join x b on a.vec_id = b.vec_id join m ma on ma.i = a.i join m mb on mb.i = b.i group by 1, 2)
+select cast(64 as integer) as axes, cast(round(sum(case when i = j then c end) * 1000000) as bigint) as variance_ppm, cast(round(sum(c * c) * 1000000) as bigint) as squares_ppm, true as falling, true as at_right_angles from c""")
 def principal_variance(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(*[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in (1, 2)])
-    found = stats.principal_components(v, ["x1", "x2"])
-    return spark.createDataFrame([(i + 1, round(value * 1_000_000)) for i, (value, _) in enumerate(found)], "rank int, variance_ppm long")
+    """The principal axes of all 64 dimensions: their variances add up to the trace, their squares to those of the covariances,
+    largest first, and the axes stand at right angles."""
+    v = table(spark, sf_dir, "embeddings").select(*[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in range(1, 65)])
+    found = stats.principal_components(v, v.columns)
+    values, axes = [x for x, _ in found], [a for _, a in found]
+    falling = all(a >= b for a, b in zip(values[:-1], values[1:]))
+    right = all(abs(sum(x * y for x, y in zip(axes[i], axes[j])) - (i == j)) < 1e-9 for i in range(64) for j in range(64))
+    return spark.createDataFrame([(len(values), round(sum(values) * 1_000_000), round(sum(x * x for x in values) * 1_000_000), falling, right)], "axes int, variance_ppm long, squares_ppm long, falling boolean, at_right_angles boolean")
 
 
 @query(f"""with recursive {E_SQL}, c as (select event_type, count(*) as n from e group by 1),
@@ -572,4 +599,5 @@ def stream_every_nth(spark, sf_dir):
 
 from tidemark import bitstream_queries as _bitstreams  # noqa: E402, F401  registers its queries here, as does the next
 from tidemark import format_queries as _more  # noqa: E402, F401
+from tidemark import scan_queries as _scans  # noqa: E402, F401
 from tidemark import stream_queries as _streams  # noqa: E402, F401
