@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import scans
+from tidemark.functions import samples
+from tidemark.operators import pictures, scans
 from tidemark.queries import query, table
 
 L_SQL = "l as (select l_returnflag as flag, l_orderkey as o, l_linenumber as n, l_partkey as p, l_suppkey as s, cast(l_quantity as bigint) as x, cast(round(l_extendedprice * 100) as bigint) as cents from lineitem)"
@@ -75,3 +76,42 @@ def windowed_frames(spark, sf_dir):
     rows = e.select("user_id", F.floor(i / 64).alias("frame"), (i % 64).cast("long").alias("k"), "v")
     weighed = lambda name: F.sum(F.col("v") * F.round(windows.coefficient(name, F.col("k"), 64) * 1000000)).cast("long")
     return rows.groupBy("user_id", "frame").agg(weighed("hann").alias("hann"), weighed("hamming").alias("hamming"))
+
+
+V_SQL = "v as (select vec_id, [cast(floor(least(greatest(cast(x as double) * 100 + 128, 0), 255)) as bigint) for x in embedding] as b from embeddings where len(embedding) = 64)"
+
+
+def _grids(spark, sf_dir):
+    """The vectors as pictures of 8 by 8 bytes."""
+    level = lambda x: F.floor(F.least(F.greatest(x.cast("double") * 100 + 128, F.lit(0.0)), F.lit(255.0))).cast("long")
+    b = F.transform("embedding", level)
+    return table(spark, sf_dir, "embeddings").filter(F.size("embedding") == 64).select("vec_id", b.alias("b"), F.unhex(F.array_join(F.transform(b, lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("y"))
+
+
+@query(f"""with {V_SQL}, p as (select vec_id, r, c, b[r * 8 + c + 1] as y, b[r // 2 * 4 + c // 2 + 1] - 128 as u, b[16 + r // 2 * 4 + c // 2 + 1] - 128 as v from v, range(8) a(r), range(8) d(c)), k as (select *, (y - 16) * {pictures.LUMA} as l from p)
+select vec_id, string_agg(printf('%02X%02X%02XFF', least(greatest((l + v * {pictures.RED_V}) >> 20, 0), 255), least(greatest((l - v * {pictures.GREEN_V} - u * {pictures.GREEN_U}) >> 20, 0), 255), least(greatest((l + u * {pictures.BLUE_U}) >> 20, 0), 255)), '' order by c, 7 - r) as turned from k group by 1""")
+def turned_colours(spark, sf_dir):
+    """The pictures, with colours from their own first bytes, as pixels and turned by 90 degrees."""
+    g = _grids(spark, sf_dir).withColumn("p", F.concat("y", F.expr("substring(y, 1, 16)"), F.expr("substring(y, 17, 16)")))
+    return g.select("vec_id", F.hex(pictures.turned(pictures.rgba_of(F.col("p"), F.lit(8), F.lit(8)), F.lit(8), F.lit(8), 90, 4)).alias("turned"))
+
+
+@query(f"""with {V_SQL}, d as (select a.vec_id, r, c, sum(abs(a.b[(r + i) * 8 + c + j + 1] - s.b[i * 8 + j + 1])) as diff from v a join v s on s.vec_id = a.vec_id + 1, range(6) x(r), range(6) y(c), range(3) z(i), range(3) w(j) group by 1, 2, 3)
+select vec_id, cast(r as integer) as row, cast(c as integer) as column, cast(diff as bigint) as difference from (select *, row_number() over (partition by vec_id order by diff, r, c) as k from d) where k = 1""")
+def found_corners(spark, sf_dir):
+    """Where the corner of 3 by 3 of the next picture fits best in each."""
+    g = _grids(spark, sf_dir)
+    corner = F.concat(*[F.expr(f"substring(y, {i * 8 + 1}, 3)") for i in range(3)])
+    small = g.select((F.col("vec_id") - 1).alias("vec_id"), corner.alias("s"))
+    place = pictures.found_in(F.col("y"), F.lit(8), F.lit(8), F.col("s"), F.lit(3), F.lit(3))
+    return g.join(small, "vec_id").select("vec_id", place.alias("f")).select("vec_id", "f.*")
+
+
+@query(f"""with {V_SQL}, s as (select vec_id, [x * 400 - 51200 for x in b] as w from v), m as (select vec_id, [least(greatest(w[2 * i + 1] + w[2 * i + 2], -32768), 32767) for i in range(32)] as m, [w[2 * i + 2] >> 8 for i in range(32)] as e from (select vec_id, [least(greatest(x, -32768), 32767) for x in w] as w from s))
+select vec_id, array_to_string(m, ',') as mixed, array_to_string([x + 128 for x in e], ',') as bytes from m""")
+def mixed_samples(spark, sf_dir):
+    """The vectors as interleaved samples of two channels: both mixed into one, and the second in bytes."""
+    wide = F.transform("b", lambda x: F.least(F.greatest(x * 400 - 51200, F.lit(-32768)), F.lit(32767)).cast("long"))
+    g = _grids(spark, sf_dir).withColumn("planes", samples.planar(wide, 2))
+    mono = F.get(samples.mixed(F.col("planes"), [[1.0, 1.0]], 16), F.lit(0))
+    return g.select("vec_id", F.array_join(mono.cast("array<string>"), ",").alias("mixed"), F.array_join(samples.converted(F.get("planes", F.lit(1)), "s16", "u8").cast("array<string>"), ",").alias("bytes"))
