@@ -14,30 +14,21 @@ from pyspark.sql import functions as F
 from tidemark.operators.folds import fold
 from tidemark.storage import materialize
 
-#: Most and least bytes of a range of a keyless stream, as Spark estimates them.
-RANGE_BYTES, SMALL_RANGE_BYTES = 64 << 20, 1 << 20
-
-
-def _ranges(df: DataFrame) -> int:
-    """How many ranges a keyless stream is dealt to: as many as its size asks for, and as the session has partitions for a stream that is not small."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 1 + min(100_000, max(size // RANGE_BYTES, min(tasks, size // SMALL_RANGE_BYTES)))
-
-
 def positions(df: DataFrame, order: list[str], keys: list[str] | None = None, name: str = "seq", parts: int | None = None) -> DataFrame:
     """Adds each row's place, from 1, in its key's order, or in the order of the whole table.
 
     Without keys the rows are dealt by ranges of the whole order, so equal times are parted by what breaks the tie, and
     each range is sorted and numbered where it lies. The ranges are a written table: their sizes and their rows must come
-    from the same cuts, and lost tasks must not deal them again.
+    from the same cuts, and lost tasks must not deal them again. `parts` is how many there are, by default as many as the
+    session's shuffles have. With keys a key is one task's work; scans.numbered() does the same by ranges.
     """
     if keys:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     part, nth, before = "_range_part", "_range_nth", "_range_before"
     if clash := {part, nth, before} & set(df.columns):
         raise ValueError(f"columns with names of this operator: {sorted(clash)}")
-    dealt = df.repartitionByRange(parts or _ranges(df), *order).sortWithinPartitions(*order)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()  # the partition above 33 bits that count its rows in order
     dealt = materialize(dealt.withColumn(nth, at).select(*df.columns, F.shiftright(nth, 33).alias(part), (F.col(nth).bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(nth)), "ranges")
     sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
