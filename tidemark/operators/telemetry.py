@@ -71,3 +71,37 @@ def parse_text_record(record: Column) -> Column:
 
 def json_record(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns))
+
+
+#: What a playback's measurements are called in playback_records().
+FRAMES = ("video_frame", "audio_frame", "video_drop", "audio_drop", "video_render", "audio_render")
+
+
+def playback_records(df: DataFrame, ts_us: str, interval_us: int, keys: list[str], kind: str, value: str, took_ms: str) -> DataFrame:
+    """The sampling record of each key and interval that has measurements: start_ms, end_ms, buffering, buffering_count,
+    video_fps, video_drops, audio_fps, audio_drops, video_render_fps, audio_render_fps, video_buffer, audio_buffer, bytes,
+    download_ms, video_bitrate, audio_bitrate, report_ms.
+
+    A row has a kind: one of FRAMES (value: its bytes), buffer_start, buffer_end, video_buffer, audio_buffer (value: what is
+    in it) or download (value: bytes; took_ms: how long). Rates are by the second and bitrates in bits a second over the
+    whole interval, buffers are means, report_ms is the last measurement's time; buffering is the state at the interval's
+    end, which an earlier interval may have left. Other kinds count for report_ms alone.
+    """
+    k, v, seconds = F.col(kind), F.col(value), interval_us / 1_000_000
+    n = lambda name: F.sum((k == name).cast("long"))
+    total = lambda name: F.coalesce(F.sum(F.when(k == name, v)), F.lit(0)).cast("long")
+    turn = F.when(k.isin("buffer_start", "buffer_end"), F.struct(F.col(ts_us).alias("at"), (k == "buffer_start").alias("on")))
+    start = F.expr(f"({ts_us} div {interval_us}) * {interval_us}")
+    rows = df.groupBy(*keys, start.alias("_start")).agg(
+        F.max(turn)["on"].alias("_turn"), n("buffer_start").alias("buffering_count"), *[n(x).alias(f"_{x}") for x in FRAMES], F.avg(F.when(k == "video_buffer", v)).alias("video_buffer"),
+        F.avg(F.when(k == "audio_buffer", v)).alias("audio_buffer"), total("download").alias("bytes"), F.coalesce(F.sum(F.when(k == "download", F.col(took_ms))), F.lit(0)).cast("long").alias("download_ms"),
+        total("video_frame").alias("_video"), total("audio_frame").alias("_audio"), F.expr(f"max({ts_us}) div 1000").alias("report_ms"),
+    )
+    w = Window.partitionBy(*keys).orderBy("_start").rowsBetween(Window.unboundedPreceding, 0)
+    rate = lambda name: (F.col(f"_{name}") / seconds).alias(f"{name.replace('_frame', '')}_fps")
+    bits = lambda name: F.floor(F.col(f"_{name}") * 8 / seconds).cast("long").alias(f"{name}_bitrate")
+    return rows.select(
+        *keys, F.expr("_start div 1000").alias("start_ms"), F.expr(f"(_start + {interval_us}) div 1000").alias("end_ms"), F.coalesce(F.last("_turn", True).over(w), F.lit(False)).alias("buffering"), "buffering_count",
+        rate("video_frame"), F.col("_video_drop").alias("video_drops"), rate("audio_frame"), F.col("_audio_drop").alias("audio_drops"), rate("video_render"), rate("audio_render"), "video_buffer", "audio_buffer",
+        "bytes", "download_ms", bits("video"), bits("audio"), "report_ms",
+    )

@@ -234,6 +234,22 @@ def sample_windows(spark, sf_dir):
     return telemetry.sample_records(events(spark, sf_dir), "us", 86400000000, ["event_type"], "cents", F.col("event_type") == "error", F.col("cents") > 20000)
 
 
+KINDS = [*telemetry.FRAMES, "buffer_start", "buffer_end", "video_buffer", "audio_buffer", "download"]
+
+
+@query(f"""with {E_SQL}, m as (select user_id, us, cents, event_id % 90 as took, {KINDS!r}[event_id % 11 + 1] as kind from e),
+g as (select user_id, us // 3600000000 * 3600000000 as s, max(case when kind like 'buffer%' then (us * 2 + cast(kind = 'buffer_start' as integer)) end) as turn, count(*) filter (kind = 'buffer_start') as buffering_count, count(*) filter (kind = 'video_frame') as vf, count(*) filter (kind = 'audio_frame') as af, count(*) filter (kind = 'video_drop') as video_drops, count(*) filter (kind = 'audio_drop') as audio_drops,
+count(*) filter (kind = 'video_render') as vr, count(*) filter (kind = 'audio_render') as ar, avg(cents) filter (kind = 'video_buffer') as video_buffer, avg(cents) filter (kind = 'audio_buffer') as audio_buffer, coalesce(sum(cents) filter (kind = 'download'), 0) as bytes, coalesce(sum(took) filter (kind = 'download'), 0) as download_ms,
+coalesce(sum(cents) filter (kind = 'video_frame'), 0) as vb, coalesce(sum(cents) filter (kind = 'audio_frame'), 0) as ab, max(us) // 1000 as report_ms from m group by 1, 2)
+select user_id, s // 1000 as start_ms, s // 1000 + 3600000 as end_ms, coalesce(last_value(turn ignore nulls) over (partition by user_id order by s rows unbounded preceding) % 2 = 1, false) as buffering, buffering_count, vf / 3600 as video_fps, video_drops, af / 3600 as audio_fps, audio_drops, vr / 3600 as video_render_fps, ar / 3600 as audio_render_fps,
+video_buffer, audio_buffer, cast(bytes as bigint) as bytes, cast(download_ms as bigint) as download_ms, cast(vb * 8 // 3600 as bigint) as video_bitrate, cast(ab * 8 // 3600 as bigint) as audio_bitrate, report_ms from g""")
+def playback_records(spark, sf_dir):
+    """The events as measurements of eleven kinds, a record for each user and hour."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in KINDS]), (F.col("event_id") % 11 + 1).cast("int"))
+    m = events(spark, sf_dir).select("user_id", "us", "cents", (F.col("event_id") % 90).alias("took"), kind.alias("kind"))
+    return telemetry.playback_records(m, "us", 3_600_000_000, ["user_id"], "kind", "cents", "took")
+
+
 @query(f"""with {E_SQL}, w as (select event_id, cast(sum(cents) over (partition by user_id order by us range between 86399999999 preceding and current row) as bigint) as bytes_in from e) select event_id, bytes_in, bytes_in // 86400 as speed from w""")
 def speed_last_n(spark, sf_dir):
     return telemetry.last_seconds(events(spark, sf_dir), "us", "cents", 86400, ["user_id"]).select("event_id", "bytes_in", "speed")

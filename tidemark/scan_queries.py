@@ -3,11 +3,12 @@ half of all rows. With their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import samples
 from tidemark.operators import pictures, scans
-from tidemark.queries import query, table
+from tidemark.queries import E_SQL, events, query, table
 
 L_SQL = "l as (select l_returnflag as flag, l_orderkey as o, l_linenumber as n, l_partkey as p, l_suppkey as s, cast(l_quantity as bigint) as x, cast(round(l_extendedprice * 100) as bigint) as cents from lineitem)"
 
@@ -67,7 +68,7 @@ def orders_before_lines(spark, sf_dir):
 c as (select *, k + 0.0 as i from f) select user_id, frame, cast(sum(value * round(1000000 * (0.5 - 0.5 * cos(2 * pi() * k / 63)))) as bigint) as hann, cast(sum(value * round(1000000 * (0.54 - 0.46 * cos(2 * pi() * k / 63)))) as bigint) as hamming from c group by 1, 2""")
 def windowed_frames(spark, sf_dir):
     """Each user's values in frames of 64 under two windows, whose coefficients are whole millionths here."""
-    from pyspark.sql import Window
+
 
     from tidemark.functions import windows
 
@@ -115,3 +116,36 @@ def mixed_samples(spark, sf_dir):
     g = _grids(spark, sf_dir).withColumn("planes", samples.planar(wide, 2))
     mono = F.get(samples.mixed(F.col("planes"), [[1.0, 1.0]], 16), F.lit(0))
     return g.select("vec_id", F.array_join(mono.cast("array<string>"), ",").alias("mixed"), F.array_join(samples.converted(F.get("planes", F.lit(1)), "s16", "u8").cast("array<string>"), ",").alias("bytes"))
+
+
+@query(f"""with recursive {E_SQL}, p as (select user_id, event_id, row_number() over (partition by user_id order by us, event_id) as i, 1024 + cents % 7 as d, sum(case when event_id % 17 = 0 then 1 else 0 end) over (partition by user_id order by us, event_id) as jumps, sum(1024 + cents % 7) over (partition by user_id order by us, event_id) as till from e),
+t as (select user_id, event_id, i, d, cast((till - d) * 25 // 44100 + 40 * jumps as bigint) as t from p),
+r(user_id, i, event_id, t, own, due) as (select user_id, i, event_id, t, (t * 40)::bigint, (t * 1764 + d)::bigint from t where i = 1
+  union all select t.user_id, t.i, t.event_id, t.t, case when near then (this * 2000 + 44100) // 88200 else t.t * 40 end, case when near then this + t.d else t.t * 1764 + t.d end
+  from (select t.*, (2 * t.t - 1) * 882 * 2 - (2 * t.t + 1) * 882 <= r.due and r.due <= (2 * t.t + 1) * 882 * 2 - (2 * t.t - 1) * 882 as near, least(greatest(r.due, (2 * t.t - 1) * 882), (2 * t.t + 1) * 882) as this from r join t on t.user_id = r.user_id and t.i = r.i + 1) t)
+select user_id, event_id, t, cast(own as bigint) as out_ts from r""")
+def audio_times(spark, sf_dir):
+    """Packets of some 1,024 samples, whose times in twenty-fifths of a second say little: by way of their lengths they become
+    even milliseconds, but for jumps that no rounding explains."""
+    from tidemark.functions import timemath
+
+    e = events(spark, sf_dir)
+    order = Window.partitionBy("user_id").orderBy("us", "event_id")
+    d = F.lit(1024) + F.col("cents") % 7
+    jumps = F.sum((F.col("event_id") % 17 == 0).cast("long")).over(order)
+    rows = e.select("user_id", "us", "event_id", d.alias("d"), (F.sum(d).over(order) - d).alias("since"), jumps.alias("jumps"))
+    rows = rows.withColumn("t", F.expr("since * 25 div 44100 + 40 * jumps"))
+    return timemath.rescale_delta(rows, "t", "d", ["us", "event_id"], ["user_id"], (1, 25), (1, 44100), (1, 1000)).select("user_id", "event_id", "t", "out_ts")
+
+
+@query(f"""with {E_SQL}, x as (select event_id, event_id * 37 % 250000 as f from e), s as (select *, f // 17982 as tens, f % 17982 as left_ from x), n as (select *, f + 18 * tens + case when left_ >= 2 then 2 * ((left_ - 2) // 1798) else 0 end as g from s)
+select event_id, f as frame, printf('%02d:%02d:%02d;%02d', g // 108000 % 24, g // 1800 % 60, g // 30 % 60, g % 30) as code, f as back, cast(round(power(sin(event_id / 100.0), 2) * 1000 + case when f > 1000 then 7 else event_id % 5 end) as bigint) as value from n""")
+def drop_frame_codes(spark, sf_dir):
+    """Timecodes of thirty frames a second that leave numbers out, there and back; and an expression of two variables."""
+    from tidemark.functions import timemath
+
+    f = F.col("event_id") * 37 % 250000
+    code = timemath.timecode(F.col("f"), 30, drop=True)
+    value = timemath.expression("pow(sin(n / 100), 2) * 1000", {"n": "event_id"})
+    more = F.when(F.col("f") > 1000, F.lit(7)).otherwise(F.col("event_id") % 5)
+    return events(spark, sf_dir).withColumn("f", f).select("event_id", F.col("f").alias("frame"), code.alias("code"), timemath.parse_timecode(code, 30).alias("back"), F.round(value + more).cast("long").alias("value"))
