@@ -250,6 +250,21 @@ def test_the_query_reads_nothing_twice_with_a_kept_ledger(spark, tmp_path, monke
     assert rows[2] == sorted(map(tuple, queries.op6_secret_scan(spark, f"file://{tmp_path}/2").collect()))
 
 
+def test_the_query_keeps_a_ledger_for_each_folder(spark, tmp_path, monkeypatch):
+    read, scan = [], secret_scan._scan
+    monkeypatch.setattr(secret_scan, "_scan", lambda blobs, rules: read.append(blobs.count()) or scan(blobs, rules))
+    where, other = (f"file://{tmp_path}/{k}" for k in ("a", "b"))
+    docs(spark, [*SECRETS, *SECRETS]).write.parquet(f"{where}/documents.parquet")
+    docs(spark, SECRETS[:3]).write.parquet(f"{other}/documents.parquet")
+    rows = [sorted(map(tuple, queries.op6_secret_scan(spark, f).collect())) for f in (where, where + "/", other, where)]
+    assert read == [len(set(SECRETS)), 0, len(set(SECRETS[:3])), 0] and rows[0] == rows[1] == rows[3]
+    docs(spark, [*SECRETS[2:], "token=abcdefghij", None]).write.mode("overwrite").parquet(f"{where}/documents.parquet")  # some go, one comes
+    after = {r["doc_id"]: r for r in queries.op6_secret_scan(spark, where).collect()}
+    assert read[-1] == 2 - (None in SECRETS or "" in SECRETS) and len(after) == len(SECRETS)
+    for i, t in enumerate([*SECRETS[2:], "token=abcdefghij", None]):
+        assert after[i]["n_assign"] == sum(k == 0 for _, k, _ in spans(t)) and after[i]["n_hex"] == sum(k == 2 for _, k, _ in spans(t))
+
+
 def test_redaction_leaves_no_secret(spark):
     d = docs(spark, SECRETS + ["clean text stays"])
     out = {r["doc_id"]: r["t"] for r in scan_secrets(d, columns=["text"]).select("doc_id", redact(F.col("text"), F.col("spans")).alias("t")).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from tidemark.llm.quality_classifier import score
 from tidemark.llm.quality_rules import learn, quality_rules
 from tidemark.llm.secret_scan import BASE_RULES, scan_secrets, span_text
 from tidemark.llm.sentence_pieces import sentence_pieces
-from tidemark.llm.shared import table, tidy
+from tidemark.llm.shared import shared_folder, table, tidy
 from tidemark.llm.substring_dedup import repeated_passages
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.warc import round_trip
@@ -77,12 +78,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-#: The setting that names a ledger to keep; without it a scan has one of its own.
+#: The setting that names the ledger to keep; without it there is one for each folder of tables.
 LEDGER = "tidemark.secretLedger"
 
 
+def kept_ledger(spark: SparkSession, sf_dir: str) -> str:
+    """Where the ledger of a folder of tables lies: beside what clean_up() deletes, so that the next scan reads only new texts."""
+    return spark.conf.get(LEDGER, None) or f"{shared_folder(spark)}/tidemark-ledgers/{hashlib.sha256(sf_dir.rstrip('/').encode()).hexdigest()[:32]}"
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"), spark.conf.get(LEDGER, None))
+    found = scan_secrets(table(spark, sf_dir, "documents"), kept_ledger(spark, sf_dir))
     base = F.filter("spans", lambda s: s["order"] < len(BASE_RULES))
     of_rule = lambda i: F.size(F.filter("spans", lambda s: s["order"] == i)).cast("long")
     counts = [of_rule(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]

@@ -89,7 +89,7 @@ def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     wanted = F.array(*[F.lit(r.version) for r in rules])
     blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).dropDuplicates(["blob"])
     if _exists(spark, ledger):
-        seen = read_ledger(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+        seen = _of(read_ledger(spark, ledger), blobs).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
         blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0).drop("seen")
     else:
         blobs = blobs.withColumn("todo", wanted)
@@ -101,6 +101,11 @@ def read_ledger(spark, ledger: str) -> DataFrame:
     return spark.read.schema("blob string, rules array<string>, spans array<struct<start:int,rule:string,end:int>>").parquet(ledger)
 
 
+def _of(known: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The rows of a ledger that are about blobs at hand: a kept ledger may hold many more."""
+    return known.join(blobs.select("blob").distinct(), "blob", "left_semi")
+
+
 def _exists(spark, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
@@ -109,20 +114,24 @@ def _exists(spark, path: str) -> bool:
 def scan_secrets(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """id, `columns` of the input and spans (start, order of the rule in `rules`, end; code points) of every row.
 
-    Rows with equal texts share one scan. Null and empty texts: no spans. Repeated rows: one result each. No rows: no
-    rows. Spans come by start, then in the order of the rules; those of different rules may overlap.
+    With a kept ledger only texts and rules that it lacks are read; without one all are. Rows with equal texts share one scan.
+    Null and empty texts: no spans. Texts of any length are read whole. Repeated rows: one result each. No rows: no rows.
+    Other columns, whatever their names, are dropped unless named. Spans come by start, then in the order of the rules; those of different rules may overlap.
     """
+    kept = ledger is not None
     ledger = ledger or fresh_path(versions.sparkSession, "secret-ledger")
     known = update_ledger(versions, ledger, rules, text_col)
+    if kept:
+        known = _of(known, versions.select(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("blob")))
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.version), F.lit(i))])
     found = known.select("blob", F.explode("spans").alias("s")).select("blob", F.col("s.start").alias("start"), F.element_at(order, F.col("s.rule")).alias("order"), F.col("s.end").alias("end")).filter("`order` is not null")
     found = found.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", "order", "end"))).alias("spans"))
     found = found.select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    kept = {f"_kept_{i}": c for i, c in enumerate(columns or [])}
-    paths = keyed(versions, {"doc_id": id_col, "_text": text_col} | kept)
-    paths = paths.select("doc_id", *[k for k in kept], F.sha2(F.coalesce("_text", F.lit("")), 256).alias("blob")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    more = {f"_kept_{i}": c for i, c in enumerate(columns or [])}
+    paths = keyed(versions, {"doc_id": id_col, "_text": text_col} | more)
+    paths = paths.select("doc_id", *[k for k in more], F.sha2(F.coalesce("_text", F.lit("")), 256).alias("blob")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     out = paths.join(found, ["blob", "salt"], "left")
-    return out.select("doc_id", *[F.col(k).alias(c) for k, c in kept.items()], F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    return out.select("doc_id", *[F.col(k).alias(c) for k, c in more.items()], F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
