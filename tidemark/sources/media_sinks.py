@@ -129,7 +129,7 @@ class Pictures(Raw):
     """Pictures as parts of a mime stream."""
 
     def packet(self, row: dict) -> bytes:
-        return b"--ffserver\r\nContent-type: image/jpeg\r\nContent-length: %d\r\n\r\n" % len(row["data"]) + row["data"] + b"\r\n"
+        return b"--frame\r\nContent-type: image/jpeg\r\nContent-length: %d\r\n\r\n" % len(row["data"]) + row["data"] + b"\r\n"
 
 
 FORMATS: dict[str, type[Raw]] = {"raw_files": Raw, "adts": Adts, "flv": Flv, "ivf": Ivf, "srt": Srt, "webvtt": WebVtt, "mpjpeg": Pictures}
