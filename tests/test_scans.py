@@ -131,3 +131,14 @@ def test_a_hot_key_is_many_tasks_work(df):
     assert _PART.startswith("_")
     sizes = [r["count"] for r in scans.scan(df, KEYS, ["o"], Count(), 8).groupBy("part").count().collect()]
     assert len(sizes) >= 7 and max(sizes) <= 2 * 2400 / 8
+
+
+@pytest.mark.parametrize("parts", [1, 11])
+def test_as_of_by_ranges_is_as_of(spark, df, parts):
+    from tidemark.operators import sync
+
+    rows = df.withColumn("t", F.floor(F.col("o") / 5)).filter("k is not null").select("k", "t", "o", "x", "s")
+    main, second = rows.filter("o % 3 = 0"), rows.filter("o % 3 != 0")
+    want = sync.asof(main, second, ["k"], "t", "o", ["o", "s"]).collect()
+    got = sync.asof_by_ranges(main, second, ["k"], "t", "o", ["o", "s"], parts).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 700

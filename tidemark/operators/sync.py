@@ -37,6 +37,19 @@ def asof(main: DataFrame, second: DataFrame, keys: list[str], ts: str, tie: str,
     return out.select("_m.*", F.col(f"_found.{ts}").alias(f"s_{ts}"), *[F.col(f"_found.{c}").alias(f"s_{c}") for c in columns])
 
 
+def asof_by_ranges(main: DataFrame, second: DataFrame, keys: list[str], ts: str, tie: str, columns: list[str], parts: int | None = None) -> DataFrame:
+    """asof() with nulls ahead of the second stream's first row and its last one repeated, for keys of any size, or none: the
+    rows of both are dealt by ranges of key and time, of which the last second row goes on to the next. (ts, tie) must be
+    unique within a key and stream."""
+    from tidemark.operators import scans
+
+    row = lambda *c: F.struct(*[F.col(x) for x in c])
+    a = main.select(*keys, F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"), row(*main.columns).alias("_m"), F.lit(None).cast(second.select(row(ts, *columns).alias("x")).schema[0].dataType).alias("_s"))
+    b = second.select(*keys, F.col(ts).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.lit(None).cast(a.schema["_m"].dataType).alias("_m"), row(ts, *columns).alias("_s"))
+    found = scans.last_known(a.unionByName(b), keys, ["_t", "_side", "_tie"], "_s", "_found", parts).filter("_side = 1")
+    return found.select("_m.*", F.col(f"_found.{ts}").alias(f"s_{ts}"), *[F.col(f"_found.{c}").alias(f"s_{c}") for c in columns])
+
+
 def within(main: DataFrame, second: DataFrame, keys: list[str], ts: str, tie: str, columns: list[str], tolerance: int) -> DataFrame:
     """As-of, but a match older than the tolerance counts for nothing."""
     found = asof(main, second, keys, ts, tie, columns)

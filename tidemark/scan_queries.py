@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import samples
-from tidemark.operators import pictures, scans
+from tidemark.operators import pictures, scans, sync
 from tidemark.queries import E_SQL, events, query, table
 
 L_SQL = "l as (select l_returnflag as flag, l_orderkey as o, l_linenumber as n, l_partkey as p, l_suppkey as s, cast(l_quantity as bigint) as x, cast(round(l_extendedprice * 100) as bigint) as cents from lineitem)"
@@ -149,3 +149,12 @@ def drop_frame_codes(spark, sf_dir):
     value = timemath.expression("pow(sin(n / 100), 2) * 1000", {"n": "event_id"})
     more = F.when(F.col("f") > 1000, F.lit(7)).otherwise(F.col("event_id") % 5)
     return events(spark, sf_dir).withColumn("f", f).select("event_id", F.col("f").alias("frame"), code.alias("code"), timemath.parse_timecode(code, 30).alias("back"), F.round(value + more).cast("long").alias("value"))
+
+
+@query(f"""with {E_SQL}, p as (select * from e where event_type = 'purchase'), v as (select * from e where event_type <> 'purchase'), s as (select us, 1 as side, event_id, null as other, null as other_us from p union all select us, 0, event_id, event_id, us from v)
+select event_id, s_event_id, s_us from (select side, event_id, last_value(other ignore nulls) over w as s_event_id, last_value(other_us ignore nulls) over w as s_us from s window w as (order by us, side, event_id rows unbounded preceding)) where side = 1""")
+def asof_one_stream(spark, sf_dir):
+    """Each purchase with the last other event of anyone at or before it: one stream without keys."""
+    e = events(spark, sf_dir).select("event_id", "us", "event_type")
+    got = sync.asof_by_ranges(e.filter("event_type = 'purchase'"), e.filter("event_type != 'purchase'"), [], "us", "event_id", ["event_id"])
+    return got.select("event_id", "s_event_id", "s_us")
