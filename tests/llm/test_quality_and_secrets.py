@@ -190,6 +190,9 @@ def test_classifier_tells_held_out_rows(spark):
     assert np.mean([r["predicted"] == int(r["doc_id"] < n) for r in rows if r["held_out"]]) > 0.97
     odd = quality_classifier.score(docs(spark, ODD_TEXTS), model).collect()
     assert len(odd) == len(ODD_TEXTS) and odd[0]["score"] == odd[1]["score"]
+    once = docs(spark, ODD_TEXTS)
+    twice = [tuple(r) for r in quality_classifier.score(once.union(once).withColumn("doc_id", F.when(F.col("doc_id") > 2, F.col("doc_id"))), model).collect()]
+    assert len(twice) == 2 * len(ODD_TEXTS) and all(twice.count(r) >= 2 for r in twice)  # rows that come twice, and null ids
     assert quality_classifier.score(d.limit(0), model).count() == 0
     assert {r["score"] for r in quality_classifier.score(d, quality_classifier.learn(d, labels.limit(0))).take(3)} == {0.5}
 

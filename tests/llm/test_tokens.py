@@ -111,6 +111,12 @@ def test_encode_and_decode_of_odd_rows(spark):
         bpe.SpeculativeBPE(BYTE)
 
 
+def test_rows_that_come_twice_are_encoded_twice(spark):
+    once = docs(spark, ODD_TEXTS).withColumn("doc_id", F.when(F.col("doc_id") > 2, F.col("doc_id")))
+    rows = [(r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in bpe.bpe_encode(once.union(once), WORD).collect()]
+    assert len(rows) == 2 * len(ODD_TEXTS) and all(rows.count(r) >= 2 for r in rows)
+
+
 def test_best_fill_is_the_best():
     rnd = random.Random(2)
     for _ in range(60):

@@ -305,7 +305,8 @@ def bpe(path: str) -> SpeculativeBPE:
 def bpe_encode(docs: DataFrame, tokenizer_path: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids and decoded (the text that the ids decode to) of every row; with `digests` their SHA-256 instead.
 
-    Null and empty texts: no ids, an empty decoded text. Repeated rows: one result each. No rows: no rows. Digests are of
+    Null and empty texts: no ids, an empty decoded text. Texts of any length are encoded whole. Repeated rows: one result each;
+    a null id stays null. No rows: no rows. Other columns are dropped, whatever their names. Digests are of
     the decimal ids joined by one space, and of the decoded text in UTF-8.
     """
 

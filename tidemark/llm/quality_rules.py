@@ -146,7 +146,8 @@ def as_condition(rules: list[Rule]) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Learns from at most sample_rows labelled documents, taken in the order of a hash of their id; rows whose
     crc32(id as text) mod 5 is 0 are left out, to measure on. Null labels and ids, and texts the base rule fails, teach
-    nothing; of rows that repeat a doc_id the text with the least hash counts. Without labels there are no rules."""
+    nothing; of rows that repeat a doc_id the text with the least hash counts. Without labels there are no rules. A list has
+    at most 12 rules of 3 conditions each (learn_list(most=12), _grow(longest=3)), so that it stays to be read."""
     marked = keyed(labels, {"doc_id": "doc_id", "quality": "quality"}).filter("quality is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 != 0")
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = keyed(docs, {"doc_id": id_col, "text": text_col}).join(F.broadcast(marked), "doc_id")
@@ -161,8 +162,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def quality_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """id, `columns` of the input, BASE statistics, base_failed and kept (not base_failed, and no rule rejects) of every row.
 
-    Null and empty texts have no words: base_failed. Repeated rows: one result each. No rows: no rows. Other columns are
-    dropped, so their names cannot clash with the statistics.
+    Null and empty texts have no words: base_failed. Texts of any length are read whole. Repeated rows: one result each. No
+    rows: no rows. Other columns are dropped, so their names cannot clash with the statistics.
     """
     rows = keyed(docs, {"doc_id": id_col, "_text": text_col} | {f"_kept_{i}": c for i, c in enumerate(columns or [])})
     found = statistics(rows, "_text").withColumn("kept", ~F.col("base_failed") & as_condition(rules))

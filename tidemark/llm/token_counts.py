@@ -132,8 +132,8 @@ def byte_balanced(texts: list[bytes] | list[str], most: int) -> Iterator[slice]:
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row.
 
-    Null and empty texts: 0 bytes, 0 tokens. Repeated rows: one result each. A null id stays null. No rows: no rows.
-    Special strings inside texts count as the library's default has it, as one token. Only vocabularies that cut at white
+    Null and empty texts: 0 bytes, 0 tokens. Texts of any length are counted whole, in slices. Repeated rows: one result each.
+    A null id stays null. No rows: no rows. Other columns are dropped, whatever their names. Special strings inside texts count as the library's default has it, as one token. Only vocabularies that cut at white
     space are counted word by word; any other is refused.
     """
 

@@ -166,7 +166,7 @@ def assign(pages: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     """Writes every page to archives under `folder`; returns the finished files: archive, records, bytes.
 
-    Null html is an empty payload; a page with a null page_id has an empty number in its record id and is never referred
+    Null html is an empty payload; html of any length is one record. Other columns are dropped. A page with a null page_id has an empty number in its record id and is never referred
     to. No rows: no archives. Of pages with equal page_id and payload one is the response, and the others revisit it only
     if their page_id is larger, so repeated rows are stored as they come.
     """
