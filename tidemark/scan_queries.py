@@ -158,3 +158,15 @@ def asof_one_stream(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", "us", "event_type")
     got = sync.asof_by_ranges(e.filter("event_type = 'purchase'"), e.filter("event_type != 'purchase'"), [], "us", "event_id", ["event_id"])
     return got.select("event_id", "s_event_id", "s_us")
+
+
+@query(f"""with {E_SQL}, a as (select user_id, us, event_id from e where event_type = 'purchase'), b as (select user_id, us, event_id from e where event_type = 'view'), c as (select user_id, us, event_id from e where event_type = 'click'), t as (select user_id, us from a union select user_id, us from c),
+ends as (select t.user_id, max(a.us) as a_end, max(c.us) as c_end from t left join a on a.user_id = t.user_id and a.us = t.us left join c on c.user_id = t.user_id and c.us = t.us group by 1), f as (select user_id, arg_min(event_id, us) as first_view from b group by 1)
+select t.user_id, t.us, case when t.us <= a_end then a.event_id end as "0_event_id", coalesce(b.event_id, first_view) as "1_event_id", c.event_id as "2_event_id"
+from t join ends using (user_id) asof left join a on t.user_id = a.user_id and t.us >= a.us asof left join b on t.user_id = b.user_id and t.us >= b.us asof left join c on t.user_id = c.user_id and t.us >= c.us left join f on f.user_id = t.user_id where coalesce(t.us <= c_end, true)""")
+def aligned_levels(spark, sf_dir):
+    """Two inputs of the highest level drive the output and end it each in its own way; the one between them is repeated at both ends."""
+    e = events(spark, sf_dir).select("user_id", "us", "event_id", "event_type")
+    parts = [e.filter(F.col("event_type") == t) for t in ("purchase", "view", "click")]
+    got = sync.align(parts, ["user_id"], "us", "event_id", ["event_id"], levels=[2, 1, 2], before=["null", "infinity", "null"], after=["null", "infinity", "stop"])
+    return got.select("user_id", "us", "0_event_id", "1_event_id", "2_event_id")
