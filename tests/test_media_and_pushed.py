@@ -94,6 +94,41 @@ def test_modes_and_names(spark, folder):
     assert files_in(f"{folder}/o") == ["_SUCCESS", "z.bin"]
 
 
+def test_many_files_are_given_their_names_by_tasks(spark, folder, monkeypatch):
+    rows = raw(spark, [(f"{'ab'[i % 2]}/{i}.bin", j, b"%d" % j) for i in range(40) for j in range(3)])
+    moved = []
+    monkeypatch.setattr(media_sinks.Written, "__post_init__", lambda self: moved.extend(self.files), raising=False)
+    media_sinks.save(rows, ["n"], "raw_files", f"{folder}/m")
+    assert not moved  # no file's name came to the driver
+    root = f"{folder}/m".removeprefix("file://")
+    assert files_in(f"{folder}/m") == sorted(["_SUCCESS", *(f"{'ab'[i % 2]}/{i}.bin" for i in range(40))]) and not [d for d in os.listdir(root) if d.startswith("_attempts")]
+    assert all(open(f"{root}/{'ab'[i % 2]}/{i}.bin", "rb").read() == b"012" for i in range(40))
+    with pytest.raises(ValueError, match="there already: .*a/6.bin"):
+        media_sinks.save(raw(spark, [("a/6.bin", 0, b"x"), ("new.bin", 0, b"y")]), ["n"], "raw_files", f"{folder}/m")
+    assert len(files_in(f"{folder}/m")) == 41 and open(f"{root}/a/6.bin", "rb").read() == b"012"
+    assert not [d for d in os.listdir(root) if d.startswith("_attempts")]
+
+
+def test_names_that_cannot_be_given_are_all_taken_back(spark, folder, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "in").write_bytes(b"a file, not a folder")
+    with pytest.raises(Exception):
+        media_sinks.save(raw(spark, [*((f"{i}.bin", 0, b"x") for i in range(20)), ("in/y.bin", 0, b"y")]), ["n"], "raw_files", f"{folder}/t")
+    assert files_in(f"{folder}/t") == ["in"]
+
+
+def test_a_lists_files_are_read_by_tasks(spark, folder, tmp_path, monkeypatch):
+    for i in range(50):
+        (tmp_path / f"f%20 {i}.bin").write_bytes(b"%d" % i)
+    (tmp_path / "list").write_text("".join(f"file 'f%20 {i}.bin'\n" for i in range(50)))
+    named = []
+    qualified = readers.qualified
+    monkeypatch.setattr(readers, "qualified", lambda s, names: named.extend(names) or qualified(s, names))
+    got = readers.open_source(spark, f"{folder}/list", "FFCAT").orderBy("item").collect()
+    assert [bytes(r["content"]) for r in got] == [b"%d" % i for i in range(50)] and got[0]["file"] == f"file:{tmp_path}/f%20 0.bin"
+    assert len(named) < 5
+
+
 def test_encoders_refuse_what_has_no_form():
     with pytest.raises(ValueError, match="8191"):
         media_sinks.Adts().packet({"config": b"\x12\x10", "payload": bytes(8185)})

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,16 @@ from tidemark.streaming.pushed import cut_units
 
 #: Bytes of a block, and units that one read takes.
 BLOCK_BYTES, READ_UNITS = 1 << 20, 10_000
+#: What is read is given on when it comes to so many rows or bytes: small files many at once.
+GIVEN_ROWS, GIVEN_BYTES = 4096, 4 << 20
+
+
+def _opened(name: str):
+    system, at = file_system(name)
+    try:
+        return system.open_input_file(at)
+    except FileNotFoundError as e:
+        raise FileNotFoundError(f"[PATH_NOT_FOUND] Path does not exist: {name}") from e
 
 
 def _read(rows: DataFrame, id_cols: list[str], path: str, start: str | None, end: str | None, out: str, pieces) -> DataFrame:
@@ -25,18 +36,28 @@ def _read(rows: DataFrame, id_cols: list[str], path: str, start: str | None, end
     asked = rows.select(*id_cols, F.col(path).alias("_path"), *[F.col(c).cast("long").alias(n) if c else F.lit(None).cast("long").alias(n) for c, n in ((start, "_from"), (end, "_to"))])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields[: len(id_cols)])
 
+    def given(batch: pa.RecordBatch, held: list[tuple[int, pa.RecordBatch]]) -> pa.RecordBatch:
+        of = pa.array(np.repeat([i for i, _ in held], [made.num_rows for _, made in held]), pa.int32())
+        made = pa.concat_batches([made for _, made in held])
+        return pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns[: len(id_cols)]), *made.columns], names=[*id_cols, *made.schema.names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, first, last = (batch.column(len(id_cols) + i).to_pylist() for i in range(3))
+            held, n_rows, n_bytes = [], 0, 0
             for i, name in enumerate(paths):
                 if name is None:
                     continue
-                system, at = file_system(name)
-                with system.open_input_file(at) as f:
+                with _opened(name) as f:
                     size = f.size()
                     for made in pieces(f, max(0, first[i] or 0), size if last[i] is None else min(last[i], size)):
-                        own = [pa.concat_arrays([c.slice(i, 1)] * made.num_rows) if made.num_rows else c.slice(0, 0) for c in batch.columns[: len(id_cols)]]
-                        yield pa.RecordBatch.from_arrays([*own, *made.columns], names=[*id_cols, *made.schema.names])
+                        held.append((i, made))
+                        n_rows, n_bytes = n_rows + made.num_rows, n_bytes + made.nbytes
+                        if n_rows >= GIVEN_ROWS or n_bytes >= GIVEN_BYTES:
+                            yield given(batch, held)
+                            held, n_rows, n_bytes = [], 0, 0
+            if held:
+                yield given(batch, held)
 
     return asked.mapInArrow(run, f"{kinds}{', ' if kinds else ''}{out}")
 
@@ -74,6 +95,15 @@ def texts(rows: DataFrame, id_cols: list[str], path: str) -> DataFrame:
     return _read(rows, id_cols, path, None, None, "text string", pieces)
 
 
+def contents(rows: DataFrame, id_cols: list[str], path: str) -> DataFrame:
+    """id columns and content, the bytes of each row's file, which must fit a row; one that is not there is an error."""
+
+    def pieces(f, a: int, b: int) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([f.read()], pa.binary())], names=["content"])
+
+    return _read(rows, id_cols, path, None, None, "content binary", pieces)
+
+
 def missing(asked: DataFrame, had: DataFrame, keys: list[str], beg: str = "beg", end: str = "end") -> DataFrame:
     """keys, beg, end: the parts of the asked ranges that a cache has not got, as disjoint ranges."""
     want, have = intervals.merge(asked, keys, beg, end), intervals.merge(had, keys, beg, end)

@@ -2,10 +2,13 @@
 
     media_sinks.register(spark)
     media_sinks.by_file(rows, ["n"]).write.format("flv").mode("append").save(folder)
+    media_sinks.save(rows, ["n"], "flv", folder)  # the same for any number of files
 
-A task writes its files under names of its own attempt. Only the driver, when all tasks are done, gives those of the
-attempts that counted their names, then writes _SUCCESS; whatever attempts leave behind is deleted. So a task that is
-tried twice leaves one file, and a job that fails none. A file is the work of one task, which streams its rows.
+A task writes its files under names of its own attempt. Only when all tasks are done, those of the attempts that counted
+get their names, then _SUCCESS is written; whatever attempts leave behind is deleted. So a task that is tried twice leaves
+one file, and a job that fails none. A file is the work of one task, which streams its rows. With a writer's own save() the
+driver gives the names, one after another; with the save() of this module each attempt's are in a list beside its files, and
+tasks give them, so that the driver handles a name for each attempt, not for each file.
 """
 
 from __future__ import annotations
@@ -13,23 +16,33 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 
 def by_file(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The rows of each file in one partition, in order, as the writers ask for them."""
-    return rows.repartition("file").sortWithinPartitions("file", *order)
+    """The rows of each file in one partition, in order, as the writers ask for them. There are as many partitions as the
+    session's shuffles have, however few bytes the rows are: what takes time is the number of files."""
+    return dealt(rows, "file").sortWithinPartitions("file", *order)
+
+
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows over as many partitions as the session's shuffles have, which adaptive execution leaves alone."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
 def file_system(path: str):
-    """A file system and the path there; a path without a scheme is a local one."""
+    """A file system and the path there; a path without a scheme is a local one. Of a local path each sign is itself."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    if "://" not in path or path.startswith("file:///"):
+        return fs.LocalFileSystem(), path.removeprefix("file:").replace("///", "/", 1)
+    return fs.FileSystem.from_uri(path)
 
 
 class Raw:
@@ -143,15 +156,25 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]] = field(default_factory=list)
 
 
+#: The list of an attempt's files, and that of the attempts that counted. No file has such a name, as it begins with _.
+LIST, COUNTED = "_files.parquet", "_counted"
+NAMES = pa.schema([("name", pa.string())])
+#: Names that are read at once.
+LIST_ROWS = 10_000
+
+
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, encoder: type[Raw], overwrite: bool):
-        self.path, self.encoder, self.overwrite, self.job = path.rstrip("/"), encoder, overwrite, uuid.uuid4().hex
+    """job: the name of a job whose files save() publishes; then the driver only notes which attempts counted."""
+
+    def __init__(self, path: str, encoder: type[Raw], overwrite: bool, job: str | None = None):
+        self.path, self.encoder, self.overwrite, self.job, self.staged = path.rstrip("/"), encoder, overwrite, job or uuid.uuid4().hex, job is not None
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = file_system(self.path)
         task = TaskContext.get()
         folder = f"{root}/_attempts-{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
         done, out, made, last = Written(folder), None, None, b""  # no file has this name
+        names, made_in = set(), None
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
@@ -162,11 +185,12 @@ class _Writer(DataSourceArrowWriter):
                         last = row["file"]
                         if not last or last.startswith(("/", "_", ".")) or ".." in last.split("/"):
                             raise ValueError(f"no name for a file: {last!r}")
-                        if any(last == name for _, name in done.files):
+                        if last in names:
                             raise ValueError(f"the rows of {last} do not lie together: use by_file()")
+                        names.add(last)
                         place = f"{folder}/{last}"
-                        system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                        done.files.append((place, last))
+                        if made_in != (made_in := place.rsplit("/", 1)[0]):
+                            system.create_dir(made_in, recursive=True)
                         made, out = self.encoder(), system.open_output_stream(place)
                         out.write(made.head(row))
                     out.write(made.packet(row))
@@ -175,18 +199,25 @@ class _Writer(DataSourceArrowWriter):
         finally:
             if out:
                 out.close()
-        return done
+        if not self.staged:
+            done.files = [(f"{folder}/{name}", name) for name in names]
+        elif names:
+            with system.open_output_stream(f"{folder}/{LIST}") as f:
+                pq.write_table(pa.table([pa.array(sorted(names), pa.string())], schema=NAMES), f, row_group_size=LIST_ROWS)
+        return done if names else Written()
 
     def _clear(self, system, root: str) -> None:
-        from pyarrow import fs
-
-        if system.get_file_info(f"{root}/_attempts-{self.job}").type != fs.FileType.NotFound:
-            system.delete_dir(f"{root}/_attempts-{self.job}")
+        _delete(system, f"{root}/_attempts-{self.job}")
 
     def commit(self, messages: list[Written | None]) -> None:
         from pyarrow import fs
 
         system, root = file_system(self.path)
+        if self.staged:
+            system.create_dir(f"{root}/_attempts-{self.job}", recursive=True)
+            with system.open_output_stream(f"{root}/_attempts-{self.job}/{COUNTED}") as f:
+                f.write("\n".join(m.folder.rsplit("/", 1)[1] for m in messages if m and m.folder).encode())
+            return
         files = [f for m in messages if m for f in m.files]
         names = [name for _, name in files]
         if len(set(names)) < len(names):
@@ -200,8 +231,11 @@ class _Writer(DataSourceArrowWriter):
         elif taken := {f.path[len(root) + 1 :] for f in there} & set(names):
             self._clear(system, root)
             raise ValueError(f"there already: {sorted(taken)[:3]}")
+        made_in = set()
         for place, name in files:
-            system.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)
+            if (parent := f"{root}/{name}".rsplit("/", 1)[0]) not in made_in:
+                system.create_dir(parent, recursive=True)
+                made_in.add(parent)
             system.move(place, f"{root}/{name}")
         self._clear(system, root)
         with system.open_output_stream(f"{root}/_SUCCESS"):
@@ -211,6 +245,100 @@ class _Writer(DataSourceArrowWriter):
         self._clear(*file_system(self.path))
 
 
+def _delete(system, folder: str) -> None:
+    from pyarrow import fs
+
+    if system.get_file_info(folder).type != fs.FileType.NotFound:
+        system.delete_dir(folder)
+
+
+def _there(system, path: str) -> bool:
+    from pyarrow import fs
+
+    return system.get_file_info(path).type == fs.FileType.File
+
+
+def _listed(system, folder: str) -> Iterator[str]:
+    """The names in an attempt's list, a part at a time."""
+    with system.open_input_file(f"{folder}/{LIST}") as f:
+        for batch in pq.ParquetFile(f).iter_batches(LIST_ROWS):
+            yield from batch.column(0).to_pylist()
+
+
+def _taken(system, root: str, folder: str) -> list[str]:
+    """The first names of an attempt that files have already."""
+    return list(islice((name for name in _listed(system, folder) if _there(system, f"{root}/{name}")), 3))
+
+
+def _publish(system, root: str, folder: str) -> list[str]:
+    """Gives an attempt's files their names. A task that is tried again goes on where the first one ended."""
+    made_in = set()
+    for name in _listed(system, folder):
+        if (parent := f"{root}/{name}".rsplit("/", 1)[0]) not in made_in:
+            system.create_dir(parent, recursive=True)
+            made_in.add(parent)
+        try:
+            system.move(f"{folder}/{name}", f"{root}/{name}")
+        except OSError:
+            if not _there(system, f"{root}/{name}"):
+                raise
+    return []
+
+
+def _withdraw(system, root: str, folder: str) -> list[str]:
+    """Deletes those of an attempt's files that have got their names."""
+    for name in _listed(system, folder):
+        if not _there(system, f"{folder}/{name}") and _there(system, f"{root}/{name}"):
+            system.delete_file(f"{root}/{name}")
+    return []
+
+
+def _remove(system, root: str, folder: str) -> list[str]:
+    _delete(system, folder)
+    return []
+
+
+def _each(spark: SparkSession, path: str, folders: list[str], act) -> list[str]:
+    """What act(file system, root, folder) tells of each attempt's folder, in a task for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(path)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(act(system, root, f"{root}/{folder}"), pa.string())], names=["told"])
+
+    tasks = spark.sparkContext.parallelize([(f,) for f in folders], len(folders)).toDF("folder string")
+    return [r["told"] for r in tasks.mapInArrow(run, "told string").collect()]
+
+
+def save(rows: DataFrame, order: list[str], format_name: str, path: str) -> None:
+    """Adds the rows to a folder as files of a format, like a writer with mode append, whatever their number: tasks write the
+    files, look whether there are files of their names (an error, and none is added), and give them their names. If that
+    fails, those that have got their names are deleted again; only a job that is lost with its driver leaves some, without
+    _SUCCESS. Each file is one partition's, as by_file() deals them."""
+    spark, path, job = rows.sparkSession, path.rstrip("/"), uuid.uuid4().hex
+    register(spark)
+    by_file(rows, order).write.format(format_name).mode("append").option("job", job).save(path)
+    system, root = file_system(path)
+    attempts = f"_attempts-{job}"
+    with system.open_input_file(f"{root}/{attempts}/{COUNTED}") as f:
+        folders = [f"{attempts}/{name}" for name in f.read().decode().split("\n") if name]
+    try:
+        if folders:
+            if taken := _each(spark, path, folders, _taken):
+                raise ValueError(f"there already: {sorted(taken)[:3]}")
+            try:
+                _each(spark, path, folders, _publish)
+            except Exception:
+                _each(spark, path, folders, _withdraw)
+                raise
+            _each(spark, path, folders, _remove)
+    finally:
+        _delete(system, f"{root}/{attempts}")
+    with system.open_output_stream(f"{root}/_SUCCESS"):
+        pass
+
+
 def _source(format_name: str, encoder: type[Raw]) -> type[DataSource]:
     class MediaFiles(DataSource):
         @classmethod
@@ -223,7 +351,7 @@ def _source(format_name: str, encoder: type[Raw]) -> type[DataSource]:
         def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
             if missing := {"file", *encoder.columns} - set(schema.names):
                 raise ValueError(f"{format_name} needs columns {sorted(missing)}")
-            return _Writer(self.options["path"], encoder, overwrite)
+            return _Writer(self.options["path"], encoder, overwrite, self.options.get("job"))
 
     return MediaFiles
 

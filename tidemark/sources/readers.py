@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources import flv, playlist, sniff, subtitles, transport
+from tidemark.sources import flv, listed, playlist, sniff, subtitles, transport
+from tidemark.sources.media_sinks import dealt
+from tidemark.storage import materialize
 
 Reader = Callable[[SparkSession, str], DataFrame]
 READERS: dict[str, Reader] = {}
@@ -20,6 +21,8 @@ def register(name: str, reader: Reader) -> None:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
+    """file and content. Of many files rather the folder than a pattern: Spark lists a folder at once, but what a pattern
+    finds it looks up again one by one (some 4 ms each)."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 
 
@@ -31,29 +34,41 @@ def _packets(spark: SparkSession, path: str) -> DataFrame:
     return transport.packets(_files(spark, path), "content", ["file"])
 
 
-#: A list of more items than this is an error.
-MOST_ITEMS = 1_000_000
+#: A list of more items than this is an error: they are numbered by an int.
+MOST_ITEMS = (1 << 31) - 1
 _GLOB = str.maketrans({c: f"\\{c}" for c in "{}[]*?\\"})
+#: What pyarrow's file systems open as Spark's do.
+ARROW_SCHEMES = {"file", "hdfs"}
+_SCHEME = "[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def concatenated(spark: SparkSession, path: str) -> DataFrame:
     """item, file, content of the files that a concatenation list (lines "file name") names, in its order.
 
     Names without a scheme or a leading slash lie beside the list. A file named twice comes twice; one that is not there is an
-    error, as is a list of more than MOST_ITEMS names. Files are matched by their whole path; each must fit a row.
+    error, as is a list of more than MOST_ITEMS names. Files are matched by their whole path; each must fit a row. The names
+    are rows, each read by the task that has it; only of lists that name files in stores that pyarrow does not open do they
+    go through the driver to Spark's reader.
     """
-    text = _texts(spark, path).select("file", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*file\s+'?([^'\r\n]+?)'?\s*$"), F.lit(1))).alias("item", "name"))
-    names = [(r["item"], r["name"]) for r in text.select("item", "name").limit(MOST_ITEMS + 1).collect()]  # the names of files to open, as Spark's readers take them
-    if len(names) > MOST_ITEMS:
-        raise ValueError(f"{path}: more than {MOST_ITEMS} names")
+    names = _texts(spark, path).select(F.posexplode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*file\s+'?([^'\r\n]+?)'?\s*$"), F.lit(1))).alias("item", "name"))
     folder = path.rsplit("/", 1)[0]
-    wanted = [(i, n if re.match("[A-Za-z][A-Za-z0-9+.-]*:|/", n) else f"{folder}/{n}") for i, n in names]
-    if not wanted:
+    root = qualified(spark, ["/"])[0]
+    named = F.col("name").rlike(f"^{_SCHEME}")
+    full = F.when(named, F.col("name")).when(F.col("name").startswith("/"), F.concat(F.lit(root.rstrip("/")), F.col("name"))).otherwise(F.concat(F.lit(f"{qualified(spark, [folder])[0].rstrip('/')}/"), F.col("name")))
+    scheme = F.lower(F.regexp_extract(full, f"^({_SCHEME})", 1))
+    tidy = F.regexp_replace(F.regexp_replace(full, "(?<![:/])/{2,}", "/"), "^file:/+", "file:/")  # as Spark's readers tell a file's name
+    wanted = materialize(dealt(names.select("item", tidy.alias("file"), scheme.alias("_scheme"))), "items")
+    size = wanted.agg(F.count("*").alias("n"), F.max(~F.col("_scheme").isin([f"{x}:" for x in ARROW_SCHEMES])).alias("other")).first()
+    if size["n"] > MOST_ITEMS:
+        raise ValueError(f"{path}: more than {MOST_ITEMS} names")
+    if size["n"] == 0:
         return spark.createDataFrame([], "item int, file string, content binary")
-    files = qualified(spark, [n for _, n in wanted])
-    items = spark.createDataFrame([(i, f) for (i, _), f in zip(wanted, files, strict=True)], "item int, file string")
-    held = spark.read.format("binaryFile").load(list(dict.fromkeys(f.translate(_GLOB) for f in files))).select("path", "content")
-    return items.join(held, F.col("file") == F.col("path")).select("item", "file", "content")
+    wanted = wanted.select("item", "file")
+    if not size["other"]:
+        return listed.contents(wanted, ["item", "file"], "file")
+    files = qualified(spark, [r["file"] for r in wanted.select("file").distinct().collect()])
+    held = spark.read.format("binaryFile").load([f.translate(_GLOB) for f in files]).select("path", "content")
+    return wanted.join(held, F.col("file") == F.col("path")).select("item", "file", "content")
 
 
 def qualified(spark: SparkSession, names: list[str]) -> list[str]:

@@ -17,9 +17,8 @@ FAR = "2200-01-01"
 
 def _written(rows, order, name, spark, tag):
     """Writes the rows as files of a format into a new folder and returns its path."""
-    media_sinks.register(spark)
     path = fresh_path(spark, tag)
-    media_sinks.by_file(rows, order).write.format(name).mode("append").save(path)
+    media_sinks.save(rows, order, name, path)
     return path
 
 
@@ -33,7 +32,7 @@ def flv_written(spark, sf_dir):
     e = events(spark, sf_dir)
     rows = e.select(F.concat(F.lit("u"), "user_id", F.lit(".flv")).alias("file"), "us", "event_id", F.when(F.col("event_id") % 2 == 0, 9).otherwise(8).alias("type"), F.expr("us div 1000").alias("ts_ms"), F.col("props").cast("binary").alias("data"))
     path = _written(rows, ["us", "event_id"], "flv", spark, "flash")
-    return readers.open_source(spark, f"{path}/*.flv", "FLV").select(_user_of("file").alias("user_id"), "n", "type", "ts_ms", F.decode("data", "UTF-8").alias("data"), "whole")
+    return readers.open_source(spark, path, "FLV").select(_user_of("file").alias("user_id"), "n", "type", "ts_ms", F.decode("data", "UTF-8").alias("data"), "whole")
 
 
 @query(f"""with {E_SQL} select user_id, row_number() over (partition by user_id order by us, event_id) - 1 as n, cast(7 + len(props) as integer) as size, cast(event_id % 13 as integer) as rate_index, cast(1 + event_id % 7 as integer) as channels, props as payload from e""")
@@ -43,7 +42,7 @@ def adts_written(spark, sf_dir):
     config = F.unhex(_hex(F.lit(2 * 2048) + (n % 13) * 128 + (1 + n % 7) * 8, 4))
     rows = events(spark, sf_dir).select(F.concat(F.lit("u"), "user_id", F.lit(".aac")).alias("file"), "us", "event_id", config.alias("config"), F.col("props").cast("binary").alias("payload"))
     path = _written(rows, ["us", "event_id"], "adts", spark, "audio")
-    chunks = listed.blocks(spark.read.format("binaryFile").load(f"{path}/*.aac").select("path"), ["path"], "path", block=100)
+    chunks = listed.blocks(spark.read.format("binaryFile").load(path).select("path"), ["path"], "path", block=100)
     got = bitstreams.audio_frames(chunks.withColumn("user_id", _user_of("path")), ["user_id"], "at", "at", "data", "ADTS")
     return got.select("user_id", "n", "size", F.col("rate").alias("rate_index"), "channels", F.decode(F.expr("substring(frame, 8, size)"), "UTF-8").alias("payload"))
 

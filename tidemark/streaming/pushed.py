@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from tidemark.sources.media_sinks import by_file, file_system
+from tidemark.sources.media_sinks import file_system, save
 
 ENDING = ".chunk"
 SCHEMA = pa.schema([("n", pa.int64()), ("raw", pa.binary())])
@@ -31,7 +31,8 @@ def chunk_name(start, size):
 def push(rows: DataFrame, path: str, start: str, data: str) -> None:
     """Adds chunks to a stream: a file for each row, by its first byte's place and its bytes. For data that Spark has; another
     program may as well write such files, each complete at once (by a rename)."""
-    rows.select(chunk_name(F.col(start), F.octet_length(data)).alias("file"), F.col(data).alias("data")).filter(F.octet_length("data") > 0).transform(by_file, []).write.format("raw_files").mode("append").save(path)
+    named = rows.select(chunk_name(F.col(start), F.octet_length(data)).alias("file"), F.col(data).alias("data"))
+    save(named.filter(F.octet_length("data") > 0), [], "raw_files", path)
 
 
 def chunks(path: str) -> list[tuple[int, int, str]]:
