@@ -326,3 +326,20 @@ def test_flash_files_that_are_cut_or_none(spark):
     df = spark.createDataFrame([(1, head + tag + tag[:13]), (2, b"no"), (3, None), (4, head)], "i int, c binary")
     got = [(r["i"], r["n"], r["type"], r["ts_ms"], bytes(r["data"]), r["whole"]) for r in flv.tags(df, "i", "c").orderBy("n").collect()]
     assert got == [(1, 0, 18, (2 << 24) + 1, b"abc", True), (1, 1, 18, (2 << 24) + 1, b"ab", False)]
+
+
+def test_frame_numbers_beyond_a_day_come_back(spark, tmp_path):
+    import duckdb
+
+    from tidemark import queries
+
+    n, frames = F.col("n"), [0, 2_159_999, 2_160_000, 2_160_007, 5_999_999, 300_000_000]
+    rows = spark.createDataFrame([(x,) for x in frames], "n long")
+    got = rows.select("n", timemath.timecode(n, 25).alias("a"), timemath.timecode(n, 25, day=False).alias("b"), timemath.parse_timecode(timemath.timecode(n, 25, day=False), 25).alias("c"), timemath.parse_timecode(timemath.timecode(n, 30, True, False), 30).alias("d")).orderBy("n").collect()
+    assert [r["c"] for r in got] == [r["d"] for r in got] == frames
+    assert (got[3]["a"], got[3]["b"], got[5]["b"]) == ("00:00:00:07", "24:00:00:07", "3333:20:00:00")
+    duckdb.sql(f"copy (select n::bigint as event_id, timestamp '2024-01-03 04:05:06.789' as ts, 1::bigint as user_id, 'view' as event_type, 12.5::double as value, '' as props from (values {', '.join(f'({x})' for x in frames)}) t(n)) to '{tmp_path}/events.parquet'")
+    made = queries.QUERIES["time_functions"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    assert sorted(tuple(r) for r in made.collect()) == sorted(con.execute(f"select {', '.join(made.columns)} from ({queries.SQL['time_functions']})").fetchall())

@@ -183,6 +183,7 @@ def aligned_inputs(spark, sf_dir):
 cast(floor(log2(cents + 1)) as integer) as bits, printf('%02d:%02d:%02d:%02d', event_id // 90000 % 24, event_id // 1500 % 60, event_id // 25 % 60, event_id % 25) as code, event_id as frame, strftime(make_timestamp(us), '%a, %d %b %Y %H:%M:%S GMT') as gmt,
 cast(d * 60000 + (cents % 60) * 1000 + (cents % 100) * 10 as bigint) as lyric, cast(cents + (us % 10000 - 500) * 2 - 7 as bigint) as clock, cast(case when abs(cents % 200 - 100) > 50 then true else false end as boolean) as resets from x""")
 def time_functions(spark, sf_dir):
+    """`code` begins again after a day; `frame` is told from the text whose hours go on."""
     us, cents, n = F.col("us"), F.col("cents"), F.col("event_id")
     d = n % 60 + 1
     lowest = timemath.reduce(us, d * 1000)
@@ -190,7 +191,7 @@ def time_functions(spark, sf_dir):
     tag = F.format_string("[%02d:%02d.%02d]x", d.cast("int"), (cents % 60).cast("int"), (cents % 100).cast("int"))
     return events(spark, sf_dir).select(
         "event_id", timemath.gcd_of(us, cents).alias("g"), lowest["num"].alias("num"), lowest["den"].alias("den"), timemath.compare_times(us, 3, 90000, cents, 1000, 1).alias("earlier"), timemath.log2_floor(cents + 1).cast("int").alias("bits"),
-        code.alias("code"), timemath.parse_timecode(code, 25).alias("frame"), timemath.gmt_text(F.timestamp_micros("us")).alias("gmt"), timemath.lyric_time(tag).alias("lyric"),
+        code.alias("code"), timemath.parse_timecode(timemath.timecode(n, 25, day=False), 25).alias("frame"), timemath.gmt_text(F.timestamp_micros("us")).alias("gmt"), timemath.lyric_time(tag).alias("lyric"),
         timemath.media_clock(cents, us % 10000, F.lit(500), F.lit(2), F.lit(7)).alias("clock"), timemath.clock_resets(cents % 200, F.lit(100), F.lit(1.0)).alias("resets"),
     )
 

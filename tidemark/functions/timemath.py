@@ -158,9 +158,10 @@ def gmt_text(ts: Column) -> Column:
     return F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
 
 
-def timecode(frame: Column, fps: int, drop: bool = False) -> Column:
+def timecode(frame: Column, fps: int, drop: bool = False, day: bool = True) -> Column:
     """hh:mm:ss:ff of a frame number; with drop (fps 30 or 60) two numbers a minute are skipped but each tenth, and a
-    semicolon stands before the frames."""
+    semicolon stands before the frames. Hours begin again after 24 with day, and else go on, so that the number can be told
+    from the text."""
     n = frame.cast("long")
     if drop:
         skip = fps // 30 * 2
@@ -168,7 +169,7 @@ def timecode(frame: Column, fps: int, drop: bool = False) -> Column:
         d, m = F.floor(n / ten), n % ten
         n = n + skip * 9 * d + F.when(m >= skip, F.lit(skip) * F.floor((m - skip) / minute)).otherwise(F.lit(0))
     part = lambda by, of: (F.floor(n / by) % of).cast("int") if of else F.floor(n / by).cast("int")
-    return F.format_string("%02d:%02d:%02d" + (";" if drop else ":") + "%02d", part(fps * 3600, 24), part(fps * 60, 60), part(fps, 60), (n % fps).cast("int"))
+    return F.format_string("%02d:%02d:%02d" + (";" if drop else ":") + "%02d", part(fps * 3600, 24 if day else None), part(fps * 60, 60), part(fps, 60), (n % fps).cast("int"))
 
 
 def parse_timecode(text: Column, fps: int) -> Column:
