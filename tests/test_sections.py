@@ -130,3 +130,14 @@ def test_checksums_by_name(spark):
     df = spark.createDataFrame(rows, "d binary").select("d", hashes.hash_by_name("CRC32-MPEG2", F.col("d")).alias("c"), hashes.ends_in_crc32_mpeg(F.concat("d", F.unhex(hashes.hash_by_name("crc32mpeg2", F.col("d"))))).alias("ok"))
     for r in df.collect():
         assert r["c"] == f"{crc(bytes(r['d'])):08x}" and r["ok"]
+
+
+def test_every_task_makes_packets_of_some_users(spark, monkeypatch):
+    from tidemark import queries
+    from tidemark.storage import materialize
+
+    module = __import__("sys").modules[queries.QUERIES["ts_versions"].__module__]
+    parts = []
+    monkeypatch.setattr(module, "materialize", lambda df, tag: parts.append(df.rdd.getNumPartitions()) or materialize(df, tag), raising=False)
+    assert queries.QUERIES["ts_versions"](spark, "/root/testdata/sf0.001").count() > 1000
+    assert len(parts) == 1 and parts[0] >= int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,6 +9,8 @@ from tidemark.functions import hashes
 from tidemark.operators import queues
 from tidemark.queries import E_SQL, events, query
 from tidemark.sources import bitstreams, rtp, transport
+from tidemark.sources.media_sinks import dealt
+from tidemark.storage import materialize
 
 
 def _golomb(value):
@@ -165,16 +167,16 @@ def ts_versions(spark, sf_dir):
         cut = cut if lost is None else F.filter(cut, lambda x: x["n"] != lost)
         return cut if twice is None else F.concat(cut, F.transform(F.filter(cut, lambda x: x["n"] == twice), lambda x: F.struct((x["n"] + 1).alias("n"), x["c"].alias("c"), x["b"].alias("b"), x["h"].alias("h"))))
 
-    users = events(spark, sf_dir).select("user_id").distinct()
-    fifty, many, one = table(0, F.lit(50)), table(1, 36 + F.col("user_id") % 40), table(2, F.lit(1))
-    start = lambda t: F.concat(F.lit("00"), t)
-    wrong = F.concat(F.lit("00"), F.substring(many, 1, 30), F.lit("AA"), F.expr("substring(m, 33, length(m))"))
-    users = users.withColumn("m", many)
-    runs = [carried(F.lit(2), start(fifty), twice=4), carried(F.lit(6), start(table(3, F.lit(60), current=0))), carried(F.lit(14), start(many), lost=16), carried(F.lit(20), wrong), carried(F.lit(30), start(many)), carried(F.lit(40), start(many))]
-    runs.append(F.array(F.struct(F.lit(50).cast("long").alias("n"), F.lit(25).alias("c"), F.lit(True).alias("b"), F.rpad(F.concat(F.lit("03ABCDEF"), one), 368, "F").alias("h"))))
+    users = dealt(events(spark, sf_dir).select("user_id").distinct(), "user_id")  # few bytes, but of each user much is made
+    # The tables are columns, made once for each user, and not for each packet that is cut from them.
+    made = {"fifty": table(0, F.lit(50)), "ahead": table(3, F.lit(60), current=0), "many": table(1, 36 + F.col("user_id") % 40), "one": table(2, F.lit(1))}
+    users = users.withColumns({k: F.concat(F.lit("00"), t) for k, t in made.items()})
+    users = users.withColumn("wrong", F.concat(F.substring("many", 1, 32), F.lit("AA"), F.expr("substring(many, 35, length(many))")))
+    runs = [carried(F.lit(2), F.col("fifty"), twice=4), carried(F.lit(6), F.col("ahead")), carried(F.lit(14), F.col("many"), lost=16), carried(F.lit(20), F.col("wrong")), carried(F.lit(30), F.col("many")), carried(F.lit(40), F.col("many"))]
+    runs.append(F.array(F.struct(F.lit(50).cast("long").alias("n"), F.lit(25).alias("c"), F.lit(True).alias("b"), F.rpad(F.concat(F.lit("03ABCDEF"), F.expr("substring(one, 3, length(one))")), 368, "F").alias("h"))))
     maps = users.select("user_id", F.explode(F.concat(*runs)).alias("p")).select("user_id", "p.n", F.concat(F.lit("47"), F.when(F.col("p.b"), F.lit("4064")).otherwise(F.lit("0064")), _hex(16 + F.col("p.c") % 16, 2), "p.h").alias("h"))
     association = users.select("user_id", F.lit(0).cast("long").alias("n"), F.rpad(F.concat(F.lit("47400010"), _section("00B00D" + "0001C10000" + "0007E064")), 376, "F").alias("h"))
-    packets = maps.unionByName(association).select("user_id", "n", F.unhex("h").alias("raw"))
+    packets = materialize(maps.unionByName(association).select("user_id", "n", F.unhex("h").alias("raw")), "packets")
     return transport.stream_table(packets, ["user_id"])
 
 

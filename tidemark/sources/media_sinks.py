@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 
@@ -32,8 +33,10 @@ def by_file(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def dealt(rows: DataFrame, *columns: str) -> DataFrame:
-    """The rows over as many partitions as the session's shuffles have, which adaptive execution leaves alone."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    """The rows over as many partitions as the session's shuffles have, those of equal columns in one. They are dealt by a hash of
+    the columns: dealt by the columns, they might share a distinct()'s exchange, whose partitions Spark puts together by bytes."""
+    by = [F.xxhash64(*columns)] if columns else []
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def file_system(path: str):
