@@ -129,6 +129,36 @@ def test_a_lists_files_are_read_by_tasks(spark, folder, tmp_path, monkeypatch):
     assert len(named) < 5
 
 
+def test_masters_named_by_rows_are_those_of_a_pattern(spark, folder, tmp_path):
+    from tidemark.sources import hls
+
+    for i in range(12):
+        (tmp_path / f"u{i}").mkdir()
+        (tmp_path / f"u{i}" / "master.m3u8").write_text(f"#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH={400000 + i}\nlo.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH=900000\nhi.m3u8\n")
+    masters = spark.createDataFrame([(f"{folder}/u{i}/master.m3u8",) for i in range(12)], "m string")
+    short = lambda df: sorted((r["master"].split("/")[-2], r["bandwidth"], r["url"].split("/")[-1], r["rung"]) for r in df.collect())
+    got = short(hls.variants_of(masters, "m"))
+    assert len(got) == 24 and got == short(hls.variants(spark, f"{folder}/*/master.m3u8"))
+    many = spark.range(0, 300, 1, 1).select("id", F.lit(f"{folder}/u1/master.m3u8").alias("path"))
+    seen = []
+    kept = listed.pa.concat_batches
+    listed.pa.concat_batches, made = (lambda parts: seen.append(len(parts)) or kept(parts)), None
+    try:
+        asked = listed.pa.RecordBatch.from_pydict({"id": list(range(300)), "path": [f"{folder}/u1/master.m3u8"] * 300, "a": [None] * 300, "b": [None] * 300})
+
+        class Rows:  # the function that tasks run, here in this process
+            schema = many.schema
+            select = lambda self, *c: self
+            mapInArrow = lambda self, f, kinds: list(f([asked]))
+
+        Rows.schema = many.select("id", "path").schema
+        made = listed.texts(Rows(), ["id"], "path")
+    finally:
+        listed.pa.concat_batches = kept
+    assert seen == [300] and [b.num_rows for b in made] == [300] and made[0].column(0).to_pylist() == list(range(300))
+    assert {r["n"] for r in listed.texts(many, ["id"], "path").groupBy("text").agg(F.count("*").alias("n")).collect()} == {300}
+
+
 def test_encoders_refuse_what_has_no_form():
     with pytest.raises(ValueError, match="8191"):
         media_sinks.Adts().packet({"config": b"\x12\x10", "payload": bytes(8185)})

@@ -6,12 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources import listed, playlist
+from tidemark.sources.media_sinks import dealt
 
 
 def variants(spark: SparkSession, path: str) -> DataFrame:
     """master, bandwidth, url, rung of each variant that the master playlists (a path or pattern) list. A playlist of segments
     among them is its own only variant, of bandwidth null and rung 0."""
-    texts = spark.read.format("binaryFile").load(path).select(F.col("path").alias("master"), F.decode("content", "UTF-8").alias("text"))
+    return _variants(spark.read.format("binaryFile").load(path).select(F.col("path").alias("master"), F.decode("content", "UTF-8").alias("text")))
+
+
+def variants_of(masters: DataFrame, path: str) -> DataFrame:
+    """variants() of master playlists that the rows of a table name (a column of paths): for more of them than a pattern should find."""
+    return _variants(listed.texts(dealt(masters.select(F.col(path).alias("master")), "master"), ["master"], "master"))
+
+
+def _variants(texts: DataFrame) -> DataFrame:
     lines = playlist.lines(texts, "master", "text")
     listed_ = playlist.variants(lines, F.regexp_replace("playlist_id", "^file:/+", "file:///"))
     plain = playlist.extended(lines).groupBy("playlist_id").agg(F.max(F.col("text").startswith("#EXT-X-STREAM-INF")).alias("_m")).filter("not _m")
@@ -29,7 +38,7 @@ def best_within(found: DataFrame, bandwidth: int) -> DataFrame:
 def segments(found: DataFrame, since: Column | None = None) -> DataFrame:
     """master, rung, seq, url, duration_ms, start_ms, discontinuity, ended of the segments of each variant; since leaves out
     those below a media sequence number, as a refresh does with what it has seen."""
-    texts = listed.texts(found.repartition("url"), ["master", "rung", "url"], "url")
+    texts = listed.texts(dealt(found, "url"), ["master", "rung", "url"], "url")
     rows = playlist.segments(playlist.lines(texts.select(F.struct("master", "rung", "url").alias("id"), "text"), "id", "text"), F.col("playlist_id.url"))
     rows = rows.select("playlist_id.master", "playlist_id.rung", "seq", "url", "duration_ms", "start_ms", "discontinuity", "ended")
     return rows if since is None else rows.filter(F.col("seq") >= since)
@@ -38,5 +47,5 @@ def segments(found: DataFrame, since: Column | None = None) -> DataFrame:
 def packets(parts: DataFrame) -> DataFrame:
     """master, rung, seq, n, raw: the transport packets of each segment; n goes on from segment to segment, in steps that
     leave room for a segment's own. A segment is one file and one task's stream; segments are spread over all tasks."""
-    rows = listed.units(parts.repartition("master", "rung", "seq"), ["master", "rung", "seq"], "url")
+    rows = listed.units(dealt(parts, "master", "rung", "seq"), ["master", "rung", "seq"], "url")
     return rows.withColumn("n", F.col("seq") * F.lit(1 << 32) + F.col("n"))

@@ -132,7 +132,7 @@ def hls_packets(spark, sf_dir):
     text = F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH="), high, F.lit("\nhi/index.m3u8\n#EXT-X-STREAM-INF:BANDWIDTH="), low, F.lit("\nlo.m3u8\n"))
     masters = e.select("user_id").distinct().select(line("master.m3u8", text).alias("x")).select("x.file", F.lit(0).cast("long").alias("us"), F.lit(0).cast("long").alias("event_id"), "x.data")
     path = _written(data.unionByName(lists).unionByName(masters), ["us", "event_id"], "raw_files", spark, "hls")
-    chosen = hls.best_within(hls.variants(spark, f"{path}/*/master.m3u8"), 500_000)
+    chosen = hls.best_within(hls.variants_of(e.select(F.concat(F.lit(f"{path}/u"), "user_id", F.lit("/master.m3u8")).alias("master")).distinct(), "master"), 500_000)
     got = hls.packets(hls.segments(chosen, F.lit(6)))
     user = F.regexp_extract("master", r"u(-?\d+)/master", 1).cast("long")
     kind = F.when((F.hex(F.substring("raw", 5, 1)).cast("int") == F.col("rung")) & (F.octet_length("raw") == 188), F.lit("packet")).otherwise(F.lit("another quality's"))
