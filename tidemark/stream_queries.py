@@ -162,6 +162,6 @@ def subtitles_written(spark, sf_dir):
     for kind, name in (("srt", "srt"), ("vtt", "webvtt")):
         rows = e.select(F.concat(F.lit("u"), "user_id", F.lit(f".{kind}")).alias("file"), "i", (F.col("i") * 4000 + F.col("cents") % 1000).alias("start_ms"), (F.col("i") * 4000 + 2500).alias("end_ms"), F.concat("event_type", F.lit("\nno. "), "event_id").alias("text"))
         path = _written(rows, ["i"], name, spark, kind)
-        got = readers.open_source(spark, f"{path}/*.{kind}").select(_user_of("file_id").alias("user_id"), F.lit(kind).alias("kind"), F.col("n").cast("long").alias("n"), "start_ms", "end_ms", "text")
+        got = readers.open_source(spark, path, kind).select(_user_of("file_id").alias("user_id"), F.lit(kind).alias("kind"), F.col("n").cast("long").alias("n"), "start_ms", "end_ms", "text")
         out = got if out is None else out.unionByName(got)
     return out
