@@ -159,6 +159,32 @@ def test_masters_named_by_rows_are_those_of_a_pattern(spark, folder, tmp_path):
     assert {r["n"] for r in listed.texts(many, ["id"], "path").groupBy("text").agg(F.count("*").alias("n")).collect()} == {300}
 
 
+def test_ranges_of_many_chunks_are_found_by_bisection(monkeypatch):
+    import time
+
+    rnd = random.Random(2)
+    found = sorted({(a, a + rnd.randint(1, 400), f"c{a}") for a in [0, *(rnd.randrange(2000) for _ in range(150))]})
+    reader = pushed.PushedReader({"path": "x", "unit": "10", "unitsPerPartition": "3"})
+    monkeypatch.setattr(pushed, "chunks", lambda path: found)
+    end = pushed.reaches(found, 0) // 10 * 10
+    parts = reader.partitions({"bytes": 0}, {"bytes": end})
+    assert len(parts) > 50 and all(p.parts == [c for c in found if c[0] < p.end and c[1] > p.start] for p in parts)
+    found = [(a, a + 1000, "") for a in range(0, 60_000_000, 1000)]
+    reader = pushed.PushedReader({"path": "x", "unit": "10", "unitsPerPartition": "300"})
+    began = time.process_time()
+    assert len(reader.partitions({"bytes": 0}, {"bytes": 60_000_000})) == 20_000
+    assert time.process_time() - began < 20  # 1,200 million comparisons take minutes
+
+
+def test_subtitles_are_found_by_their_folder(spark, monkeypatch):
+    from tidemark import queries
+
+    opened, kept = [], readers.open_source
+    monkeypatch.setattr(readers, "open_source", lambda s, path, *rest: opened.append(path) or kept(s, path, *rest))
+    assert queries.QUERIES["subtitles_written"](spark, "/root/testdata/sf0.001").count() == 2000
+    assert len(opened) == 2 and not any("*" in path for path in opened)
+
+
 def test_encoders_refuse_what_has_no_form():
     with pytest.raises(ValueError, match="8191"):
         media_sinks.Adts().packet({"config": b"\x12\x10", "payload": bytes(8185)})

@@ -8,8 +8,9 @@ checkpoint. Chunks that a commit has passed can be deleted, as a buffer frees wh
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,9 @@ class PushedReader(DataSourceStreamReader):
         if start["bytes"] < end["bytes"] and (not found or found[0][0] > start["bytes"] or reaches(found, found[0][0]) < end["bytes"]):
             raise ValueError(f"bytes from {start['bytes']} to {end['bytes']} are no longer there")
         ranges = ((a, min(a + step, end["bytes"])) for a in range(start["bytes"], end["bytes"], step))
-        return [_Units(a, b, [c for c in found if c[0] < b and c[1] > a]) for a, b in ranges]
+        # The furthest end so far rises with the places, so both edges of a range are found by bisection.
+        starts, ends = [c[0] for c in found], list(accumulate((c[1] for c in found), max))
+        return [_Units(a, b, [c for c in found[bisect_right(ends, a) : bisect_left(starts, b)] if c[1] > a]) for a, b in ranges]
 
     def read(self, partition: _Units) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
