@@ -300,3 +300,19 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     df.write.parquet(f"file://{tmp_path}/x")
     plan = " ".join(scans(timeline.seek(spark.read.parquet(f"file://{tmp_path}/x"), "t", 10).select("id")))
     assert "GreaterThanOrEqual(t,10)" in plan and "ReadSchema: struct<id:bigint,t:bigint>" in plan
+
+
+def test_entries_that_tie_take_no_memory_of_whole_pairs():
+    import tracemalloc
+
+    import numpy as np
+
+    from tidemark.operators import stats
+
+    x, ids = np.full((1024, 64), 0.3), np.arange(1024)[::-1].copy()
+    tracemalloc.start()
+    rows, entries, distances, _ = stats._best(x, ids, x, 3, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6  # 1,048,576 pairs of vectors are 1,074 MB
+    assert entries.tolist() == [0, 1, 2] * 1024 and rows.tolist() == np.repeat(np.arange(1024), 3).tolist() and len(set(distances.tolist())) == 1

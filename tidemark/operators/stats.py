@@ -169,12 +169,15 @@ def _best(x, ids, book, n: int, signed: bool):
         part = x[a : a + step]
         product = part @ book.T
         near = half - (np.abs(product) if signed else product)
-        rows, cols = np.divmod(np.arange(near.size), len(book))
-        if n < len(book):
+        if n >= len(book):
+            rows, cols = np.divmod(np.arange(near.size), len(book))
+        else:
             slack = rounding * (np.sqrt(in_order(part, part))[:, None] * norms + half)
             most = np.partition(near + slack, n - 1, axis=1)[:, n - 1 : n]
             rows, cols = np.nonzero((near - slack <= most) | ~np.isfinite(most))
-        exact = in_order(part[rows], book[cols])
+        exact = np.zeros(len(rows))
+        for k in range(book.shape[1]):  # a component at a time: where all entries tie, whole vectors of each pair would be 1 GB
+            exact += part[rows, k] * book[cols, k]
         distance = half[cols] - (np.abs(exact) if signed else exact)
         order = np.lexsort((ids[cols], distance, rows))
         rows, cols = rows[order], cols[order]
