@@ -342,3 +342,67 @@ def test_timers_fire_once_in_order_unless_taken_back(spark, folder, cuts):
     for user in (0, 1):
         assert [r["n"] for r in sorted((r for r in got if r["user"] == user), key=lambda r: r["place"])] == want[user]
         assert sorted(r["place"] for r in got if r["user"] == user) == list(range(1, len(want[user]) + 1))
+
+
+def test_an_attempts_files_lie_in_one_folder(spark, folder, monkeypatch):
+    seen = []
+    publish = media_sinks._each
+
+    def each(session, path, folders, act):
+        if act is media_sinks._publish:
+            root = path.removeprefix("file://")
+            seen.extend((f, d) for f in folders for _, d, _ in os.walk(f"{root}/{f}"))
+        return publish(session, path, folders, act)
+
+    monkeypatch.setattr(media_sinks, "_each", each)
+    media_sinks.save(raw(spark, [(f"{i}/in/x.bin", j, b"%d" % (i + j)) for i in range(20) for j in range(2)]), ["n"], "raw_files", f"{folder}/s")
+    assert seen and not [d for _, d in seen if d]  # a folder for each name would take a block of disk in each attempt
+    root = f"{folder}/s".removeprefix("file://")
+    assert all(open(f"{root}/{i}/in/x.bin", "rb").read() == b"%d%d" % (i, i + 1) for i in range(20))
+
+
+RANGES = "#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:3\n#EXTINF:1,\n#EXT-X-BYTERANGE:20@10\na.ts\n#EXT-X-BYTERANGE: 30\n#EXTINF:1,\na.ts\n#EXTINF:1,\nb.ts\n#EXTINF:1,\n#EXT-X-BYTERANGE:5@0\na.ts\n#EXT-X-BYTERANGE:7\n#EXTINF:1,\na.ts\n"
+
+
+def test_byte_ranges_of_a_playlist(spark):
+    from tidemark.sources import playlist
+
+    parse = lambda text: playlist.segments(playlist.lines(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text"), ranges=True).orderBy("seq")
+    assert [(r["seq"], r["url"], r["beg"], r["end"]) for r in parse(RANGES).collect()] == [(3, "a.ts", 10, 30), (4, "a.ts", 30, 60), (5, "b.ts", None, None), (6, "a.ts", 0, 5), (7, "a.ts", 5, 12)]
+    for before in ("", "#EXTINF:1,\na.ts\n", "#EXT-X-BYTERANGE:5@0\n#EXTINF:1,\nb.ts\n"):
+        with pytest.raises(Exception, match="no offset for a byte range of a.ts"):
+            parse(f"#EXTM3U\n{before}#EXT-X-BYTERANGE:5\n#EXTINF:1,\na.ts\n").collect()
+
+
+def test_segments_that_are_ranges_or_whole_files(spark, folder, tmp_path, monkeypatch):
+    from tidemark.sources import hls
+
+    monkeypatch.setattr(listed, "READ_UNITS", 2)
+    unit = lambda i: b"G%03d" % i + bytes(184)
+    (tmp_path / "all.ts").write_bytes(b"".join(unit(i) for i in range(8)) + b"G")
+    (tmp_path / "own.ts").write_bytes(unit(100) + unit(101))
+    item = lambda n, at: f"#EXT-X-BYTERANGE:{n * 188}{at}\n#EXTINF:1,\nall.ts\n"
+    (tmp_path / "list.m3u8").write_text(f"#EXTM3U\n{item(1, '@0')}{item(3, '')}#EXTINF:1,\nown.ts\n{item(2, '@752')}{item(2, '')}#EXTINF:1,\nall.ts\n")
+    parts = hls.segments(hls.variants(spark, f"{folder}/list.m3u8"))
+    numbers = lambda rows: [(r["seq"], r["n"] % (1 << 32), int(r["raw"][1:4])) for r in rows.orderBy("n").collect()]
+    ranges = {0: [0], 1: [1, 2, 3], 2: [100, 101], 3: [4, 5], 4: [6, 7], 5: range(8)}
+    assert numbers(hls.packets(parts)) == [(seq, n, i) for seq, found in ranges.items() for n, i in enumerate(found)]
+    assert numbers(hls.packets(parts.drop("beg", "end").filter("seq = 2"))) == [(2, 0, 100), (2, 1, 101)]
+
+
+def test_hls_files_are_as_many_as_users_not_days(spark):
+    from tidemark.queries import QUERIES, events
+    from tidemark.storage import file_names, shared_folder
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    where = f"{shared_folder(spark)}/tidemark"
+    there = set(file_names(spark, where))
+    QUERIES["hls_packets"](spark, sf)
+    (made,) = [f for f in file_names(spark, where) if f.startswith("hls-") and f not in there]
+    users, days = events(spark, sf).selectExpr("count(distinct user_id)", "count(distinct user_id, us div 86400000000)").first()
+    found = files_in(f"{where}/{made}")
+    own = [f for f in found if "-s" in f]
+    assert days > 3 * users and 0 < len(own) <= 2 * (users // 10 + 1)
+    assert len(found) == 5 * users + len(own) + 1  # a master, two lists and two qualities; _SUCCESS

@@ -36,16 +36,19 @@ def best_within(found: DataFrame, bandwidth: int) -> DataFrame:
 
 
 def segments(found: DataFrame, since: Column | None = None) -> DataFrame:
-    """master, rung, seq, url, duration_ms, start_ms, discontinuity, ended of the segments of each variant; since leaves out
-    those below a media sequence number, as a refresh does with what it has seen."""
+    """master, rung, seq, url, duration_ms, start_ms, discontinuity, ended, beg, end of the segments of each variant, beg and
+    end null where a segment is a whole file; since leaves out those below a media sequence number, as a refresh does with what
+    it has seen."""
     texts = listed.texts(dealt(found, "url"), ["master", "rung", "url"], "url")
-    rows = playlist.segments(playlist.lines(texts.select(F.struct("master", "rung", "url").alias("id"), "text"), "id", "text"), F.col("playlist_id.url"))
-    rows = rows.select("playlist_id.master", "playlist_id.rung", "seq", "url", "duration_ms", "start_ms", "discontinuity", "ended")
+    rows = playlist.segments(playlist.lines(texts.select(F.struct("master", "rung", "url").alias("id"), "text"), "id", "text"), F.col("playlist_id.url"), ranges=True)
+    rows = rows.select("playlist_id.master", "playlist_id.rung", "seq", "url", "duration_ms", "start_ms", "discontinuity", "ended", "beg", "end")
     return rows if since is None else rows.filter(F.col("seq") >= since)
 
 
 def packets(parts: DataFrame) -> DataFrame:
     """master, rung, seq, n, raw: the transport packets of each segment; n goes on from segment to segment, in steps that
-    leave room for a segment's own. A segment is one file and one task's stream; segments are spread over all tasks."""
-    rows = listed.units(dealt(parts, "master", "rung", "seq"), ["master", "rung", "seq"], "url")
+    leave room for a segment's own. A segment, a file or the bytes [beg, end) of one, is one task's stream; segments are
+    spread over all tasks."""
+    ranges = {"start": "beg", "end": "end"} if {"beg", "end"} <= set(parts.columns) else {}
+    rows = listed.units(dealt(parts, "master", "rung", "seq"), ["master", "rung", "seq"], "url", **ranges)
     return rows.withColumn("n", F.col("seq") * F.lit(1 << 32) + F.col("n"))

@@ -76,14 +76,18 @@ def blocks(rows: DataFrame, id_cols: list[str], path: str, start: str | None = N
     return _read(rows, id_cols, path, start, end, "at long, data binary", pieces)
 
 
-def units(rows: DataFrame, id_cols: list[str], path: str, unit: int = 188) -> DataFrame:
-    """id columns, n, raw: the whole units of one size of each row's file."""
+def units(rows: DataFrame, id_cols: list[str], path: str, unit: int = 188, start: str | None = None, end: str | None = None) -> DataFrame:
+    """id columns, n, raw: the whole units of one size of each row's file, or of its range [start, end), whose first byte
+    begins a unit."""
 
     def pieces(f, a: int, b: int) -> Iterator[pa.RecordBatch]:
-        for n in range(0, b // unit, READ_UNITS):
-            yield cut_units(f.read((min(n + READ_UNITS, b // unit) - n) * unit), n, unit)
+        most = max(0, b - a) // unit
+        for n in range(0, most, READ_UNITS):
+            if not n:
+                f.seek(a)
+            yield cut_units(f.read((min(n + READ_UNITS, most) - n) * unit), n, unit)
 
-    return _read(rows, id_cols, path, None, None, "n long, raw binary", pieces)
+    return _read(rows, id_cols, path, start, end, "n long, raw binary", pieces)
 
 
 def texts(rows: DataFrame, id_cols: list[str], path: str) -> DataFrame:

@@ -4,7 +4,8 @@
     media_sinks.by_file(rows, ["n"]).write.format("flv").mode("append").save(folder)
     media_sinks.save(rows, ["n"], "flv", folder)  # the same for any number of files
 
-A task writes its files under names of its own attempt. Only when all tasks are done, those of the attempts that counted
+A task writes its files under numbers in one folder of its own attempt, as a folder for each of theirs would take a block of
+disk in each attempt. Only when all tasks are done, those of the attempts that counted
 get their names, then _SUCCESS is written; whatever attempts leave behind is deleted. So a task that is tried twice leaves
 one file, and a job that fails none. A file is the work of one task, which streams its rows. With a writer's own save() the
 driver gives the names, one after another; with the save() of this module each attempt's are in a list beside its files, and
@@ -159,7 +160,8 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]] = field(default_factory=list)
 
 
-#: The list of an attempt's files, and that of the attempts that counted. No file has such a name, as it begins with _.
+#: The list of an attempt's files (a file's place there is its number), and that of the attempts that counted. No file has
+#: such a name, as it begins with _.
 LIST, COUNTED = "_files.parquet", "_counted"
 NAMES = pa.schema([("name", pa.string())])
 #: Names that are read at once.
@@ -177,7 +179,7 @@ class _Writer(DataSourceArrowWriter):
         task = TaskContext.get()
         folder = f"{root}/_attempts-{self.job}/{task.partitionId()}-{task.taskAttemptId()}"
         done, out, made, last = Written(folder), None, None, b""  # no file has this name
-        names, made_in = set(), None
+        names: dict[str, int] = {}
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
@@ -190,11 +192,10 @@ class _Writer(DataSourceArrowWriter):
                             raise ValueError(f"no name for a file: {last!r}")
                         if last in names:
                             raise ValueError(f"the rows of {last} do not lie together: use by_file()")
-                        names.add(last)
-                        place = f"{folder}/{last}"
-                        if made_in != (made_in := place.rsplit("/", 1)[0]):
-                            system.create_dir(made_in, recursive=True)
-                        made, out = self.encoder(), system.open_output_stream(place)
+                        if not names:
+                            system.create_dir(folder, recursive=True)
+                        names[last] = len(names)
+                        made, out = self.encoder(), system.open_output_stream(f"{folder}/{names[last]}")
                         out.write(made.head(row))
                     out.write(made.packet(row))
             if out:
@@ -203,10 +204,10 @@ class _Writer(DataSourceArrowWriter):
             if out:
                 out.close()
         if not self.staged:
-            done.files = [(f"{folder}/{name}", name) for name in names]
+            done.files = [(f"{folder}/{n}", name) for name, n in names.items()]
         elif names:
             with system.open_output_stream(f"{folder}/{LIST}") as f:
-                pq.write_table(pa.table([pa.array(sorted(names), pa.string())], schema=NAMES), f, row_group_size=LIST_ROWS)
+                pq.write_table(pa.table([pa.array(list(names), pa.string())], schema=NAMES), f, row_group_size=LIST_ROWS)
         return done if names else Written()
 
     def _clear(self, system, root: str) -> None:
@@ -276,12 +277,12 @@ def _taken(system, root: str, folder: str) -> list[str]:
 def _publish(system, root: str, folder: str) -> list[str]:
     """Gives an attempt's files their names. A task that is tried again goes on where the first one ended."""
     made_in = set()
-    for name in _listed(system, folder):
+    for n, name in enumerate(_listed(system, folder)):
         if (parent := f"{root}/{name}".rsplit("/", 1)[0]) not in made_in:
             system.create_dir(parent, recursive=True)
             made_in.add(parent)
         try:
-            system.move(f"{folder}/{name}", f"{root}/{name}")
+            system.move(f"{folder}/{n}", f"{root}/{name}")
         except OSError:
             if not _there(system, f"{root}/{name}"):
                 raise
@@ -290,8 +291,8 @@ def _publish(system, root: str, folder: str) -> list[str]:
 
 def _withdraw(system, root: str, folder: str) -> list[str]:
     """Deletes those of an attempt's files that have got their names."""
-    for name in _listed(system, folder):
-        if not _there(system, f"{folder}/{name}") and _there(system, f"{root}/{name}"):
+    for n, name in enumerate(_listed(system, folder)):
+        if not _there(system, f"{folder}/{n}") and _there(system, f"{root}/{name}"):
             system.delete_file(f"{root}/{name}")
     return []
 

@@ -35,11 +35,15 @@ def extended(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("_first", first).filter(F.trim("_first") == "#EXTM3U").drop("_first")
 
 
-def segments(parsed: DataFrame, base: Column | None = None) -> DataFrame:
+def segments(parsed: DataFrame, base: Column | None = None, ranges: bool = False) -> DataFrame:
     """playlist_id, seq, url, duration_ms, start_ms, discontinuity, ended of each media line.
 
     seq counts from the media sequence; a duration is whole milliseconds; start_ms is the sum of those before; a
     discontinuity belongs to the next segment; ended tells whether the end mark is in the playlist.
+
+    With ranges also beg and end: the bytes [beg, end) of its file that the segment is, null where it is the whole file. A
+    range without an offset begins where that of the segment before it ends, which must be one of the same file; one of which
+    this leaves the beginning open is an error.
     """
     so_far = _ordered().rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("playlist_id")
@@ -55,10 +59,29 @@ def segments(parsed: DataFrame, base: Column | None = None) -> DataFrame:
     rows = rows.withColumn("_ended", F.max(text.startswith("#EXT-X-ENDLIST")).over(whole)).withColumn("_master", F.max(text.startswith("#EXT-X-STREAM-INF")).over(whole))
     item = Window.partitionBy("playlist_id", "_group").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("duration_ms", F.last("_duration", True).over(item)).withColumn("discontinuity", F.max("_cut").over(item))
+    if ranges:
+        named = lambda m: F.regexp_extract(text, rf"^#EXT-X-BYTERANGE:\s*{m}", 1)
+        size, at = named("([0-9]+)"), named("[0-9]+@([0-9]+)")
+        asked = F.struct(size.cast("long").alias("size"), F.when(at != "", at.cast("long")).alias("at"))
+        rows = rows.withColumn("_range", F.last(F.when(size != "", asked), True).over(item))
     media = rows.filter("_media and not _master").withColumn("_n", F.row_number().over(_ordered()))
     before = F.coalesce(F.sum("duration_ms").over(so_far) - F.coalesce("duration_ms", F.lit(0)), F.lit(0))
     url = F.trim(text)
-    return media.select("playlist_id", (F.col("_first_seq") + F.col("_n") - 1).alias("seq"), (resolve(base, url) if base is not None else url).alias("url"), "duration_ms", before.alias("start_ms"), "discontinuity", F.col("_ended").alias("ended"))
+    if ranges:
+        media = _ranges(media, url)
+    return media.select("playlist_id", (F.col("_first_seq") + F.col("_n") - 1).alias("seq"), (resolve(base, url) if base is not None else url).alias("url"), "duration_ms", before.alias("start_ms"), "discontinuity", F.col("_ended").alias("ended"), *(["beg", "end"] if ranges else []))
+
+
+def _ranges(media: DataFrame, url: Column) -> DataFrame:
+    """beg and end from _range, the size and offset that a segment has: a run of ranges begins with each offset."""
+    size, at = F.col("_range.size"), F.col("_range.at")
+    goes_on = size.isNotNull() & at.isNull() & (F.lag(url).over(_ordered()) == url) & F.lag(size).over(_ordered()).isNotNull()
+    rows = media.withColumn("_starts", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_starts").over(_ordered().rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("playlist_id", "_run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.first(at).over(run) + F.sum(size).over(run))
+    lost = F.raise_error(F.concat(F.lit("no offset for a byte range of "), url)).cast("long")
+    return rows.withColumn("end", F.when(size.isNotNull(), F.coalesce("end", lost))).withColumn("beg", F.col("end") - size)
 
 
 def variants(parsed: DataFrame, base: Column | None = None) -> DataFrame:
