@@ -406,3 +406,23 @@ def test_hls_files_are_as_many_as_users_not_days(spark):
     own = [f for f in found if "-s" in f]
     assert days > 3 * users and 0 < len(own) <= 2 * (users // 10 + 1)
     assert len(found) == 5 * users + len(own) + 1  # a master, two lists and two qualities; _SUCCESS
+
+
+def test_formats_are_found_from_other_threads_and_sessions(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidemark.sources import transport
+
+    def write(session, name):  # in a new thread no session is active
+        rows = session.range(2).selectExpr("'x.ts' as file", "cast(id as int) as n", "cast(repeat('G', 188) as binary) as data")
+        media_sinks.save(rows, ["n"], "raw_files", f"{folder}/{name}")
+        return files_in(f"{folder}/{name}")
+
+    def read(session):
+        transport.register(session)
+        return session.read.format("ts_packets").load(f"{folder}/one/x.ts").count()
+
+    in_thread = lambda f, *args: ThreadPoolExecutor(1).submit(f, *args).result()
+    other = spark.newSession()
+    assert in_thread(write, other, "one") == in_thread(write, spark, "two") == ["_SUCCESS", "x.ts"]
+    assert in_thread(read, other) == in_thread(read, spark) == 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource
 
 
 def session(app: str = "tidemark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -14,3 +15,11 @@ def session(app: str = "tidemark", master: str | None = None, shuffle_partitions
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def add_sources(spark: SparkSession, *sources: type[DataSource]) -> None:
+    """Makes Python data sources formats of the session, for the calling thread too: Spark looks formats up in the session that
+    is active in the thread, and in one that did not make the session none is until it has made a table from local rows."""
+    for source in sources:
+        spark.dataSource.register(source)
+    spark.createDataFrame([], "none int")

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from tidemark.session import add_sources
+
 
 def by_file(rows: DataFrame, order: list[str]) -> DataFrame:
     """The rows of each file in one partition, in order, as the writers ask for them. There are as many partitions as the
@@ -363,5 +365,4 @@ def _source(format_name: str, encoder: type[Raw]) -> type[DataSource]:
 def register(spark) -> None:
     """Makes every name in FORMATS a format of spark's writers. The column `file` is a name under the folder written to; two
     rows of one file in two partitions, a file that is there already (with mode append), and a null or outward name are errors."""
-    for name, encoder in FORMATS.items():
-        spark.dataSource.register(_source(name, encoder))
+    add_sources(spark, *(_source(name, encoder) for name, encoder in FORMATS.items()))

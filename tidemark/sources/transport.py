@@ -9,6 +9,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tidemark.functions.hashes import ends_in_crc32_mpeg, read_number
 from tidemark.operators.folds import fold
 from tidemark.schema import PES_HEADER
+from tidemark.session import add_sources
 
 PACKET_BYTES = 188
 #: Packets that one read from a file takes.
@@ -361,4 +362,4 @@ class _PacketReader(DataSourceReader):
 
 
 def register(spark) -> None:
-    spark.dataSource.register(PacketSource)
+    add_sources(spark, PacketSource)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from tidemark.session import add_sources
 from tidemark.sources.media_sinks import file_system, save
 
 ENDING = ".chunk"
@@ -147,4 +148,4 @@ class PushedSource(DataSource):
 
 
 def register(spark) -> None:
-    spark.dataSource.register(PushedSource)
+    add_sources(spark, PushedSource)
