@@ -426,3 +426,14 @@ def test_formats_are_found_from_other_threads_and_sessions(spark, folder):
     other = spark.newSession()
     assert in_thread(write, other, "one") == in_thread(write, spark, "two") == ["_SUCCESS", "x.ts"]
     assert in_thread(read, other) == in_thread(read, spark) == 2
+
+
+def test_rows_that_lie_by_files_are_not_dealt_again(spark, folder):
+    lie = raw(spark, [(f"{i}.bin", j, b"%d" % j) for i in range(6) for j in range(3)]).repartition(3, "file").sortWithinPartitions("file", "n")
+    media_sinks.save(lie, None, "raw_files", f"{folder}/p")
+    root = f"{folder}/p".removeprefix("file://")
+    assert all(open(f"{root}/{i}.bin", "rb").read() == b"012" for i in range(6))
+    torn = raw(spark, [("a.bin", j, b"%d" % j) for j in range(40)]).repartition(2)
+    with pytest.raises(Exception, match="several partitions: .*a.bin"):
+        media_sinks.save(torn, None, "raw_files", f"{folder}/torn")
+    assert files_in(f"{folder}/torn") == []

@@ -304,8 +304,12 @@ def _remove(system, root: str, folder: str) -> list[str]:
     return []
 
 
-def _each(spark: SparkSession, path: str, folders: list[str], act) -> list[str]:
-    """What act(file system, root, folder) tells of each attempt's folder, in a task for each."""
+def _named(system, root: str, folder: str) -> list[str]:
+    return list(_listed(system, folder))
+
+
+def _each(spark: SparkSession, path: str, folders: list[str], act) -> DataFrame:
+    """What act(file system, root, folder) tells of each attempt's folder, in as many tasks as the session's shuffles have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(path)
@@ -313,32 +317,35 @@ def _each(spark: SparkSession, path: str, folders: list[str], act) -> list[str]:
             for folder in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(act(system, root, f"{root}/{folder}"), pa.string())], names=["told"])
 
-    tasks = spark.sparkContext.parallelize([(f,) for f in folders], len(folders)).toDF("folder string")
-    return [r["told"] for r in tasks.mapInArrow(run, "told string").collect()]
+    tasks = spark.sparkContext.parallelize([(f,) for f in folders], min(len(folders), int(spark.conf.get("spark.sql.shuffle.partitions")))).toDF("folder string")
+    return tasks.mapInArrow(run, "told string")
 
 
-def save(rows: DataFrame, order: list[str], format_name: str, path: str) -> None:
+def save(rows: DataFrame, order: list[str] | None, format_name: str, path: str) -> None:
     """Adds the rows to a folder as files of a format, like a writer with mode append, whatever their number: tasks write the
     files, look whether there are files of their names (an error, and none is added), and give them their names. If that
     fails, those that have got their names are deleted again; only a job that is lost with its driver leaves some, without
-    _SUCCESS. Each file is one partition's, as by_file() deals them."""
+    _SUCCESS. Each file is one partition's, as by_file() deals them; with order None the rows lie so already, and in order."""
     spark, path, job = rows.sparkSession, path.rstrip("/"), uuid.uuid4().hex
     register(spark)
-    by_file(rows, order).write.format(format_name).mode("append").option("job", job).save(path)
+    (rows if order is None else by_file(rows, order)).write.format(format_name).mode("append").option("job", job).save(path)
     system, root = file_system(path)
     attempts = f"_attempts-{job}"
     with system.open_input_file(f"{root}/{attempts}/{COUNTED}") as f:
         folders = [f"{attempts}/{name}" for name in f.read().decode().split("\n") if name]
+    told = lambda act: [r["told"] for r in _each(spark, path, folders, act).collect()]
     try:
         if folders:
-            if taken := _each(spark, path, folders, _taken):
+            if order is None and (torn := _each(spark, path, folders, _named).groupBy("told").count().filter("count > 1").take(3)):
+                raise ValueError(f"rows of one file lie in several partitions: use by_file(): {sorted(r['told'] for r in torn)}")
+            if taken := told(_taken):
                 raise ValueError(f"there already: {sorted(taken)[:3]}")
             try:
-                _each(spark, path, folders, _publish)
+                told(_publish)
             except Exception:
-                _each(spark, path, folders, _withdraw)
+                told(_withdraw)
                 raise
-            _each(spark, path, folders, _remove)
+            told(_remove)
     finally:
         _delete(system, f"{root}/{attempts}")
     with system.open_output_stream(f"{root}/_SUCCESS"):

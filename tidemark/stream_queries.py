@@ -120,24 +120,28 @@ def hls_packets(spark, sf_dir):
     """For each user a master playlist of two qualities, their playlists, and a segment of packets for each day: the better
     quality within a bandwidth, from its second segment on, as packets. Segments are byte ranges of one file for each user and
     quality, as a file (a block of disk) for each would take many times its packets; of every tenth user one is its own file."""
-    e = events(spark, sf_dir).withColumn("seq", F.dense_rank().over(_one_by("user_id", F.expr("us div 86400000000"))) + 4)
+    users = events(spark, sf_dir).select("user_id", "us", "event_id")
+    # Dealt by users, the rows of a file lie together; packets and lines are made where they are written, and never exchanged.
+    e = users.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id").withColumn("seq", F.dense_rank().over(_one_by("user_id", F.expr("us div 86400000000"))) + 4)
     own = (F.col("user_id") % 10 == 0) & (F.col("seq") == 7)
     name = lambda folder, ending: F.concat(F.lit(f"{folder}u"), "user_id", F.lit(ending))
     media = lambda folder, tag: F.when(own, F.concat(name(folder, f"{tag}-s"), "seq", F.lit(".ts"))).otherwise(name(folder, f"{tag}.ts"))
-    packet = lambda kind: F.unhex(F.concat(F.lit("47010110"), F.lit(kind), _hex(F.col("event_id"), 16), F.repeat(F.lit("FF"), 175)))
-    data = e.select(F.explode(F.array(*[F.struct(media(*d).alias("file"), packet(k).alias("data")) for d, k in ((("", "-lo"), "00"), (("hi/", ""), "01"))])).alias("x"), "us", "event_id").select("x.file", "us", "event_id", "x.data")
+    data = e.select(F.explode(F.array(*[F.struct(media(*d).alias("file"), F.lit(k).alias("kind")) for d, k in ((("", "-lo"), "00"), (("hi/", ""), "01"))])).alias("x"), "us", "event_id").select("x.file", "us", "event_id", "x.kind", F.lit(None).cast("string").alias("text"))
     size = F.col("packets") * 188
     days = e.groupBy("user_id", "seq").agg(F.count("*").alias("packets")).withColumn("end", F.sum(F.when(own, 0).otherwise(size)).over(_one_by("user_id", "seq")))
-    line = lambda file, text: F.struct(file.alias("file"), text.cast("binary").alias("data"))
+    line = lambda file, text: F.struct(file.alias("file"), text.alias("text"))
+    first = F.col("seq") == 5
     place = F.when(own, F.lit("")).otherwise(F.concat(F.lit("#EXT-X-BYTERANGE:"), size, F.lit("@"), F.col("end") - size, F.lit("\n")))
-    item = lambda tag: F.concat(F.when(F.col("seq") == 5, F.lit("#EXTM3U\n#EXT-X-VERSION:4\n#EXT-X-MEDIA-SEQUENCE:5\n")).otherwise(F.lit("")), F.lit("#EXTINF:86400,\n"), place, media("", tag), F.lit("\n"))
-    lists = days.select(F.explode(F.array(line(name("", "-lo.m3u8"), item("-lo")), line(name("hi/", ".m3u8"), item("")))).alias("x"), F.col("seq").alias("us")).select("x.file", F.col("us").cast("long").alias("us"), F.lit(0).cast("long").alias("event_id"), "x.data")
+    item = lambda tag: F.concat(F.when(first, F.lit("#EXTM3U\n#EXT-X-VERSION:4\n#EXT-X-MEDIA-SEQUENCE:5\n")).otherwise(F.lit("")), F.lit("#EXTINF:86400,\n"), place, media("", tag), F.lit("\n"))
     low = F.when(F.col("user_id") % 2 == 0, F.lit("400000")).otherwise(F.lit("600000"))
     high = F.when(F.col("user_id") % 2 == 0, F.lit("500000")).otherwise(F.lit("900000"))
-    text = F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH="), high, F.lit("\n"), name("hi/", ".m3u8"), F.lit("\n#EXT-X-STREAM-INF:BANDWIDTH="), low, F.lit("\n"), name("", "-lo.m3u8"), F.lit("\n"))
-    masters = e.select("user_id").distinct().select(line(name("", ".m3u8"), text).alias("x")).select("x.file", F.lit(0).cast("long").alias("us"), F.lit(0).cast("long").alias("event_id"), "x.data")
-    path = _written(data.unionByName(lists).unionByName(masters), ["us", "event_id"], "raw_files", spark, "hls")
-    chosen = hls.best_within(hls.variants_of(e.select(name(f"{path}/", ".m3u8").alias("master")).distinct(), "master"), 500_000)
+    variants = F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH="), high, F.lit("\n"), name("hi/", ".m3u8"), F.lit("\n#EXT-X-STREAM-INF:BANDWIDTH="), low, F.lit("\n"), name("", "-lo.m3u8"), F.lit("\n"))
+    lines = F.array(line(name("", "-lo.m3u8"), item("-lo")), line(name("hi/", ".m3u8"), item("")), F.when(first, line(name("", ".m3u8"), variants)))
+    lists = days.select(F.explode(lines).alias("x"), "seq").filter("x is not null").select("x.file", F.col("seq").cast("long").alias("us"), F.lit(0).cast("long").alias("event_id"), F.lit(None).cast("string").alias("kind"), "x.text")
+    packet = F.unhex(F.concat(F.lit("47010110"), "kind", _hex(F.col("event_id"), 16), F.repeat(F.lit("FF"), 175)))
+    placed = data.unionByName(lists).sortWithinPartitions("file", "us", "event_id")
+    path = _written(placed.select("file", F.coalesce(F.col("text").cast("binary"), packet).alias("data")), None, "raw_files", spark, "hls")
+    chosen = hls.best_within(hls.variants_of(users.select("user_id").distinct().select(name(f"{path}/", ".m3u8").alias("master")), "master"), 500_000)
     got = hls.packets(hls.segments(chosen, F.lit(6)))
     user = F.regexp_extract("master", r"u(-?\d+)\.m3u8$", 1).cast("long")
     kind = F.when((F.hex(F.substring("raw", 5, 1)).cast("int") == F.col("rung")) & (F.octet_length("raw") == 188), F.lit("packet")).otherwise(F.lit("another quality's"))
